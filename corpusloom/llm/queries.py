@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import substring_dedup
+from corpusloom.llm import source_mixing, substring_dedup
 
 QUERIES = {
     "op6_substring_dedup": substring_dedup.query,
+    "op10_source_mixing": source_mixing.query,
 }
 
 SQL = {
     "op6_substring_dedup": substring_dedup.SQL,
+    "op10_source_mixing": source_mixing.SQL,
 }
