@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import source_mixing, substring_dedup
+from corpusloom.llm import language_id, media, source_mixing, substring_dedup
 
 QUERIES = {
+    "op3_media_columns": media.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op7_language_id": language_id.query,
     "op10_source_mixing": source_mixing.query,
 }
 
