@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -29,6 +30,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """A schema with further columns, given as DDL."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
     where = spark.conf.get("spark.checkpoint.dir", None)
