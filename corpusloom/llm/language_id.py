@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm import words
-from corpusloom.session import prepare
+from corpusloom.session import extended, prepare
 
 #: Bytes of context; every text is read as if newlines stood before it.
 ORDER = 3
@@ -199,9 +199,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores)]
             yield pa.record_batch(columns, names=[*names, "lang_pred", "score"])
 
-    schema = docs.schema
-    schema = type(schema)([*schema.fields]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import prepare
+from corpusloom.session import extended, prepare
 
 UNKNOWN = "application/octet-stream"
 
@@ -199,10 +199,8 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str = "declar
             columns = [*batch.columns, pa.array(kinds, pa.string()), pa.array(wrong), pa.array(carved, pa.list_(item))]
             yield pa.record_batch(columns, names=[*names, "detected", "corrected", "carved"])
 
-    schema = type(df.schema)([*df.schema.fields])
-    schema.add("detected", "string").add("corrected", "boolean")
-    schema.add("carved", "array<struct<type:string,start:bigint,end:bigint,data:binary>>")
-    return df.mapInArrow(run, schema)
+    added = "detected string, corrected boolean, carved array<struct<type:string,start:bigint,end:bigint,data:binary>>"
+    return df.mapInArrow(run, extended(df.schema, added))
 
 
 #: The stored form of the query: a WAV file with 8-bit mono samples, and the unit that payloads are padded to.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import language_id, media, source_mixing, substring_dedup
+from corpusloom.llm import language_id, media, pieces, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_sentencepiece": pieces.query,
     "op3_media_columns": media.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_language_id": language_id.query,
+    "op9_token_counts": token_counts.query,
     "op10_source_mixing": source_mixing.query,
 }
 
