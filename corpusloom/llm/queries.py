@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import language_id, media, pieces, source_mixing, substring_dedup, token_counts
+from corpusloom.llm import language_id, media, ngram_join, pieces, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
     "op3_media_columns": media.query,
+    "op4_ngram_join": ngram_join.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_language_id": language_id.query,
     "op9_token_counts": token_counts.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_ngram_join": ngram_join.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_source_mixing": source_mixing.SQL,
 }
