@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import language_id, media, ngram_join, pieces, source_mixing, substring_dedup, token_counts
+from corpusloom.llm import language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_language_id": language_id.query,
+    "op8_secret_scan": secret_scan.query,
     "op9_token_counts": token_counts.query,
     "op10_source_mixing": source_mixing.query,
 }

@@ -72,11 +72,13 @@ def spans_of_documents(offsets: np.ndarray, limit: int = 2 * PIECE) -> Iterator[
         i = min(j, n)
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(
+    data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the n+1 word offsets of the documents."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SEPARATOR[data]
+    word = ~separator[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(word)
