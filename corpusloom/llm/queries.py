@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts
+from corpusloom.llm import html_extract, language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
     "op3_media_columns": media.query,
     "op4_ngram_join": ngram_join.query,
+    "op5_html_extract": html_extract.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_language_id": language_id.query,
     "op8_secret_scan": secret_scan.query,
