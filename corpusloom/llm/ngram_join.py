@@ -282,6 +282,27 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
+#: Dropped ids up to which ``near_duplicates`` broadcasts them (8 MB); beyond, a shuffle join drops them.
+BROADCAST_IDS = 1_000_000
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of ``ngram_join`` left: the one of the smallest doc_id.
+
+    All columns are carried. Rows without doc_id can't be named as the one that stays, so they all stay; rows that
+    repeat doc_id and text are one document.
+    """
+    found = ngram_join(docs, k, percent)
+    gone = stash(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(side, "doc_id", "left_anti")
+    ids = found.where("doc_id = component_id").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if ids[0] == ids[1]:
+        return left
+    named = left.where("doc_id IS NOT NULL").withColumn("__text", F.sha2("text", 256)).dropDuplicates(["doc_id", "__text"])
+    return named.drop("__text").unionByName(left.where("doc_id IS NULL"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import html_extract, language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts
+from corpusloom.llm import html_extract, knn_join, language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
+    "op2_knn_join": knn_join.query,
     "op3_media_columns": media.query,
     "op4_ngram_join": ngram_join.query,
     "op5_html_extract": html_extract.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_knn_join": knn_join.SQL,
     "op4_ngram_join": ngram_join.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_source_mixing": source_mixing.SQL,
