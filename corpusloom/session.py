@@ -47,17 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own: str | None = None
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the reread table.
 
     Unlike ``checkpoint()`` the rows are computed a single time, and columns are pruned on reading. The files survive
-    lost executors and are removed when the application ends.
+    lost executors and are removed when the application ends. The shuffle files of the write are removed with its end,
+    so a job of many steps needs the disk of its largest step only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
