@@ -2,5 +2,424 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as t
+from corpusloom.operators import navigate, pdf_layout, search
+from corpusloom.operators.cleaning import clean
+from corpusloom.operators.lines import join_short_lines, normalize_line_breaks
+from corpusloom.operators.paging import page_filter
+from corpusloom.operators.segment import segment
+from corpusloom.plans import inputs as i
+from corpusloom.sources.settings import Cleaning, DocumentSettings, PageRange
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+WS, RULE, CLOSING, TRIM = i.WS, i.RULE, i.CLOSING, i.TRIM
+WITH_DOCUMENTS = f"WITH RECURSIVE {i.DOCUMENTS}, {i.SECTIONS}"
+WITH_BOLD = f"WITH RECURSIVE {i.BOLD}, {i.SECTIONS}"
+WITH_HEADINGS = f"WITH RECURSIVE {i.HEADINGS}, {i.SECTIONS}"
+
+
+def query(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name], SQL[name] = f, sql
+        return f
+
+    return add
+
+
+# --- conversion and cleaning
+
+STRIP_HTML_SQL = r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
+  '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''),
+  '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"""
+
+
+@query("strip_html", f"SELECT page_id, {TRIM.format(STRIP_HTML_SQL)} AS text FROM pages")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.read(spark, sf, "pages").select("page_id", t.strip_html(F.col("html")).alias("text"))
+
+
+DIRTY = "\t\tx├ ΓÇÖy​\r z\\n\\r  w \n \n\n\n "
+DIRTY_SQL = "chr(9) || chr(9) || 'x├ ΓÇÖy' || chr(8203) || chr(13) || ' z\\n\\r  w ' || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || ' '"
+
+
+@query(
+    "clean_encoding",
+    rf"""
+SELECT doc_id, regexp_replace(replace(regexp_replace(regexp_replace(translate(replace(replace(replace(replace(replace(replace(
+  regexp_replace(replace(replace(replace({DIRTY_SQL} || text || {DIRTY_SQL}, chr(13), ''), '\r', ''), '\n', ' '), '[^\P{{C}}\n\t]', '', 'g'),
+  'ΓÇÿ', ''''), 'ΓÇÖ', '"'), 'ΓÇ×', '"'), 'ΓÇ£', '«'), 'ΓÇ¤', '»'), 'ΓÇô', '-'), '├┤┬┴─│┐┌└┘', ''), ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(9), ' '),
+  '[ \p{{Z}}]+(\n|$)', '\1', 'g') AS text
+FROM documents""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    dirty = F.concat(F.lit(DIRTY), F.col("text"), F.lit(DIRTY))
+    return i.read(spark, sf, "documents").select("doc_id", t.clean_encoding(dirty).alias("text"))
+
+
+MARKED_SQL = f"chr(10) || '{RULE}' || chr(10) || 'PDF PAGE ' || (turn + 1) || chr(10) || '{RULE}' || chr(10) || '# **' || role || '** _and_ so on' || chr(10) || text"
+
+
+@query(
+    "strip_markup",
+    rf"""
+SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace({MARKED_SQL}, '\n={{40,}}\s*\nPDF PAGE \d+\s*\n={{40,}}\s*\n', chr(10), 'g'),
+  '(?m)^#+\s+', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '_([^_]+)_', '\1', 'g') AS text
+FROM conversations""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.concat(F.lit(f"\n{RULE}\nPDF PAGE "), (F.col("turn") + 1).cast("string"), F.lit(f"\n{RULE}\n# **"), F.col("role"), F.lit("** _and_ so on\n"))
+    every = Cleaning(False, False, True, True, True, True)
+    return i.read(spark, sf, "conversations").select("conv_id", "turn", clean(F.concat(head, "text"), every).alias("text"))
+
+
+LINES_SQL = r"lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
+
+
+@query(
+    "normalize_lines",
+    rf"""
+WITH RECURSIVE {LINES_SQL},
+l AS (SELECT doc_id, i, regexp_replace(line, '\s+$', '') AS line FROM lines),
+r(doc_id, i, done, cur) AS (
+  SELECT doc_id, i, '', line FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN fresh THEN done || cur || chr(10) ELSE done END, CASE WHEN fresh THEN l.line ELSE trim(cur || ' ' || l.line) END
+  FROM (SELECT r.*, l.line, l.i AS j, line = '' OR (cur <> '' AND (right(cur, 1) IN ('.', '!', '?', ';', '—', '–', '…') OR cur[1] = '#' OR regexp_matches(cur, '\d+\.\d+\s*$'))) AS fresh FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1) l0
+  JOIN l ON l.doc_id = l0.doc_id AND l.i = l0.j)
+SELECT doc_id, arg_max(done || cur, i) AS text FROM r GROUP BY doc_id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.read(spark, sf, "documents").select("doc_id", normalize_line_breaks("text").alias("text"))
+
+
+@query(
+    "join_short_lines",
+    rf"""
+WITH RECURSIVE {LINES_SQL},
+l AS (SELECT doc_id, i, regexp_replace(line, '\s+$', '') AS line, regexp_replace(coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY i), ''), '^\s+', '') AS nxt FROM lines),
+r(doc_id, i, text) AS (
+  SELECT DISTINCT doc_id, 1::BIGINT, NULL::VARCHAR FROM l
+  UNION ALL
+  SELECT l.doc_id, l.i + CASE WHEN pair THEN 2 ELSE 1 END, coalesce(r.text || chr(10), '') || CASE WHEN pair THEN trim(line || ' ' || nxt) ELSE line END
+  FROM r JOIN (SELECT *, line <> '' AND length(line) < 80 AND nxt <> '' AND NOT regexp_matches(nxt, '^[#\d]|^PDF PAGE') AS pair FROM l) l ON l.doc_id = r.doc_id AND l.i = r.i)
+SELECT doc_id, arg_max(text, i) AS text FROM r WHERE text IS NOT NULL GROUP BY doc_id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.read(spark, sf, "documents").select("doc_id", join_short_lines("text").alias("text"))
+
+
+# --- sections
+
+SECTION_COLUMNS = ["doc_ord", "section_id", "title", "content", "heading_level", "parent_title", "char_count", "page_number", "start_offset", "prev_section_id", "next_section_id"]
+SECTION_SQL = "SELECT doc_ord, section_id, title, content, heading_level, parent_title, char_count, page_number, start_offset, prev_section_id, next_section_id FROM sections"
+
+
+@query("sections_fixed", f"{WITH_DOCUMENTS} {SECTION_SQL}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.sections(spark, sf).select(SECTION_COLUMNS)
+
+
+@query("sections_bold", f"{WITH_BOLD} {SECTION_SQL}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.bold_sections(spark, sf).select(SECTION_COLUMNS)
+
+
+@query("sections_pattern", f"{WITH_HEADINGS} {SECTION_SQL}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.heading_sections(spark, sf).select(SECTION_COLUMNS)
+
+
+@query("page_range", f"{WITH_DOCUMENTS} SELECT doc_ord, section_id FROM sections WHERE start_offset < 7500 AND start_offset + char_count > 2500")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return page_filter(i.sections(spark, sf), PageRange(2, 3)).select("doc_ord", "section_id")
+
+
+@query(
+    "page_only",
+    f"{WITH_DOCUMENTS} SELECT doc_ord, section_id FROM sections, (SELECT unnest([1, 4]) AS p) WHERE p BETWEEN start_offset // 2500 + 1 AND ceil((start_offset + char_count) / 2500.0)",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return page_filter(i.sections(spark, sf), PageRange(only=(1, 4))).select("doc_ord", "section_id")
+
+
+# --- ranked search
+
+
+def _search_sql(with_: str, prefix: str, terms: list[str], document: str | None, limit: int) -> str:
+    scope = f"'{prefix}' || doc_ord = '{document}'" if document else "true"
+    dfs = ", ".join(f"count(*) FILTER (WHERE contains(content_lc, '{w}')) AS df{k}" for k, w in enumerate(terms))
+    idfs = ", ".join(f"CASE WHEN df{k} > 0 THEN ln((n - df{k} + 0.5) / (df{k} + 0.5) + 1.0) ELSE 0 END AS idf{k}" for k in range(len(terms)))
+    tf = lambda w: f"((length(content_lc) - length(replace(content_lc, '{w}', ''))) / {len(w)}.0)"
+    body = " + ".join(f"CASE WHEN contains(content_lc, '{w}') THEN idf{k} * ({tf(w)} * 2.5 / ({tf(w)} + 1.5 * (0.25 + 0.75 * char_count / average))) ELSE 0 END" for k, w in enumerate(terms))
+    title = " + ".join(f"CASE WHEN contains(title_lc, '{w}') THEN idf{k} * 3.0 ELSE 0 END" for k, w in enumerate(terms))
+    phrase = f" + CASE WHEN contains(content_lc, '{' '.join(terms)}') THEN 2.0 ELSE 0 END" if len(terms) > 1 else ""
+    spots = "least(" + ", ".join(f"nullif(strpos(content_lc, '{w}'), 0)" for w in terms) + ")"
+    count = " + ".join(f"contains(content_lc, '{w}')::INT" for w in terms)
+    return rf"""{with_},
+st AS (SELECT count(*) AS n, avg(char_count) FILTER (WHERE {scope}) AS average, {dfs} FROM sections),
+sx AS (SELECT average, {idfs} FROM st),
+scored AS (
+  SELECT *, {body} + {title}{phrase} AS score, {spots} - 1 AS hit, {count} AS match_count,
+         lag(section_id) OVER (ORDER BY doc_ord, ord) AS before, lead(section_id) OVER (ORDER BY doc_ord, ord) AS after
+  FROM (SELECT * FROM sections WHERE {scope}), sx)
+SELECT section_id AS id, title, 'section' AS type, '{prefix}' || doc_ord AS document_id, trunc(score * 100)::INT AS relevance_score,
+  CASE WHEN hit IS NULL THEN CASE WHEN length(content) > 200 THEN content[1:197] || '...' ELSE content END
+       ELSE CASE WHEN hit > 100 THEN '...' ELSE '' END || {TRIM.format("content[greatest(hit - 100, 0) + 1:least(hit + 100, length(content))]")} || CASE WHEN hit + 100 < length(content) THEN '...' ELSE '' END END AS preview,
+  match_count, '' AS summary, heading_level, parent_title, before AS previous_section_id, after AS next_section_id,
+  CASE WHEN heading_level = 0 THEN 'Document Content' ELSE coalesce(parent_title, 'Root') || CASE WHEN title <> '' AND title IS DISTINCT FROM parent_title THEN ' > ' || title ELSE '' END END AS hierarchy_path
+FROM scored WHERE score > 0 ORDER BY trunc(score * 100) DESC, doc_ord, ord LIMIT {limit}"""
+
+
+TEXT = "There is the nation and a thing"
+
+
+@query("search_all", _search_sql(WITH_DOCUMENTS, "doc-", t.terms_of(TEXT), None, 20))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(i.sections(spark, sf), TEXT, limit=99)
+
+
+@query("search_scoped", _search_sql(WITH_DOCUMENTS, "doc-", t.terms_of(TEXT), "doc-9", 5))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(i.sections(spark, sf), TEXT, "doc-9")
+
+
+@query("search_phrase", _search_sql(WITH_DOCUMENTS, "doc-", ["that", "from"], None, 20))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(i.sections(spark, sf), "That, FROM", limit=20)
+
+
+@query("search_title_bonus", _search_sql(WITH_BOLD, "conv-", ["assistant", "turn"], None, 20))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(i.bold_sections(spark, sf), "the assistant turn", limit=20)
+
+
+BENCHMARK_QUERY = r"array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:6], ' ')"
+
+
+@query(
+    "search_batch",
+    rf"""{WITH_DOCUMENTS},
+qs AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_split_to_array(lower({BENCHMARK_QUERY}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+')), lambda w: length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w)) AS terms FROM benchmark),
+qt AS (SELECT DISTINCT query_id, unnest(terms) AS w FROM qs),
+pq AS (SELECT item_id AS query_id, string_agg(w, ' ' ORDER BY p) AS phrase, count(*) AS n FROM (
+  SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM (SELECT item_id, regexp_split_to_array(lower({BENCHMARK_QUERY}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+') AS l FROM benchmark))
+  WHERE length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w) GROUP BY item_id, w) GROUP BY item_id),
+st AS (SELECT count(*) AS n, avg(char_count) AS average FROM sections),
+h AS (SELECT w, s.doc_ord, s.ord, s.char_count, (length(content_lc) - length(replace(content_lc, w, ''))) / length(w)::DOUBLE AS tf FROM (SELECT DISTINCT w FROM qt) q JOIN sections s ON contains(s.content_lc, q.w)),
+df AS (SELECT w, count(*) AS df FROM h GROUP BY w),
+b AS (SELECT query_id, doc_ord, ord, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * char_count / average)))) AS score FROM qt JOIN h USING (w) JOIN df USING (w), st GROUP BY query_id, doc_ord, ord),
+ti AS (SELECT query_id, doc_ord, ord, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * 3.0) AS score FROM qt JOIN df USING (w) JOIN sections s ON contains(s.title_lc, w), st GROUP BY query_id, doc_ord, ord),
+ph AS (SELECT query_id, doc_ord, ord, 2.0 AS score FROM pq JOIN sections s ON contains(s.content_lc, phrase) WHERE pq.n > 1),
+sc AS (SELECT query_id, doc_ord, ord, sum(score) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM ti UNION ALL SELECT * FROM ph) GROUP BY query_id, doc_ord, ord),
+r AS (SELECT *, trunc(score * 100 + 1e-9)::INT AS relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY trunc(score * 100 + 1e-9) DESC, doc_ord, ord)::INT AS rank FROM sc WHERE score > 0)
+SELECT query_id, rank, 'doc-' || doc_ord AS document_id, 'section-' || (ord + 1) AS section_id, relevance_score FROM r WHERE rank <= 5""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    queries = i.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
+    return search.search_batch(i.sections(spark, sf), queries)
+
+
+# --- navigation
+
+
+@query("get_section", f"{WITH_DOCUMENTS} SELECT section_id AS id, title, content, heading_level, parent_title, char_count FROM sections WHERE section_id = 'section-3' ORDER BY doc_ord, ord LIMIT 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return navigate.get_section(i.sections(spark, sf), "section-3").select("id", "title", "content", "heading_level", "parent_title", "char_count")
+
+
+@query(
+    "section_context",
+    f"""{WITH_DOCUMENTS}, one AS (SELECT doc_ord, ord FROM sections WHERE section_id = 'section-3' ORDER BY doc_ord LIMIT 1)
+SELECT c.section_id AS id, c.content, p.section_id AS previous_id, p.content AS previous_content, n.section_id AS next_id, n.content AS next_content
+FROM one JOIN sections c USING (doc_ord, ord) LEFT JOIN sections p ON p.doc_ord = c.doc_ord AND p.ord = c.ord - 1 LEFT JOIN sections n ON n.doc_ord = c.doc_ord AND n.ord = c.ord + 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = navigate.get_section(i.sections(spark, sf), "section-3", include_context=True)
+    return found.select(
+        F.col("current.id").alias("id"), F.col("current.content").alias("content"), F.col("previous.id").alias("previous_id"),
+        F.col("previous.content").alias("previous_content"), F.col("next.id").alias("next_id"), F.col("next.content").alias("next_content"),
+    )
+
+
+@query("section_neighbours", f"{WITH_HEADINGS} SELECT 'conv-' || doc_ord AS document_id, section_id, prev_section_id AS previous_section_id, next_section_id FROM sections")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return navigate.with_neighbours(i.heading_sections(spark, sf))
+
+
+PAGED_SQL = f"paged AS (SELECT conv_id, string_agg(chr(10) || '{RULE}' || chr(10) || 'PDF PAGE ' || (turn + 1) || chr(10) || '{RULE}' || chr(10) || text || chr(10) || chr(10) || '{CLOSING}', chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+
+
+@query(
+    "get_page_source",
+    f"""WITH {PAGED_SQL}, r AS (SELECT conv_id, text[strpos(text, 'PDF PAGE 2') + 10:] AS rest FROM paged WHERE contains(text, 'PDF PAGE 2')),
+c AS (SELECT conv_id, {TRIM.format("CASE WHEN contains(rest, 'PDF PAGE 3') THEN rest[1:strpos(rest, 'PDF PAGE 3') - 1] ELSE rest END")} AS content FROM r)
+SELECT 'conv-' || conv_id AS document_id, 'Page 2' AS title, content, 2 AS page_number, 'source_document' AS source FROM c WHERE content <> ''""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = i.paged_documents(spark, sf)
+    return navigate.get_page(docs, i.sections(spark, sf), 2).select("document_id", "title", "content", "page_number", "source")
+
+
+@query("get_page_index", "SELECT 'conv-' || conv_id AS document_id, count(*) AS pages, min(turn + 1)::INT AS first_page FROM conversations WHERE turn < 2 GROUP BY conv_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    page = (F.col("turn") + 1).cast("string")
+    head = F.concat(F.lit("**page "), page, F.lit(f"**\n{RULE}\nPDF PAGE "), page, F.lit(f"\n{RULE}\n"))
+    docs = i.conversations(spark, sf, F.concat(head, "text", F.lit(f"\n{CLOSING}")))
+    sections = segment(docs, DocumentSettings(extract_by_bold=True, max_section_size=1_000_000))
+    found = navigate.pages_from_index(sections, 1).unionByName(navigate.pages_from_index(sections, 2))
+    return found.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.min("page_number").alias("first_page"))
+
+
+FILES_SQL = f"{WITH_DOCUMENTS}, f AS (SELECT doc_ord, count(*) AS n, sum(char_count) AS chars FROM sections GROUP BY doc_ord)"
+
+
+@query("list_files", f"{FILES_SQL} SELECT 'doc-' || doc_id AS file_id, 'doc-' || doc_id || '.txt' AS file, 'Generic' AS document_type, coalesce(chars, 0)::BIGINT AS total_characters FROM documents LEFT JOIN f ON doc_ord = doc_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = i.documents(spark, sf)
+    return navigate.list_files(navigate.file_table(docs, i.sections(spark, sf)))
+
+
+@query("file_counts", f"{FILES_SQL} SELECT 'doc-' || doc_id AS document_id, coalesce(n, 0)::INT AS section_count, coalesce(chars, 0)::BIGINT AS total_characters, '' AS summary FROM documents LEFT JOIN f ON doc_ord = doc_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return navigate.file_table(i.documents(spark, sf), i.sections(spark, sf)).select("document_id", "section_count", "total_characters", "summary")
+
+
+@query("index_totals", f"{WITH_DOCUMENTS} SELECT count(*) AS total_sections, sum(char_count)::BIGINT AS total_characters, ceil(sum(char_count) / 2500.0)::INT AS total_pages FROM sections")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return navigate.index_totals(i.sections(spark, sf))
+
+
+@query(
+    "heading_levels",
+    f"{WITH_HEADINGS} SELECT heading_level, count(*) AS sections, CASE heading_level WHEN 0 THEN 'Paragraphs' WHEN 1 THEN 'Top-level headings' WHEN 2 THEN 'Sub-headings' WHEN 3 THEN 'Deep headings' ELSE 'Level ' || heading_level END AS level_name FROM sections GROUP BY heading_level",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return navigate.heading_levels(i.heading_sections(spark, sf))
+
+
+@query(
+    "statistics",
+    f"{WITH_DOCUMENTS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS total_sections, sum(char_count)::BIGINT AS total_characters, (sum(char_count) // count(*))::BIGINT AS average_characters FROM sections",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    sections = i.sections(spark, sf)
+    return navigate.statistics(sections, navigate.file_table(i.documents(spark, sf), sections))
+
+
+# --- scalar functions
+
+
+@query("doc_slug", r"SELECT conv_id, turn, trim(regexp_replace(lower(role || ' (v' || turn || ').Ünd ' || text[1:30]), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM conversations")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    stem = F.concat("role", F.lit(" (v"), F.col("turn").cast("string"), F.lit(").Ünd "), F.substring("text", 1, 30))
+    return i.read(spark, sf, "conversations").select("conv_id", "turn", t.document_slug(stem).alias("slug"))
+
+
+@query(
+    "query_terms",
+    rf"""WITH s AS (SELECT item_id, regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+') AS l FROM benchmark),
+u AS (SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM s) GROUP BY item_id, w)
+SELECT item_id, coalesce(string_agg(w, ' ' ORDER BY p) FILTER (WHERE length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w)), '') AS terms FROM u GROUP BY item_id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.read(spark, sf, "benchmark").select("item_id", F.array_join(t.query_terms(F.col("text")), " ").alias("terms"))
+
+
+@query(
+    "sanitize_title",
+    rf"""WITH a AS (SELECT conv_id, turn, regexp_replace({TRIM.format(r"regexp_replace('## 1.' || turn || '. ' || text, '^#+\s*', '')")}, '^\d+(\.\d+)*\.?\s*', '') AS x FROM conversations),
+b AS (SELECT conv_id, turn, {TRIM.format("x")} AS x FROM a) SELECT conv_id, turn, CASE WHEN length(x) > 120 THEN x[1:117] || '...' ELSE x END AS title FROM b""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("## 1."), F.col("turn").cast("string"), F.lit(". "), F.col("text"))
+    return i.read(spark, sf, "conversations").select("conv_id", "turn", t.sanitize_title(raw).alias("title"))
+
+
+@query("normalize_content", f"SELECT doc_id, {i.FLAT.format(f'{DIRTY_SQL} || text')} AS text FROM documents")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.read(spark, sf, "documents").select("doc_id", t.normalize_content(F.concat(F.lit(DIRTY), "text")).alias("text"))
+
+
+@query("occurrences", "SELECT doc_id, ((length(text) - length(replace(text, 'th', ''))) // 2)::INT AS n FROM documents")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return i.read(spark, sf, "documents").select("doc_id", t.count_occurrences(F.col("text"), F.lit("th")).alias("n"))
+
+
+@query(
+    "page_selection",
+    """SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN array_to_string(range(1, 3 + turn // 2), ',') WHEN 2 THEN NULL WHEN 3 THEN '7,12,13' ELSE (turn + 1)::VARCHAR END AS pages FROM conversations""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.col("turn")
+    text = (
+        F.when(turn % 4 == 1, F.concat(F.lit(" 1-"), (F.floor(turn / 2) + 2).cast("string"), F.lit(", 2")))
+        .when(turn % 4 == 2, "5-3, 1")
+        .when(turn % 4 == 3, "12, 7,, 12-13")
+        .otherwise((turn + 1).cast("string"))
+    )
+    pages = F.array_join(t.page_selection(text).cast("array<string>"), ",")
+    return i.read(spark, sf, "conversations").select("conv_id", "turn", pages.alias("pages"))
+
+
+@query(
+    "page_status",
+    """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[pages: 1, 2, 3, 4, 5, +' || (1 + turn) || ']' WHEN 1 THEN '[pages ' || (turn + 1) || '-end]' ELSE '[pages 1-' || turn || ']' END AS status,
+CASE WHEN turn = 0 THEN '500 B' WHEN turn = 1 THEN '1.5 KB' ELSE turn || ' MB' END AS size FROM conversations""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.col("turn")
+    only = F.when(turn % 3 == 0, F.reverse(F.sequence(F.lit(1), (turn + 6).cast("int"))))
+    start = F.when(turn % 3 == 1, turn + 1).otherwise(1)
+    status = t.page_status(only, start, F.when(turn % 3 == 2, turn))
+    size = F.when(turn == 0, 500).when(turn == 1, 1536).otherwise(turn * 1024 * 1024)
+    return i.read(spark, sf, "conversations").select("conv_id", "turn", status.alias("status"), t.format_bytes(size).alias("size"))
+
+
+# --- PDF layout
+
+SPANS_SQL = """w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS "at" FROM conversations),
+spans AS (SELECT 'conv-' || conv_id AS document_id, turn::INT AS page, "at" // 50 AS block, "at" // 10 AS line, "at" AS span, text,
+  ['Sans', 'Sans-Bold', 'Sans-Italic', 'Sans-BoldItalic']["at" % 4 + 1] AS font, [10.0, 10.0, 12.0, 15.0, 18.0, 22.0]["at" % 6 + 1]::DOUBLE AS size FROM w),
+bases AS (SELECT document_id, coalesce(list_sort(list(size) FILTER (WHERE page = 0))[count(*) FILTER (WHERE page = 0) // 2 + 1], 12.0) AS base_size FROM spans GROUP BY document_id)"""
+WIDE_TRIM = i.Template(r"regexp_replace({0}, '^[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+$', '', 'g')")
+BLANK_LINES = r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')"
+MARKED_SPANS_SQL = f"""m AS (SELECT s.*, base_size, {WIDE_TRIM.format("text")} AS x FROM spans s JOIN bases USING (document_id)),
+md AS (SELECT document_id, page, block, line, span, CASE WHEN size >= base_size * 2.2 THEN '# ' || x WHEN size >= base_size * 1.8 THEN '## ' || x WHEN size >= base_size * 1.5 THEN '### ' || x
+  WHEN font = 'Sans-BoldItalic' THEN '***' || x || '***' WHEN font = 'Sans-Bold' THEN '**' || x || '**' WHEN font = 'Sans-Italic' THEN '_' || x || '_' ELSE x END AS marked FROM m WHERE x <> ''),
+ln AS (SELECT document_id, page, block, line, string_agg(marked, ' ' ORDER BY span) AS text FROM md GROUP BY document_id, page, block, line)"""
+
+
+@query("pdf_base_size", f"WITH {SPANS_SQL} SELECT document_id, base_size FROM bases")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pdf_layout.base_sizes(i.spans(spark, sf))
+
+
+@query("pdf_lines", f"WITH {SPANS_SQL}, {MARKED_SPANS_SQL} SELECT document_id, page, block::INT AS block, line::INT AS line, text FROM ln")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pdf_layout.lines(i.spans(spark, sf))
+
+
+@query(
+    "pdf_text",
+    rf"""WITH {SPANS_SQL}, {MARKED_SPANS_SQL},
+l2 AS (SELECT document_id, page, block, line, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS k FROM ln),
+l3 AS (SELECT document_id, page, block, line, k, {WIDE_TRIM.format("t")} AS t FROM l2),
+pg AS (SELECT document_id, page, string_agg(t, chr(10) ORDER BY block, line, k) AS text FROM l3 WHERE NOT regexp_full_match(t, '\d{{1,4}}') GROUP BY document_id, page),
+cl AS (SELECT s.document_id, s.page, coalesce({WIDE_TRIM.format(BLANK_LINES)}, '') AS text FROM (SELECT DISTINCT document_id, page FROM spans) s LEFT JOIN pg USING (document_id, page))
+SELECT document_id, string_agg(chr(10) || '{RULE}' || chr(10) || 'PDF PAGE ' || (page + 1) || chr(10) || '{RULE}' || chr(10) || text, chr(10) ORDER BY page) AS text FROM cl GROUP BY document_id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pdf_layout.marked_text(pdf_layout.pages(i.spans(spark, sf)))
+
+
+@query("pdf_page_counts", "SELECT 'conv-' || conv_id AS document_id, (max(turn) + 1)::INT AS pages FROM conversations GROUP BY conv_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pdf_layout.page_counts(i.spans(spark, sf))
