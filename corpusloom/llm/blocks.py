@@ -40,11 +40,11 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def segments(block: int, hashes: np.ndarray, buckets: int) -> pa.Table:
+def segments(block: int, hashes: np.ndarray, buckets: int, kind: type = np.uint64) -> pa.Table:
     which = bucket_of(hashes, buckets)
     order = np.argsort(which, kind="stable")
     edges = np.searchsorted(which[order], np.arange(buckets + 1))
-    packed = hashes[order]
+    packed = hashes[order].astype(kind)
     full = np.flatnonzero(np.diff(edges))
     return pa.table(
         {
@@ -55,10 +55,10 @@ def segments(block: int, hashes: np.ndarray, buckets: int) -> pa.Table:
     )
 
 
-def count_bucket(table: pa.Table) -> pa.Table:
+def count_bucket(table: pa.Table, kind: type = np.uint64) -> pa.Table:
     """For each segment a bit for each hash: does it occur anywhere else?"""
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]]
-    every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table["hashes"]]
+    every = np.concatenate(parts) if parts else np.zeros(0, kind)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
     same = np.zeros(len(ranked) + 1, bool)
@@ -93,21 +93,26 @@ def with_repeats(
     finish: Callable[[pa.Table, np.ndarray], Iterator[pa.Table] | pa.Table],
     schema: str,
     total_hashes: int,
+    narrow: bool = False,
 ) -> DataFrame:
     """``finish(rows of a block, flag for each of hashes_of(rows))`` for every block.
 
+    With ``narrow``, 32 bits of each hash are compared inside its bucket: about one in 3000 hashes that occur once is
+    flagged too. That is for hashes that only propose candidates, at half the bytes.
+
     ``hashes_of`` runs twice, in the counting pass and again beside its answers; that costs less than keeping 8 bytes
     for each hash between the passes. The exchange that deals the blocks is the same subplan twice and runs once.
     """
     buckets = max(1, math.ceil(total_hashes / BUCKET_HASHES))
+    kind = np.uint32 if narrow else np.uint64
 
     def send(table: pa.Table) -> pa.Table:
-        return segments(table["block"][0].as_py(), hashes_of(in_order(table)), buckets)
+        return segments(table["block"][0].as_py(), hashes_of(in_order(table)), buckets, kind)
 
     def answer(rows: pa.Table, bits: pa.Table) -> pa.Table:
         rows = in_order(rows)
         return finish(rows, repeated(bits, hashes_of(rows), buckets))
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, hashes binary")
-    bits = sent.groupBy("bucket").applyInArrow(count_bucket, "block int, bucket int, bits binary")
+    bits = sent.groupBy("bucket").applyInArrow(lambda table: count_bucket(table, kind), "block int, bucket int, bits binary")
     return blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(answer, schema)

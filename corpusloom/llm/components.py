@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import stash
 
+#: Nodes up to which their labels (some tens of bytes each) are broadcast; beyond, joins shuffle both sides.
+BROADCAST_NODES = 500_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the smallest node of its component.
@@ -19,17 +22,18 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     labels = stash(first.select("node", F.least("node", "root").alias("root")), "labels")
+    side = F.broadcast if labels.count() <= BROADCAST_NODES else lambda df: df
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), "root"), "b")
+            both.join(side(labels.select(F.col("node").alias("b"), "root")), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("root").alias("near"))
         )
-        lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        lower = near.join(side(labels), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = side(labels.select(F.col("node").alias("root"), F.col("root").alias("next")))
         new = lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root"))
         new = stash(new, "labels")
         changed = new.where("root <> old").limit(1).count()
         labels = new.select("node", "root")
         if not changed:
-            return labels
+            return side(labels)

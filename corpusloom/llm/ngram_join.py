@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,12 @@ from corpusloom.session import prepare, stash
 U = np.uint64
 #: Bits of a set's signature, as 64-bit numbers.
 SIGNATURE_LONGS = 16
+#: Pairs below which all are checked at once, and rounds of checking one pair for each two components before that.
+FEW_PAIRS, MOST_ROUNDS = 20_000, 2
+#: Smallest keys of a set that travel with it, to tell in which shared part a pair is looked at.
+SKETCH = 16
+#: Elements that a part needs at most before it is a key.
+MOST_LEAST = 8
 #: Members of one side of a tile; a part that more sets share is cut into tiles of pairs of such sides.
 TILE = 1024
 
@@ -36,7 +43,7 @@ def _edges() -> np.ndarray:
     return np.array(out, np.int64)
 
 
-#: Lower ends of the size bands; a factor 1.5 apart, so that partners are in the same band or the next.
+#: Lower ends of the size bands, a factor 1.5 apart: partners are in the same band or one of the next.
 BANDS = _edges()
 
 
@@ -62,20 +69,25 @@ def shingle_sets(texts: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray
 def part_keys(tokens: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashed (band, part, content) keys of all sets, and the set that each belongs to.
 
-    A set is in its own band, and in the next where it is large enough for a partner there. With d the most elements
+    A set is in its own band, and in the next ones where it is large enough for a partner there. With d the most elements
     that partners in a band can differ in, there are over d parts, so partners agree on one. Parts with few elements
-    say little; a set leaves them out where over d larger ones remain, because then it agrees on one of those.
+    say little. A set of size n differs from a partner in n * (1-t)/t elements at most; it keeps only parts of m
+    elements or more, with the largest m (up to MOST_LEAST) that leaves more parts than that, so it agrees with any
+    partner on one of them. Of two partners the one with the smaller m has kept all parts of the other's m or more.
     """
     n = np.diff(at)
     doc = np.flatnonzero(n)
     band = np.searchsorted(BANDS, n[doc], "right") - 1
-    also = 100 * n[doc] >= percent * BANDS[band + 1]
-    doc, band = np.concatenate([doc, doc[also]]), np.concatenate([band, band[also] + 1])
     if not len(doc):
         return np.zeros(0, U), np.zeros(0, np.int64)
+    docs, bands, step = [doc], [band], 0
+    while (also := 100 * n[doc] >= percent * BANDS[band + (step := step + 1)]).any():
+        docs.append(doc[also])
+        bands.append(band[also] + step)
+    doc, band = np.concatenate(docs), np.concatenate(bands)
     most = BANDS[band + 1] - 1
     differ = 2 * most * (100 - percent) // (100 + percent)
-    parts = differ + 1 + np.where(differ > 0, np.maximum(3, -(-(differ + 1) // 10)), 0)
+    parts = differ + 1 + np.where(differ > 0, np.maximum(3, -(-(differ + 1) // 4)), 0)
     size = n[doc]
     begin = np.cumsum(size) - size
     element = tokens[np.repeat(at[doc] - begin, size) + np.arange(size.sum())]
@@ -89,10 +101,11 @@ def part_keys(tokens: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndar
     owner = np.repeat(np.arange(len(doc)), parts)
     label = (band[owner].astype(U) << U(40)) + (np.arange(total) - base[owner]).astype(U)
     keys = words.mix(words.mix(label + U(1)) ^ content) + count.astype(U)
-    least = 2 if percent >= 90 else 1
-    large = count >= least
-    enough = np.add.reduceat(large.astype(np.int64), base) > differ
-    emit = large | ~enough[owner]
+    own = np.minimum(differ, size * (100 - percent) // percent)
+    least = np.zeros(len(doc), np.int64)
+    for m in range(1, MOST_LEAST + 1):
+        least[np.add.reduceat((count >= m).astype(np.int64), base) > own] = m
+    emit = count >= least[owner]
     return keys[emit], doc[owner[emit]]
 
 
@@ -113,7 +126,7 @@ def _describe(table: pa.Table, shared: np.ndarray, k: int, percent: int) -> pa.T
     keys, owner = keys[shared].view(np.int64), owner[shared]
     order = np.argsort(owner, kind="stable")
     keys, edges = keys[order], np.searchsorted(owner[order], np.arange(len(at)))
-    digests, lists, packed, bits = [], [], [], []
+    digests, lists, bits = [], [], []
     for d in range(len(at) - 1):
         own = tokens[at[d] : at[d + 1]]
         digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
@@ -121,7 +134,6 @@ def _describe(table: pa.Table, shared: np.ndarray, k: int, percent: int) -> pa.T
             lists.append(np.unique(keys[edges[d] : edges[d + 1]]))
         else:
             lists.append(None)
-        packed.append(own.tobytes() if candidate else None)
         bits.append(signature(own) if candidate else None)
     return pa.table(
         {
@@ -129,7 +141,7 @@ def _describe(table: pa.Table, shared: np.ndarray, k: int, percent: int) -> pa.T
             "n_shingles": pa.array(np.diff(at)),
             "digest": pa.array(digests, pa.binary()),
             "keys": pa.array(lists, pa.list_(pa.int64())),
-            "tokens": pa.array(packed, pa.binary()),
+            "text": pc.if_else(pa.array([x is not None for x in bits]), table["text"], pa.scalar(None, pa.string())),
             "bits": pa.array(bits, pa.list_(pa.int64())),
         }
     )
@@ -140,36 +152,85 @@ def overlap_is_enough(overlap: Column, sizes: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * sizes
 
 
-def _intersect(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose exact overlap suffices."""
+def _intersect(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Keep pairs whose exact overlap suffices; the sets are made from the texts again, which are half their size."""
     for batch in batches:
+        (x, x_at), (y, y_at) = shingle_sets(batch["text_a"], k), shingle_sets(batch["text_b"], k)
         keep = []
-        for x, y in zip(batch["tokens_a"], batch["tokens_b"]):
-            a, b = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            at = np.searchsorted(b, a)
-            common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            keep.append((100 + percent) * common >= percent * (len(a) + len(b)))
+        for i in range(batch.num_rows):
+            a, b = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            keep.append((100 + percent) * int((b[at] == a).sum()) >= percent * (len(a) + len(b)))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bit counts bound the overlap from above, the rest is intersected exactly."""
+def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, differing) of the pairs whose bit counts allow a link: they bound the overlap from above."""
     for side in ("a", "b"):
         own = nodes.select(F.col("digest").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
         pairs = pairs.join(own, side)
     differing = F.aggregate(
         F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
     )
+    pairs = pairs.withColumn("differing", differing)
     sizes = F.col("n_a") + F.col("n_b")
-    bound = F.floor((sizes - differing) / 2)
-    close = pairs.where(overlap_is_enough(bound, sizes, percent)).select("a", "b")
+    bound = F.floor((sizes - F.col("differing")) / 2)
+    return pairs.where(overlap_is_enough(bound, sizes, percent)).select("a", "b", "differing")
+
+
+def verify(pairs: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of their sorted arrays.
+
+    Only texts of these pairs are moved; ids of up to BROADCAST_IDS documents are broadcast to select them.
+    """
+    pairs = stash(pairs.select("a", "b"), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    texts = candidates.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("digest").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs.mapInArrow(partial(_intersect, k=k, percent=percent), "a binary, b binary")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with these."""
     for side in ("a", "b"):
-        close = close.join(sets.select(F.col("digest").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
-    return close.mapInArrow(partial(_intersect, percent=percent), "a binary, b binary")
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b")
+
+
+def together(
+    pairs: DataFrame, edges: DataFrame, roots: DataFrame, candidates: DataFrame, k: int, percent: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, components and the pairs that still need a check, after rounds of one check for each two components.
+
+    A round checks the closest pair between any two components; pairs that its links bring together need no check.
+    Rounds end when few pairs are left, or after MOST_ROUNDS; what is left is not dropped but checked by the caller.
+    """
+    left = stash(apart(pairs.select("a", "b", "differing"), roots).select("a", "b", "differing", "root_a", "root_b"), "open")
+    for _ in range(MOST_ROUNDS):
+        if left.count() <= FEW_PAIRS:
+            break
+        picked = left.groupBy(F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")).agg(
+            F.min_by(F.struct("a", "b"), F.struct("differing", "a", "b")).alias("p")
+        )
+        picked = stash(picked.select("p.a", "p.b"), "picked")
+        found = stash(verify(picked, candidates, k, percent), "edges")
+        edges = edges.unionByName(found)
+        roots = components(edges)
+        rest = left.select("a", "b", "differing").join(picked, ["a", "b"], "left_anti")
+        left = stash(apart(rest, roots).select("a", "b", "differing", "root_a", "root_b"), "open")
+    return edges, roots, left.select("a", "b", "differing")
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each tile whose bit counts allow a link; rows come sorted by tile."""
+    """Pairs of different components in each tile whose bit counts allow a link; rows come sorted by tile.
+
+    A pair shares many parts. It is left to the smallest one: a tile passes over it where the two sets' smallest keys
+    show a smaller part that they share.
+    """
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -191,19 +252,26 @@ def _pairs_of(table: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.Re
         bits = np.array(part["bits"].to_pylist(), np.int64).view(U)
         n = part["n"].to_numpy()
         root = np.unique(np.array(part["root"].to_pylist(), object), return_inverse=True)[1]
+        sketches = part["sketch"].to_pylist()
+        key = part["key"][0].as_py()
+        smaller = [frozenset(x for x in s if x < key) for s in sketches]
         digest = part["digest"].to_pylist()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        out_a, out_b = [], []
+        out_a, out_b, out_n = [], [], []
         for x in left.tolist():
             y = right[right > x] if i == j else right
             y = y[root[y] != root[x]]
             differing = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
             sizes = n[y] + n[x]
-            for z in y[(100 + percent) * ((sizes - differing) // 2) >= percent * sizes].tolist():
+            fits = (100 + percent) * ((sizes - differing) // 2) >= percent * sizes
+            for z, n_z in zip(y[fits].tolist(), differing[fits].tolist()):
+                if not smaller[x].isdisjoint(smaller[z]):
+                    continue  # the pair meets in its smallest shared part
                 out_a.append(min(digest[x], digest[z]))
                 out_b.append(max(digest[x], digest[z]))
+                out_n.append(n_z)
         if out_a:
-            yield pa.record_batch({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+            yield pa.record_batch({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary()), "differing": pa.array(out_n, pa.int32())})
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -221,7 +289,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = blocks.text_bytes(docs)
-    schema = "doc_id long, n_shingles long, digest binary, keys array<long>, tokens binary, bits array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, keys array<long>, text string, bits array<long>"
     share = 1.6 * 2 * (100 - percent) / (100 + percent) * 1.15
     found = blocks.with_repeats(
         blocks.deal(docs, total),
@@ -229,6 +297,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         partial(_describe, k=k, percent=percent),
         schema,
         int(total / 6 * share) + 1,
+        narrow=True,
     )
     found = stash(found, "sets")
     candidates = found.where("keys IS NOT NULL")
@@ -236,21 +305,24 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")
     )
     nodes = stash(nodes, "nodes")
-    sets = candidates.groupBy("digest").agg(F.first("tokens").alias("tokens"))
     member = nodes.select("digest", F.explode("keys").alias("key"))
 
-    # first the smallest and the largest member of each part against all its others
+    # the smallest and the largest member of each part against all its others: first each one's closest, then the
+    # closest pair of any two components, so that what links is soon together and the rest need not be compared
     ends = member.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
     shared = member.join(ends, "key")
-    stars = [
-        shared.where(F.col("digest") != F.col(end)).select(F.least("digest", end).alias("a"), F.greatest("digest", end).alias("b"))
-        for end in ("low", "high")
-    ]
-    star_edges = stash(verify(stars[0].unionByName(stars[1]).distinct(), nodes, sets, percent), "star_edges")
-    roots = components(star_edges)
+    stars = [shared.where(F.col("digest") != F.col(end)).select(F.col("digest").alias("a"), F.col(end).alias("b")) for end in ("low", "high")]
+    stars = stash(close(stars[0].unionByName(stars[1]).distinct(), nodes, percent), "stars")
+    closest = stars.groupBy("a").agg(F.min_by("b", F.struct("differing", "b")).alias("b"))
+    edges = stash(verify(closest, candidates, k, percent), "edges")
+    roots = components(edges)
+    done = closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "differing").distinct()
+    edges, roots, open_ = together(open_.join(done, ["a", "b"], "left_anti"), edges, roots, candidates, k, percent)
 
     # then what is still in different components; of parts with the same members one is enough
-    placed = member.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    place = roots.withColumnRenamed("node", "digest")
+    placed = member.join(place, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     mixed = (
         placed.groupBy("key")
         .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(digest))").alias("x"), F.expr("sum(cast(crc32(digest) as long))").alias("y"))
@@ -261,28 +333,32 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     sides = (
         placed.join(mixed, "key")
-        .join(nodes.select("digest", "n", "bits"), "digest")
+        .join(nodes.select("digest", "n", "bits", F.slice("keys", 1, SKETCH).alias("sketch")), "digest")
         .withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
-        .select("key", "i", "j", "chunk", "digest", "root", "n", "bits")
+        .select("key", "i", "j", "chunk", "digest", "root", "n", "bits", "sketch")
     )
     tiled = sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
-    rest = tiled.mapInArrow(partial(_tile_pairs, percent=percent), "a binary, b binary").distinct()
-    rest_edges = stash(verify(rest, nodes, sets, percent), "rest_edges")
-    if rest_edges.limit(1).count():
-        roots = components(star_edges.unionByName(rest_edges))
+    tiles = tiled.mapInArrow(partial(_tile_pairs, percent=percent), "a binary, b binary, differing int")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = open_.unionByName(tiles.distinct().join(tested, ["a", "b"], "left_anti"))
+    edges, roots, open_ = together(rest, edges, roots, candidates, k, percent)
+    more = stash(verify(open_, candidates, k, percent), "edges")
+    if more.limit(1).count():
+        roots = components(edges.unionByName(more))
 
     light = found.select("doc_id", "n_shingles", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     light = light.withColumn("root", F.coalesce("root", "digest"))
     smallest = light.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return light.join(smallest, "root", "left").select(
+    # a table of its own, so that rows of a large component are dealt to several tasks of the join
+    return light.join(stash(smallest, "smallest"), "root", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-#: Dropped ids up to which ``near_duplicates`` broadcasts them (8 MB); beyond, a shuffle join drops them.
+#: Ids up to which a join may broadcast them (some tens of MB at most); beyond, it shuffles both sides.
 BROADCAST_IDS = 1_000_000
 
 
