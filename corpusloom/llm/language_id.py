@@ -83,7 +83,7 @@ def build(counts: list[tuple[str, int, int]]) -> Model:
                 own = -np.log2(table / (occurrences + different))
             shorter = np.where(table > 0, own, escape + below)
             bits[i, base[k] : base[k] + len(contexts[k])] = shorter
-    return Model(languages, symbol, n, node, bits.reshape(len(languages), -1))
+    return Model(languages, symbol, n, node, bits.reshape(len(languages), total * n))
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
