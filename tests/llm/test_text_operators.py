@@ -1,0 +1,355 @@
+"""Row-wise text operators against brute force, round trips and held-out accuracy."""
+
+from __future__ import annotations
+
+import gzip
+import hashlib
+import io
+import math
+import random
+import re
+import struct
+import wave
+import zlib
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from corpusloom.llm import html_extract, knn_join, language_id, media, pieces, secret_scan, token_counts
+
+ODD = [None, "", " ", "\n\n", "日本語 😀", "a" * 5000, "no letters? 1234 %%%"]
+
+
+def frame(spark, texts, **more):
+    return spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, spans string")
+
+
+# --- SentencePiece
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return pieces.Encoder(pieces.default_model())
+
+
+def slow_best(coder, text):
+    """Best score of any path, by dynamic programming over all substrings."""
+    best = [0.0] + [-math.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - 20), end):
+            word = text[start:end]
+            score = coder.automaton.get(word)[1] if word in coder.automaton else coder.unknown if end - start == 1 else -math.inf
+            best[end] = max(best[end], best[start] + score)
+    return best[-1]
+
+
+def test_viterbi_is_the_best_path(coder):
+    rng = random.Random(5)
+    for _ in range(300):
+        text = pieces.SPACE + "".join(rng.choice("theainordl▁éß日😀.") for _ in range(rng.randint(0, 14)))
+        ids = coder.viterbi(text)
+        assert b"".join(coder.surface[i] for i in ids).decode() == text.replace(pieces.SPACE, " ")
+        score, k = 0.0, 0
+        while k < len(ids):  # bytes of one unknown character count once
+            piece = coder.surface[ids[k]]
+            if ids[k] in coder.byte_ids.values():
+                k += len(bytes(piece)) and next(n for n in (1, 2, 3, 4) if _decodes(coder, ids[k : k + n]))
+                score += coder.unknown
+            else:
+                score += coder.automaton.get(piece.decode().replace(" ", pieces.SPACE))[1]
+                k += 1
+        assert score == slow_best(coder, text)
+
+
+def _decodes(coder, ids):
+    try:
+        return len(b"".join(coder.surface[i] for i in ids).decode()) == 1
+    except UnicodeDecodeError:
+        return False
+
+
+def test_round_trip(spark, coder):
+    texts = [*ODD, "two  spaces", " lead", "trail ", "a b c"]
+    back = pieces.decode(pieces.encode(frame(spark, texts))).orderBy("doc_id").collect()
+    assert [r["decoded"] for r in back] == texts
+    assert [r["n_tokens"] for r in back] == [len(r["ids"] or []) for r in back] and back[0]["ids"] is None
+    words = coder.viterbi(pieces.SPACE + "a" + pieces.SPACE + "b")
+    assert np.frombuffer(coder.encode("a b"), np.int32).tolist() == words
+
+
+# --- token counts
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(spark, rule):
+    texts = [*ODD, "one\ntwo  \n\n\nthree 日本\n語", "\nx\n"]
+    found = token_counts.token_counts(frame(spark, texts), rule).collect()
+    coder, _ = token_counts.encoding(*token_counts.default_vocabulary())
+    for k, text in enumerate(texts):
+        own = sorted((r for r in found if r["doc_id"] == k), key=lambda r: r["section"])
+        text = text or ""
+        lines = text.splitlines(keepends=True) if "\x0b" not in text else None
+        assert [text[r["start_char"] : r["end_char"]] for r in own] == (lines or [""])
+        at, expected = 0, [0] * len(own)
+        raw = text.encode()
+        owner = [next(s for s, r in enumerate(own) if r["start_char"] <= c < r["end_char"]) for c in range(len(text))]
+        chars = [len(raw[:j].decode(errors="ignore")) for j in range(len(raw) + 1)]
+        for token in coder.encode_ordinary(text):
+            size = len(coder.decode_single_token_bytes(token))
+            touched = sorted({owner[min(len(text) - 1, len(raw[: j + 1].decode(errors="replace")) - 1)] for j in range(at, at + size)})
+            inside = [owner[c] for c in range(chars[at], max(chars[at] + 1, chars[at + size]))]
+            best = {"first": touched[0], "last": touched[-1], "most": max(dict.fromkeys(inside), key=inside.count)}[rule]
+            expected[best] += 1
+            at += size
+        assert [r["n_tokens"] for r in own] == expected
+
+
+def test_crossing_tokens_go_by_rule():
+    begin, end, starts = np.array([0, 2, 5]), np.array([2, 5, 9]), np.array([0, 3, 6, 7])
+    assert token_counts.attribute(begin, end, starts, "first")[0].tolist() == [0, 0, 1]
+    assert token_counts.attribute(begin, end, starts, "last")[0].tolist() == [0, 1, 3]
+    assert token_counts.attribute(begin, end, starts, "most")[0].tolist() == [0, 1, 3]
+
+
+# --- language ID
+
+
+def slow_bits(counts, text):
+    data, total = b"\n\n\n" + text.encode(), 0.0
+    for p in range(3, len(data)):
+        for k in (3, 2, 1, 0):
+            context = data[p - k : p]
+            own = {}
+            for gram, n in counts.items():
+                if gram[3 - k : 3] == context:
+                    own[gram[3]] = own.get(gram[3], 0) + n
+            if not own:
+                continue
+            n, d = sum(own.values()), len(own)
+            if data[p] in own:
+                total -= math.log2(own[data[p]] / (n + d))
+                break
+            total -= math.log2(d / (n + d))
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_against_loop():
+    samples = {"aa": ["abc abd", "abcé"], "bb": ["xyz xyy", "xyzzy abc"]}
+    rows, slow = [], {}
+    for lang, texts in samples.items():
+        grams = {}
+        for t in texts:
+            data = b"\n\n\n" + t.encode()
+            for p in range(3, len(data)):
+                grams[data[p - 3 : p + 1]] = grams.get(data[p - 3 : p + 1], 0) + 1
+        slow[lang] = grams
+        rows += [(lang, int.from_bytes(g, "big"), n) for g, n in grams.items()]
+    model = language_id.build(rows)
+    for text in ("abc", "xyz abd q", "日é", "a", "zzzz abc\nx"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = language_id.code_lengths(model, data, np.array([0, len(data)]))[0]
+        assert np.allclose(got, [slow_bits(slow[x], text) for x in model.languages], rtol=1e-5)
+        long_ = np.frombuffer((text * 50).encode(), np.uint8)
+        whole = language_id.code_lengths(model, long_, np.array([0, len(long_)]))[0]
+        cut = language_id._sums(model, long_[7:], np.zeros(1, int), np.array([3, len(long_) - 7]))[0]
+        head = language_id._sums(model, long_[:10], np.zeros(1, int), np.array([0, 10]))[0]
+        assert np.allclose(whole, cut + head, rtol=1e-5)
+
+
+def test_identify(spark):
+    rng = random.Random(1)
+    make = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    vocab = {"aa": ["the", "and", "thing", "with"], "bb": ["les", "çon", "été", "que"]}
+    rows = [(k, make(vocab[lang]), lang, "s") for k in range(200) for lang in [("aa", "bb")[k % 2]]]
+    rows += [(1000, None, "aa", "s"), (1001, "123 !", "aa", "s"), (1002, "", None, "s"), (None, "the and", "aa", "s"), (1003, make(vocab["bb"]), None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = language_id.learn(docs)
+    found = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    held = [r for r in rows if r[0] is not None and r[0] < 1000 and zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert len(held) > 20 and all(found[r[0]]["lang_pred"] == r[2] for r in held)
+    assert [found[k]["lang_pred"] for k in (1000, 1001, 1002, None, 1003)] == ["und", "und", "und", "aa", "bb"]
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    assert [r["lang_pred"] for r in language_id.identify(docs.limit(1), language_id.build([])).collect()] == ["und"]
+
+
+# --- secrets
+
+
+SLOW = [
+    (re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 0),
+    (re.compile("AKIA[A-Z0-9]+"), 1),
+    (re.compile("[0-9a-f]+"), 2),
+]
+
+
+def slow_spans(text):
+    out = []
+    for pattern, kind in SLOW:
+        for m in pattern.finditer(text):
+            if len(m[1] if kind == 0 else m[0]) >= (12, 18, 16)[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_base_spans():
+    rng = random.Random(3)
+    bits = ["password", "Token", "secret:", "api_key = ", "apikey", "=", ": ", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", " ", "\n", "x", "K", "abc-def_ghi+jkl", "ſecret=abcdefghijklmnop"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    found = secret_scan.scan_column(pa.array(texts), None)
+    assert [base for base, _ in found] == [slow_spans(t) for t in texts]
+
+
+def test_viterbi_between_sure_tokens_is_viterbi(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        moves = rng.normal(size=(3, 3))
+        moves[secret_scan.OUTSIDE, secret_scan.INSIDE] = secret_scan.FORBIDDEN
+        scores = rng.normal(size=(n, 3)) * 4
+        scores[:, secret_scan.OUTSIDE] += rng.choice([0, 12], n)
+        model = secret_scan.Crf([], moves)
+        monkeypatch.setattr(secret_scan.Crf, "scores", lambda self, f: scores)  # noqa: B023
+        tokens = secret_scan.Tokens(np.arange(n), np.arange(n) + 1, np.array([0, n]), [])
+        best = max(product(range(3), repeat=n), key=lambda y: scores[range(n), y].sum() + sum(moves[a, b] for a, b in zip((2, *y), (*y, 2))))
+        expected, begin = [], None
+        for t, y in enumerate([*best, 2]):
+            if begin is not None and y != 1:
+                expected.append((begin, t))
+                begin = None
+            if y == 0:
+                begin = t
+        assert secret_scan.decode(model, tokens) == expected
+
+
+def test_crf_adds_spans_and_keeps_base(spark):
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    words = "the and with from thing that this of in a".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    rows = [f"{text()} password={hexes(20)} {text()}" if k % 2 else f"{text()} AKIA{hexes(16).upper()} {text()}" for k in range(120)]
+    rows += [text() for _ in range(60)]
+    docs = frame(spark, [*rows, *ODD])
+    model = secret_scan.learn(docs)
+    new = "token ABCD12EF34GH56IJ78KL and " + text()
+    found = secret_scan.scan_column(pa.array([new, text(), *rows]), model)
+    assert [(new[a:b], k) for a, k, b in found[0][1]] == [("ABCD12EF34GH56IJ78KL", 3)]
+    assert found[1] == ([], [])
+    assert all(base == slow_spans(t) for (base, _), t in zip(found[2:], rows))
+    clean = secret_scan.secret_scan(docs, model, "[S]").orderBy("doc_id").collect()
+    assert all(not slow_spans(r["text"] or "") for r in clean) and [r["text"] for r in clean][-len(ODD) :] == [x if x != "a" * 5000 else "[S]" for x in ODD]
+    assert secret_scan.learn(docs.limit(0)) is None
+    assert secret_scan.redact("abcdef", [(1, 0, 3), (2, 2, 4)], "*") == "a*ef"
+
+
+# --- media
+
+
+def png():
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+GIF = b"GIF89a\1\0\1\0\x80\0\0" + b"\0" * 6 + b"\x2c\0\0\0\0\1\0\1\0\0\2\2\x44\1\0\x3b"
+JPEG = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\1\0\0\1\0\1\0\0\xff\xc0\0\x0b\x08\0\1\0\1\1\1\x11\0\xff\xda\0\x08\1\1\0\0\x3f\0ab\xff\0c\xff\xd9"
+BMP = b"BM" + struct.pack("<IIIIiiHHIIIIII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0" * 4
+OGG = b"OggS\0\4" + b"\0" * 20 + b"\1\3abc"
+PDF = b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"
+WEBP = b"RIFF" + struct.pack("<I", 16) + b"WEBPVP8 " + struct.pack("<I", 4) + b"abcd"
+
+
+def test_sniffing_and_carving(spark):
+    good = {"image/png": png(), "image/gif": GIF, "image/jpeg": JPEG, "image/bmp": BMP, "audio/ogg": OGG, "application/pdf": PDF, "image/webp": WEBP, "audio/wav": media.to_wav(b"abcd"), "application/gzip": gzip.compress(b"x" * 99)}
+    signatures = media.automaton()
+    for kind, value in good.items():
+        assert media.true_type(value, media.sniff(value, signatures)) == kind
+        padded = b"RIFF junk BM \x89PNG" + value + b"tail"
+        assert (kind, 17, 17 + len(value)) in media.sniff(padded, signatures) or kind == "application/pdf"
+        assert kind not in [k for k, a, b in media.sniff(value[:-1], signatures) if (a, b) == (0, len(value) - 1)]
+    rows = [(1, good["image/png"], "image/jpeg", 5), (2, b"x" + GIF + BMP, "image/gif", 5), (3, None, None, 5), (4, b"", media.UNKNOWN, 5)]
+    found = media.sniff_media(spark.createDataFrame(rows, "id long, content binary, declared string, carved int")).orderBy("id").collect()
+    assert [(r["detected"], r["corrected"]) for r in found] == [("image/png", True), (media.UNKNOWN, True), (media.UNKNOWN, True), (media.UNKNOWN, False)]
+    assert [(c["type"], bytes(c["data"])) for c in found[1]["carved"]] == [("image/gif", GIF), ("image/bmp", BMP)]
+
+
+def test_text_media(spark):
+    texts = [*ODD, "x" * 192, "BM GIF89a text", "x" * 192]
+    found = media.text_media(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, text in zip(found, texts):
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        stored = media.to_wav(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        with wave.open(io.BytesIO(stored)) as w:
+            assert (w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())) == (1, 1, payload)
+    assert found[-1]["feature"] == found[-3]["feature"]
+
+
+# --- HTML
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
+<div id="cookie-notice"><p>We use cookies, please, accept them, all of them, right now, thanks.</p></div>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">Home page, news, sport</a></ul></nav>
+<div class="content"><article><h2>Head &amp; line</h2><p>First paragraph, with commas, and enough text to be counted as one.<p>Second&nbsp;one
+ is   long enough too, and it has <b>bold <i>text</b></i>, and a <a href="x">link</a>.<br>After a break.
+<form><p>Your name, and mail, please, so that we can send you this letter.</p></form></article></div>
+<aside class="sidebar"><p>Related, things, to read, in this sidebar, that is quite long.</p></aside>
+<div class="comments"><p>Reader says, that this, was great, and wonderful, truly so great.</p></div>
+<footer>&copy; someone</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_extract.main_text(PAGE) == "Head & line\nFirst paragraph, with commas, and enough text to be counted as one.\nSecond one is long enough too, and it has bold text, and a link.\nAfter a break."
+    assert [html_extract.main_text(x) for x in (None, "", "plain", "<p>short", "<div>a<div>b", "a < b &lt; c")] == ["", "", "plain", "short", "a\nb", "a < b < c"]
+    deep = "<div>" * 3000 + "<p>text in a very deep tree, that is long enough, to be scored" + "</div>" * 3000
+    assert html_extract.main_text(deep).startswith("text in a very deep tree")
+
+
+def test_extract(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 3), (None, "v", "x", 3)], "page_id long, url string, html string, n_chars int")
+    found = html_extract.extract(pages).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in found) and len(found) == 3
+
+
+# --- top-k
+
+
+def slow_top(rows, asked, k):
+    out = []
+    good = {}
+    for i, v in rows:
+        if i is not None and v is not None and len(v) == 2 and all(x is not None and math.isfinite(x) for x in v):
+            good.setdefault(i, []).append([math.floor(64 * x) for x in v])
+    for q in sorted(asked):
+        if q in good:
+            found = sorted((-sum(a * b for a, b in zip(good[q][0], v)), i) for i, vs in good.items() if i != q for v in vs)
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(found[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("limits", [(2048, 4096), (3, 5)])
+def test_top_k(spark, monkeypatch, limits):
+    monkeypatch.setattr(knn_join, "GROUP_QUERIES", limits[0])
+    monkeypatch.setattr(knn_join, "CHUNK_LEAST", limits[1])
+    monkeypatch.setattr(knn_join, "CHUNK_MOST", limits[1])
+    monkeypatch.setattr(knn_join, "PIVOTS", 4)
+    rng = random.Random(7)
+    rows = [(k, [rng.gauss(k % 3 * 5, 1), rng.gauss(0, 1)]) for k in range(200)] + [(k, [1.0, 1.0]) for k in range(200, 260)]
+    rows += [(300, None), (320, [1.0, None]), (340, [float("nan"), 1.0]), (360, [1.0]), (None, [1.0, 1.0]), (380, [float("inf"), 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    found = knn_join.top_k(df, df.where("vec_id % 20 = 0"), 7).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in found] == slow_top(rows, [i for i, _ in rows if i is not None and i % 20 == 0], 7)
+    assert knn_join.top_k(df.limit(0), df).count() == 0
+    few = df.where("vec_id < 3")
+    assert knn_join.top_k(few, few, 20).count() == 6
+
+
+@pytest.mark.parametrize("f", [pieces.encode, token_counts.token_counts, media.text_media, lambda d: language_id.identify(d, language_id.build([])), lambda d: secret_scan.secret_scan(d, None)])
+def test_empty_tables(spark, f):
+    assert f(frame(spark, ["x"]).limit(0)).count() == 0
