@@ -182,17 +182,17 @@ TEXT = "There is the nation and a thing"
 
 @query("search_all", _search_sql(WITH_DOCUMENTS, "doc-", t.terms_of(TEXT), None, 20))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(i.sections(spark, sf), TEXT, limit=99)
+    return search.search(i.stored_sections(spark, sf), TEXT, limit=99)
 
 
 @query("search_scoped", _search_sql(WITH_DOCUMENTS, "doc-", t.terms_of(TEXT), "doc-9", 5))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(i.sections(spark, sf), TEXT, "doc-9")
+    return search.search(i.stored_sections(spark, sf), TEXT, "doc-9")
 
 
 @query("search_phrase", _search_sql(WITH_DOCUMENTS, "doc-", ["that", "from"], None, 20))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(i.sections(spark, sf), "That, FROM", limit=20)
+    return search.search(i.stored_sections(spark, sf), "That, FROM", limit=20)
 
 
 @query("search_title_bonus", _search_sql(WITH_BOLD, "conv-", ["assistant", "turn"], None, 20))
@@ -224,7 +224,7 @@ SELECT query_id, rank, 'doc-' || doc_ord AS document_id, 'section-' || (ord + 1)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     queries = i.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
-    return search.search_batch(i.sections(spark, sf), queries)
+    return search.search_batch(i.stored_sections(spark, sf), queries)
 
 
 # --- navigation

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.segment import segment
+from corpusloom.session import stash
 from corpusloom.sources.settings import DocumentSettings
 
 RULE = "=" * 80
@@ -31,6 +32,11 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment(documents(spark, sf_dir))
 
 
+def stored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections as a stored index, which search reads several times."""
+    return stash(sections(spark, sf_dir), "sections")
+
+
 def conversations(spark: SparkSession, sf_dir: str, turn: Column) -> DataFrame:
     """One document for each conversation: its turns in order, each as ``turn`` says."""
     stem = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"))
