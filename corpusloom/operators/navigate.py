@@ -127,12 +127,14 @@ def heading_levels(sections: DataFrame) -> DataFrame:
     return sections.groupBy("heading_level").agg(F.count(F.lit(1)).alias("sections")).withColumn("level_name", name).orderBy("heading_level")
 
 
-def statistics(sections: DataFrame, files: DataFrame) -> DataFrame:
-    """Documents, sections, characters and whole characters a section, in one row."""
-    documents = files.agg(F.count(F.lit(1)).alias("documents"))
-    totals = index_totals(sections).select("total_sections", "total_characters")
+def statistics(files: DataFrame) -> DataFrame:
+    """Documents, sections, characters and whole characters a section, in one row, from the file table."""
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    totals = files.agg(
+        F.count(F.lit(1)).alias("documents"), whole("section_count").alias("total_sections"), whole("total_characters").alias("total_characters")
+    )
     mean = F.when(F.col("total_sections") > 0, F.floor(F.col("total_characters") / F.col("total_sections"))).otherwise(0)
-    return documents.crossJoin(F.broadcast(totals)).withColumn("average_characters", mean.cast("long"))  # one row each
+    return totals.withColumn("average_characters", mean.cast("long"))
 
 
 def document_status(texts: DataFrame, raw: DataFrame) -> DataFrame:

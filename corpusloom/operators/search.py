@@ -35,10 +35,6 @@ def _total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
 
-def _idf(n: Column, hits: Column) -> Column:
-    return F.when(hits > 0, F.log((n - hits + 0.5) / (hits + 0.5) + 1.0)).otherwise(0.0)
-
-
 def _saturated(tf: Column, size: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + F.lit(B) * size / average))
 
@@ -47,9 +43,9 @@ def search(sections: DataFrame, query: str, document_id: str | None = None, limi
     """The best sections for a query, in one document or in all, by relevance and then by place.
 
     Document frequencies always count the whole corpus; the average length is that of the scope. Each section is
-    scored on its own text (section ids are unique in a document only). One aggregate gives a row of statistics, which
-    is broadcast into a single scan; the top rows come without a full sort. Sections without a hit are left out; a
-    query without terms finds nothing. Neighbours are those in the scope, so without a document they cross its border.
+    scored on its own text (section ids are unique in a document only). One aggregate brings the statistics, a number a
+    term, to the driver; they are literals of a single scan, and the top rows come without a full sort. Sections
+    without a hit are left out; a query without terms finds nothing. Neighbours are those in the scope, so without a document they cross its border.
     """
     terms = t.terms_of(query)
     spark = sections.sparkSession
@@ -57,14 +53,13 @@ def search(sections: DataFrame, query: str, document_id: str | None = None, limi
         return spark.createDataFrame([], f"{', '.join(f'{c} {k}' for c, k in _kinds().items())}").select(RESULT)
     lc, title = F.col("content_lc"), F.col("title_lc")
     scoped = F.lit(True) if not document_id else F.col("document_id") == document_id
-    counts = [F.sum(lc.contains(w).cast("long")).alias(f"df{i}") for i, w in enumerate(terms)]
+    counts = [F.sum(lc.contains(w).cast("long")) for w in terms]
     size = F.length("content")
-    stats = sections.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(scoped, size)).alias("average"), *counts)
-    stats = stats.select("average", *[_idf(F.col("n"), F.col(f"df{i}")).alias(f"idf{i}") for i in range(len(terms))])
-    rows = sections.where(scoped).crossJoin(F.broadcast(stats))  # statistics are one row
-    idf = [F.col(f"idf{i}") for i in range(len(terms))]
+    n, average, *hits = sections.agg(F.count(F.lit(1)), F.avg(F.when(scoped, size)), *counts).first()  # a number a term
+    idf = [F.lit(math.log((n - h + 0.5) / (h + 0.5) + 1.0) if h else 0.0) for h in hits]
+    rows, mean = sections.where(scoped), F.lit(average or 1.0)
     body = [
-        F.when(lc.contains(w), i * _saturated(t.count_occurrences(lc, F.lit(w)), size, F.col("average"))).otherwise(0.0)
+        F.when(lc.contains(w), i * _saturated(t.count_occurrences(lc, F.lit(w)), size, mean)).otherwise(0.0)
         for w, i in zip(terms, idf)
     ]
     titles = [F.when(title.contains(w), i * TITLE_BONUS).otherwise(0.0) for w, i in zip(terms, idf)]

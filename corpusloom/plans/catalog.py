@@ -310,8 +310,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"{WITH_DOCUMENTS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS total_sections, sum(char_count)::BIGINT AS total_characters, (sum(char_count) // count(*))::BIGINT AS average_characters FROM sections",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sections = i.sections(spark, sf)
-    return navigate.statistics(sections, navigate.file_table(i.documents(spark, sf), sections))
+    return navigate.statistics(navigate.file_table(i.documents(spark, sf), i.sections(spark, sf)))
 
 
 # --- scalar functions

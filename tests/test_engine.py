@@ -81,7 +81,7 @@ def test_navigation(docs, sections):
     assert context["previous"] is None and context["next"]["id"] == "section-2"
     files_ = navigate.file_table(docs, sections)
     assert navigate.list_files(files_).count() == 3
-    stats = navigate.statistics(sections, files_).first()
+    stats = navigate.statistics(files_).first()
     assert stats["documents"] == 3 and stats["total_characters"] == sections.agg(F.sum("char_count")).first()[0]
 
 
