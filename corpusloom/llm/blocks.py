@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text of one block, and hashes of one bucket, that a Python worker holds at a time.
 BLOCK_BYTES, BUCKET_HASHES = 8 << 20, 1_500_000
+#: Hash ranges up to which blocks send to them directly, and the factor between coarse and fine ranges beyond.
+FAN = 1024
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -55,8 +57,8 @@ def segments(block: int, hashes: np.ndarray, buckets: int, kind: type = np.uint6
     )
 
 
-def count_bucket(table: pa.Table, kind: type = np.uint64) -> pa.Table:
-    """For each segment a bit for each hash: does it occur anywhere else?"""
+def count_bucket(table: pa.Table, kind: type, keys: tuple[str, ...]) -> pa.Table:
+    """For each segment, named by ``keys``, a bit for each hash: does it occur anywhere else?"""
     parts = [np.frombuffer(x.as_buffer(), kind) for x in table["hashes"]]
     every = np.concatenate(parts) if parts else np.zeros(0, kind)
     order = np.argsort(every, kind="stable")
@@ -66,15 +68,67 @@ def count_bucket(table: pa.Table, kind: type = np.uint64) -> pa.Table:
     twice = np.empty(len(every), bool)
     twice[order] = same[:-1] | same[1:]
     at = np.cumsum([0, *map(len, parts)])
-    return pa.table(
-        {
-            "block": table["block"],
-            "bucket": table["bucket"],
-            "bits": pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary()),
-        }
+    bits = pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary())
+    return pa.table({**{k: table[k] for k in keys}, "bits": bits})
+
+
+def fine_order(table: pa.Table, kind: type) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of one share of a bucket by block, all their hashes, and the order that sorts these by fine bucket."""
+    table = table.sort_by("block")
+    every = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table["hashes"]])
+    fine = (every.astype(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(FAN) >> np.uint64(32)
+    return table, every, fine, np.argsort(fine, kind="stable")
+
+
+def spread(table: pa.Table, kind: type) -> pa.Table:
+    """One share of a bucket cut into its fine buckets."""
+    table, every, fine, order = fine_order(table, kind)
+    edges = np.searchsorted(fine[order], np.arange(FAN + 1))
+    full, packed = np.flatnonzero(np.diff(edges)), every[order]
+    fill = lambda name: pa.array(np.full(len(full), table[name][0].as_py(), np.int32))
+    cut = pa.array([packed[edges[f] : edges[f + 1]].tobytes() for f in full], pa.binary())
+    return pa.table({"bucket": fill("bucket"), "fine": pa.array(full.astype(np.int32)), "share": fill("share"), "hashes": cut})
+
+
+def gather(table: pa.Table, bits: pa.Table, kind: type) -> pa.Table:
+    """Undo ``spread``: bits for each segment of the share."""
+    table, every, fine, order = fine_order(table, kind)
+    sizes = np.bincount(fine.astype(np.int64), minlength=FAN)
+    have = dict(zip(bits["fine"].to_pylist(), bits["bits"]))
+    flags = [np.unpackbits(np.frombuffer(have[f].as_buffer(), np.uint8), count=sizes[f]) for f in np.flatnonzero(sizes)]
+    twice = np.empty(len(every), bool)
+    twice[order] = np.concatenate(flags).astype(bool)
+    width = np.dtype(kind).itemsize
+    at = np.cumsum([0, *(len(x.as_buffer()) // width for x in table["hashes"])])
+    packed = pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary())
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": packed})
+
+
+def answers(sent: DataFrame, buckets: int, kind: type) -> DataFrame:
+    """(block, bucket, bits) for each segment (bucket, block, hashes), whose ranges are ``coarse(buckets)``.
+
+    Up to FAN ranges are counted as they are. With more, a block's segments would come down to single hashes, so ranges
+    are FAN times as wide; the segments of a range meet in FAN shares of the blocks, which deal them on, packed again,
+    to the range's FAN fine buckets. A task then holds about as many hashes as it does without that step.
+    """
+    if buckets <= FAN:
+        keys = ("block", "bucket")
+        return sent.groupBy("bucket").applyInArrow(lambda t: count_bucket(t, kind, keys), "block int, bucket int, bits binary")
+    sent = sent.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(FAN)).cast("int"))
+    fine = sent.groupBy("bucket", "share").applyInArrow(lambda t: spread(t, kind), "bucket int, fine int, share int, hashes binary")
+    keys = ("bucket", "share", "fine")
+    counted = fine.groupBy("bucket", "fine").applyInArrow(
+        lambda t: count_bucket(t, kind, keys), "bucket int, share int, fine int, bits binary"
+    )
+    return sent.groupBy("bucket", "share").cogroup(counted.groupBy("bucket", "share")).applyInArrow(
+        lambda t, b: gather(t, b, kind), "block int, bucket int, bits binary"
     )
 
 
+def coarse(buckets: int) -> int:
+    return buckets if buckets <= FAN else math.ceil(buckets / FAN)
+
+
 def repeated(bits: pa.Table, hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Undo ``segments``: a flag for each of the block's hashes, in its own order."""
     which = bucket_of(hashes, buckets)
@@ -103,7 +157,8 @@ def with_repeats(
     ``hashes_of`` runs twice, in the counting pass and again beside its answers; that costs less than keeping 8 bytes
     for each hash between the passes. The exchange that deals the blocks is the same subplan twice and runs once.
     """
-    buckets = max(1, math.ceil(total_hashes / BUCKET_HASHES))
+    wanted = max(1, math.ceil(total_hashes / BUCKET_HASHES))
+    buckets = coarse(wanted)
     kind = np.uint32 if narrow else np.uint64
 
     def send(table: pa.Table) -> pa.Table:
@@ -114,5 +169,5 @@ def with_repeats(
         return finish(rows, repeated(bits, hashes_of(rows), buckets))
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, hashes binary")
-    bits = sent.groupBy("bucket").applyInArrow(lambda table: count_bucket(table, kind), "block int, bucket int, bits binary")
+    bits = answers(sent, wanted, kind)
     return blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(answer, schema)

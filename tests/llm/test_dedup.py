@@ -45,10 +45,11 @@ def slow_substrings(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("seed", "window"), [(1, 5), (2, 35)])
-def test_substring_dedup(spark, monkeypatch, seed, window):
+@pytest.mark.parametrize(("seed", "window", "fan"), [(1, 5, 1024), (2, 35, 1024), (3, 5, 4)])
+def test_substring_dedup(spark, monkeypatch, seed, window, fan):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(blocks, "BUCKET_HASHES", 100)
+    monkeypatch.setattr(blocks, "FAN", fan)  # with 4, hashes go through coarse and fine ranges
     rows = corpus(seed)
     found = substring_dedup.substring_dedup(frame(spark, rows), window)
     got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in found.collect()]
@@ -79,6 +80,8 @@ def slow_join(rows, k, percent):
 @pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 90), (2, 5, 80), (3, 2, 60)])
 def test_ngram_join(spark, monkeypatch, seed, k, percent):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(blocks, "BUCKET_HASHES", 100 if percent == 80 else 1_000_000)
+    monkeypatch.setattr(blocks, "FAN", 3 if percent == 80 else 1024)
     monkeypatch.setattr(ngram_join, "FEW_PAIRS", 2)
     monkeypatch.setattr(ngram_join, "TILE", 4)
     rows = corpus(seed)
