@@ -113,7 +113,7 @@ def document_settings(text: str | None) -> DocumentSettings:
 
 
 class SettingsFolder:
-    """A folder with ``global/rag-config.json``, ``global/preprocessing.json`` and ``individual/<stem>.json``.
+    """A folder with ``global/engine.json``, ``global/preprocessing.json`` and ``individual/<stem>.json``.
 
     The engine's settings are read once and kept until ``forget``; what is missing or broken there is rewritten with
     defaults. A document's own settings replace the global ones as a whole.
@@ -135,7 +135,7 @@ class SettingsFolder:
 
     def engine(self) -> EngineSettings:
         if self._engine is None:
-            path = self.root / "global" / "rag-config.json"
+            path = self.root / "global" / "engine.json"
             self._engine = self._read(path, EngineSettings)
             if self._engine is None:
                 self._engine = EngineSettings()
@@ -143,7 +143,7 @@ class SettingsFolder:
         return self._engine
 
     def save_engine(self, settings: EngineSettings) -> None:
-        self._write(self.root / "global" / "rag-config.json", settings)
+        self._write(self.root / "global" / "engine.json", settings)
         self._engine = settings
 
     def forget(self) -> None:

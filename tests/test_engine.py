@@ -145,7 +145,7 @@ def test_index_store(spark, docs, tmp_path):
 
 def test_settings_folder(tmp_path):
     folder = SettingsFolder(tmp_path)
-    assert folder.engine() == EngineSettings() and (tmp_path / "global" / "rag-config.json").exists()
+    assert folder.engine() == EngineSettings() and (tmp_path / "global" / "engine.json").exists()
     folder.save_engine(EngineSettings(enable_unified_pipeline=False))
     folder.forget()
     assert not folder.engine().enable_unified_pipeline
