@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text of one block, and hashes of one bucket, that a Python worker holds at a time.
-BLOCK_BYTES, BUCKET_HASHES = 8 << 20, 1_500_000
+BLOCK_BYTES, BUCKET_HASHES = 4 << 20, 1_500_000
 #: Hash ranges up to which blocks send to them directly, and the factor between coarse and fine ranges beyond.
 FAN = 1024
 

@@ -17,7 +17,7 @@ from corpusloom.session import extended, prepare
 
 SPACE = "▁"
 #: Words kept with their pieces by one Python worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 40
+CACHE_WORDS, CACHE_LENGTH = 150_000, 40
 #: What a character without a piece scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 

@@ -22,7 +22,7 @@ BYTE_VALUE = _random.integers(0, 2**64, 256, dtype=U)
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 #: Bytes hashed at a time: bounds the 8-byte-per-byte arrays, also for a single huge document.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
