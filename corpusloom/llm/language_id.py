@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm import words
 from corpusloom.session import extended, prepare
@@ -17,7 +16,7 @@ from corpusloom.session import extended, prepare
 #: Bytes of context; every text is read as if newlines stood before it.
 ORDER = 3
 PAD = 10
-#: Labelled documents that one language's tree is learned from, at most: those with the smallest id hashes.
+#: Labelled documents that one language's tree is learned from: the expected number, taken by the hashes of their ids.
 SAMPLE_ROWS = 400
 UNDETERMINED = "und"
 
@@ -117,11 +116,18 @@ def _sums(model: Model, data: np.ndarray, begin: np.ndarray, offsets: np.ndarray
 
 
 def learned_rows(docs: DataFrame, sample_rows: int) -> DataFrame:
-    """The labelled rows to learn from: (lang, text), ``sample_rows`` a language at most, by the hash of the id."""
+    """The labelled rows to learn from: (lang, text), about ``sample_rows`` a language, chosen by the hash of the id.
+
+    A language's rows are counted first; a row is taken where its hash, as a number in [0, 1), is below
+    ``sample_rows`` over that count. So no task gathers a language's rows, however common it is.
+    """
     allowed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ids = allowed.select("lang", "doc_id", "text").withColumn("rank", F.row_number().over(order))
-    return ids.where(F.col("rank") <= sample_rows).select("lang", "text")
+    counts = allowed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    if not counts:
+        return allowed.select("lang", "text").limit(0)
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_rows / r["n"])))])
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    return allowed.where(chance < F.try_element_at(shares, F.col("lang"))).select("lang", "text")
 
 
 def fold(doc_id: Column) -> Column:
