@@ -26,7 +26,7 @@ from corpusloom.session import prepare, stash
 U = np.uint64
 #: Bits of a set's signature, as 64-bit numbers.
 SIGNATURE_LONGS = 16
-#: Pairs below which all are checked at once, and rounds of checking one pair for each two components before that.
+#: Pairs below which all are checked at once, and rounds of checking one pair for each two components before tiles.
 FEW_PAIRS, MOST_ROUNDS = 20_000, 2
 #: Smallest keys of a set that travel with it, to tell in which shared part a pair is looked at.
 SKETCH = 16
@@ -201,16 +201,25 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
+def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b, differing) that are not among the tested (a, b), in one aggregate of both."""
+    both = pairs.select("a", "b", "differing", F.lit(False).alias("old")).unionByName(
+        tested.select("a", "b", F.lit(None).cast("int").alias("differing"), F.lit(True).alias("old"))
+    )
+    return both.groupBy("a", "b").agg(F.min("differing").alias("differing"), F.max("old").alias("old")).where("NOT old").drop("old")
+
+
 def together(
-    pairs: DataFrame, edges: DataFrame, roots: DataFrame, candidates: DataFrame, k: int, percent: int
+    pairs: DataFrame, edges: DataFrame, roots: DataFrame, candidates: DataFrame, k: int, percent: int, rounds: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges, components and the pairs that still need a check, after rounds of one check for each two components.
 
     A round checks the closest pair between any two components; pairs that its links bring together need no check.
-    Rounds end when few pairs are left, or after MOST_ROUNDS; what is left is not dropped but checked by the caller.
+    Rounds end when few pairs are left, when one finds no link, or at ``rounds``; what is left is not dropped but
+    checked by the caller.
     """
-    left = stash(apart(pairs.select("a", "b", "differing"), roots).select("a", "b", "differing", "root_a", "root_b"), "open")
-    for _ in range(MOST_ROUNDS):
+    left = stash(apart(pairs.select("a", "b", "differing"), roots), "open")
+    for _ in range(rounds):
         if left.count() <= FEW_PAIRS:
             break
         picked = left.groupBy(F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")).agg(
@@ -218,10 +227,13 @@ def together(
         )
         picked = stash(picked.select("p.a", "p.b"), "picked")
         found = stash(verify(picked, candidates, k, percent), "edges")
+        rest = untested(left, picked)
+        if not found.limit(1).count():
+            left = rest
+            break
         edges = edges.unionByName(found)
         roots = components(edges)
-        rest = left.select("a", "b", "differing").join(picked, ["a", "b"], "left_anti")
-        left = stash(apart(rest, roots).select("a", "b", "differing", "root_a", "root_b"), "open")
+        left = stash(apart(rest, roots), "open")
     return edges, roots, left.select("a", "b", "differing")
 
 
@@ -317,8 +329,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     edges = stash(verify(closest, candidates, k, percent), "edges")
     roots = components(edges)
     done = closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_ = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "differing").distinct()
-    edges, roots, open_ = together(open_.join(done, ["a", "b"], "left_anti"), edges, roots, candidates, k, percent)
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "differing")
+    edges, roots, open_ = together(untested(tested, done), edges, roots, candidates, k, percent, MOST_ROUNDS)
 
     # then what is still in different components; of parts with the same members one is enough
     place = roots.withColumnRenamed("node", "digest")
@@ -342,9 +354,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     tiled = sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
     tiles = tiled.mapInArrow(partial(_tile_pairs, percent=percent), "a binary, b binary, differing int")
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = open_.unionByName(tiles.distinct().join(tested, ["a", "b"], "left_anti"))
-    edges, roots, open_ = together(rest, edges, roots, candidates, k, percent)
+    rest = open_.unionByName(untested(tiles, tested))
+    edges, roots, open_ = together(rest, edges, roots, candidates, k, percent, 1)
     more = stash(verify(open_, candidates, k, percent), "edges")
     if more.limit(1).count():
         roots = components(edges.unionByName(more))
