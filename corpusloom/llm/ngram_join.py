@@ -202,11 +202,11 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b, differing) that are not among the tested (a, b), in one aggregate of both."""
-    both = pairs.select("a", "b", "differing", F.lit(False).alias("old")).unionByName(
-        tested.select("a", "b", F.lit(None).cast("int").alias("differing"), F.lit(True).alias("old"))
-    )
-    return both.groupBy("a", "b").agg(F.min("differing").alias("differing"), F.max("old").alias("old")).where("NOT old").drop("old")
+    """The distinct pairs (a, b and what depends on these) that are not among the tested, in one aggregate of both."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    both = pairs.withColumn("old", F.lit(False)).unionByName(tested.select("a", "b", F.lit(True).alias("old")), allowMissingColumns=True)
+    found = both.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in more], F.max("old").alias("old"))
+    return found.where("NOT old").drop("old")
 
 
 def together(
@@ -214,11 +214,13 @@ def together(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges, components and the pairs that still need a check, after rounds of one check for each two components.
 
+    ``pairs`` has a, b, differing and the components root_a and root_b that these are in.
+
     A round checks the closest pair between any two components; pairs that its links bring together need no check.
     Rounds end when few pairs are left, when one finds no link, or at ``rounds``; what is left is not dropped but
     checked by the caller.
     """
-    left = stash(apart(pairs.select("a", "b", "differing"), roots), "open")
+    left = stash(pairs.select("a", "b", "differing", "root_a", "root_b"), "open")
     for _ in range(rounds):
         if left.count() <= FEW_PAIRS:
             break
@@ -227,7 +229,7 @@ def together(
         )
         picked = stash(picked.select("p.a", "p.b"), "picked")
         found = stash(verify(picked, candidates, k, percent), "edges")
-        rest = untested(left, picked)
+        rest = untested(left.select("a", "b", "differing"), picked)
         if not found.limit(1).count():
             left = rest
             break
@@ -263,13 +265,14 @@ def _pairs_of(table: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.Re
         i, j, chunk = part["i"][0].as_py(), part["j"][0].as_py(), part["chunk"].to_numpy()
         bits = np.array(part["bits"].to_pylist(), np.int64).view(U)
         n = part["n"].to_numpy()
-        root = np.unique(np.array(part["root"].to_pylist(), object), return_inverse=True)[1]
+        roots = part["root"].to_pylist()
+        root = np.unique(np.array(roots, object), return_inverse=True)[1]
         sketches = part["sketch"].to_pylist()
         key = part["key"][0].as_py()
         smaller = [frozenset(x for x in s if x < key) for s in sketches]
         digest = part["digest"].to_pylist()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        out_a, out_b, out_n = [], [], []
+        out = []
         for x in left.tolist():
             y = right[right > x] if i == j else right
             y = y[root[y] != root[x]]
@@ -279,11 +282,12 @@ def _pairs_of(table: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.Re
             for z, n_z in zip(y[fits].tolist(), differing[fits].tolist()):
                 if not smaller[x].isdisjoint(smaller[z]):
                     continue  # the pair meets in its smallest shared part
-                out_a.append(min(digest[x], digest[z]))
-                out_b.append(max(digest[x], digest[z]))
-                out_n.append(n_z)
-        if out_a:
-            yield pa.record_batch({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary()), "differing": pa.array(out_n, pa.int32())})
+                p, q = (x, z) if digest[x] < digest[z] else (z, x)
+                out.append((digest[p], digest[q], n_z, roots[p], roots[q]))
+        if out:
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]
+            yield pa.record_batch(columns, names=["a", "b", "differing", "root_a", "root_b"])
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -330,7 +334,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     roots = components(edges)
     done = closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "differing")
-    edges, roots, open_ = together(untested(tested, done), edges, roots, candidates, k, percent, MOST_ROUNDS)
+    edges, roots, open_ = together(apart(untested(tested, done), roots), edges, roots, candidates, k, percent, MOST_ROUNDS)
 
     # then what is still in different components; of parts with the same members one is enough
     place = roots.withColumnRenamed("node", "digest")
@@ -353,8 +357,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .select("key", "i", "j", "chunk", "digest", "root", "n", "bits", "sketch")
     )
     tiled = sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
-    tiles = tiled.mapInArrow(partial(_tile_pairs, percent=percent), "a binary, b binary, differing int")
-    rest = open_.unionByName(untested(tiles, tested))
+    tiles = tiled.mapInArrow(partial(_tile_pairs, percent=percent), "a binary, b binary, differing int, root_a binary, root_b binary")
+    rest = apart(open_, roots).unionByName(untested(tiles, tested))
     edges, roots, open_ = together(rest, edges, roots, candidates, k, percent, 1)
     more = stash(verify(open_, candidates, k, percent), "edges")
     if more.limit(1).count():
