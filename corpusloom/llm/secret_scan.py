@@ -18,6 +18,10 @@ from corpusloom.session import extended, prepare
 #: Base patterns over UTF-8 bytes, in the order in which kinds are listed.
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
+#: An assigned value as a training example: it goes on to a blank, quote, comma, semicolon, bracket or next URL parameter.
+VALUE = re.compile(rb"""(?:(?!&[A-Za-z0-9_.-]+=)[^\s"'`,;<>(){}\[\]])+""")
+#: Padding of base64 after a token.
+PADDING = re.compile(rb"={1,2}(?![A-Za-z0-9+/_.=\x80-\xff-])")
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN_LEAST, HEX_LEAST = 12, 16
 
@@ -45,10 +49,12 @@ HIGH = np.arange(256) >= 128
 SYMBOL = _table("+/_.-")
 BREAK = ~(LOWERCASE | UPPERCASE | DIGIT | HIGH | SYMBOL)
 ASSIGNS, QUOTE = _table("=:"), _table("\"'")
+#: Bytes that end a value of several tokens.
+APART = _table("\t\n\v\f\r \"'`,;<>(){}[]")
 CLASS = (LOWERCASE * 1 + UPPERCASE * 2 + DIGIT * 3 + HIGH * 1 + SYMBOL * 4).astype(np.uint8)
 
 #: Sizes of the token features, in the order in which ``features`` gives them.
-SIZES = (8, 10, 5, 6, 2, 2, 2, 2, 2, 3, 3, 10)
+SIZES = (8, 10, 5, 6, 2, 2, 2, 2, 2, 3, 3, 10, 2)
 
 
 def _keyword(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -75,8 +81,8 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     """Tokens (runs of letters, digits, ``+/_.-`` and non-ASCII bytes) with their feature numbers.
 
     Shape: length, composition, share of digits, changes between letter and digit classes. Neighbours: a keyword as the
-    token before or two before, an assignment sign or quote before, the composition of the next token. File: how
-    common digits and assignment signs are in the document.
+    token before or two before, an assignment sign or quote before, the composition of the next token, no blank, quote
+    or bracket since the token before. File: how common digits and assignment signs are in the document.
     """
     starts, ends, first = words.split(data, offsets, BREAK)
     if not len(starts):
@@ -115,6 +121,8 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     left = np.concatenate([[0], ends[:-1]])
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     left = np.maximum(left, offsets[:-1][owner])
+    parted = np.concatenate([[0], np.cumsum(APART[data])])
+    joined = (parted[starts] == parted[left]) & ~head
     following = np.append(composition[1:], 9)
     following[np.append(head[1:], True)] = 9
     total = np.maximum(np.diff(offsets), 1)
@@ -137,6 +145,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         file_digits,
         file_assigns,
         following,
+        joined.astype(np.int64),
     ]
     return Tokens(starts, ends, first, found)
 
@@ -226,6 +235,30 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, in
     return [sorted(x) for x in out]
 
 
+def examples(data: np.ndarray, offsets: np.ndarray, spans: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int]]]:
+    """For each document the values of its base spans that the CRF learns from, as disjoint byte ranges [start, end) of
+    ``data``. Plain numbers are no examples of secrets, nor are values without a token."""
+    raw = memoryview(data)
+    out: list[list[tuple[int, int]]] = [[] for _ in spans]
+    for d, own in enumerate(spans):
+        found = []
+        for a, kind, b in own:
+            low, high = int(offsets[d]) + a, int(offsets[d]) + b
+            if kind == 2 and bytes(raw[low:high]).isdigit():
+                continue
+            if kind == 0:
+                low = ASSIGN.match(raw, low, high).start(1)
+                high = max(high, VALUE.match(raw, low, int(offsets[d + 1])).end())
+            if not BREAK[data[low:high]].all():
+                found.append((low, high))
+        for low, high in sorted(found):
+            if out[d] and low < out[d][-1][1]:
+                out[d][-1] = out[d][-1][0], max(high, out[d][-1][1])
+            else:
+                out[d].append((low, high))
+    return out
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training windows of the sampled documents: feature numbers and labels of up to WINDOW tokens around base spans,
     or at a place given by the text's length where there are none."""
@@ -237,13 +270,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, spans = tokens_of(part, at), base_spans(part, at)
             label = np.full(len(tokens.starts), OUTSIDE)
             centres: list[list[int]] = [[] for _ in spans]
-            for d, own in enumerate(spans):
-                for a, kind, b in own:
-                    if kind == 2 and bytes(part[at[d] + a : at[d] + b]).isdigit():
-                        continue  # plain numbers are no examples of secrets
-                    end = int(at[d] + b)
-                    t = int(np.searchsorted(tokens.ends, end, "left"))  # the last token of the span is its value
-                    if t < len(label) and tokens.starts[t] < end:
+            for d, own in enumerate(examples(part, at, spans)):
+                for low, high in own:  # the value's tokens, from its start to its end
+                    t = int(np.searchsorted(tokens.ends, low, "right"))
+                    if label[t] != OUTSIDE:  # a token that the value before reaches into
+                        t += 1
+                    label[t : np.searchsorted(tokens.starts, high, "left")] = INSIDE
+                    if t < len(label) and label[t] == INSIDE:
                         label[t] = BEGIN
                         centres[d].append(t)
             for d in range(j - i):
@@ -253,6 +286,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c in (centres[d] or [low + (int(at[d + 1] - at[d]) * 7919) % (high - low)])[:WINDOWS_EACH]:
                     a = max(low, min(c - WINDOW // 2, high - WINDOW))
                     b = min(high, a + WINDOW)
+                    while label[a] == INSIDE:  # a window starts with no value's rest
+                        a += 1
                     flat = np.stack([f[a:b] for f in tokens.features], 1).ravel().tolist()
                     rows.append((int(bool(centres[d])), flat, label[a:b].tolist()))
         yield pa.record_batch(
@@ -328,6 +363,25 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -
     return fit([*hits[:400], *others[: max(200, len(hits[:400]))]], steps)
 
 
+def beside(
+    data: np.ndarray, offsets: np.ndarray, d: int, tokens: Tokens, a: int, b: int, base: list[tuple[int, int, int]]
+) -> list[tuple[int, int]]:
+    """What base spans leave of the tagged tokens [a, b) of document d, with padding: byte ranges in the document that
+    overlap no base span and hold a whole token, so that the rest of a value goes where a base span has its start."""
+    left, end = int(offsets[d]), int(tokens.ends[b - 1])
+    if m := PADDING.match(memoryview(data), end, int(offsets[d + 1])):
+        end = m.end()
+    at, pieces = int(tokens.starts[a]) - left, []
+    for x, _, y in [*base, (end - left, 0, end - left)]:
+        if y <= at and x < end - left:
+            continue
+        if min(x, end - left) > at:
+            pieces.append((at, min(x, end - left)))
+        at = max(at, y)
+    inner = [(int(tokens.starts[t]) - left, int(tokens.ends[t]) - left) for t in range(a, b)] if pieces else []
+    return [(x, y) for x, y in pieces if any(x <= p and q <= y for p, q in inner)]
+
+
 def scan_column(texts: pa.Array, model: Crf | None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and its added ones, as (start, kind, end) in code points."""
     data, offsets = words.buffer(texts)
@@ -340,9 +394,7 @@ def scan_column(texts: pa.Array, model: Crf | None) -> list[tuple[list[tuple[int
             tokens = tokens_of(part, at)
             for a, b in decode(model, tokens):
                 d = int(np.searchsorted(tokens.first, a, "right")) - 1
-                low, high = int(tokens.starts[a] - at[d]), int(tokens.ends[b - 1] - at[d])
-                if all(high <= x or low >= y for x, _, y in base[d]):
-                    added[d].append((low, 3, high))
+                added[d] += [(low, 3, high) for low, high in beside(part, at, d, tokens, a, b, base[d])]
         for d in range(j - i):
             if not (base[d] or added[d]):
                 out.append(([], []))
@@ -359,7 +411,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def secret_scan(docs: DataFrame, model: Crf | None, replacement: str | None = None) -> DataFrame:
     """``docs`` with spans: every secret as (kind, start, end) in code points, end exclusive, by start and kind.
 
-    Kinds assign, access and hex are the base patterns; crf are spans that the CRF adds where no base span overlaps.
+    Kinds assign, access and hex are the base patterns; crf are spans that the CRF adds, of one or several tokens,
+    less what base spans cover of them.
     With ``replacement``, each secret of ``text`` (overlapping ones together) is replaced by it. Defined cases: a null
     text has no spans and stays null; repeated rows are scanned alike; an input column named spans is replaced; an
     empty table gives an empty result.

@@ -245,6 +245,30 @@ def test_crf_adds_spans_and_keeps_base(spark):
     assert secret_scan.redact("abcdef", [(1, 0, 3), (2, 2, 4)], "*") == "a*ef"
 
 
+def test_secrets_of_several_tokens(spark):
+    rng = random.Random(6)
+    part = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n - 2)) + "7Q"
+    words = "the and with from thing that this of in a".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    rows = [f"{text()} password={part(16)}{rng.choice('=:@&!')}{part(14)}{rng.choice('=:@!')}{part(14)} {text()}" for _ in range(150)]
+    rows += [f"{text()} secret: {part(30)}{'=' * rng.randint(1, 2)} {text()}" for _ in range(60)] + [text() for _ in range(100)]
+    docs = frame(spark, rows)
+    model = secret_scan.learn(docs)
+    lone = [f"{part(16)}{sign}{part(14)}@{part(14)}" for sign in "=:@&!"] + [part(30) + "=="]
+    new = [f"{text()} key {s} {text()}" for s in lone]
+    found = secret_scan.scan_column(pa.array(new), model)
+    assert [[t[a:b] for a, _, b in own] for t, (_, own) in zip(new, found)] == [[s] for s in lone]
+    redacted = secret_scan.secret_scan(frame(spark, [*new, *rows[:150]]), model, "[S]").orderBy("doc_id").collect()
+    assert not any(re.search("[A-Z2-9]{4}", r["text"]) for r in redacted)
+
+
+def test_labels_of_values():
+    texts = ['x token="QUJDREVGR0hJSktM==" y', "secret=abcdefghijkl=mno:p q", "api_key=abcdefghijklmn&user=bob c", "token: ============ z"]
+    (batch,) = secret_scan._windows(iter([pa.record_batch({"text": pa.array(texts)})]))
+    assert batch["hit"].to_pylist() == [1, 1, 1, 0]
+    assert batch["labels"].to_pylist() == [[2, 2, 0, 2], [2, 0, 1, 1, 2], [2, 0, 2, 2, 2], [2, 2]]
+
+
 # --- media
 
 
