@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import words
-from corpusloom.session import extended, prepare
+from corpusloom.session import extended, prepare, stash
 
 #: Base patterns over UTF-8 bytes, in the order in which kinds are listed.
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -25,8 +25,8 @@ PADDING = re.compile(rb"={1,2}(?![A-Za-z0-9+/_.=\x80-\xff-])")
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN_LEAST, HEX_LEAST = 12, 16
 
-#: Documents the CRF learns from (expected number, taken by the hash of id and text), tokens of a training window,
-#: windows of one document at most, and steps of the optimiser.
+#: Distinct windows the CRF learns from at most (half of them with examples, half without, each taken by hash), tokens of
+#: a training window, windows of one document at most, and steps of the optimiser.
 SAMPLE_ROWS, WINDOW, WINDOWS_EACH, STEPS = 3000, 40, 4, 80
 
 #: Words near which a value is often a secret.
@@ -259,11 +259,24 @@ def examples(data: np.ndarray, offsets: np.ndarray, spans: list[list[tuple[int,
     return out
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a text holds examples, and its key; texts without a token are left out."""
+    for batch in batches:
+        data, offsets = words.buffer(batch["text"])
+        hits, kept = [], []
+        for i, j in words.spans_of_documents(offsets):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            hits += [bool(own) for own in examples(part, at, base_spans(part, at))]
+            kept.append(np.diff(np.concatenate([[0], np.cumsum(~BREAK[part])])[at]) > 0)
+        keep = pa.array(np.concatenate([np.zeros(0, bool), *kept]))
+        yield pa.record_batch({"hit": pa.array(hits, pa.bool_()).filter(keep), "key": batch["key"].filter(keep)})
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training windows of the sampled documents: feature numbers and labels of up to WINDOW tokens around base spans,
     or at a place given by the text's length where there are none."""
     for batch in batches:
-        data, offsets = words.buffer(batch["text"])
+        data, offsets = words.buffer(batch["text"].unique())
         rows: list[tuple[int, list[int], list[int]]] = []
         for i, j in words.spans_of_documents(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -300,7 +313,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(windows: list[tuple[list[int], list[int]]], steps: int = STEPS) -> Crf:
-    """Maximum likelihood with an L2 penalty, by Adam; sums over all label paths by forward and backward passes."""
+    """Maximum likelihood with an L2 penalty, by Adam; sums over all label paths by scaled forward and backward passes."""
     n, width = len(windows), len(SIZES)
     base = np.cumsum([0, *SIZES])
     x = np.zeros((n, WINDOW, width), np.int64)
@@ -318,28 +331,34 @@ def fit(windows: list[tuple[list[int], list[int]]], steps: int = STEPS) -> Crf:
     target_m = np.zeros((3, 3))
     both = real[:, 1:]
     np.add.at(target_m, (y[:, :-1][both], y[:, 1:][both]), 1)
+    kinds, kind = np.unique(x[real], axis=0, return_inverse=True)  # prose repeats the same feature numbers
+    kind = kind.ravel()
     moments = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(moves), np.zeros_like(moves)]
     for step in range(1, steps + 1):
-        score = weight[x].sum(2)
-        score[:, 0, INSIDE] = FORBIDDEN
-        score[~real] = [FORBIDDEN, FORBIDDEN, 0.0]
-        move = np.where(closed, FORBIDDEN, moves)
-        forward, backward = np.zeros((WINDOW, n, 3)), np.zeros((WINDOW, n, 3))
-        forward[0] = score[:, 0]
+        score = weight[kinds].sum(1)
+        psi = np.zeros((n, WINDOW, 3))
+        psi[real] = np.exp(score - score.max(1, keepdims=True))[kind]
+        psi[:, 0, INSIDE] = 0.0
+        psi[~real] = [0.0, 0.0, 1.0]
+        move = np.exp(np.where(closed, FORBIDDEN, moves))
+        forward, backward = np.zeros((WINDOW, n, 3)), np.ones((WINDOW, n, 3))
+        forward[0] = psi[:, 0] / psi[:, 0].sum(1, keepdims=True)
         for t in range(1, WINDOW):
-            step_move = np.where(real[:, t, None, None], move, 0.0)
-            forward[t] = np.logaddexp.reduce(forward[t - 1][:, :, None] + step_move, axis=1) + score[:, t]
+            step_ = np.where(real[:, t, None], forward[t - 1] @ move, 1.0) * psi[:, t]
+            forward[t] = step_ / step_.sum(1, keepdims=True)
         for t in range(WINDOW - 2, -1, -1):
-            step_move = np.where(real[:, t + 1, None, None], move, 0.0)
-            backward[t] = np.logaddexp.reduce(step_move + (score[:, t + 1] + backward[t + 1])[:, None, :], axis=2)
-        total = np.logaddexp.reduce(forward[-1], axis=1)
-        share = np.exp(forward + backward - total[:, None]).transpose(1, 0, 2)
-        expect_w = np.stack([np.bincount(x[real].ravel(), np.repeat(share[real][:, c], width), base[-1]) for c in range(3)], 1)
+            step_ = psi[:, t + 1] * backward[t + 1]
+            step_ = np.where(real[:, t + 1, None], step_ @ move.T, 1.0)
+            backward[t] = step_ / step_.sum(1, keepdims=True)
+        share = forward * backward
+        share = (share / share.sum(2, keepdims=True)).transpose(1, 0, 2)[real]
+        of_kind = np.stack([np.bincount(kind, share[:, c], len(kinds)) for c in range(3)], 1)
+        expect_w = np.stack([np.bincount(kinds.ravel(), np.repeat(of_kind[:, c], width), base[-1]) for c in range(3)], 1)
         expect_m = np.zeros((3, 3))
         for t in range(1, WINDOW):
             on = real[:, t]
-            pair = forward[t - 1][on][:, :, None] + move + (score[on, t] + backward[t][on])[:, None, :] - total[on, None, None]
-            expect_m += np.exp(pair).sum(0)
+            pair = forward[t - 1][on][:, :, None] * move * (psi[on, t] * backward[t][on])[:, None, :]
+            expect_m += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
         for at, (value, grad) in enumerate(((weight, (target_w - expect_w) / n - 1e-4 * weight), (moves, (target_m - expect_m) / n - 1e-4 * moves))):
             m, v = moments[2 * at], moments[2 * at + 1]
             m += 0.1 * (grad - m)
@@ -349,18 +368,26 @@ def fit(windows: list[tuple[list[int], list[int]]], steps: int = STEPS) -> Crf:
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Crf | None:
-    """A CRF from the base spans of a bounded sample, or None where the sample has none."""
-    rows = docs.count()
-    if not rows:
+    """A CRF from the values of base spans, or None where the table has none.
+
+    Distinct texts with and without examples are sampled apart, each by hash, so neither rare secrets nor copies change
+    what is learnt from: up to half of ``sample_rows`` distinct windows of either kind, all of which the fit uses.
+    """
+    each = max(1, sample_rows // 2)
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("key"))
+    keys = stash(texts.mapInArrow(_classes, "hit boolean, key long").distinct(), "keys")
+    rows = {r["hit"]: r["count"] for r in keys.groupBy("hit").count().collect()}
+    if True not in rows:
         return None
-    below = min(1.0, sample_rows / rows)
-    chance = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
-    windows = docs.where(chance < below).select("text").mapInArrow(_windows, "hit int, features array<int>, labels array<int>")
-    found = sorted((h, tuple(f), tuple(y)) for h, f, y in windows.collect())  # at most WINDOWS_EACH a sampled row
+    below = F.when(F.col("hit"), min(1.0, 1.2 * each / rows[True])).otherwise(min(1.0, 1.2 * each / rows.get(False, 1)))
+    chance = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    taken = [r["key"] for r in keys.where(chance < below).collect()]  # some more than needed, as texts may share a window
+    sampled = texts.where(F.col("key").isin(taken)).select("text")
+    windows = sampled.mapInArrow(_windows, "hit int, features array<int>, labels array<int>").distinct()
+    found = [(h, tuple(f), tuple(y)) for h, f, y in windows.collect()]  # at most WINDOWS_EACH a sampled text
+    found.sort(key=lambda r: hashlib.md5(np.array([*r[1], *r[2]], np.int32).tobytes()).digest())
     hits, others = [r[1:] for r in found if r[0]], [r[1:] for r in found if not r[0]]
-    if not hits:
-        return None
-    return fit([*hits[:400], *others[: max(200, len(hits[:400]))]], steps)
+    return fit([*hits[:each], *others[:each]], steps) if hits else None
 
 
 def beside(

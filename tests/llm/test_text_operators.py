@@ -269,6 +269,23 @@ def test_labels_of_values():
     assert batch["labels"].to_pylist() == [[2, 2, 0, 2], [2, 0, 1, 1, 2], [2, 0, 2, 2, 2], [2, 2]]
 
 
+def test_training_sample(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["the", "and", "thing", "of", "2024", "A7", "x-ray", "Paris", "1.5", "secretary"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    hits = [f"{text(9)} password={'%020x' % rng.getrandbits(79)} {text(9)}" for _ in range(3)]
+    clean = [text(rng.randint(5, 60)) for _ in range(3000)]
+    taken = []
+    monkeypatch.setattr(secret_scan, "fit", lambda windows, steps: taken.extend(windows))
+    secret_scan.learn(frame(spark, [*clean, *hits, *[hits[0]] * 900]), sample_rows=60)
+    secret = [w for w in taken if secret_scan.BEGIN in w[1]]
+    other = sorted(w for w in taken if secret_scan.BEGIN not in w[1])
+    assert len(secret) == len(set(secret)) == 3 and len(other) == len(set(other)) == 30
+    (batch,) = secret_scan._windows(iter([pa.record_batch({"text": pa.array(clean)})]))
+    every = sorted(map(tuple, batch["features"].to_pylist()))
+    assert other[15][0] > every[len(every) // 5] and other[-1][0] > every[len(every) // 2]
+
+
 # --- media
 
 
