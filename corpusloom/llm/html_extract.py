@@ -43,6 +43,8 @@ UNLIKELY = re.compile(
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
+#: Names that tell how a page looks, not what an element is.
+MODIFIER = re.compile(r"(?:has|no|with|without|is|not|hide|show|fixed|sticky|enable|disable)[_-]", re.I)
 SPACES = re.compile(r"\s+")
 #: Characters below which a paragraph gives no points; a comma gives one, 100 characters give one, three at most.
 LEAST_CHARS, CHARS_A_POINT, MOST_LENGTH_POINTS = 25, 100, 3
@@ -53,16 +55,35 @@ SIBLING_SHARE, SIBLING_FLOOR = 0.2, 10.0
 class Node:
     """An element with its children (elements and strings) in page order, and the points it has been passed."""
 
-    __slots__ = ("tag", "parent", "children", "score", "dropped", "weight")
+    __slots__ = ("tag", "parent", "children", "score", "dropped", "doubtful", "weight")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
         names = " ".join(b or c or d for _, b, c, d in ATTRIBUTE.findall(attributes)) if attributes else ""
+        likely = bool(names and LIKELY.search(names))
         unlikely = bool(names and UNLIKELY.search(names)) and tag not in ("html", "body", "article", "main")
-        self.dropped = tag in DROPPED or unlikely or 'aria-hidden="true"' in attributes or bool(
+        if unlikely:  # told by each name's last word of either sort; one likely name spares the element
+            sorts = set(map(sort, names.split()))
+            likely, unlikely = likely and 1 not in sorts, 1 in sorts and 2 not in sorts
+        self.dropped = tag in DROPPED or 'aria-hidden="true"' in attributes or bool(
             attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes)
         )
-        self.weight = (25.0 if names and LIKELY.search(names) else 0.0) + {"article": 30.0, "main": 20.0}.get(tag, 0.0)
+        self.doubtful = unlikely and not self.dropped  # cut by its name alone
+        self.dropped |= unlikely
+        self.weight = (25.0 if likely else 0.0) + {"article": 30.0, "main": 20.0}.get(tag, 0.0)
+
+
+def sort(name: str) -> int:
+    """1 for an unlikely class, id or role, 2 for a likely one, else 0: ``post-comments`` are comments, ``side-content``
+    is content, ``has-sidebar`` says nothing."""
+    if MODIFIER.match(name):
+        return 0
+    for word in reversed(re.split(r"[_-]+", name)):
+        if UNLIKELY.search(word):
+            return 1
+        if LIKELY.search(word):
+            return 2
+    return 1 if UNLIKELY.search(name) else 0
 
 
 def parse(page: str) -> Node:
@@ -181,6 +202,34 @@ def measure(root: Node) -> tuple[list[Node], dict[int, tuple[str, int, int]]]:
     return order, found
 
 
+def spare(root: Node) -> None:
+    """Keep elements cut by name alone that hold most of the page's text of some length, unless other text is in an
+    element that is named or tagged as the article (say, a short article with many reader comments)."""
+    order: list[tuple[Node, bool]] = []
+    stack, doubt = [(root, False)], False
+    while stack:
+        node, below = stack.pop()
+        below |= node.doubtful
+        doubt |= below
+        order.append((node, below))
+        stack.extend((c, below) for c in node.children if isinstance(c, Node) and (c.doubtful or not c.dropped))
+    if not doubt:
+        return
+    chars: dict[int, int] = {}
+    some: set[int] = set()  # elements with any text
+    for node, _ in reversed(order):
+        if any(c.strip() if isinstance(c, str) else id(c) in some for c in node.children):
+            some.add(id(node))
+        own = sum(len(c) for c in node.children if isinstance(c, str) and len(c.strip()) >= LEAST_CHARS)
+        chars[id(node)] = 0 if node.tag == "a" else own + sum(chars.get(id(c), 0) for c in node.children if isinstance(c, Node))
+    marked = {id(n) for n, below in order if n.weight and not below and id(n) in some and n.tag not in ("html", "body")}
+    around = {id(root): 0}
+    for node, _ in order[1:]:
+        around[id(node)] = around[id(node.parent)] + (id(node.parent) in marked)
+        if node.doubtful and 2 * chars[id(node)] > chars[id(root)] and around[id(node)] == len(marked):
+            node.dropped = False
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The best container and those of its siblings that belong to the article."""
     order, found = measure(root)
@@ -238,6 +287,7 @@ def main_nodes(root: Node) -> list[Node]:
 def main_text(page: str | None) -> str:
     """The main text of one page; '' where nothing is a paragraph of some length and nothing is left of the body."""
     root = parse(page or "")
+    spare(root)
     nodes = main_nodes(root)
     if not nodes:  # a page of short lines only: what remains of it when boilerplate is gone
         nodes = [root]
@@ -250,7 +300,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Paragraphs give points for length and commas to their ancestors, less with each level; a container's points are
     discounted by its share of linked text; the best one and siblings that score enough or read like text are kept.
     Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader comments are cut out of the
-    tree first, by element and by class, id or role. Character references are decoded, white space inside a block
+    tree first, by element and by class, id or role; a likely name beside an unlikely one spares an element, and so does
+    most of the page's text. Character references are decoded, white space inside a block
     becomes one space, and blocks are joined by a newline.
 
     Defined cases: null or empty html gives an empty text; unclosed and crossing tags are paired leniently; a page

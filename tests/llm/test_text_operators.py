@@ -352,6 +352,20 @@ def test_main_text():
     assert html_extract.main_text(deep).startswith("text in a very deep tree")
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "site-content no-sidebar", "post has-comments", "page-wrapper fixed-header", "left-side-content", "sidebar", "x-share-box"])
+def test_unlikely_wrappers(name):
+    lines = [f"Paragraph {k} of the article, which is long enough, and has commas." for k in range(4)]
+    article = "".join(f"<p>{x}</p>" for x in lines)
+    junk = '<div class="post-comments"><p>Reader says, that this, was great, and wonderful, truly so great.</p></div>'
+    assert html_extract.main_text(f'<body><div class="{name}">{article}{junk}</div><p class="ad">Buy these things, now.</p></body>') == "\n".join(lines)
+
+
+def test_many_comments_are_no_article():
+    comments = "".join(f"<p>Reader {k} says, that this, was great, and wonderful.</p>" for k in range(20))
+    page = f'<body><div class="entry"><p>A short article, that is all there is to it.</p></div><div class="comments">{comments}</div></body>'
+    assert html_extract.main_text(page) == "A short article, that is all there is to it."
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 3), (None, "v", "x", 3)], "page_id long, url string, html string, n_chars int")
     found = html_extract.extract(pages).collect()
