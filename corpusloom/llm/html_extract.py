@@ -230,6 +230,18 @@ def spare(root: Node) -> None:
             node.dropped = False
 
 
+def leaf(node: Node) -> bool:
+    """A div that is a paragraph itself: no block inside but dropped ones."""
+    stack = [node] if node.tag == "div" else []
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node) and not c.dropped:
+                if c.tag in BLOCKS:
+                    return False
+                stack.append(c)
+    return node.tag == "div"
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The best container and those of its siblings that belong to the article."""
     order, found = measure(root)
@@ -239,13 +251,15 @@ def main_nodes(root: Node) -> list[Node]:
         if node.tag not in PARAGRAPHS or len(own) < LEAST_CHARS:
             continue
         points = 1.0 + own.count(",") + min(len(own) // CHARS_A_POINT, MOST_LENGTH_POINTS)
-        # the whole to the parent (or itself, for text directly in a container), half to its parent, then thirds
+        # the whole to the parent (or itself, for text directly in a container), half to its parent, then thirds; a div
+        # that is a paragraph gives the whole to both
+        around = leaf(node)
         ancestor, level = (node.parent if node.tag in ("p", "pre", "td", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6") else node), 0
         while ancestor is not None and ancestor is not root and level < 5:
             if id(ancestor) not in scored:
                 scored[id(ancestor)] = ancestor
                 ancestor.score += ancestor.weight
-            ancestor.score += points / (1, 2, 6, 9, 12)[level]
+            ancestor.score += points / ((1, 1, 2, 6, 9) if around else (1, 2, 6, 9, 12))[level]
             ancestor, level = ancestor.parent, level + 1
     if not scored:
         return []
@@ -277,7 +291,7 @@ def main_nodes(root: Node) -> list[Node]:
         elif isinstance(node, Node) and not node.dropped:
             own, chars, _ = found[id(node)]
             good = id(node) in scored and final(node) >= threshold
-            if node.tag == "p":
+            if node.tag == "p" or node.tag == "div" and not node.doubtful and (id(node) in scored or leaf(node)):
                 good |= chars > 80 and density(node) < 0.25 or 0 < chars <= 80 and density(node) == 0 and own.endswith((".", "!", "?"))
             if good:
                 out.append(node)

@@ -360,6 +360,16 @@ def test_unlikely_wrappers(name):
     assert html_extract.main_text(f'<body><div class="{name}">{article}{junk}</div><p class="ad">Buy these things, now.</p></body>') == "\n".join(lines)
 
 
+def test_text_divs_are_paragraphs():
+    lines = [f"Part {k} of a text that has no other mark than its div, of some eighty characters or more." for k in range(3)]
+    page = lambda parts: "<body><div><span>Top</span></div><div>" + "".join(f"<div>{x}</div>" for x in parts) + "</div></body>"
+    assert html_extract.main_text(page(lines[:2])) == "\n".join(lines[:2])
+    commas = "One, two, three, four, five, six, seven, eight, nine, ten, eleven, twelve, thirteen, and so on."
+    assert html_extract.main_text(page([lines[0], commas, lines[1]])) == "\n".join([lines[0], commas, lines[1]])
+    split = f'<body><div class="content"><p>{commas}</p></div><div><p>{lines[0]}</p></div><div><a href="x">{lines[1]}</a></div></body>'
+    assert html_extract.main_text(split) == f"{commas}\n{lines[0]}"
+
+
 def test_many_comments_are_no_article():
     comments = "".join(f"<p>Reader {k} says, that this, was great, and wonderful.</p>" for k in range(20))
     page = f'<body><div class="entry"><p>A short article, that is all there is to it.</p></div><div class="comments">{comments}</div></body>'
