@@ -203,13 +203,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 BENCHMARK_QUERY = r"array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:6], ' ')"
 
 
-@query(
-    "search_batch",
-    rf"""{WITH_DOCUMENTS},
-qs AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_split_to_array(lower({BENCHMARK_QUERY}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+')), lambda w: length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w)) AS terms FROM benchmark),
+def _batch_sql(text: str) -> str:
+    return rf"""{WITH_DOCUMENTS},
+qs AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+')), lambda w: length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w)) AS terms FROM benchmark),
 qt AS (SELECT DISTINCT query_id, unnest(terms) AS w FROM qs),
 pq AS (SELECT item_id AS query_id, string_agg(w, ' ' ORDER BY p) AS phrase, count(*) AS n FROM (
-  SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM (SELECT item_id, regexp_split_to_array(lower({BENCHMARK_QUERY}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+') AS l FROM benchmark))
+  SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM (SELECT item_id, regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+') AS l FROM benchmark))
   WHERE length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w) GROUP BY item_id, w) GROUP BY item_id),
 st AS (SELECT count(*) AS n, avg(char_count) AS average FROM sections),
 h AS (SELECT w, s.doc_ord, s.ord, s.char_count, (length(content_lc) - length(replace(content_lc, w, ''))) / length(w)::DOUBLE AS tf FROM (SELECT DISTINCT w FROM qt) q JOIN sections s ON contains(s.content_lc, q.w)),
@@ -219,14 +218,22 @@ ti AS (SELECT query_id, doc_ord, ord, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0)
 ph AS (SELECT query_id, doc_ord, ord, 2.0 AS score FROM pq JOIN sections s ON contains(s.content_lc, phrase) WHERE pq.n > 1),
 sc AS (SELECT query_id, doc_ord, ord, sum(score) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM ti UNION ALL SELECT * FROM ph) GROUP BY query_id, doc_ord, ord),
 r AS (SELECT *, trunc(score * 100 + 1e-9)::INT AS relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY trunc(score * 100 + 1e-9) DESC, doc_ord, ord)::INT AS rank FROM sc WHERE score > 0)
-SELECT query_id, rank, 'doc-' || doc_ord AS document_id, 'section-' || (ord + 1) AS section_id, relevance_score FROM r WHERE rank <= 5""",
-)
+SELECT query_id, rank, 'doc-' || doc_ord AS document_id, 'section-' || (ord + 1) AS section_id, relevance_score FROM r WHERE rank <= 5"""
+
+
+@query("search_batch", _batch_sql(BENCHMARK_QUERY))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     queries = i.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
     return search.search_batch(i.stored_sections(spark, sf), queries)
 
 
+@query("search_batch_texts", _batch_sql("text"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    queries = i.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_batch(i.stored_sections(spark, sf), queries)
+
+
 # --- navigation
 
 
