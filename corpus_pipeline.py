@@ -12,9 +12,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents whose language is undetermined (no text, no letter); name the language where it is missing."""
+    """Reject documents whose language is undetermined (no text, no letter); the others get the predicted language,
+    whatever they declare."""
     found = language_id.identify(docs, language_id.learn(docs)).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+    return found.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

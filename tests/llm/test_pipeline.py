@@ -43,6 +43,16 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["sentencepiece"].count()
 
 
+def test_predictions_set_the_language(spark):
+    rng = random.Random(2)
+    vocab = {"aa": "the and thing with from that this".split(), "bb": "les çon été que dans pour avec".split()}
+    rows = [(k, " ".join(rng.choice(vocab[lang]) for _ in range(60)), lang, "s", 0) for k in range(80) for lang in [("aa", "bb")[k % 2]]]
+    wrong = [(100, rows[0][1], "bb", "s", 0), (101, rows[1][1], None, "s", 0)]
+    docs = spark.createDataFrame([*rows, *wrong], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert found == {r[0]: r[2] for r in rows} | {100: "aa", 101: "bb"}
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
