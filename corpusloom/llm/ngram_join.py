@@ -116,8 +116,8 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _keys_of(table: pa.Table, k: int, percent: int) -> np.ndarray:
-    return part_keys(*shingle_sets(table["text"], k), percent)[0]
+def _keys_of(table: pa.Table, many: int, k: int, percent: int) -> list[np.ndarray]:
+    return [part_keys(*shingle_sets(table["text"], k), percent)[0]]
 
 
 def _describe(table: pa.Table, shared: np.ndarray, k: int, percent: int) -> pa.Table:
@@ -138,6 +138,7 @@ def _describe(table: pa.Table, shared: np.ndarray, k: int, percent: int) -> pa.T
     return pa.table(
         {
             "doc_id": table["doc_id"],
+            "text_md5": pa.array([hashlib.md5((t.as_py() or "").encode()).digest() for t in table["text"]], pa.binary()),
             "n_shingles": pa.array(np.diff(at)),
             "digest": pa.array(digests, pa.binary()),
             "keys": pa.array(lists, pa.list_(pa.int64())),
@@ -302,18 +303,29 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     own; columns besides doc_id and text are ignored; an empty table gives an empty result. Element hashes have 64
     bits; comparisons are between the sets of a pair, so a false equality has a chance of about n * n / 2**64.
     """
+    light = linked(docs, k, percent)
+    smallest = light.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that rows of a large component are dealt to several tasks of the join
+    return light.join(stash(smallest, "smallest"), "root", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, text_md5, n_shingles, root) of each row; root names its component, null where its set is empty."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = blocks.text_bytes(docs)
-    schema = "doc_id long, n_shingles long, digest binary, keys array<long>, text string, bits array<long>"
+    schema = "doc_id long, text_md5 binary, n_shingles long, digest binary, keys array<long>, text string, bits array<long>"
     share = 1.6 * 2 * (100 - percent) / (100 + percent) * 1.15
     found = blocks.with_repeats(
         blocks.deal(docs, total),
         partial(_keys_of, k=k, percent=percent),
         partial(_describe, k=k, percent=percent),
         schema,
+        total,
         int(total / 6 * share) + 1,
-        narrow=True,
+        width=4,
     )
     found = stash(found, "sets")
     candidates = found.where("keys IS NOT NULL")
@@ -364,34 +376,56 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if more.limit(1).count():
         roots = components(edges.unionByName(more))
 
-    light = found.select("doc_id", "n_shingles", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    light = light.withColumn("root", F.coalesce("root", "digest"))
-    smallest = light.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    # a table of its own, so that rows of a large component are dealt to several tasks of the join
-    return light.join(stash(smallest, "smallest"), "root", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    light = found.select("doc_id", "text_md5", "n_shingles", "digest")
+    light = light.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    return light.select("doc_id", "text_md5", "n_shingles", F.coalesce("root", "digest").alias("root"))
 
 
-#: Ids up to which a join may broadcast them (some tens of MB at most); beyond, it shuffles both sides.
-BROADCAST_IDS = 1_000_000
+#: Ids (some 60 bytes each) up to which a join may broadcast them; beyond, it shuffles both sides.
+BROADCAST_IDS = 500_000
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one document of each component of ``ngram_join`` left: the one of the smallest doc_id.
+    """The rows of ``docs`` with one row of each component of ``ngram_join`` left.
 
-    All columns are carried. Rows without doc_id can't be named as the one that stays, so they all stay; rows that
-    repeat doc_id and text are one document.
+    That is the row with the smallest doc_id (null counts as largest), then the smallest MD5 of its text, then, among
+    rows repeating both, the smallest SHA-256 of the row as JSON. Rows go, not ids: where a doc_id is repeated with
+    different texts, each text is judged by its own component. All columns are carried, whatever their names; texts
+    without words are in no component and stay; an empty table gives an empty result.
     """
-    found = ngram_join(docs, k, percent)
-    gone = stash(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(side, "doc_id", "left_anti")
-    ids = found.where("doc_id = component_id").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if ids[0] == ids[1]:
+    rows = linked(docs, k, percent).where("root IS NOT NULL")
+    each = stash(rows.groupBy("root", "doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n")), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5", "n")).alias("first")
+    kept = each.groupBy("root").agg(first, F.sum("n").alias("rows")).where("rows > 1")
+    kept = small(stash(kept.select("root", "first"), "kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_md5") == F.col("first.text_md5"))
+    gone = stash(each.join(kept, "root").where(~same).select("doc_id", "text_md5"), "gone")
+    again = stash(kept.where("first.n > 1").select("first.doc_id", "first.text_md5"), "again")
+    left = by_row(docs, small(gone), "left_anti")
+    if not again.limit(1).count():
         return left
-    named = left.where("doc_id IS NOT NULL").withColumn("__text", F.sha2("text", 256)).dropDuplicates(["doc_id", "__text"])
-    return named.drop("__text").unionByName(left.where("doc_id IS NULL"))
+    again = small(again)
+    row = F.struct(*docs.columns)
+    one = by_row(left, again, "left_semi").groupBy(*map(row_key, ("doc_id", "text"))).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("row"))
+    return by_row(left, again, "left_anti").unionByName(one.select("row.*"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def row_key(name: str) -> Column:
+    return F.col(name).cast("long") if name == "doc_id" else F.unhex(F.md5(F.col(name).cast("string")))
+
+
+def by_row(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are (or are not) among ``keys``, under names that clash with no column."""
+    taken, key, text = {c.lower() for c in docs.columns}, "k", "t"
+    while key in taken or text in taken:
+        key, text = key + "_", text + "_"
+    keys = keys.select(F.col("doc_id").alias(key), F.col("text_md5").alias(text))
+    return docs.join(keys, row_key("doc_id").eqNullSafe(F.col(key)) & (row_key("text") == F.col(text)), how)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,14 +16,18 @@ from corpusloom.session import prepare
 WINDOW = 35
 
 
-def _hashes(table: pa.Table, window: int) -> np.ndarray:
+def _hashes(table: pa.Table, many: int, window: int) -> list[np.ndarray]:
+    """Rabin-Karp hashes of all windows; with ``many`` 2 also those to another base over words hashed anew."""
     data, offsets = words.buffer(table["text"])
-    out = []
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(many)]
     for i, j in words.spans_of_documents(offsets):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = words.split(part, at)
-        out.append(words.rolling(words.hashes(part, starts, ends), first, window)[0])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        hashes = words.hashes(part, starts, ends)
+        out[0].append(words.rolling(hashes, first, window)[0])
+        if many > 1:
+            out[1].append(words.rolling(words.mix(hashes + np.uint64(1)), first, window, words.SECOND_BASE)[0])
+    return [np.concatenate(x) for x in out]
 
 
 def covered(first: np.ndarray, flags: np.ndarray, window: int) -> np.ndarray:
@@ -89,7 +93,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -
     """Rows of ``docs`` (doc_id, text) with what is left when repeated windows are removed.
 
     Every run of ``window`` words of one document has a Rabin-Karp hash; runs whose hash starts at two places or more
-    (same document included) are removed. Windows are judged on the input. Result: doc_id, n_words, n_removed,
+    (same document included) are removed. What one hash flags a second, independent one confirms, so a run that occurs
+    once is removed with a chance of about (runs flagged) / 2**64 / 700,000. Windows are judged on the input. Result: doc_id, n_words, n_removed,
     kept_sha256 and, with ``texts``, kept_text (kept words joined by a space) and removed (maximal intervals of word
     positions, end exclusive).
 
@@ -109,7 +114,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -
         partial(_hashes, window=window),
         partial(_finish, window=window, texts=texts),
         schema,
+        total,
         total // 6,
+        width=5,
+        confirm=True,
     )
 
 

@@ -21,6 +21,8 @@ _random = np.random.default_rng(20240607)
 BYTE_VALUE = _random.integers(0, 2**64, 256, dtype=U)
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
+#: The base of a second, independent window hash.
+SECOND_BASE = 0xD6E8FEB86659FD93
 #: Bytes hashed at a time: bounds the 8-byte-per-byte arrays, also for a single huge document.
 PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
@@ -123,12 +125,13 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, at
 
 
-def rolling(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rolling(words: np.ndarray, first: np.ndarray, size: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every window of ``size`` words inside one document, their first words, n+1 offsets."""
+    back = BASE_INVERSE if base == BASE else pow(base, -1, 2**64)
     counts = np.maximum(np.diff(first) - size + 1, 0)
     at = np.zeros(len(first), np.int64)
     np.cumsum(counts, out=at[1:])
     start = np.repeat(first[:-1] - at[:-1], counts) + np.arange(at[-1])
     sums = np.zeros(len(words) + 1, U)
-    np.cumsum(words * powers(BASE, len(words)), out=sums[1:])
-    return mix((sums[start + size] - sums[start]) * powers(BASE_INVERSE, len(words) + 1)[start]), start, at
+    np.cumsum(words * powers(base, len(words)), out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * powers(back, len(words) + 1)[start]), start, at

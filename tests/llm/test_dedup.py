@@ -107,11 +107,85 @@ def test_partners_always_share_a_part(percent):
         assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (union, common, cut)
 
 
-def test_near_duplicates_keep_one_of_each(spark):
-    rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "x y z q r s t"), (None, "a b c d e f g"), (2, "x y z q r s t"), (9, None)]
-    kept = ngram_join.near_duplicates(frame(spark, rows)).collect()
-    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, "a b c d e f g"), (2, "x y z q r s t"), (None, "a b c d e f g"), (9, None)], key=repr)
-    assert set(kept[0].asDict()) == {"doc_id", "text", "block", "root"}
+def slow_kept(rows, k, percent):
+    """One row of each component: smallest id, then smallest MD5 of the text; equal rows count as one."""
+    words = lambda t: WORD.findall((t or "").lower())
+    sets = [{tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := words(t)) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    md5 = lambda t: hashlib.md5((t or "").encode()).digest()
+    best = {}
+    for (i, t), g, s in zip(rows, group, sets):
+        if s:
+            best[g] = min(best.get(g, (True, 0, b"z", None)), (i is None, i or 0, md5(t), t))
+    return sorted([(None if x[0] else x[1], x[3]) for x in best.values()] + [r for r, s in zip(rows, sets) if not s], key=repr)
+
+
+def test_near_duplicates_remove_rows(spark):
+    base = [f"a{k} b c d e f g{k} h" for k in range(4)]
+    rows = [(3, base[0]), (1, base[0]), (5, base[0]), (5, base[1]), (2, base[2]), (2, base[2]), (None, base[0]), (None, base[3]), (None, base[3]), (9, None), (9, ""), (9, ""), (1, base[2]), (0, base[3].upper())]
+    columns = "doc_id long, text string, `__text` string, digest string, root string, k string, first string, `row` string"
+    df = spark.createDataFrame([(*r, "x", "y", "z", str(n) if r != (2, base[2]) else None, "f", "r") for n, r in enumerate(rows)], columns)
+    found = ngram_join.near_duplicates(df)
+    assert found.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == slow_kept(rows, 5, 80)
+    odd = [(i, t) for i, t in corpus(5) if t is None or t == t.strip()]
+    found = ngram_join.near_duplicates(frame(spark, odd), 3, 70).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=repr) == slow_kept(odd, 3, 70)
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    """The row that stays does not depend on the plan."""
+    rows = [(1, "a b c d e f g", n) for n in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = {tuple(ngram_join.near_duplicates(df.repartition(p)).collect()) for p in (1, 3, 7)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
+def test_one_passage_fills_every_document(spark, monkeypatch):
+    """A hash reaches its range once for each block, however often the block holds it."""
+    import numpy as np
+
+    table = blocks.segments(3, np.array([7, 7, 5, 7, 2**63, 5], np.uint64), 4, 8)
+    assert table["hashes"].to_pylist() == [np.array(x, "<u8").tobytes() for x in ([5, 7], [2**63])]
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(blocks, "BUCKET_HASHES", 500)
+    monkeypatch.setattr(blocks, "TASK_BYTES", 5000)
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, f"{' '.join(str(rng.random()) for _ in range(rng.randint(1, 30)))} {passage} {passage} end{k}") for k in range(400)]
+    found = substring_dedup.substring_dedup(frame(spark, rows), 35)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in found.collect()]
+    assert sorted(got, key=repr) == slow_substrings(rows, 35)
+
+
+@pytest.mark.parametrize("fan", [1024, 2])
+def test_flags_are_confirmed(spark, monkeypatch, fan):
+    """First hashes that collide all the time do no harm: second ones decide."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "FAN", fan)
+    monkeypatch.setattr(blocks, "BUCKET_HASHES", 50)
+    rng = random.Random(9)
+    values = [rng.randrange(400) for _ in range(300)]
+    df = spark.createDataFrame([(k % 7, str(v)) for k, v in enumerate(values)], "block int, text string").selectExpr("block", "text", "monotonically_increasing_id() AS doc_id")
+
+    def hashes(table, many):
+        from corpusloom.llm import words
+
+        v = np.array(table["text"].to_pylist(), np.int64).astype(np.uint64)
+        return [words.mix(v % np.uint64(6)), words.mix(v + np.uint64(1))][:many]
+
+    def finish(table, flags):
+        return pa.table({"text": table["text"], "flag": pa.array(flags)})
+
+    found = blocks.with_repeats(df, hashes, finish, "text string, flag boolean", 1000, 300, 5, confirm=True).collect()
+    assert sorted((int(r["text"]), r["flag"]) for r in found) == sorted((v, values.count(v) > 1) for v in values)
 
 
 def test_components(spark):
