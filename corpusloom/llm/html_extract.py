@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,16 +13,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import prepare
 
-#: Markup: comments, declarations, and tags whose quoted attribute values may hold ``>``.
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: The name of a tag after its ``<``, what may end a tag, and its attributes.
+NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, or not text of the page.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template head title nav header footer aside form button select option textarea iframe "
-    "object svg canvas audio video dialog menu noembed noframes input label fieldset".split()
+    "script style noscript template head title nav header footer aside button select option textarea iframe "
+    "object svg canvas audio video dialog menu noembed noframes input label".split()
 )
+#: Elements that are cut unless they wrap most of the page's text, as forms of some page frameworks do.
+WRAPPERS = frozenset(("form", "fieldset"))
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address hr details summary header footer nav aside form fieldset center".split()
@@ -42,10 +46,15 @@ UNLIKELY = re.compile(
     r"sponsor\w*|subscribe|subscription|tags|toolbar|widget|complementary|navigation|discussion)(?:$|[\s_-])",
     re.I,
 )
+#: Words that say nothing about a paragraph that has them: these cut larger parts only.
+WEAK = frozenset("side search share sharing related rss tags header foot alert dialog disclaimer contentinfo widget complementary discussion".split())
+CONTAINERS = frozenset("div section ul ol dl table tbody tr figure details nav aside header footer form fieldset center".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
 #: Names that tell how a page looks, not what an element is.
 MODIFIER = re.compile(r"(?:has|no|with|without|is|not|hide|show|fixed|sticky|enable|disable)[_-]", re.I)
 SPACES = re.compile(r"\s+")
+#: What ends a sentence, with the marks that may close it.
+ENDINGS = frozenset(".!?…:;\"'”’»)")
 #: Characters below which a paragraph gives no points; a comma gives one, 100 characters give one, three at most.
 LEAST_CHARS, CHARS_A_POINT, MOST_LENGTH_POINTS = 25, 100, 3
 #: Share of the best container's score that a sibling needs, and its floor.
@@ -53,89 +62,145 @@ SIBLING_SHARE, SIBLING_FLOOR = 0.2, 10.0
 
 
 class Node:
-    """An element with its children (elements and strings) in page order, and the points it has been passed."""
+    """An element with its children (elements and strings) in page order, the points it has been passed, and the
+    measures of its text: characters and commas of its inline text, characters of all and of linked text below, the
+    last character, whether a block is below."""
 
-    __slots__ = ("tag", "parent", "children", "score", "dropped", "doubtful", "weight")
+    __slots__ = ("tag", "parent", "children", "score", "dropped", "doubtful", "weight", "own", "commas", "chars", "linked", "last", "blocky")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
-        names = " ".join(b or c or d for _, b, c, d in ATTRIBUTE.findall(attributes)) if attributes else ""
+        named = {k.lower(): b or c or d for k, b, c, d in reversed(ATTRIBUTE.findall(attributes))} if attributes else {}
+        names = " ".join(filter(None, (named.get(k) for k in ("class", "id", "role"))))
         likely = bool(names and LIKELY.search(names))
         unlikely = bool(names and UNLIKELY.search(names)) and tag not in ("html", "body", "article", "main")
         if unlikely:  # told by each name's last word of either sort; one likely name spares the element
-            sorts = set(map(sort, names.split()))
+            sorts = {sort(x, tag in CONTAINERS) for x in names.split()}
             likely, unlikely = likely and 1 not in sorts, 1 in sorts and 2 not in sorts
-        self.dropped = tag in DROPPED or 'aria-hidden="true"' in attributes or bool(
-            attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes)
+        self.dropped = tag in DROPPED or bool(named) and (
+            "hidden" in named or named.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", named.get("style") or ""))
         )
-        self.doubtful = unlikely and not self.dropped  # cut by its name alone
-        self.dropped |= unlikely
+        self.doubtful = (unlikely or tag in WRAPPERS) and not self.dropped  # cut by its name alone
+        self.dropped |= self.doubtful
         self.weight = (25.0 if likely else 0.0) + {"article": 30.0, "main": 20.0}.get(tag, 0.0)
 
 
-def sort(name: str) -> int:
+def sort(name: str, container: bool = True) -> int:
     """1 for an unlikely class, id or role, 2 for a likely one, else 0: ``post-comments`` are comments, ``side-content``
-    is content, ``has-sidebar`` says nothing."""
+    is content, ``has-sidebar`` says nothing, nor does ``share`` of a paragraph."""
     if MODIFIER.match(name):
         return 0
     for word in reversed(re.split(r"[_-]+", name)):
-        if UNLIKELY.search(word):
+        if UNLIKELY.search(word) and (container or word.lower() not in WEAK):
             return 1
         if LIKELY.search(word):
             return 2
-    return 1 if UNLIKELY.search(name) else 0
+    return 1 if container and UNLIKELY.search(name) else 0
+
+
+def tag_end(page: str, at: int) -> int:
+    """Place of the ``>`` that ends the tag; quoted attribute values may hold others. -1 where a quote or the tag is open
+    to the end of the page."""
+    while m := STOP.search(page, at):
+        i = j = m.start()
+        if m[0] == ">":
+            return i
+        while page[j - 1].isspace():
+            j -= 1
+        at = i + 1
+        if page[j - 1] == "=":
+            if (close := page.find(m[0], at)) < 0:
+                return -1
+            at = close + 1
+    return -1
+
+
+class Tree:
+    """Open elements of a page that is being read. Counts by name tell beforehand whether an end tag finds its start, so
+    that each walk up the tree closes what it passes, and reading is linear in the page."""
+
+    def __init__(self) -> None:
+        self.root = self.here = Node("#root", None)
+        #: Open elements of each name: in all, and since each open element that is in SCOPES.
+        self.open: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
+
+    def enter(self, node: Node) -> None:
+        self.here = node
+        self.open[node.tag] += 1
+        if node.tag in SCOPES:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][node.tag] += 1
+
+    def leave(self) -> None:
+        tag = self.here.tag
+        self.open[tag] -= 1
+        if tag in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        self.here = self.here.parent
+
+    def close(self, names: tuple[str, ...]) -> None:
+        """Close all open elements of these names since the last scope, and what is in them."""
+        left = sum(self.scopes[-1][x] for x in names)
+        while left:
+            left -= self.here.tag in names
+            self.leave()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes up to its start tag, or nothing; that of an inline element not beyond its block."""
+        if self.open[tag] and (tag in BLOCKS or self.scopes[-1][tag]):
+            while self.here.tag != tag:
+                self.leave()
+            self.leave()
 
 
 def parse(page: str) -> Node:
-    """A tree of the page. Tags are paired leniently: an end tag closes up to its start tag, or nothing."""
-    root = Node("#root", None)
-    here, at, n = root, 0, len(page)
+    """A tree of the page, read once from left to right. Tags are paired leniently."""
+    tree, at, n, quoted = Tree(), 0, len(page), True
     while at < n:
-        m = MARKUP.search(page, at)
-        if m is None:
-            rest = page[at:]
-            # a tag cut off at the end of the page is no text
-            if (cut := rest.rfind("<")) >= 0 and re.match(r"</?[A-Za-z!?]", rest[cut:]):
-                rest = rest[:cut]
-            here.children.append(rest)
+        start = page.find("<", at)
+        sign = page[start + 1 : start + 2] if start >= 0 else ""
+        if not sign or not (sign in "!?/" or "a" <= sign.lower() <= "z"):  # plain text, or a plain less-than sign
+            end = n if start < 0 else start + 1
+            tree.here.children.append(page[at:end])
+            at = end
+            continue
+        if start > at:
+            tree.here.children.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else n
+            continue
+        name = NAME.match(page, start + 1)
+        end = tag_end(page, start + 1) if name and quoted else page.find(">", start)
+        if end < 0 and name and quoted:  # from a quote that never ends on, quotes mean nothing
+            quoted, end = False, page.find(">", start)
+        if end < 0:  # text, but for a tag cut off at the end of the page
+            tree.here.children.append(page[start : page.rfind("<")])
             break
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        at = end + 1
+        if not name:
             continue
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+        tag, attributes = name[0].lower(), page[name.end() : end]
+        if tag[0] == "/":
+            tree.end(tag[1:])
             continue
         if tag in BLOCKS:
-            here = _close(here, ("p",), root)
+            tree.close(("p",))
         if tag in CLOSES:
-            here = _close(here, CLOSES[tag], root)
-        node = Node(tag, here, m[3])
-        here.children.append(node)
+            tree.close(CLOSES[tag])
+        node = Node(tag, tree.here, attributes)
+        tree.here.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            here = node
-    return root
-
-
-def _close(here: Node, names: tuple[str, ...], root: Node) -> Node:
-    node = here
-    while node is not root and node.tag not in SCOPES:
-        if node.tag in names:
-            here = node.parent
-            if names == ("p",):
-                break
-        node = node.parent
-    return here
+            raw = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            node.children.append(page[at : raw.start() if raw else n])
+            at = raw.end() if raw else n
+        elif tag not in VOID and not attributes.endswith("/"):
+            tree.enter(node)
+    return tree.root
 
 
 def clean(text: str) -> str:
@@ -176,30 +241,35 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def measure(root: Node) -> tuple[list[Node], dict[int, tuple[str, int, int]]]:
-    """Kept elements in page order; for each its own (inline) text, and the characters of all and of linked text below."""
+def measure(root: Node) -> list[Node]:
+    """Kept elements in page order, with their measures."""
     order: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
-    found: dict[int, tuple[str, int, int]] = {}
     for node in reversed(order):
-        own, chars, linked = [], 0, 0
+        node.own = node.commas = node.chars = node.linked = 0
+        node.last, node.blocky = "", False
         for c in node.children:
             if isinstance(c, str):
                 text = clean(c)
-                own.append(text)
-                chars += len(text)
+                if text:
+                    node.own += len(text) + (node.own > 0)
+                    node.commas += text.count(",")
+                    node.chars += len(text)
+                    node.last = text[-1]
             elif not c.dropped:
-                inner, below, links = found[id(c)]
-                chars += below
-                linked += below if c.tag == "a" else links
-                if c.tag not in BLOCKS:
-                    own.append(inner)
-        found[id(node)] = " ".join(filter(None, own)), chars, linked
-    return order, found
+                node.chars += c.chars
+                node.linked += c.chars if c.tag == "a" else c.linked
+                node.last = c.last or node.last
+                block = c.tag in BLOCKS
+                node.blocky |= block or c.blocky
+                if not block and c.own:
+                    node.own += c.own + (node.own > 0)
+                    node.commas += c.commas
+    return order
 
 
 def spare(root: Node) -> None:
@@ -232,25 +302,17 @@ def spare(root: Node) -> None:
 
 def leaf(node: Node) -> bool:
     """A div that is a paragraph itself: no block inside but dropped ones."""
-    stack = [node] if node.tag == "div" else []
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, Node) and not c.dropped:
-                if c.tag in BLOCKS:
-                    return False
-                stack.append(c)
-    return node.tag == "div"
+    return node.tag == "div" and not node.blocky
 
 
 def main_nodes(root: Node) -> list[Node]:
     """The best container and those of its siblings that belong to the article."""
-    order, found = measure(root)
+    order = measure(root)
     scored: dict[int, Node] = {}
     for node in order:
-        own = found[id(node)][0]
-        if node.tag not in PARAGRAPHS or len(own) < LEAST_CHARS:
+        if node.tag not in PARAGRAPHS or node.own < LEAST_CHARS:
             continue
-        points = 1.0 + own.count(",") + min(len(own) // CHARS_A_POINT, MOST_LENGTH_POINTS)
+        points = 1.0 + node.commas + min(node.own // CHARS_A_POINT, MOST_LENGTH_POINTS)
         # the whole to the parent (or itself, for text directly in a container), half to its parent, then thirds; a div
         # that is a paragraph gives the whole to both
         around = leaf(node)
@@ -265,8 +327,7 @@ def main_nodes(root: Node) -> list[Node]:
         return []
 
     def density(node: Node) -> float:
-        _, chars, linked = found[id(node)]
-        return linked / chars if chars else 0.0
+        return node.linked / node.chars if node.chars else 0.0
 
     def final(node: Node) -> float:
         return node.score * (1 - density(node))
@@ -289,10 +350,9 @@ def main_nodes(root: Node) -> list[Node]:
         if node is best:
             out.append(node)
         elif isinstance(node, Node) and not node.dropped:
-            own, chars, _ = found[id(node)]
             good = id(node) in scored and final(node) >= threshold
-            if node.tag == "p" or node.tag == "div" and not node.doubtful and (id(node) in scored or leaf(node)):
-                good |= chars > 80 and density(node) < 0.25 or 0 < chars <= 80 and density(node) == 0 and own.endswith((".", "!", "?"))
+            if node.tag in ("p", "blockquote", "pre") or node.tag in ("div", "section") and not node.doubtful and (id(node) in scored or leaf(node)):
+                good |= node.chars > 80 and density(node) < 0.25 or density(node) == 0 and node.last in ENDINGS
             if good:
                 out.append(node)
     return out
@@ -315,7 +375,7 @@ def extract(pages: DataFrame) -> DataFrame:
     discounted by its share of linked text; the best one and siblings that score enough or read like text are kept.
     Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader comments are cut out of the
     tree first, by element and by class, id or role; a likely name beside an unlikely one spares an element, and so does
-    most of the page's text. Character references are decoded, white space inside a block
+    most of the page's text (also that of a form around the page). Character references are decoded, white space inside a block
     becomes one space, and blocks are joined by a newline.
 
     Defined cases: null or empty html gives an empty text; unclosed and crossing tags are paired leniently; a page
