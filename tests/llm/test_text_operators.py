@@ -391,28 +391,58 @@ def slow_top(rows, asked, k):
     for i, v in rows:
         if i is not None and v is not None and len(v) == 2 and all(x is not None and math.isfinite(x) for x in v):
             good.setdefault(i, []).append([math.floor(64 * x) for x in v])
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
     for q in sorted(asked):
         if q in good:
-            found = sorted((-sum(a * b for a, b in zip(good[q][0], v)), i) for i, vs in good.items() if i != q for v in vs)
+            mine = min(good[q], key=lambda v: knn_join.packed(np.array([v], float))[0].as_py())
+            found = sorted((-hold(sum(a * b for a, b in zip(mine, v))), i) for i, vs in good.items() if i != q for v in vs)
             out += [(q, n, i, -s) for n, (s, i) in enumerate(found[:k], 1)]
     return out
 
 
-@pytest.mark.parametrize("limits", [(2048, 4096), (3, 5)])
+@pytest.mark.parametrize("limits", [((2048, 512), 4096), ((30, 3), 5)])
 def test_top_k(spark, monkeypatch, limits):
-    monkeypatch.setattr(knn_join, "GROUP_QUERIES", limits[0])
+    monkeypatch.setattr(knn_join, "TEAM_SIZES", limits[0])
     monkeypatch.setattr(knn_join, "CHUNK_LEAST", limits[1])
     monkeypatch.setattr(knn_join, "CHUNK_MOST", limits[1])
-    monkeypatch.setattr(knn_join, "PIVOTS", 4)
     rng = random.Random(7)
     rows = [(k, [rng.gauss(k % 3 * 5, 1), rng.gauss(0, 1)]) for k in range(200)] + [(k, [1.0, 1.0]) for k in range(200, 260)]
     rows += [(300, None), (320, [1.0, None]), (340, [float("nan"), 1.0]), (360, [1.0]), (None, [1.0, 1.0]), (380, [float("inf"), 0.0])]
+    rows += [(20, [-3.0, 1.0]), (20, [5.5, -0.0]), (20, [float("nan"), 0.0]), (41, [2.0, 2.0]), (41, [2.0, 2.0]), (440, None), (440, [1.5, 1.5])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    asked = sorted({i for i, _ in rows if i is not None and i % 20 == 0})
     found = knn_join.top_k(df, df.where("vec_id % 20 = 0"), 7).orderBy("query_id", "rank").collect()
-    assert [tuple(r) for r in found] == slow_top(rows, [i for i, _ in rows if i is not None and i % 20 == 0], 7)
-    assert knn_join.top_k(df.limit(0), df).count() == 0
+    assert [tuple(r) for r in found] == slow_top(rows, asked, 7)
+    assert knn_join.top_k(df.limit(0), df).count() == knn_join.top_k(df, df.limit(0)).count() == 0
     few = df.where("vec_id < 3")
     assert knn_join.top_k(few, few, 20).count() == 6
+    assert knn_join.top_k(df.where("vec_id = 340"), df, 20).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    rng = random.Random(8)
+    big = [4e7, -4e7, 1e9 + 0.37, 2.0**52, -(2.0**55), 1e17, 3.4e38, 1e300, 1e-300, 0.5]
+    rows = [(k, [rng.choice(big), rng.choice(big)]) for k in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = knn_join.top_k(df, df.where("vec_id % 20 = 0"), 9).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in found] == slow_top(rows, range(0, 80, 20), 9)
+    assert knn_join.products(np.array([[2.0**40, 1.0]]), np.array([[2.0**22, 3.0], [1.0, 2.0]])).tolist() == [[2**62 + 3, 2**40 + 2]]
+
+
+def test_clustered_vectors_are_pruned(spark):
+    """Most rows reach no group of queries; results stay exact."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 8)) * 4
+    v = centres[np.arange(6000) % 30] + rng.normal(size=(6000, 8)) * 0.1
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").cache()
+    asked = df.where("vec_id % 20 = 0")
+    assert knn_join.prepared(df, asked, 5)[2].share < 0.5
+    whole = np.floor(64 * v).astype(np.int64)
+    scores = whole[::20] @ whole.T
+    scores[np.arange(300), np.arange(300) * 20] = -(2**60)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    found = knn_join.top_k(df, asked, 5).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(20 * q, int(j), int(scores[q, j])) for q in range(300) for j in best[q]]
 
 
 @pytest.mark.parametrize("f", [pieces.encode, token_counts.token_counts, media.text_media, lambda d: language_id.identify(d, language_id.build([])), lambda d: secret_scan.secret_scan(d, None)])
