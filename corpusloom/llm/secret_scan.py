@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +26,12 @@ PADDING = re.compile(rb"={1,2}(?![A-Za-z0-9+/_.=\x80-\xff-])")
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN_LEAST, HEX_LEAST = 12, 16
 
-#: Distinct windows the CRF learns from at most (half of them with examples, half without, each taken by hash), tokens of
-#: a training window, windows of one document at most, and steps of the optimiser.
-SAMPLE_ROWS, WINDOW, WINDOWS_EACH, STEPS = 3000, 40, 4, 80
+#: Distinct windows the CRF learns from at most (a third each: values of base spans as they stand; values without their
+#: key word and made-up secrets; neither; each taken by hash), tokens of a training window, windows of one document at
+#: most, and steps of the optimiser.
+SAMPLE_ROWS, WINDOW, WINDOWS_EACH, STEPS = 4500, 40, 4, 80
+#: One in so many distinct texts is never learned from, so that ``measure`` can tell what the CRF finds there.
+HELD_OUT = 5
 
 #: Words near which a value is often a secret.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private")
@@ -54,7 +58,7 @@ APART = _table("\t\n\v\f\r \"'`,;<>(){}[]")
 CLASS = (LOWERCASE * 1 + UPPERCASE * 2 + DIGIT * 3 + HIGH * 1 + SYMBOL * 4).astype(np.uint8)
 
 #: Sizes of the token features, in the order in which ``features`` gives them.
-SIZES = (8, 10, 5, 6, 2, 2, 2, 2, 2, 3, 3, 10, 2)
+SIZES = (8, 10, 5, 6, 4, 2, 2, 2, 2, 2, 3, 3, 10, 2)
 
 
 def _keyword(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -80,7 +84,7 @@ class Tokens:
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     """Tokens (runs of letters, digits, ``+/_.-`` and non-ASCII bytes) with their feature numbers.
 
-    Shape: length, composition, share of digits, changes between letter and digit classes. Neighbours: a keyword as the
+    Shape: length, composition, shares of digits and capitals, changes between letter and digit classes. Neighbours: a keyword as the
     token before or two before, an assignment sign or quote before, the composition of the next token, no blank, quote
     or bracket since the token before. File: how common digits and assignment signs are in the document.
     """
@@ -137,6 +141,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         composition,
         np.digitize(digit / sizes, [0.01, 0.25, 0.6, 0.99]),
         np.digitize(changes, [1, 2, 4, 8, 16]),
+        np.digitize(upper / sizes, [0.01, 0.3, 0.7]),
         before.astype(np.int64),
         before2.astype(np.int64),
         near(ASSIGNS).astype(np.int64),
@@ -272,40 +277,156 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"hit": pa.array(hits, pa.bool_()).filter(keep), "key": batch["key"].filter(keep)})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows of the sampled documents: feature numbers and labels of up to WINDOW tokens around base spans,
-    or at a place given by the text's length where there are none."""
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: What introduces an assigned value, and what may stand there instead when the CRF is to do without.
+LEAD = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?\Z""")
+PHRASES = ("", "is ", "use ", "value ", "(", "with ", "Bearer ", "key ", "pwd ", "auth: ", "credential ", '"', "x=", "private key ", "see ")
+SIGNED = ("pwd: ", "auth=", "key = ", "token: ", "password=", "secret: ", "credential: ")
+
+
+def secret(rng: random.Random) -> tuple[str, str, str]:
+    """A made-up secret: name of its shape, what introduces it, the value."""
+    some = lambda chars, least, most: "".join(rng.choice(chars) for _ in range(rng.randint(least, most)))
+    mixed = _LOWER + _UPPER + _DIGITS
+    shape = rng.choice(("mixed", "base64", "capitals", "prefixed", "hex", "groups", "short", "joined"))
+    value = {
+        "mixed": lambda: some(mixed, 18, 42) + some(_DIGITS, 1, 2),
+        "base64": lambda: some(mixed + "+/", 20, 44) + some(_DIGITS, 1, 1) + "=" * rng.randint(0, 2),
+        "capitals": lambda: some(_UPPER + _DIGITS, 14, 32) + some(_DIGITS, 1, 2),
+        "prefixed": lambda: some(_LOWER, 2, 4) + rng.choice("_-") + some(mixed, 18, 36) + some(_DIGITS, 1, 2),
+        "hex": lambda: some("0123456789ABCDEF", 28, 44),
+        "groups": lambda: "-".join(some(_UPPER + _DIGITS, 5, 5) for _ in range(rng.randint(4, 6))),
+        "short": lambda: some(_LOWER + _UPPER, 4, 5) + some(_DIGITS, 2, 3) + some(_UPPER, 2, 3),
+        "joined": lambda: rng.choice(":@&!").join(some(mixed, 10, 16) + some(_DIGITS, 1, 1) for _ in range(rng.randint(2, 3))),
+    }[shape]()
+    return shape, rng.choice(SIGNED if shape == "short" else PHRASES), value
+
+
+def harmless(rng: random.Random) -> str:
+    """Something that looks a little like a secret, or stands where one might, and is none."""
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word = lambda least=3, most=9: some(_LOWER, rng.randint(least, most))
+    number = lambda most: str(rng.randint(1, most))
+    return rng.choice(
+        (
+            lambda: some(_DIGITS, rng.randint(6, 19)),
+            lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:00Z",
+            lambda: ".".join(number(255) for _ in range(4)),
+            lambda: f"{word()}.{word()}{number(99)}@{word()}{number(9)}.example.com",
+            lambda: f"https://www.{word()}.example.org/{word()}/{word()}-{number(9999)}/{word()}.html?id={number(10**6)}",
+            lambda: "-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+            lambda: f"/usr/{word()}/{word()}_{number(99)}.{word(3, 3)}",
+            lambda: f"v{number(9)}.{number(30)}.{number(99)}-{word()}{number(9)}",
+            lambda: word(16, 28),
+            lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4))),
+            lambda: "-".join(word() for _ in range(rng.randint(3, 5))),
+            lambda: f"+{number(99)}-{some(_DIGITS, 3)}-{some(_DIGITS, 7)}",
+            lambda: some(_UPPER, rng.randint(2, 5)) + "-" + number(99999),
+            lambda: some(_UPPER, rng.randint(6, 14)),
+            lambda: f"{rng.choice(KEYWORDS)}{rng.choice((': ', ' = ', ' ', ' is '))}{word()} {word()}",
+            lambda: f"{rng.choice(KEYWORDS)}{rng.choice((': ', ' = ', ' '))}{number(9999)}",
+        )
+    )()
+
+
+def variant(raw: bytes, own: list[tuple[int, int]], rng: random.Random) -> tuple[str, bytes, list[tuple[int, int]], int]:
+    """A text changed for training or for measuring: what it shows, its bytes, its secrets, and the place of the change.
+
+    With examples, their key words go, as do a known prefix and lower-case hexadecimal digits, which base spans go by.
+    Without, a made-up secret is put between two words, or as often something harmless.
+    """
+    if not own:
+        spaces = [m.start() for m in re.finditer(b" ", raw)] or [len(raw)]
+        at = rng.choice(spaces)
+        name, lead, value = secret(rng) if rng.random() < 0.5 else ("harmless", "", harmless(rng))
+        head = raw[:at] + b" " + lead.encode()
+        end = len(head) + len(value.encode())
+        return name, head + value.encode() + raw[at:], [(len(head), end)] if name != "harmless" else [], len(head)
+    out, done, found = [], 0, []
+    for low, high in own:
+        lead = LEAD.search(raw, max(done, low - 40), low)
+        out.append(raw[done : lead.start() if lead else low] + (rng.choice(PHRASES).encode() if lead else b""))
+        value = raw[low:high]
+        if value.startswith(b"AKIA"):
+            value = "".join(rng.choice(_UPPER) for _ in range(4)).encode() + value[4:]
+        if re.fullmatch(rb"[0-9a-f]+", value):
+            value = value.upper()
+        start = sum(map(len, out))
+        out.append(value)
+        found.append((start, start + len(value)))
+        done = high
+    return "masked", b"".join([*out, raw[done:]]), found, found[0][0]
+
+
+def _labels(tokens: Tokens, ranges: list[list[tuple[int, int]]]) -> tuple[np.ndarray, list[list[int]]]:
+    """Labels of all tokens, from the byte ranges [start, end) of each document's values, and each value's first token."""
+    label = np.full(len(tokens.starts), OUTSIDE)
+    centres: list[list[int]] = [[] for _ in ranges]
+    for d, own in enumerate(ranges):
+        for low, high in own:  # the value's tokens, from its start to its end
+            t = int(np.searchsorted(tokens.ends, low, "right"))
+            if t < len(label) and label[t] != OUTSIDE:  # a token that the value before reaches into
+                t += 1
+            label[t : np.searchsorted(tokens.starts, high, "left")] = INSIDE
+            if t < len(label) and label[t] == INSIDE:
+                label[t] = BEGIN
+                centres[d].append(t)
+    return label, centres
+
+
+def _changed(data: np.ndarray, offsets: np.ndarray, ranges: list[list[tuple[int, int]]], salt: int) -> tuple[list[str], np.ndarray, np.ndarray, list[list[tuple[int, int]]], list[int]]:
+    """A ``variant`` of each text, as names, bytes, offsets, ranges of secrets and places."""
+    raw, names, parts, secrets, places, at = data.tobytes(), [], [], [], [], 0
+    for d, own in enumerate(ranges):
+        low = int(offsets[d])
+        text = raw[low : int(offsets[d + 1])]
+        rng = random.Random(int.from_bytes(hashlib.blake2b(text, digest_size=8, salt=salt.to_bytes(2, "big")).digest(), "big"))
+        name, text, found, place = variant(text, [(a - low, b - low) for a, b in own], rng)
+        names.append(name)
+        parts.append(text)
+        secrets.append([(at + a, at + b) for a, b in found])
+        places.append(at + place)
+        at += len(text)
+    joined = np.frombuffer(b"".join(parts), np.uint8)
+    return names, joined, np.cumsum([0, *map(len, parts)]), secrets, places
+
+
+def _windows(batches: Iterator[pa.RecordBatch], change: bool = True) -> Iterator[pa.RecordBatch]:
+    """Training windows of the sampled documents: feature numbers and labels of up to WINDOW tokens around values, or at
+    a place given by the text's length where there are none; with ``change`` also around the place of a variant's change.
+
+    kind: 1 for windows with values of base spans, 2 with other secrets, 0 with none.
+    """
     for batch in batches:
         data, offsets = words.buffer(batch["text"].unique())
         rows: list[tuple[int, list[int], list[int]]] = []
         for i, j in words.spans_of_documents(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            tokens, spans = tokens_of(part, at), base_spans(part, at)
-            label = np.full(len(tokens.starts), OUTSIDE)
-            centres: list[list[int]] = [[] for _ in spans]
-            for d, own in enumerate(examples(part, at, spans)):
-                for low, high in own:  # the value's tokens, from its start to its end
-                    t = int(np.searchsorted(tokens.ends, low, "right"))
-                    if label[t] != OUTSIDE:  # a token that the value before reaches into
-                        t += 1
-                    label[t : np.searchsorted(tokens.starts, high, "left")] = INSIDE
-                    if t < len(label) and label[t] == INSIDE:
-                        label[t] = BEGIN
-                        centres[d].append(t)
-            for d in range(j - i):
-                low, high = int(tokens.first[d]), int(tokens.first[d + 1])
-                if low == high:
-                    continue
-                for c in (centres[d] or [low + (int(at[d + 1] - at[d]) * 7919) % (high - low)])[:WINDOWS_EACH]:
-                    a = max(low, min(c - WINDOW // 2, high - WINDOW))
-                    b = min(high, a + WINDOW)
-                    while label[a] == INSIDE:  # a window starts with no value's rest
-                        a += 1
-                    flat = np.stack([f[a:b] for f in tokens.features], 1).ravel().tolist()
-                    rows.append((int(bool(centres[d])), flat, label[a:b].tolist()))
+            ranges = examples(part, at, base_spans(part, at))
+            versions = [(1, part, at, ranges, [])]
+            if change:
+                versions.append((2, *_changed(part, at, ranges, 0)[1:]))
+            for kind, text, edges, secrets, places in versions:
+                tokens = tokens_of(text, edges)
+                label, centres = _labels(tokens, secrets)
+                for d in range(j - i):
+                    low, high = int(tokens.first[d]), int(tokens.first[d + 1])
+                    if low == high:
+                        continue
+                    if kind == 1:
+                        other = low + (int(edges[d + 1] - edges[d]) * 7919) % (high - low)
+                    else:
+                        other = min(high - 1, int(np.searchsorted(tokens.ends, places[d], "right")))
+                    for c in (centres[d] or [other])[:WINDOWS_EACH]:
+                        a = max(low, min(c - WINDOW // 2, high - WINDOW))
+                        b = min(high, a + WINDOW)
+                        while a < b - 1 and label[a] == INSIDE:  # a window starts with no value's rest
+                            a += 1
+                        flat = np.stack([f[a:b] for f in tokens.features], 1).ravel().tolist()
+                        rows.append((kind if centres[d] else 0, flat, label[a:b].tolist()))
         yield pa.record_batch(
             {
-                "hit": pa.array([r[0] for r in rows], pa.int32()),
+                "kind": pa.array([r[0] for r in rows], pa.int32()),
                 "features": pa.array([r[1] for r in rows], pa.list_(pa.int32())),
                 "labels": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
             }
@@ -368,26 +489,61 @@ def fit(windows: list[tuple[list[int], list[int]]], steps: int = STEPS) -> Crf:
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Crf | None:
-    """A CRF from the values of base spans, or None where the table has none.
+    """A CRF from the values of base spans and from made-up secrets, or None where no text has a token.
 
-    Distinct texts with and without examples are sampled apart, each by hash, so neither rare secrets nor copies change
-    what is learnt from: up to half of ``sample_rows`` distinct windows of either kind, all of which the fit uses.
+    What the base patterns go by is hidden in a third of the windows, so that shape and other neighbours have to do, and
+    harmless look-alikes are put into as many texts as made-up secrets are. Distinct texts with and without examples are
+    sampled apart, each by hash, so neither rare secrets nor copies change what is learnt from: up to a third of
+    ``sample_rows`` distinct windows of each kind, all of which the fit uses. One text in HELD_OUT is left out.
     """
-    each = max(1, sample_rows // 2)
+    each = max(1, sample_rows // 3)
     texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("key"))
+    texts = texts.where(F.pmod("key", F.lit(HELD_OUT)) != HELD_OUT - 1)
     keys = stash(texts.mapInArrow(_classes, "hit boolean, key long").distinct(), "keys")
     rows = {r["hit"]: r["count"] for r in keys.groupBy("hit").count().collect()}
-    if True not in rows:
+    if not rows:
         return None
-    below = F.when(F.col("hit"), min(1.0, 1.2 * each / rows[True])).otherwise(min(1.0, 1.2 * each / rows.get(False, 1)))
-    chance = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    below = F.when(F.col("hit"), min(1.0, 1.2 * each / rows.get(True, 1))).otherwise(min(1.0, 1.2 * each / rows.get(False, 1)))
+    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     taken = [r["key"] for r in keys.where(chance < below).collect()]  # some more than needed, as texts may share a window
     sampled = texts.where(F.col("key").isin(taken)).select("text")
-    windows = sampled.mapInArrow(_windows, "hit int, features array<int>, labels array<int>").distinct()
-    found = [(h, tuple(f), tuple(y)) for h, f, y in windows.collect()]  # at most WINDOWS_EACH a sampled text
+    windows = sampled.mapInArrow(_windows, "kind int, features array<int>, labels array<int>").distinct()
+    found = [(h, tuple(f), tuple(y)) for h, f, y in windows.collect()]  # at most 2 * WINDOWS_EACH a sampled text
     found.sort(key=lambda r: hashlib.md5(np.array([*r[1], *r[2]], np.int32).tobytes()).digest())
-    hits, others = [r[1:] for r in found if r[0]], [r[1:] for r in found if not r[0]]
-    return fit([*hits[:each], *others[:each]], steps) if hits else None
+    return fit([r[1:] for kind in (1, 2, 0) for r in [x for x in found if x[0] == kind][:each]], steps)
+
+
+def measure(docs: DataFrame, model: Crf) -> DataFrame:
+    """(shape, secrets, found, extra) over variants of the distinct texts that ``learn`` left out.
+
+    shape is ``masked`` for values without what base patterns go by, else that of the made-up secret, or ``harmless``.
+    found counts secrets that spans cover wholly, extra the CRF's spans that touch no secret.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            data, offsets = words.buffer(batch["text"])
+            for i, j in words.spans_of_documents(offsets):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                names, text, edges, secrets, _ = _changed(part, at, examples(part, at, base_spans(part, at)), 1)
+                for d, (base, added) in enumerate(byte_spans(text, edges, shared.value)):
+                    own = [(a - int(edges[d]), b - int(edges[d])) for a, b in secrets[d]]
+                    inside = np.zeros(int(edges[d + 1] - edges[d]), bool)
+                    for a, _, b in base + added:
+                        inside[a:b] = True
+                    inside |= BREAK[text[edges[d] : edges[d + 1]]]
+                    found = sum(bool(inside[a:b].all()) for a, b in own)
+                    extra = sum(not any(a < y and x < b for x, y in own) for a, _, b in added)
+                    out.append((names[d], len(own), found, extra))
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.string(), *[pa.int64()] * 3)
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["shape", "secrets", "found", "extra"])
+
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == HELD_OUT - 1).select("text").distinct()
+    rows = texts.where("text <> ''").mapInArrow(run, "shape string, secrets long, found long, extra long")
+    return rows.groupBy("shape").agg(*[F.sum(c).alias(c) for c in ("secrets", "found", "extra")])
 
 
 def beside(
@@ -409,25 +565,30 @@ def beside(
     return [(x, y) for x, y in pieces if any(x <= p and q <= y for p, q in inner)]
 
 
+def byte_spans(part: np.ndarray, at: np.ndarray, model: Crf | None) -> list[tuple[list, list]]:
+    """For each document its base spans and its added ones, as (start, kind, end) in bytes of the document."""
+    base = base_spans(part, at)
+    added: list[list[tuple[int, int, int]]] = [[] for _ in base]
+    if model is not None:
+        tokens = tokens_of(part, at)
+        for a, b in decode(model, tokens):
+            d = int(np.searchsorted(tokens.first, a, "right")) - 1
+            added[d] += [(low, 3, high) for low, high in beside(part, at, d, tokens, a, b, base[d])]
+    return list(zip(base, added))
+
+
 def scan_column(texts: pa.Array, model: Crf | None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and its added ones, as (start, kind, end) in code points."""
     data, offsets = words.buffer(texts)
     out = []
     for i, j in words.spans_of_documents(offsets):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        base = base_spans(part, at)
-        added: list[list[tuple[int, int, int]]] = [[] for _ in base]
-        if model is not None:
-            tokens = tokens_of(part, at)
-            for a, b in decode(model, tokens):
-                d = int(np.searchsorted(tokens.first, a, "right")) - 1
-                added[d] += [(low, 3, high) for low, high in beside(part, at, d, tokens, a, b, base[d])]
-        for d in range(j - i):
-            if not (base[d] or added[d]):
+        for d, (base, added) in enumerate(byte_spans(part, at, model)):
+            if not (base or added):
                 out.append(([], []))
                 continue
             point = np.concatenate([[0], np.cumsum((part[at[d] : at[d + 1]] & 0xC0) != 0x80)])
-            out.append(tuple([(int(point[a]), k, int(point[b])) for a, k, b in own] for own in (base[d], added[d])))
+            out.append(tuple([(int(point[a]), k, int(point[b])) for a, k, b in own] for own in (base, added)))
     return out
 
 
