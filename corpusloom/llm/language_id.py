@@ -18,22 +18,28 @@ ORDER = 3
 PAD = 10
 #: Labelled documents that one language's tree is learned from: the expected number, taken by the hashes of their ids.
 SAMPLE_ROWS = 400
+#: Languages at most, and bytes of a model that is broadcast; a table that needs more is refused.
+LANGUAGES, MODEL_BYTES = 1000, 512 << 20
 UNDETERMINED = "und"
 
 
 @dataclass
 class Model:
-    """Frozen statistics of all languages, as tables over the union of their contexts.
+    """Frozen statistics of all languages, for what any language has seen.
 
-    symbol: byte -> small number, 0 for bytes never seen. node: number of the longest known context for three symbols.
-    bits: [language, node * symbols + symbol] -> code length in bits.
+    For each order k: grams, the sorted codes of k + 1 bytes; bits [language, gram], what the last byte costs after the
+    others; contexts, the sorted codes of k bytes; escapes [language, context], what leaving the context costs, with a
+    column of zeros for contexts that none has seen.
     """
 
     languages: list[str]
-    symbol: np.ndarray
-    symbols: int
-    node: np.ndarray
-    bits: np.ndarray
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for part in (self.grams, self.bits, self.contexts, self.escapes) for x in part)
 
 
 def build(counts: list[tuple[str, int, int]]) -> Model:
@@ -44,45 +50,35 @@ def build(counts: list[tuple[str, int, int]]) -> Model:
     empty context all 256 bytes weigh the same. There is no exclusion and no update: statistics are frozen.
     """
     languages = sorted({x[0] for x in counts})
-    seen = sorted({b for _, g, _ in counts for b in g.to_bytes(4, "big")} | {PAD})
-    symbol = np.zeros(256, np.int64)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    n = len(seen) + 1
-    grams = {}
-    for lang in languages:
-        own = [(g, c) for x, g, c in counts if x == lang]
-        code = np.array([g for g, _ in own], np.int64)
-        s = [symbol[code >> shift & 255] for shift in (24, 16, 8, 0)]
-        grams[lang] = s, np.array([c for _, c in own], np.float64)
-    # contexts of each order as numbers of base n, over all languages; ids: the empty context, then order 1, 2, 3
-    contexts, base = [np.zeros(1, np.int64)], [0]
-    for k in range(1, ORDER + 1):
-        every = [sum(s[3 - j] * n ** (j - 1) for j in range(1, k + 1)) for s, _ in grams.values()]
-        contexts.append(np.unique(np.concatenate(every)) if every else np.zeros(0, np.int64))
-        base.append(base[-1] + len(contexts[k - 1]))
-    total = base[-1] + len(contexts[-1])
-    node = np.zeros(n**3, np.int32)
-    cube = node.reshape(n, n, n)
-    cube[:, :, contexts[1]] = base[1] + np.arange(len(contexts[1]))
-    cube[:, contexts[2] // n, contexts[2] % n] = base[2] + np.arange(len(contexts[2]))
-    node[contexts[3]] = base[3] + np.arange(len(contexts[3]))
-    bits = np.zeros((len(languages), total, n), np.float32)
-    for i, lang in enumerate(languages):
-        s, c = grams[lang]
-        shorter = np.full((1, n), 8.0)
-        for k in range(ORDER + 1):
-            of = sum((s[3 - j] * n ** (j - 1) for j in range(1, k + 1)), np.zeros(len(c), np.int64))
-            row = np.searchsorted(contexts[k], of)
-            table = np.zeros((len(contexts[k]), n))
-            np.add.at(table, (row, s[3]), c)
-            occurrences, different = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            below = shorter[np.searchsorted(contexts[k - 1], contexts[k] % n ** (k - 1)) if k else np.zeros(1, int)]
+    number = {x: i for i, x in enumerate(languages)}
+    owner = np.array([number[x] for x, _, _ in counts], np.int64)
+    code = np.array([g for _, g, _ in counts], np.int64)
+    weight = np.array([c for _, _, c in counts], np.float64)
+    model = Model(languages, [], [], [], [])
+    for k in range(ORDER + 1):
+        own = code & (1 << 8 * (k + 1)) - 1
+        grams = np.unique(own)
+        contexts, context = np.unique(grams >> 8, return_inverse=True)
+        rows, size = np.searchsorted(grams, own), len(languages) * (len(grams) + 2 * len(contexts)) * 4
+        if size > MODEL_BYTES:
+            raise ValueError(f"{len(languages)} languages need a model of more than {MODEL_BYTES} bytes: learn from fewer rows of each")
+        bits, escapes = np.zeros((len(languages), len(grams)), np.float32), np.zeros((len(languages), len(contexts) + 1), np.float32)
+        for i in range(len(languages)):
+            mine = owner == i
+            seen = np.bincount(rows[mine], weight[mine], len(grams))
+            occurrences = np.bincount(context, seen, len(contexts))
+            different = np.bincount(context, seen > 0, len(contexts))
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(occurrences > 0, -np.log2(different / (occurrences + different)), 0.0)
-                own = -np.log2(table / (occurrences + different))
-            shorter = np.where(table > 0, own, escape + below)
-            bits[i, base[k] : base[k] + len(contexts[k])] = shorter
-    return Model(languages, symbol, n, node, bits.reshape(len(languages), total * n))
+                leave = np.where(occurrences > 0, -np.log2(different / (occurrences + different)), 0.0)
+                stay = -np.log2(seen / (occurrences + different)[context])
+            shorter = model.bits[k - 1][i][np.searchsorted(model.grams[k - 1], grams & (1 << 8 * k) - 1)] if k else 8.0
+            bits[i] = np.where(seen > 0, stay, leave[context] + shorter)
+            escapes[i, :-1] = leave
+        model.grams.append(grams)
+        model.bits.append(bits)
+        model.contexts.append(contexts)
+        model.escapes.append(escapes)
+    return model
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -97,21 +93,39 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return _sums(model, data, offsets[:-1][offsets[:-1] < len(data)], offsets)
 
 
+def _found(ranked: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the codes among the sorted ones, and whether they are there."""
+    at = np.minimum(np.searchsorted(ranked, codes), max(0, len(ranked) - 1))
+    return at, ranked[at] == codes if len(ranked) else np.zeros(len(codes), bool)
+
+
 def _sums(model: Model, data: np.ndarray, begin: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    n = model.symbols
-    s = model.symbol[data]
-    before = [s]
-    for _ in range(ORDER):
-        last = np.empty_like(s)
-        last[1:] = before[-1][:-1]
-        if len(s):
-            last[begin] = model.symbol[PAD]
-        before.append(last)
-    at = model.node[(before[3] * n + before[2]) * n + before[1]].astype(np.int64) * n + s
     out = np.zeros((len(offsets) - 1, len(model.languages)))
     full = np.flatnonzero(np.diff(offsets))
-    for i in range(len(model.languages)) if len(full) else ():
-        out[full, i] = np.add.reduceat(model.bits[i][at], offsets[:-1][full], dtype=np.float64)
+    if not len(full) or not model.languages:
+        return out
+    before, code = data.astype(np.int64), data.astype(np.int64)
+    for k in range(1, ORDER + 1):
+        last = np.empty_like(before)
+        last[1:] = before[:-1]
+        last[begin] = PAD
+        before, code = last, code | last << 8 * k
+    # from the longest context down, what is known there; the rest escapes to the next shorter one
+    steps, left = [], np.arange(len(code))
+    for k in range(ORDER, -1, -1):
+        own = code[left] & (1 << 8 * (k + 1)) - 1
+        at, known = _found(model.grams[k], own)
+        rest = own[~known] >> 8
+        context, there = _found(model.contexts[k], rest)
+        steps.append((k, left[known], at[known], left[~known], np.where(there, context, len(model.contexts[k]))))
+        left = left[~known]
+    for i in range(len(model.languages)):
+        bits = np.zeros(len(code), np.float32)
+        bits[left] = 8.0
+        for k, have, at, go, context in steps:
+            bits[have] += model.bits[k][i][at]
+            bits[go] += model.escapes[k][i][context]
+        out[full, i] = np.add.reduceat(bits, offsets[:-1][full], dtype=np.float64)
     return out
 
 
@@ -122,7 +136,9 @@ def learned_rows(docs: DataFrame, sample_rows: int) -> DataFrame:
     ``sample_rows`` over that count. So no task gathers a language's rows, however common it is.
     """
     allowed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    counts = allowed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    counts = allowed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()  # a row a language
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return allowed.select("lang", "text").limit(0)
     shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_rows / r["n"])))])
@@ -196,7 +212,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was learned from
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of MODEL_BYTES at most
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
