@@ -11,6 +11,8 @@ BROADCAST_SOURCES = 10_000
 LARGEST_MEAN = 32.0
 #: Terms of the cumulative distribution: at a mean of 32 the rest is below 2**-53.
 TERMS = 140
+#: Copies of a row that one task makes at once; a rate above half of it sends rows through an exchange in spans of copies.
+SPAN = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -33,8 +35,9 @@ def poisson_cdf(mean: Column) -> Column:
     )
 
 
-def rates(docs: DataFrame, weights: DataFrame | None, target_rows: int | None) -> tuple[DataFrame, int]:
-    """For each source its mean repetition rate: its share of the target rows over the rows it has; their number."""
+def rates(docs: DataFrame, weights: DataFrame | None, target_rows: int | None) -> tuple[DataFrame, int, float]:
+    """For each source its mean repetition rate: its share of the target rows over the rows it has; their number and the
+    largest rate."""
     have = docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
         shared = have.withColumn("weight", F.lit(1.0))
@@ -42,11 +45,12 @@ def rates(docs: DataFrame, weights: DataFrame | None, target_rows: int | None) -
         w = weights.groupBy(F.col("source").alias("w_source")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         shared = have.join(w, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
         shared = shared.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    sums = shared.agg(F.sum("weight"), F.sum("rows"), F.count(F.lit(1))).first()  # three numbers to the driver
+    sums = shared.agg(F.sum("weight"), F.sum("rows"), F.count(F.lit(1)), F.max(F.col("weight") / F.col("rows"))).first()  # four numbers to the driver
     all_weight, all_rows, sources = float(sums[0] or 0), float(sums[1] or 0), sums[2]
     target = float(target_rows) if target_rows is not None else all_rows
     share = F.col("weight") / F.lit(all_weight) if all_weight > 0 else F.lit(0.0)
-    return shared.select("source", (share * F.lit(target) / F.col("rows")).alias("rate")), sources
+    largest = float(sums[3] or 0) / all_weight * target if all_weight > 0 else 0.0
+    return shared.select("source", (share * F.lit(target) / F.col("rows")).alias("rate")), sources, largest
 
 
 def mix_sources(
@@ -67,7 +71,7 @@ def mix_sources(
     empty result.
     """
     docs = docs.drop("copy", "n_copies", "shuffle_key", *[c for c in docs.columns if c.startswith("__mix_")])
-    table, sources = rates(docs, weights, target_rows)
+    table, sources, largest = rates(docs, weights, target_rows)
     table = table.select(
         F.col("source").alias("__mix_source"),
         F.ceil(F.col("rate") / LARGEST_MEAN).cast("int").alias("__mix_parts"),
@@ -84,11 +88,13 @@ def mix_sources(
     )
     count = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("__mix_cdf", lambda c: c <= u)))
     counted = docs.join(table, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("n_copies", count)
-    copies = (
-        counted.where("n_copies > 0")
-        .drop("__mix_source", "__mix_parts", "__mix_rate", "__mix_cdf")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    )
+    copies = counted.where("n_copies > 0").drop("__mix_source", "__mix_parts", "__mix_rate", "__mix_cdf")
+    if largest > SPAN / 2:  # rows in spans of copies first, dealt out, so that no task makes all copies of a row
+        copies = copies.withColumn("__mix_span", F.explode(F.expr(f"sequence(0, (n_copies - 1) div {SPAN})")))
+        copies = copies.repartition(F.md5(F.concat_ws(":", key, F.col("__mix_span").cast("string"))))
+        copies = copies.withColumn("copy", F.explode(F.expr(f"sequence(cast(__mix_span * {SPAN} + 1 AS int), cast(least(__mix_span * {SPAN} + {SPAN}, n_copies) AS int))"))).drop("__mix_span")
+    else:
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), key, F.col("copy").cast("string")))
     return copies.withColumn("shuffle_key", order).repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
