@@ -113,19 +113,22 @@ def _ogg(b: bytes, at: int) -> int | None:
 
 def _pdf(b: bytes, at: int) -> int | None:
     end = b.rfind(b"%%EOF", at)
-    return end + 5 if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else None
+    return end + 5 if end > 0 and b[at + 5 : at + 6].isdigit() and b.rfind(b"startxref", at, end) > 0 else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
-    stream = zlib.decompressobj(31)
+    stream, view = zlib.decompressobj(31), memoryview(b)
     try:
-        feed = b[at:]
-        while feed and not stream.eof:
-            stream.decompress(feed, 1 << 20)
-            feed = stream.unconsumed_tail
+        for p in range(at, len(b), 1 << 16):
+            feed = view[p : p + (1 << 16)]
+            while feed and not stream.eof:
+                stream.decompress(feed, 1 << 20)
+                feed = stream.unconsumed_tail
+            if stream.eof:
+                return min(p + (1 << 16), len(b)) - len(stream.unused_data)
     except zlib.error:
         return None
-    return len(b) - len(stream.unused_data) if stream.eof else None
+    return None
 
 
 #: (magic bytes, media type, validator: bytes and start -> end, or None where structure or lengths are wrong)
@@ -171,14 +174,24 @@ def true_type(value: bytes, found: list[tuple[str, int, int]]) -> str:
     return next((kind for kind, a, b in found if a == 0 and b == len(value)), UNKNOWN)
 
 
+def outermost(found: list[tuple[str, int, int]], whole: int) -> list[tuple[str, int, int]]:
+    """Of the media other than the whole value, by start, those that begin after the one before them has ended."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in found:
+        if (a, b) != (0, whole) and (not out or a >= out[-1][2]):
+            out.append((kind, a, b))
+    return out
+
+
 def sniff_media(df: DataFrame, content: str = "content", declared: str = "declared") -> DataFrame:
     """Add detected, corrected and carved to a table with a binary column and the type it was declared to have.
 
     detected is the type of the medium that fills the value, found by its signature and confirmed by its structure and
     lengths; corrected tells whether it differs from the declared type; carved lists media at other places (type,
     start, end, data). Defined cases: null or empty content is of unknown type and carves nothing; a signature whose
-    structure fails is no medium; overlapping and nested media are all listed; input columns of these names are
-    replaced; an empty table gives an empty result.
+    structure fails is no medium; media inside a carved one, or overlapping its end, are not carved beside it (its data
+    can be sniffed again), so what is carved is no larger than the value; input columns of these names are replaced;
+    repeated rows are sniffed alike; an empty table gives an empty result.
     """
     prepare(df.sparkSession)
     df = df.drop("detected", "corrected", "carved")
@@ -194,7 +207,7 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str = "declar
                 found = sniff(value, signatures)
                 kinds.append(kind := true_type(value, found))
                 wrong.append(kind != said)
-                inner = [x for x in found if (x[1], x[2]) != (0, len(value))]
+                inner = outermost(found, len(value))
                 carved.append([{"type": k, "start": a, "end": b, "data": value[a:b]} for k, a, b in inner])
             columns = [*batch.columns, pa.array(kinds, pa.string()), pa.array(wrong), pa.array(carved, pa.list_(item))]
             yield pa.record_batch(columns, names=[*names, "detected", "corrected", "carved"])
