@@ -18,6 +18,8 @@ from corpusloom.session import extended, prepare
 SPACE = "▁"
 #: Words kept with their pieces by one Python worker, and the longest word that is kept.
 CACHE_WORDS, CACHE_LENGTH = 150_000, 40
+#: Characters of one Viterbi run, beyond which a text is cut where no piece crosses.
+RUN = 1 << 16
 #: What a character without a piece scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -45,6 +47,7 @@ class Encoder(dict):
         for i in plain:
             self.automaton.add_word(texts[i], (len(texts[i]), model.get_score(i), i))
         self.automaton.make_automaton()
+        self.longest = max(len(texts[i]) for i in plain)
         self.unknown = min(model.get_score(i) for i in plain) - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
         self.byte_ids = {int(texts[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
@@ -59,7 +62,7 @@ class Encoder(dict):
         self.by_word = all(SPACE not in texts[i].lstrip(SPACE) for i in plain)
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.viterbi(SPACE + word), np.int32).tobytes()
+        packed = self.packed(SPACE + word)
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -98,12 +101,44 @@ class Encoder(dict):
         out.reverse()
         return out
 
+    def cuts(self, text: str) -> list[int]:
+        """Ends of runs of about RUN characters that no piece of the text crosses, so that every path passes them."""
+        out, at = [], 0
+        while len(text) - at > RUN + 2 * self.longest:
+            reach = RUN
+            while True:  # from here on, look for a place between pieces; a text of overlapping ones is one run
+                low, high = at + reach, min(len(text), at + 2 * reach)
+                crossed = np.zeros(high - low + 1, np.int32)
+                begin = max(at, low - self.longest)
+                for last, (size, _, _) in self.automaton.iter(text[begin : min(len(text), high + self.longest)]):
+                    a, b = begin + last + 2 - size, begin + last + 1  # a piece crosses the places a .. b - 1
+                    if a < b and b > low and a <= high:
+                        crossed[max(a, low) - low] += 1
+                        if b <= high:
+                            crossed[b - low] -= 1
+                free = np.flatnonzero(np.cumsum(crossed) == 0)
+                if len(free) or high == len(text):
+                    break
+                reach *= 2
+            if not len(free):
+                break
+            at = low + int(free[0])
+            out.append(at)
+        return [*out, len(text)]
+
+    def packed(self, text: str) -> bytes:
+        """Packed ids of the best path, in runs of bounded memory."""
+        if len(text) <= 2 * RUN:
+            return np.array(self.viterbi(text), np.int32).tobytes()
+        ends = self.cuts(text)
+        return b"".join(np.array(self.viterbi(text[a:b]), np.int32).tobytes() for a, b in zip([0, *ends], ends) if a < b)
+
     def encode(self, text: str) -> bytes:
         """Packed int32 ids of a whole text; a space symbol stands before it, as the models are made for."""
         if not text:
             return b""
         if not self.by_word:
-            return np.array(self.viterbi(SPACE + text.replace(" ", SPACE)), np.int32).tobytes()
+            return self.packed(SPACE + text.replace(" ", SPACE))
         if "  " in text or text[0] == " " or text[-1] == " ":
             words = [x[1:] for x in _RUNS.findall(SPACE + text.replace(" ", SPACE))]
         else:
