@@ -212,6 +212,11 @@ def test_mixing(spark):
     only = source_mixing.mix_sources(docs, weights, target_rows=100_000).groupBy("source").count().collect()
     assert [r["source"] for r in only] == ["hot"] and abs(only[0]["count"] - 100_000) < 5 * 100_000**0.5
     assert source_mixing.mix_sources(docs.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, "t", "s"), (2, "u", "r")], "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("s", 1.0)], "source string, weight double")
+    many = source_mixing.mix_sources(one, weights, target_rows=30_000)  # in spans of copies
+    found = many.agg(F.count("*"), F.count_distinct("copy"), F.min("copy"), F.max("copy"), F.max("n_copies"), F.max("doc_id")).first()
+    assert found[0] == found[1] == found[3] == found[4] and found[2] == found[5] == 1 and abs(found[0] - 30_000) < 1000
 
 
 def test_poisson_is_inverted(spark):

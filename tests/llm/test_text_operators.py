@@ -77,6 +77,16 @@ def test_round_trip(spark, coder):
     assert [r["n_tokens"] for r in back] == [len(r["ids"] or []) for r in back] and back[0]["ids"] is None
     words = coder.viterbi(pieces.SPACE + "a" + pieces.SPACE + "b")
     assert np.frombuffer(coder.encode("a b"), np.int32).tolist() == words
+    assert pieces.decode(pieces.encode(frame(spark, texts)).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["日本語のテキスト" * 500, "theinanderthe" * 300, "a" * 3000 + "日" * 3000, "the▁▁▁thing" * 200])
+def test_long_runs_are_cut_between_pieces(coder, monkeypatch, text):
+    whole = coder.viterbi(text)
+    monkeypatch.setattr(pieces, "RUN", 64)
+    ends = coder.cuts(text)
+    assert ends[-1] == len(text) and ends == sorted(ends)
+    assert np.frombuffer(coder.packed(text), np.int32).tolist() == whole
 
 
 # --- token counts
@@ -107,10 +117,54 @@ def test_token_counts(spark, rule):
 
 
 def test_crossing_tokens_go_by_rule():
-    begin, end, starts = np.array([0, 2, 5]), np.array([2, 5, 9]), np.array([0, 3, 6, 7])
-    assert token_counts.attribute(begin, end, starts, "first")[0].tolist() == [0, 0, 1]
-    assert token_counts.attribute(begin, end, starts, "last")[0].tolist() == [0, 1, 3]
-    assert token_counts.attribute(begin, end, starts, "most")[0].tolist() == [0, 1, 3]
+    begin, end, starts, ends = np.array([0, 2, 5]), np.array([2, 5, 9]), np.array([0, 3, 6, 7]), np.array([3, 6, 7, 9])
+    assert token_counts.attribute(begin, end, starts, ends, "first")[0].tolist() == [0, 0, 1]
+    assert token_counts.attribute(begin, end, starts, ends, "last")[0].tolist() == [0, 1, 3]
+    section, crossing = token_counts.attribute(begin, end, starts, ends, "most")
+    assert section.tolist() == [0, 1, 3] and crossing.tolist() == [False, True, True]
+    section, crossing = token_counts.attribute(begin, end, np.array([4]), np.array([5]), "most")
+    assert section.tolist() == [-1, 0, -1] and crossing.tolist() == [False, True, False]
+
+
+def slow_by_section(coder, text, sections, rule):
+    """Tokens by section through the characters that each token's bytes touch."""
+    raw, at, found, outside = text.encode(), 0, [0] * len(sections), 0
+    for token in coder.encode_ordinary(text):
+        size = len(coder.decode_single_token_bytes(token))
+        chars = sorted({len(raw[: j + 1].decode(errors="replace")) - 1 for j in range(at, at + size)})
+        at += size
+        own = [next((s for s, (a, b) in enumerate(sections) if a <= c < b), None) for c in chars]
+        own = [s for s in own if s is not None]
+        if own:
+            found[{"first": own[0], "last": own[-1], "most": max(dict.fromkeys(own), key=own.count)}[rule]] += 1
+        else:
+            outside += 1
+    return found, outside
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_by_section_and_field(spark, rule):
+    texts = [None, "", "one two three four", "日本語 の テキスト 😀 text", "no sections here"]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(2, texts[2], "x"), (None, "a b", "x")], "doc_id long, text string, name string")
+    sections = [(2, "b", 5, 9), (2, "a", 0, 5), (2, "over", 7, 12), (2, "far", 40, 50), (3, "c", 1, 6), (3, "d", 6, None), (3, None, 9, 4), (1, "e", 0, 3), (9, "f", 0, 1), (3, "g", -4, 1)]
+    table = spark.createDataFrame([(*s, "y") for s in sections], "doc_id long, name string, start long, end long, text string")
+    found = token_counts.token_counts_by_section(docs, table, rule).collect()
+    coder, _ = token_counts.encoding(*token_counts.default_vocabulary())
+    expected = {2: [("a", 0, 5), ("b", 5, 9), ("over", 9, 12), ("far", 18, 18)], 3: [("g", 0, 1), ("d", 1, 1), ("c", 1, 6), (None, 9, 9)], 1: [("e", 0, 0)]}
+    rows = []
+    for k, t in [*enumerate(texts), (2, texts[2]), (None, "a b")]:
+        own = expected.get(k, [])
+        counts, outside = slow_by_section(coder, t or "", [x[1:] for x in own], rule)
+        rows += [(k, *x, n) for x, n in zip(own, counts)] + [(k, None, 0, len(t or ""), outside)]
+    got = [(r["doc_id"], r["name"], r["start_char"], r["end_char"], r["n_tokens"]) for r in found]
+    strip = lambda xs: sorted(((i, n, m) for i, n, _, _, m in xs), key=repr)
+    assert strip(got) == strip(rows)
+    by_field = token_counts.token_counts_by_field(docs, ["text", "name"], rule).collect()
+    assert len(by_field) == 3 * len(rows_of := [*texts, texts[2], "a b"])
+    whole = sum(len(coder.encode_ordinary((t or "") + "\nx")) for t in rows_of)
+    assert sum(r["n_tokens"] for r in by_field) == whole
+    assert token_counts.token_counts_by_section(docs.limit(0), table).count() == 0
+    assert token_counts.token_counts_by_section(docs, table.limit(0)).count() == docs.count()
 
 
 # --- language ID
@@ -176,6 +230,19 @@ def test_identify(spark):
     assert [r["lang_pred"] for r in language_id.identify(docs.limit(1), language_id.build([])).collect()] == ["und"]
 
 
+def test_model_grows_with_what_is_seen():
+    """Eight languages of little common text need a few MB, and what needs too much is refused."""
+    rng = np.random.default_rng(3)
+    rows = [(f"l{k}", int(g), 1) for k in range(8) for g in np.unique(rng.integers(0, 2**32, 5000))]
+    assert language_id.build(rows).nbytes() < 20 << 20
+    most, language_id.MODEL_BYTES = language_id.MODEL_BYTES, 1 << 20
+    try:
+        with pytest.raises(ValueError):
+            language_id.build(rows)
+    finally:
+        language_id.MODEL_BYTES = most
+
+
 # --- secrets
 
 
@@ -347,6 +414,11 @@ def test_sniffing_and_carving(spark):
     found = media.sniff_media(spark.createDataFrame(rows, "id long, content binary, declared string, carved int")).orderBy("id").collect()
     assert [(r["detected"], r["corrected"]) for r in found] == [("image/png", True), (media.UNKNOWN, True), (media.UNKNOWN, True), (media.UNKNOWN, False)]
     assert [(c["type"], bytes(c["data"])) for c in found[1]["carved"]] == [("image/gif", GIF), ("image/bmp", BMP)]
+    many = b"x" + b"%PDF-1.4\n" * 2000 + b"startxref\n0\n%%EOF"
+    table = spark.createDataFrame([(many, "x"), (b"y" + gzip.compress(many * 9) + b"tail", "x")], "content binary, declared string")
+    own = media.sniff_media(table).collect()
+    assert [[(c["type"], c["start"], c["end"]) for c in r["carved"]] for r in own] == [[("application/pdf", 1, len(many))], [("application/gzip", 1, 1 + len(gzip.compress(many * 9)))]]
+    assert media.sniff_media(table.limit(0)).count() == 0
 
 
 def test_text_media(spark):
