@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +38,11 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only in local mode, where all tasks share the machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         global _own
         if _own is None:
             _own = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
@@ -48,14 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 _own: str | None = None
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written inside each running ``settled``.
+_scopes: list[list[DataFrame]] = []
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the reread table.
 
     Unlike ``checkpoint()`` the rows are computed a single time, and columns are pruned on reading. The files survive
-    lost executors and are removed when the application ends. The shuffle files of the write are removed with its end,
-    so a job of many steps needs the disk of its largest step only.
+    lost executors and are removed by ``discard``, by the ``settled`` around, or when the application ends. The shuffle
+    files of the write are removed with its end, so a job of many steps needs the disk of its largest step only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{name}"
@@ -68,17 +74,43 @@ def stash(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(SHUFFLE_CLEANUP)
         else:
             spark.conf.set(SHUFFLE_CLEANUP, before)
-    _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.stash_path = path
+    atexit.register(_discard_at_exit, written)
+    if _scopes:
+        _scopes[-1].append(written)
+    return written
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            target = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the context is gone already: the cluster's own clean-up of the folder applies
-            pass
-
-    atexit.register(remove)
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stash`` the table that ``make`` gives, then remove the tables that were written on the way to it."""
+    _scopes.append([])
+    try:
+        result = stash(make(), name)
+    finally:
+        inner = _scopes.pop()
+    for table in inner:
+        if table is not result:
+            discard(table)
+    if _scopes:
+        _scopes[-1].append(result)
+    return result
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``stash`` wrote; nothing that reads it may run any more. Others are left alone."""
+    path = getattr(table, "stash_path", None)
+    spark = table.sparkSession
+    if path is None or spark.sparkContext._jsc is None:  # the context is gone: the cluster's own clean-up applies
+        return
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    table.stash_path = None
+
+
+def _discard_at_exit(table: DataFrame) -> None:
+    try:
+        discard(table)
+    except Exception:  # the JVM is gone already: the cluster's own clean-up of the folder applies
+        pass
