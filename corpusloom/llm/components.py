@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import stash
+from corpusloom.session import discard, stash
 
 #: Nodes up to which their labels (some tens of bytes each) are broadcast; beyond, joins shuffle both sides.
 BROADCAST_NODES = 500_000
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stash(edges.where("a <> b").select("a", "b").distinct(), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    labels = stash(first.select("node", F.least("node", "root").alias("root")), "labels")
+    labels = held = stash(first.select("node", F.least("node", "root").alias("root")), "labels")
     side = F.broadcast if labels.count() <= BROADCAST_NODES else lambda df: df
     while True:
         near = (
@@ -33,7 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = side(labels.select(F.col("node").alias("root"), F.col("root").alias("next")))
         new = lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root"))
         new = stash(new, "labels")
+        discard(held)
+        held = new
         changed = new.where("root <> old").limit(1).count()
         labels = new.select("node", "root")
         if not changed:
+            discard(edges)
             return side(labels)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks, words
 from corpusloom.llm.components import components
-from corpusloom.session import prepare, stash
+from corpusloom.session import discard, prepare, stash
 
 U = np.uint64
 #: Bits of a set's signature, as 64-bit numbers.
@@ -236,7 +236,9 @@ def together(
             break
         edges = edges.unionByName(found)
         roots = components(edges)
-        left = stash(apart(rest, roots), "open")
+        before, left = left, stash(apart(rest, roots), "open")
+        discard(before)
+        discard(picked)
     return edges, roots, left.select("a", "b", "differing")
 
 
