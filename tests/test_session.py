@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from types import SimpleNamespace
 
 import pytest
 
@@ -28,7 +29,10 @@ def test_settled_removes_what_it_passed(spark):
     assert outer.stash_path is None
 
 
-def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+def test_no_machine_local_folder_on_a_cluster():
+    unset = SimpleNamespace(get=lambda key, default: default)
     with pytest.raises(RuntimeError):
-        session.shared_dir(spark)
+        session.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert session.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file://")
+    given = SimpleNamespace(get=lambda key, default: "hdfs://some/folder/")
+    assert session.shared_dir(SimpleNamespace(conf=given)) == "hdfs://some/folder"
