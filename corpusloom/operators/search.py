@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial, reduce
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +21,8 @@ from corpusloom.session import prepare
 K1, B = 1.5, 0.75
 TITLE_BONUS, PHRASE_BONUS, KEYWORD_BONUS = 3.0, 2.0, 0.5
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
+#: Added to a hundredfold score before its decimals are cut, so that sums in another order give the same number.
+ROUNDING = 1e-9
 
 RESULT = [
     "id", "title", "type", "document_id", "relevance_score", "preview", "match_count", "summary", "heading_level",
@@ -44,8 +48,9 @@ def search(sections: DataFrame, query: str, document_id: str | None = None, limi
 
     Document frequencies always count the whole corpus; the average length is that of the scope. Each section is
     scored on its own text (section ids are unique in a document only). One aggregate brings the statistics, a number a
-    term, to the driver; they are literals of a single scan, and the top rows come without a full sort. Sections
-    without a hit are left out; a query without terms finds nothing. Neighbours are those in the scope, so without a document they cross its border.
+    term, to the driver; they are literals of a single scan, and the top rows come without a full sort. These, MAX_LIMIT
+    at most, are the result. Sections without a hit are left out; a query without terms finds nothing. Neighbours are
+    those in the scope, so without a document they cross its border.
     """
     terms = t.terms_of(query)
     spark = sections.sparkSession
@@ -72,17 +77,17 @@ def search(sections: DataFrame, query: str, document_id: str | None = None, limi
     found = (
         rows.withColumn("score", score)
         .where("score > 0")
-        .withColumn("relevance_score", (F.col("score") * 100).cast("int"))
+        .withColumn("relevance_score", (F.col("score") * 100 + ROUNDING).cast("int"))
         .orderBy(F.desc("relevance_score"), "doc_ord", "ord")
         .limit(clamped(limit))
     )
     hits = sum((lc.contains(w).cast("int") for w in terms), F.lit(0))
     found = found.withColumn("match_count", hits).withColumn("preview", t.context_preview(F.col("content"), lc, [F.lit(w) for w in terms]))
-    if document_id:
-        found = found.withColumn("previous_section_id", F.col("prev_section_id"))
-    else:
-        found = across_borders(found, sections)
-    return found.select(*_projected()).orderBy(F.desc("relevance_score"), "doc_ord", "ord").select(RESULT)
+    found = found.withColumn("previous_section_id", F.col("prev_section_id")).select(*_projected())
+    top = found.orderBy(F.desc("relevance_score"), "doc_ord", "ord").collect()
+    if not document_id:
+        top = across_borders(top, sections)
+    return spark.createDataFrame(top, found.schema).select(RESULT)
 
 
 def _projected() -> list[Column]:
@@ -100,43 +105,44 @@ def _kinds() -> dict[str, str]:
     return {c: "int" if c in whole else "string" for c in RESULT}
 
 
-def across_borders(found: DataFrame, sections: DataFrame) -> DataFrame:
-    """Neighbours of the few found rows where these are first or last in their documents: the nearest documents' ends.
+def across_borders(top: list[Row], sections: DataFrame) -> list[Row]:
+    """Found rows with neighbours also where they are first or last in their documents: the nearest documents' ends.
 
-    Only found rows (at most ``MAX_LIMIT``) are broadcast against the documents' ends, so no global order is built.
+    One aggregate over the ends of documents, with a number for each such row; there are MAX_LIMIT at most.
     """
-    ends = sections.where("prev_section_id IS NULL OR next_section_id IS NULL").select(
-        F.col("doc_ord").alias("other"),
-        F.when(F.col("prev_section_id").isNull(), F.col("section_id")).alias("first_id"),
-        F.when(F.col("next_section_id").isNull(), F.col("section_id")).alias("last_id"),
-    )
-    edge = found.where("prev_section_id IS NULL OR next_section_id IS NULL").select("doc_ord", "ord")
-    near = (
-        ends.join(F.broadcast(edge), F.col("other") != F.col("doc_ord"))
-        .groupBy("doc_ord", "ord")
-        .agg(
-            F.max_by("last_id", F.when((F.col("other") < F.col("doc_ord")) & F.col("last_id").isNotNull(), F.col("other"))).alias("before"),
-            F.min_by("first_id", F.when((F.col("other") > F.col("doc_ord")) & F.col("first_id").isNotNull(), F.col("other"))).alias("after"),
-        )
-    )
-    return (
-        found.join(F.broadcast(near), ["doc_ord", "ord"], "left")
-        .withColumn("previous_section_id", F.coalesce("prev_section_id", "before"))
-        .withColumn("next_section_id", F.coalesce("next_section_id", "after"))
-    )
-
-
-#: Queries that go through the sections together.
-QUERY_BLOCK = 1000
+    before = sorted({r["doc_ord"] for r in top if r["previous_section_id"] is None})
+    after = sorted({r["doc_ord"] for r in top if r["next_section_id"] is None})
+    if not before and not after:
+        return top
+    place = F.struct("doc_ord", "section_id")
+    ends = sections.where("prev_section_id IS NULL OR next_section_id IS NULL").agg(
+        F.count(F.lit(1)),
+        *[F.max(F.when(F.col("next_section_id").isNull() & (F.col("doc_ord") < d), place)) for d in before],
+        *[F.min(F.when(F.col("prev_section_id").isNull() & (F.col("doc_ord") > d), place)) for d in after],
+    ).first()
+    near = [x and x["section_id"] for x in ends[1:]]
+    previous, following = dict(zip(before, near)), dict(zip(after, near[len(before) :]))
+    out = []
+    for r in top:
+        own = r.asDict()
+        own["previous_section_id"] = own["previous_section_id"] or previous.get(r["doc_ord"])
+        own["next_section_id"] = own["next_section_id"] or following.get(r["doc_ord"])
+        out.append(Row(**own))
+    return out
+
+
+#: Queries that go through the sections together, and sections that are scored at once.
+QUERY_BLOCK, ROWS = 1000, 500
 
 
 def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(query_id, rank, document_id, section_id, relevance_score) for each row of ``queries`` (query_id, query).
 
     Queries are stated, and go through in blocks. A block reads the sections twice: for the statistics of its terms,
-    which are one number a term, and for the scores. Counting hundreds of substrings in each section is a loop that
-    Arrow batches run much faster than interpreted lambdas do; a batch keeps only its best rows of each query, so few
-    rows reach the final ranking.
+    one number a term, and for the scores. One automaton of all terms and phrases of the block counts them in a single
+    pass over each text; scores of a batch of sections are a product of their term weights with the queries' terms. A
+    batch keeps only its best rows of each query, so few rows reach the final ranking. Null queries and queries without
+    terms find nothing; rows that repeat a query_id share one ranking.
     """
     prepare(sections.sparkSession)
     found, block = [], []
@@ -154,60 +160,105 @@ def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_L
     return ranked.select("query_id", "rank", "document_id", "section_id", "relevance_score")
 
 
-def _search_block(sections: DataFrame, block: list[tuple[int, list[str]]], limit: int) -> DataFrame:
-    words = sorted({w for _, terms in block for w in terms})
-    hits = sections.select("content_lc").mapInArrow(partial(_document_frequencies, words=words), "word string, n long")
-    have = {r["word"]: r["n"] for r in hits.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row a term
-    corpus = sections.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("content")).alias("average")).first()
-    n, average = corpus["n"], corpus["average"] or 1.0
-    idf = {w: math.log((n - have[w] + 0.5) / (have[w] + 0.5) + 1.0) if w in have else 0.0 for w in words}
-    rank = partial(_best_rows, block=block, idf=idf, average=average, limit=clamped(limit))
+@dataclass
+class Block:
+    """Queries with their terms, all terms in order, and the phrases of queries of several terms."""
+
+    queries: list[tuple[int, list[str]]]
+
+    def __post_init__(self) -> None:
+        self.terms = sorted({w for _, terms in self.queries for w in terms})
+        self.phrases = sorted({" ".join(terms) for _, terms in self.queries if len(terms) > 1})
+
+    def automaton(self, phrases: bool = True) -> ahocorasick.Automaton:
+        """Terms by number, then phrases by number."""
+        made = ahocorasick.Automaton()
+        for i, w in enumerate([*self.terms, *(self.phrases if phrases else ())]):
+            made.add_word(w, (i, len(w)))
+        made.make_automaton()
+        return made
+
+
+def counted(automaton: ahocorasick.Automaton, text: str) -> dict[int, int]:
+    """For each term or phrase in the text, how often it occurs without overlapping itself."""
+    counts: dict[int, int] = {}
+    free: dict[int, int] = {}
+    for last, (i, size) in automaton.iter(text):
+        if last - size >= free.get(i, -1):
+            free[i] = last
+            counts[i] = counts.get(i, 0) + 1
+    return counts
+
+
+def _search_block(sections: DataFrame, queries: list[tuple[int, list[str]]], limit: int) -> DataFrame:
+    block = Block(queries)
+    hits = sections.select("content_lc", "char_count").mapInArrow(partial(_statistics, block=block), "term int, n long, chars long")
+    have = {r["term"]: r for r in hits.groupBy("term").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).collect()}  # one row a term
+    n = have[-1]["n"] if -1 in have else 0
+    average = have[-1]["chars"] / n if n and have[-1]["chars"] else 1.0
+    idf = [math.log((n - have[i]["n"] + 0.5) / (have[i]["n"] + 0.5) + 1.0) if i in have else 0.0 for i in range(len(block.terms))]
+    rank = partial(_best_rows, block=block, idf=np.array(idf), average=average, limit=clamped(limit))
     rows = sections.select("document_id", "section_id", "doc_ord", "ord", "content_lc", "title_lc", "keywords", "char_count")
     return rows.mapInArrow(rank, "query_id long, document_id string, section_id string, relevance_score int, doc_ord long, ord int")
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
-    counts = dict.fromkeys(words, 0)
-    for batch in batches:
-        for text in batch["content_lc"].to_pylist():
-            for w in words:
-                if w in text:
-                    counts[w] += 1
-    held = {w: c for w, c in counts.items() if c}
-    yield pa.record_batch({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-
-
-def _best_rows(
-    batches: Iterator[pa.RecordBatch], block: list[tuple[int, list[str]]], idf: dict[str, float], average: float, limit: int
-) -> Iterator[pa.RecordBatch]:
+def _statistics(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
+    """Sections that hold each term; as term -1 all sections and their characters."""
+    counts, chars, rows = np.zeros(len(block.terms), np.int64), 0, 0
+    automaton = block.automaton(phrases=False) if block.terms else None
     for batch in batches:
-        best: dict[int, list[tuple]] = {}
-        for row in batch.to_pylist():
-            text, title, size = row["content_lc"], row["title_lc"], row["char_count"]
-            norm = K1 * (1 - B + B * size / average)
-            body = {w: i * (tf * (K1 + 1) / (tf + norm)) for w, i in idf.items() if (tf := text.count(w))}
-            keys = [k.lower() for k in row["keywords"] or ()]
-            for q, terms in block:
-                score = 0.0
-                for w in terms:
-                    score += body.get(w, 0.0)
-                for w in terms:
-                    if w in title:
-                        score += idf[w] * TITLE_BONUS
-                if len(terms) > 1 and " ".join(terms) in text:
-                    score += PHRASE_BONUS
-                for w in terms if keys else ():
-                    if any(w in k for k in keys):
-                        score += idf[w] * KEYWORD_BONUS
-                if score > 0:
-                    heap = best.setdefault(q, [])
-                    item = (int(score * 100), -row["doc_ord"], -row["ord"], row["document_id"], row["section_id"])
-                    if len(heap) < limit:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-        rows = [(q, d, s, r, -o, -k) for q, heap in best.items() for r, o, k, d, s in heap]
-        columns = list(zip(*rows)) if rows else [()] * 6
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32())
-        names = ["query_id", "document_id", "section_id", "relevance_score", "doc_ord", "ord"]
-        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+        rows += batch.num_rows
+        chars += sum(batch["char_count"].to_pylist())
+        for text in batch["content_lc"].to_pylist() if automaton else ():
+            counts[list({i for _, (i, _) in automaton.iter(text)})] += 1
+    held = np.flatnonzero(counts)
+    columns = (np.append(held, -1).astype(np.int32), np.append(counts[held], rows), np.append(held * 0, chars))
+    yield pa.record_batch([pa.array(c) for c in columns], names=["term", "n", "chars"])
+
+
+def _best_rows(batches: Iterator[pa.RecordBatch], block: Block, idf: np.ndarray, average: float, limit: int) -> Iterator[pa.RecordBatch]:
+    if not block.terms:
+        return
+    automaton, width = block.automaton(), len(block.terms)
+    number = {w: i for i, w in enumerate(block.terms)}
+    spoken = {w: width + i for i, w in enumerate(block.phrases)}
+    of_query = np.zeros((width + len(block.phrases), len(block.queries)))
+    for q, (_, terms) in enumerate(block.queries):
+        of_query[[number[w] for w in terms], q] = 1.0
+        if len(terms) > 1:
+            of_query[spoken[" ".join(terms)], q] = 1.0
+    ids = [q for q, _ in block.queries]
+    for whole in batches:
+        order = np.lexsort((whole["ord"].to_numpy(), whole["doc_ord"].to_numpy()))
+        whole = whole.take(pa.array(order))
+        for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
+            n, sizes = batch.num_rows, batch["char_count"].to_numpy()
+            weight = np.zeros((n, of_query.shape[0]))
+            for r, (text, title, keys) in enumerate(zip(*(batch[c].to_pylist() for c in ("content_lc", "title_lc", "keywords")))):
+                found = counted(automaton, text)
+                at = np.array([i for i in found if i < width], np.int64)
+                tf = np.array([found[i] for i in at], float)
+                weight[r, at] = idf[at] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[r] / average)))
+                weight[r, [i for i in found if i >= width]] = PHRASE_BONUS
+                for bonus, places in ((TITLE_BONUS, (title,)), (KEYWORD_BONUS, [k.lower() for k in keys or ()])):
+                    hit = [i for i in {i for x in places for i in counted(automaton, x)} if i < width]
+                    weight[r, hit] += idf[hit] * bonus
+            scores = weight @ of_query
+            relevance = np.where(scores > 0, np.floor(scores * 100 + ROUNDING), -1).astype(np.int64)
+            joined = relevance * n + np.arange(n - 1, -1, -1)[:, None]  # ties go to the earlier place
+            best = np.argpartition(-joined, min(limit, n) - 1, axis=0)[:limit]
+            q = np.broadcast_to(np.arange(len(ids)), best.shape).ravel()
+            row = best.ravel()
+            keep = relevance[row, q] >= 0
+            row, q = row[keep], q[keep]
+            taken = batch.select(["document_id", "section_id", "doc_ord", "ord"]).take(pa.array(row))
+            yield pa.record_batch(
+                {
+                    "query_id": pa.array([ids[x] for x in q.tolist()], pa.int64()),
+                    "document_id": taken["document_id"],
+                    "section_id": taken["section_id"],
+                    "relevance_score": pa.array(relevance[row, q].astype(np.int32)),
+                    "doc_ord": taken["doc_ord"],
+                    "ord": taken["ord"],
+                }
+            )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.chars import SPACE_CHARS
 from corpusloom.functions.text import MAX_TITLE, MIN_SECTION, PAGE_CHARS, SECTION_MARKER
-from corpusloom.session import prepare
+from corpusloom.session import prepare, spread
 from corpusloom.sources.settings import DocumentSettings, PageRange, document_settings, to_json
 
 SCHEMA = (
@@ -228,7 +228,7 @@ def segment(docs: DataFrame, settings: DocumentSettings = DocumentSettings(), ow
                         columns[n].append(v)
             yield pa.record_batch([pa.array(columns[n], _TYPES.get(n, pa.string())) for n in names], names=names)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return spread(docs).mapInArrow(run, SCHEMA)
 
 
 _TYPES = {
@@ -241,8 +241,20 @@ def settings_table(spark, rows: list[tuple[str, DocumentSettings]]) -> DataFrame
     return spark.createDataFrame([(stem, to_json(s)) for stem, s in rows], "stem string, settings string")
 
 
-def preview(text: str, settings: DocumentSettings, n: int = 10) -> tuple[list[dict], int]:
-    """The first sections that unsaved settings would give, shortened to 120 characters, and how many more there are."""
-    found = [s for _, _, s in sections_of_text(text, replace(settings, page_range=None))]
-    show = lambda c: c if len(c) <= MAX_TITLE else c[:MAX_TITLE] + "…"
-    return [{"title": s.title, "level": s.level, "preview": show(s.content)} for s in found[:n]], max(0, len(found) - n)
+def preview(docs: DataFrame, settings: DocumentSettings = DocumentSettings(), n: int = 10) -> DataFrame:
+    """(document_id, place, title, level, preview, more): the first ``n`` sections of each document that unsaved settings
+    would give, whatever their pages, shortened to 120 characters, and how many more there are."""
+    found = segment(docs, replace(settings, page_range=None))
+    content = F.col("content")
+    short = F.when(F.length(content) > MAX_TITLE, F.concat(F.substring(content, 1, MAX_TITLE), F.lit("…"))).otherwise(content)
+    sizes = found.groupBy("doc_ord").agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more"))
+    first = found.where(F.col("ord") < n).join(sizes, "doc_ord")
+    return first.select("document_id", (F.col("ord") + 1).alias("place"), "title", F.col("heading_level").alias("level"), short.alias("preview"), "more")
+
+
+def with_titles(docs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Documents with the title of their front matter: ``title`` of their settings' ``meta``, else the file's stem."""
+    if own is None:
+        return docs.withColumn("title", F.col("stem"))
+    names = own.select("stem", F.get_json_object("settings", "$.meta.title").alias("title"))
+    return docs.drop("title").join(names, "stem", "left").withColumn("title", F.coalesce("title", "stem"))

@@ -169,12 +169,12 @@ scored AS (
   SELECT *, {body} + {title}{phrase} AS score, {spots} - 1 AS hit, {count} AS match_count,
          lag(section_id) OVER (ORDER BY doc_ord, ord) AS before, lead(section_id) OVER (ORDER BY doc_ord, ord) AS after
   FROM (SELECT * FROM sections WHERE {scope}), sx)
-SELECT section_id AS id, title, 'section' AS type, '{prefix}' || doc_ord AS document_id, trunc(score * 100)::INT AS relevance_score,
+SELECT section_id AS id, title, 'section' AS type, '{prefix}' || doc_ord AS document_id, trunc(score * 100 + 1e-9)::INT AS relevance_score,
   CASE WHEN hit IS NULL THEN CASE WHEN length(content) > 200 THEN content[1:197] || '...' ELSE content END
        ELSE CASE WHEN hit > 100 THEN '...' ELSE '' END || {TRIM.format("content[greatest(hit - 100, 0) + 1:least(hit + 100, length(content))]")} || CASE WHEN hit + 100 < length(content) THEN '...' ELSE '' END END AS preview,
   match_count, '' AS summary, heading_level, parent_title, before AS previous_section_id, after AS next_section_id,
   CASE WHEN heading_level = 0 THEN 'Document Content' ELSE coalesce(parent_title, 'Root') || CASE WHEN title <> '' AND title IS DISTINCT FROM parent_title THEN ' > ' || title ELSE '' END END AS hierarchy_path
-FROM scored WHERE score > 0 ORDER BY trunc(score * 100) DESC, doc_ord, ord LIMIT {limit}"""
+FROM scored WHERE score > 0 ORDER BY trunc(score * 100 + 1e-9) DESC, doc_ord, ord LIMIT {limit}"""
 
 
 TEXT = "There is the nation and a thing"
@@ -200,9 +200,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(i.bold_sections(spark, sf), "the assistant turn", limit=20)
 
 
-BENCHMARK_QUERY = r"array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:6], ' ')"
-
-
 def _batch_sql(text: str) -> str:
     return rf"""{WITH_DOCUMENTS},
 qs AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+')), lambda w: length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w)) AS terms FROM benchmark),
@@ -221,14 +218,7 @@ r AS (SELECT *, trunc(score * 100 + 1e-9)::INT AS relevance_score, row_number()
 SELECT query_id, rank, 'doc-' || doc_ord AS document_id, 'section-' || (ord + 1) AS section_id, relevance_score FROM r WHERE rank <= 5"""
 
 
-@query("search_batch", _batch_sql(BENCHMARK_QUERY))
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    queries = i.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
-    return search.search_batch(i.stored_sections(spark, sf), queries)
-
-
-@query("search_batch_texts", _batch_sql("text"))
+@query("search_batch", _batch_sql("text"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     queries = i.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search_batch(i.stored_sections(spark, sf), queries)
@@ -323,9 +313,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # --- scalar functions
 
 
-@query("doc_slug", r"SELECT conv_id, turn, trim(regexp_replace(lower(role || ' (v' || turn || ').Ünd ' || text[1:30]), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM conversations")
+@query("doc_slug", r"SELECT conv_id, turn, trim(regexp_replace(lower(role || ' (v' || turn || ').Ünd ' || text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM conversations")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    stem = F.concat("role", F.lit(" (v"), F.col("turn").cast("string"), F.lit(").Ünd "), F.substring("text", 1, 30))
+    stem = F.concat("role", F.lit(" (v"), F.col("turn").cast("string"), F.lit(").Ünd "), F.col("text"))
     return i.read(spark, sf, "conversations").select("conv_id", "turn", t.document_slug(stem).alias("slug"))
 
 

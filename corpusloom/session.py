@@ -32,6 +32,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of input, by Spark's estimate, up to which it is dealt over all cores before a Python stage.
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: files of one row group come as one partition, however many cores are idle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with further columns, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -47,7 +47,7 @@ def slow_scores(rows, query, scope=None):
                 score += idf[w] * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(r["content"]) / average)))
         score += 2.0 * (len(terms) > 1 and " ".join(terms) in text)
         if score > 0:
-            out.append((-int(score * 100), r["doc_ord"], r["ord"], r["section_id"]))
+            out.append((-int(score * 100 + 1e-9), r["doc_ord"], r["ord"], r["section_id"]))
     return [(d, i, -s) for s, d, _, i in sorted(out)]
 
 
@@ -61,6 +61,16 @@ def test_search_against_loop(spark, sections, query, scope):
         assert [(int(r["document_id"][4:]), r["section_id"], r["relevance_score"]) for r in batch] == slow_scores(rows, query)
 
 
+def test_batch_with_overlaps_titles_and_keywords(spark, sections):
+    """Terms within terms, terms that overlap themselves, bonuses: the batch form gives what single queries give."""
+    odd = sections.withColumn("content_lc", F.concat(F.col("content_lc"), F.lit(" aaaa deltadelta"))).withColumn("keywords", F.array(F.lit("Beta-word"), F.lit("x")))
+    asked = ["aa delta", "eta beta eta", "elta delt", "beta delta epsilon", "section beta", "aaa"]
+    batch = search.search_batch(odd, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), 20).collect()
+    for k, query in enumerate(asked):
+        one = [(r["document_id"], r["id"], r["relevance_score"]) for r in search.search(odd, query, limit=20).collect()]
+        assert one and [(r["document_id"], r["section_id"], r["relevance_score"]) for r in sorted(batch, key=lambda r: r["rank"]) if r["query_id"] == k] == one
+
+
 def test_search_neighbours_and_limits(sections):
     found = {(r["document_id"], r["id"]): r for r in search.search(sections, "beta", limit=20).collect()}
     last = sections.where("doc_ord = 0").agg(F.max_by("section_id", "ord")).first()[0]

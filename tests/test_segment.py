@@ -96,6 +96,11 @@ def test_settings_from_json():
         found.with_section_size(10)
 
 
-def test_preview():
-    shown, more = s.preview("\n\n".join(["p" * 200] * 12), DocumentSettings(max_section_size=150))
-    assert len(shown) == 10 and more == 14 and shown[0]["preview"].startswith("ppp")
+def test_preview_and_titles(spark):
+    text = "\n\n".join(["p" * 200] * 12)
+    docs = spark.createDataFrame([(0, "a", "a", text), (1, "b", "b", "q" * 40), (2, "c", "c", None)], "doc_ord long, document_id string, stem string, text string")
+    shown = s.preview(docs, DocumentSettings(max_section_size=150, page_range=PageRange(only=(9,)))).orderBy("document_id", "place").collect()
+    assert [r["more"] for r in shown] == [14] * 10 + [0] and shown[0]["preview"] == "p" * 120 + "…" and shown[-1]["preview"] == "q" * 40
+    own = s.settings_table(spark, [("b", DocumentSettings(meta={"title": "Big"}))])
+    assert [r["title"] for r in s.with_titles(docs, own).orderBy("doc_ord").collect()] == ["a", "Big", "c"]
+    assert s.with_titles(docs).where("title <> stem").count() == 0
