@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.operators.lines import join_short_lines, normalize_line_breaks
+from corpusloom.session import unused
 from corpusloom.sources.settings import Cleaning
 
 #: The steps in their order: switch, function, and whether it strips formatting.
@@ -38,12 +39,13 @@ def clean_documents(docs: DataFrame, settings: Cleaning = Cleaning(), own: DataF
     """
     if own is None:
         return docs.withColumn("text", clean(F.col("text"), settings)).withColumn("has_traces", t.has_encoding_traces(F.col("text")))
-    own = own.select(F.col("stem"), F.col("cleaning").alias("__own"))
-    docs = docs.join(own, "stem", "left")
+    mine, before = unused("own", docs.columns), unused("before", docs.columns)
+    columns = docs.columns
+    docs = docs.join(own.select("stem", F.col("cleaning").alias(mine)), "stem", "left").select(*columns, mine)
     text = t.drop_bom(F.col("text"))
-    flag = lambda name: F.coalesce(F.col(f"__own.{name}"), F.lit(getattr(settings, name)))
+    flag = lambda name: F.coalesce(F.col(f"{mine}.{name}"), F.lit(getattr(settings, name)))
     for name, step, formatting in STEPS:
         on = flag(name) & ~flag("preserve_markdown") if formatting else flag(name)
-        docs = docs.withColumn("__text", text).withColumn("text", F.when(on, step(F.col("__text"))).otherwise(F.col("__text")))
+        docs = docs.withColumn(before, text).withColumn("text", F.when(on, step(F.col(before))).otherwise(F.col(before)))
         text = F.col("text")
-    return docs.drop("__text", "__own").withColumn("has_traces", t.has_encoding_traces(F.col("text")))
+    return docs.drop(before, mine).withColumn("has_traces", t.has_encoding_traces(F.col("text")))

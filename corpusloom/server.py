@@ -12,11 +12,9 @@ from typing import Any, TextIO
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.operators import navigate, search
-from corpusloom.operators.cleaning import clean_documents
 from corpusloom.session import prepare
-from corpusloom.sources.files import scan_texts
-from corpusloom.sources.index_store import Index, open_index
-from corpusloom.sources.settings import SettingsFolder
+from corpusloom.sources.index_store import Index
+from corpusloom.sources.workspace import Workspace
 
 # Error codes of the protocol.
 NO_METHOD, BAD_PARAMS, FAILED = -32601, -32602, -32603
@@ -128,22 +126,23 @@ def _whole(value: Any, default: int) -> int:
 
 
 def main(argv: list[str] | None = None) -> None:
-    args = argparse.ArgumentParser(description="Serve ranked search over a folder of text files.")
-    args.add_argument("--documents", "--data-path", required=True, help="folder of *.txt files")
-    args.add_argument("--index", required=True, help="folder of the stored index")
-    args.add_argument("--config-path", help="folder of settings")
+    args = argparse.ArgumentParser(description="Serve ranked search over a data folder.")
+    args.add_argument("--root", "--data-path", help="data folder with documents, raw, config and index")
+    args.add_argument("--documents", help="folder of *.txt files (default: in the root)")
+    args.add_argument("--index", help="folder of the stored index (default: in the root)")
+    args.add_argument("--config-path", help="folder of settings (default: in the root)")
     args.add_argument("--force-rebuild", "--rebuild", action="store_true")
+    args.add_argument("--server", "--no-setup", action="store_true", help="accepted; there is no setup to skip")
     given = args.parse_args(argv)
+    if not given.root and not (given.documents and given.index):
+        args.error("give --root, or both --documents and --index")
     spark = prepare(SparkSession.builder.appName("corpusloom").getOrCreate())
-    docs, own = scan_texts(spark, given.documents), []
-    if given.config_path:
-        folder = SettingsFolder(given.config_path)
-        own = folder.rows()
-        if folder.engine().enable_unified_pipeline:
-            docs = clean_documents(docs, folder.cleaning())
-    else:
-        docs = clean_documents(docs)
-    Server(open_index(docs, given.index, own=own, rebuild=given.force_rebuild), docs).run(sys.stdin, sys.stdout)
+    space = Workspace(spark, given.root or given.index, given.config_path, given.documents, given.index)
+    space.scaffold()
+    index = space.refresh(given.force_rebuild)
+    counts = space.counters().first()
+    print(", ".join(f"{k}: {v}" for k, v in counts.asDict().items()), file=sys.stderr)
+    Server(index, space.documents()).run(sys.stdin, sys.stdout)
 
 
 if __name__ == "__main__":

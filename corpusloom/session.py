@@ -42,6 +42,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, in either case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with further columns, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

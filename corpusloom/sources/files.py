@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.operators import pdf_layout
-from corpusloom.session import prepare
+from corpusloom.session import prepare, stash
 
 TEXT_KINDS, HTML_KINDS = ("txt", "md"), ("html", "htm")
 
@@ -100,7 +100,7 @@ def pdf_spans(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     prepare(raw.sparkSession)
     schema = pdf_layout.SPANS + ", error string"
-    found = raw.select("file_path", "content").mapInArrow(_read_pdf, schema)
+    found = stash(raw.select("file_path", "content").mapInArrow(_read_pdf, schema), "spans")  # files are decoded once
     errors = found.where("error IS NOT NULL").select(F.col("document_id").alias("file_path"), "error")
     return found.where("error IS NULL").drop("error"), errors
 

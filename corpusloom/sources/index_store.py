@@ -32,10 +32,12 @@ def build_index(docs: DataFrame, settings: DocumentSettings = DocumentSettings()
     return Index(sections, navigate.file_table(docs, sections))
 
 
-def fingerprint(docs: DataFrame, settings: DocumentSettings, own: list[tuple[str, str]] = ()) -> str:
-    """Changes when any document's path or modification time, or any settings, change; documents are summed in Spark."""
-    files = docs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(file_path, modified))"), F.expr("sum(cast(crc32(concat(file_path, cast(modified as string))) as long))")).first()
-    parts = [to_json(settings), *(f"{a}={b}" for a, b in sorted(own)), repr(tuple(files))]
+def fingerprint(docs: DataFrame, settings: DocumentSettings, own: list[tuple[str, str]] = (), *more: str) -> str:
+    """Changes when any document's path or modification time (its text, where there is none), or any settings, change;
+    documents are summed in Spark. ``more`` are further settings, such as those of cleaning."""
+    mark = "modified" if "modified" in docs.columns else "text"
+    files = docs.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64(file_path, {mark}))"), F.expr(f"sum(cast(crc32(concat(file_path, cast({mark} as string))) as long))")).first()
+    parts = [to_json(settings), *(f"{a}={b}" for a, b in sorted(own)), *more, repr(tuple(files))]
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 

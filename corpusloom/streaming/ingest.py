@@ -31,6 +31,7 @@ def ingest(
 ) -> StreamingQuery:
     """Append the sections of files that are new since the last run to a Parquet table, then stop.
 
+    The stream takes each path once: a file that changes later is not read again (a workspace's refresh does that).
     A batch that is run again overwrites its own part (``batch=<id>``), so no section is stored twice. doc_ord is a
     hash of the path: it identifies the document, and orders documents stably though not by name.
     """

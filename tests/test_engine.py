@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from corpusloom.server import Server
 from corpusloom.sources import files
 from corpusloom.sources.index_store import build_index, export_json, import_json, open_index
 from corpusloom.sources.settings import Cleaning, DocumentSettings, EngineSettings, SettingsFolder
+from corpusloom.sources.workspace import Workspace, preprocess_folder
 from corpusloom.streaming.ingest import ingest
 
 TEXTS = ["alpha beta gamma " * 3 + "\n\n" + "delta " * 300, "beta beta delta epsilon zeta eta theta", "nothing of interest in this short text at all"]
@@ -147,6 +149,7 @@ def test_index_store(spark, docs, tmp_path):
     first = open_index(stamped, path)
     n = first.sections.count()
     assert n and open_index(stamped, path).sections.count() == n
+    assert open_index(docs, str(tmp_path / "plain")).sections.count() == n
     other = open_index(stamped, path, own=[("doc-0", '{"maxSectionSize": 100}')])
     assert other.sections.count() > n and other.metadata.first()["total_sections"] == other.sections.count()
     export_json(build_index(docs), str(tmp_path / "json"))
@@ -175,9 +178,79 @@ def test_stream(spark, tmp_path):
     (source / "b.txt").write_text("A second document with enough text to be a section.")
     run()
     run()
+    (source / "a.txt").write_text("A first document that has changed, with enough text to be a section.")
+    os.utime(source / "a.txt", (2_000_000_000, 2_000_000_000))
+    run()
     assert sorted(r["document_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
+FITZ = """
+class Page:
+    def __init__(self, text):
+        self.text = text
+    def get_text(self, kind=None):
+        if kind is None:
+            return self.text
+        if "plain" in self.text:
+            raise ValueError("no layout")
+        line = lambda s: {"spans": [{"text": s, "font": "Sans-Bold" if s.startswith("B") else "Sans", "size": 24.0 if s.startswith("H") else 10.0}]}
+        return {"blocks": [{"type": 1}, {"type": 0, "lines": [line(s) for s in self.text.split("|")]}]}
+
+class open(list):
+    def __init__(self, stream, filetype):
+        if not stream.startswith(b"%PDF"):
+            raise ValueError("broken")
+        super().__init__(Page(p) for p in stream[4:].decode().split("#"))
+    def __enter__(self):
+        return self
+    def __exit__(self, *a):
+        return False
+"""
+
+
+def test_workspace_from_raw_files_to_a_fresh_index(spark, tmp_path, monkeypatch):
+    """Raw files are converted once, settings reach the texts, and a change of either gives a new index."""
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "fitz.py").write_text(FITZ)
+    environment = spark.sparkContext.environment
+    monkeypatch.setitem(environment, "PYTHONPATH", f"{tmp_path / 'lib'}:{environment['PYTHONPATH']}")
+    space = Workspace(spark, str(tmp_path / "data"))
+    space.scaffold()
+    root = tmp_path / "data"
+    long_ = " with enough words in it to be a section of the index."
+    (root / "documents" / "a.txt").write_text(f"\ufeffA **bold** text ├{long_}")
+    (root / "documents" / "b.txt").write_text(f"B **bold** text{long_}")
+    (root / "raw" / "p.pdf").write_bytes(f"%PDFHeading|Bold line|body of a page|x|y|z{long_}|12#plain page{long_}".encode())
+    (root / "raw" / "bad.pdf").write_bytes(b"nothing")
+    (root / "raw" / "w.html").write_text(f"<p>A page &amp; more{long_}</p>")
+    space.settings.save_document("b", DocumentSettings(preprocessing=Cleaning(preserve_markdown=False, strip_bold=True), max_section_size=1000))
+    index = space.refresh()
+    texts = {r["stem"]: r["text"] for r in space.documents().collect()}
+    assert texts["a"] == f"A **bold** text {long_[1:]}" and texts["b"] == f"B bold text{long_}" and texts["w"] == f"A page & more{long_}"
+    rule = "=" * 80
+    assert texts["p"] == f"\n{rule}\nPDF PAGE 1\n{rule}\n# Heading\n**Bold line**\nbody of a page\nx\ny\nz{long_}\n\n{rule}\nPDF PAGE 2\n{rule}\nplain page{long_}"
+    assert [r["file_path"].rsplit("/", 1)[1] for r in space.errors().collect()] == ["bad.pdf"]
+    assert space.counters().first().asDict() == {"documents": 4, "cleaned": 4, "with_traces": 0, "converted": 2, "failed": 1}
+    assert sorted(r["document_id"] for r in index.files.collect()) == ["a", "b", "p", "w"]
+    stamp = lambda: index.sections.sparkSession.read.parquet(f"{space.index_path}/metadata").first()["parsed_at"]
+    first, n = stamp(), spark.read.parquet(f"{space.index_path}/converted").count()
+    space.refresh()
+    assert stamp() == first and spark.read.parquet(f"{space.index_path}/converted").count() == n
+    space.settings.save_cleaning(Cleaning(preserve_markdown=False, strip_bold=True))
+    space.refresh()
+    second = stamp()
+    assert second != first and {r["stem"]: r["text"] for r in space.documents().collect()}["a"].startswith("A bold")
+    space.settings.save_document("b", DocumentSettings())
+    (root / "raw" / "w.html").write_text(f"<p>Another page{long_}</p>")
+    os.utime(root / "raw" / "w.html", (2_000_000_000, 2_000_000_000))
+    space.refresh()
+    texts = {r["stem"]: r["text"] for r in space.documents().collect()}
+    assert stamp() != second and texts["b"].startswith("B **bold**") and texts["w"] == f"Another page{long_}"
+    assert spark.read.parquet(f"{space.index_path}/converted").count() == n + 1
+    out = preprocess_folder(spark, str(root / "documents"), str(tmp_path / "out"), Cleaning(preserve_markdown=False, strip_bold=True))
+    assert sorted(r["text"][:6] for r in out.collect()) == ["A bold", "B bold"]
+
+
 def test_server(spark, docs, sections):
     server = Server(build_index(docs), docs)
     calls = [
