@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.operators import navigate, pdf_layout, search
-from corpusloom.operators.cleaning import clean
+from corpusloom.operators.cleaning import clean, clean_documents
 from corpusloom.operators.lines import join_short_lines, normalize_line_breaks
 from corpusloom.operators.paging import page_filter
-from corpusloom.operators.segment import segment
+from corpusloom.operators.segment import preview, segment, with_titles
 from corpusloom.plans import inputs as i
+from corpusloom.session import scratch_path
+from corpusloom.sources import files, index_store
 from corpusloom.sources.settings import Cleaning, DocumentSettings, PageRange
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,14 +268,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return navigate.get_page(docs, i.sections(spark, sf), 2).select("document_id", "title", "content", "page_number", "source")
 
 
-@query("get_page_index", "SELECT 'conv-' || conv_id AS document_id, count(*) AS pages, min(turn + 1)::INT AS first_page FROM conversations WHERE turn < 2 GROUP BY conv_id")
-def _(spark: SparkSession, sf: str) -> DataFrame:
+TURN_SQL = i.FLAT.format(f"text || chr(10) || '{i.CLOSING}'")
+WHOLE = 1_000_000
+
+
+def marked_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """A section for each turn, with a page marker in it."""
     page = (F.col("turn") + 1).cast("string")
     head = F.concat(F.lit("**page "), page, F.lit(f"**\n{RULE}\nPDF PAGE "), page, F.lit(f"\n{RULE}\n"))
     docs = i.conversations(spark, sf, F.concat(head, "text", F.lit(f"\n{CLOSING}")))
-    sections = segment(docs, DocumentSettings(extract_by_bold=True, max_section_size=1_000_000))
+    return segment(docs, DocumentSettings(extract_by_bold=True, max_section_size=WHOLE))
+
+
+@query("get_page_index", f"SELECT 'conv-' || conv_id AS document_id, 'page ' || (turn + 1) AS title, {TURN_SQL} AS content, (turn + 1)::INT AS page_number FROM conversations WHERE turn < 2")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    sections = marked_sections(spark, sf)
     found = navigate.pages_from_index(sections, 1).unionByName(navigate.pages_from_index(sections, 2))
-    return found.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.min("page_number").alias("first_page"))
+    return found.select("document_id", "title", "content", "page_number")
+
+
+@query("get_page_fallback", f"SELECT 'conv-' || conv_id AS document_id, 'page 2' AS title, {TURN_SQL} AS content, 2 AS page_number, 'index' AS source FROM conversations WHERE turn = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    plain = i.conversations(spark, sf, F.col("text"))  # no page markers in the source
+    return navigate.get_page(plain, marked_sections(spark, sf), 2).select("document_id", "title", "content", "page_number", "source")
 
 
 FILES_SQL = f"{WITH_DOCUMENTS}, f AS (SELECT doc_ord, count(*) AS n, sum(char_count) AS chars FROM sections GROUP BY doc_ord)"
@@ -419,3 +437,167 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("pdf_page_counts", "SELECT 'conv-' || conv_id AS document_id, (max(turn) + 1)::INT AS pages FROM conversations GROUP BY conv_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return pdf_layout.page_counts(i.spans(spark, sf))
+
+
+# --- cases that the tables above don't hold
+
+
+@query(
+    "sections_duplicate_titles",
+    f"""WITH f AS (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role),
+s AS (SELECT conv_id AS doc_ord, CASE WHEN turn < 2 THEN role ELSE upper(role) END AS title, {TURN_SQL} AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM f JOIN conversations USING (conv_id, role, turn))
+SELECT doc_ord, 'section-' || k AS section_id, title, content, 'section-' || lag(k) OVER d AS prev_section_id, 'section-' || lead(k) OVER d AS next_section_id FROM s WINDOW d AS (PARTITION BY doc_ord ORDER BY k)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    title = F.when(F.col("turn") < 2, F.col("role")).otherwise(F.upper("role"))
+    docs = i.conversations(spark, sf, F.concat(F.lit("**"), title, F.lit("** rest\n"), F.col("text"), F.lit(f"\n{CLOSING}")))
+    found = segment(docs, DocumentSettings(extract_by_bold=True, max_section_size=WHOLE))
+    return found.select("doc_ord", "section_id", "title", "content", "prev_section_id", "next_section_id")
+
+
+@query("sections_keyword", f"SELECT conv_id AS doc_ord, 'section-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS section_id, 'Start (Turn ' || turn AS title, {TURN_SQL} AS content, 1 AS heading_level, NULL::VARCHAR AS parent_title FROM conversations")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = i.conversations(spark, sf, F.concat(F.lit("Start (Turn "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"), F.lit(f"\n{CLOSING}")))
+    found = segment(docs, DocumentSettings(extract_by_patterns=True, custom_heading_patterns=("(turn",), max_section_size=WHOLE))
+    return found.select("doc_ord", "section_id", "title", "content", "heading_level", "parent_title")
+
+
+BOLD_LINE_SQL = f"'**b** ' || replace(text, chr(10), ' ') || ' {i.CLOSING}'"
+
+
+@query(
+    "sections_cascade",
+    f"""SELECT conv_id AS doc_ord, 'T ' || turn AS title, {TURN_SQL} AS content, 0 AS heading_level FROM conversations WHERE conv_id % 3 = 0
+UNION ALL SELECT conv_id, '**a** T ' || turn, {i.FLAT.format(BOLD_LINE_SQL)}, 1 FROM conversations WHERE conv_id % 3 = 1
+UNION ALL SELECT conv_id, 'Section 1', {i.FLAT.format(f"string_agg({BOLD_LINE_SQL}, chr(10) ORDER BY turn)")}, 0 FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the documents has bold headings; the others have bold lines only, so nothing is below their headings: a
+    third has headings by pattern, a third falls back to size."""
+    turn, text = F.col("turn").cast("string"), F.col("text")
+    line = F.concat(F.lit("**b** "), F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(f" {CLOSING}"))
+    part = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("**T "), turn, F.lit("**\n"), text, F.lit(f"\n{CLOSING}")))
+    part = part.when(F.col("conv_id") % 3 == 1, F.concat(F.lit("**a** T "), turn, F.lit("\n"), line)).otherwise(line)
+    every = DocumentSettings(extract_by_bold=True, extract_by_patterns=True, custom_heading_patterns=(r"^\*\*a\*\*.*$",), max_section_size=WHOLE)
+    return segment(i.conversations(spark, sf, part), every).select("doc_ord", "title", "content", "heading_level")
+
+
+OWN_JSON = '{"meta": {"title": "Own title"}, "extractByBold": true, "maxSectionSize": 1000000}'
+
+
+@query(
+    "sections_own_settings",
+    f"""SELECT conv_id AS doc_ord, role || ' ' || turn AS title, {TURN_SQL} AS content, 'Own title' AS document_title FROM conversations WHERE conv_id % 2 = 0
+UNION ALL SELECT conv_id, 'Section 1', {i.FLAT.format(f"string_agg('**' || role || ' ' || turn || '** rest' || chr(10) || text || chr(10) || '{i.CLOSING}', chr(10) ORDER BY turn)")}, 'conv-' || conv_id FROM conversations WHERE conv_id % 2 = 1 GROUP BY conv_id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second document has settings of its own, with a title in its front matter."""
+    docs = i.bold_documents(spark, sf)
+    own = docs.where(F.col("doc_ord") % 2 == 0).select("stem", F.lit(OWN_JSON).alias("settings"))
+    titles = with_titles(docs, own).select("doc_ord", F.col("title").alias("document_title"))
+    return segment(docs, DocumentSettings(max_section_size=WHOLE), own).join(titles, "doc_ord").select("doc_ord", "title", "content", "document_title")
+
+
+@query(
+    "clean_by_document",
+    "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN role WHEN 1 THEN '**' || role || '**' ELSE '# **' || role || '**' END || ' Γ' AS text, true AS has_traces FROM conversations",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the documents strips headers and bold, a third headers only, a third has no settings of its own."""
+    stem = F.concat_ws("-", (F.col("conv_id") % 3).cast("string"), "conv_id")
+    docs = i.read(spark, sf, "conversations").select("conv_id", "turn", stem.alias("stem"), F.concat(F.lit("# **"), F.col("role"), F.lit("** Γ")).alias("text"))
+    steps = lambda bold: F.struct(*[F.lit(x).alias(n) for n, x in asdict(Cleaning(preserve_markdown=False, strip_headers=True, strip_bold=bold)).items()])
+    own = docs.where(~F.col("stem").startswith("2-")).select("stem", F.when(F.col("stem").startswith("0-"), steps(True)).otherwise(steps(False)).alias("cleaning")).distinct()
+    return clean_documents(docs, Cleaning(), own).select("conv_id", "turn", "text", "has_traces")
+
+
+@query("strip_stars", "SELECT conv_id, turn, role || ' and **' || role || '** ' || role || ' a*b' AS text FROM conversations")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("*"), F.col("role"), F.lit("* and **"), F.col("role"), F.lit("** _"), F.col("role"), F.lit("_ a*b"))
+    return i.read(spark, sf, "conversations").select("conv_id", "turn", t.strip_italic(text).alias("text"))
+
+
+@query(
+    "encoding_traces",
+    "SELECT doc_id, text, doc_id % 3 < 2 AS has_traces, 'a' || chr(9) || text AS preview FROM documents",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    end = F.when(F.col("doc_id") % 3 == 0, "Γ").when(F.col("doc_id") % 3 == 1, "\r").otherwise("")
+    shown = t.sanitize_preview(F.concat(F.lit("\x01a\x1f\t\x0b"), F.col("text")))
+    return i.read(spark, sf, "documents").select(
+        "doc_id", t.drop_bom(F.concat(F.lit("\ufeff"), F.col("text"))).alias("text"), t.has_encoding_traces(F.concat("text", end)).alias("has_traces"), shown.alias("preview")
+    )
+
+
+@query(
+    "clean_counters",
+    "SELECT count(*) AS documents, count(*) FILTER (WHERE doc_id % 4 = 0) AS with_traces FROM documents",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = i.read(spark, sf, "documents").select("doc_id", F.concat(F.col("text"), F.when(F.col("doc_id") % 4 == 0, "£").otherwise("├\r")).alias("text"))
+    return clean_documents(docs).agg(F.count(F.lit(1)).alias("documents"), F.count_if("has_traces").alias("with_traces"))
+
+
+@query(
+    "preview",
+    f"{WITH_DOCUMENTS}, n AS (SELECT doc_ord, greatest(count(*) - 3, 0) AS more FROM sections GROUP BY doc_ord) SELECT 'doc-' || doc_ord AS document_id, (ord + 1)::INT AS place, title, heading_level AS level, CASE WHEN char_count > 120 THEN content[1:120] || '…' ELSE content END AS preview, more FROM sections JOIN n USING (doc_ord) WHERE ord < 3",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return preview(i.documents(spark, sf), n=3)
+
+
+@query(
+    "document_status",
+    """WITH c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'conv-' || conv_id AS stem, 'txt' AS kind, CASE conv_id % 3 WHEN 0 THEN '512 B' WHEN 1 THEN '1 KB' ELSE '1.5 KB' END AS size, CASE WHEN conv_id % 2 = 0 THEN '' ELSE '[pages 2-end]' END AS status FROM c
+UNION ALL SELECT 'conv-' || conv_id, 'pdf', '2 KB', 'converted' FROM c WHERE conv_id % 4 = 0
+UNION ALL SELECT 'new-' || conv_id, 'pdf', '2 KB', 'pending' FROM c WHERE conv_id % 4 = 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ids = i.read(spark, sf, "conversations").select("conv_id").distinct()
+    named = lambda head: F.concat(F.lit(head), F.col("conv_id").cast("string")).alias("stem")
+    texts = ids.select(named("conv-"), (512 * (F.col("conv_id") % 3 + 1)).alias("size"), F.lit(None).cast("array<int>").alias("only"), (F.col("conv_id") % 2 + 1).alias("start"), F.lit(None).cast("int").alias("end"))
+    kind = F.when(F.col("conv_id") % 4 < 2, "PDF").otherwise("md").alias("extension")
+    raw = ids.select(F.when(F.col("conv_id") % 4 == 1, named("new-")).otherwise(named("conv-")).alias("stem"), kind, F.lit(2048).alias("size"))
+    return navigate.document_status(texts, raw)
+
+
+@query("stale_files", "SELECT 'raw/' || doc_id AS file_path FROM documents WHERE doc_id % 3 <> 0")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    path, time = F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("file_path"), F.timestamp_seconds(F.col("doc_id") + 10)
+    docs = i.read(spark, sf, "documents")
+    done = docs.where(F.col("doc_id") % 3 < 2).select(path, F.timestamp_seconds(F.col("doc_id") + 10 - F.col("doc_id") % 3).alias("converted"))
+    return files.newer_than(docs.select(path, time.alias("modified")), done).select("file_path")
+
+
+@query("stored_index", f"{FILES_SQL} SELECT 'doc-' || doc_id AS document_id, coalesce(n, 0)::INT AS section_count, coalesce(chars, 0)::BIGINT AS total_characters, (SELECT count(*) FROM sections) AS all_sections FROM documents LEFT JOIN f ON doc_ord = doc_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    index = index_store.open_index(i.documents(spark, sf), scratch_path(spark, "index"))
+    stored = index.metadata.select(F.col("total_sections").alias("all_sections"))  # one row
+    return index.files.select("document_id", "section_count", "total_characters").crossJoin(F.broadcast(stored))
+
+
+@query("json_round_trip", f"{WITH_HEADINGS} SELECT doc_ord, 'conv-' || doc_ord AS document_id, section_id, title, content, heading_level, parent_title, char_count FROM sections")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "json")
+    index_store.export_json(index_store.build_index(i.heading_documents(spark, sf), i.PATTERNS), path)
+    return index_store.import_json(spark, path).select("doc_ord", "document_id", "section_id", "title", "content", "heading_level", "parent_title", "char_count")
+
+
+@query("scan_texts", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all documents, written as text files and found again by the scan of a folder."""
+    path = scratch_path(spark, "texts")
+    i.read(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value")).repartition(5).write.text(path)
+    lines = files.scan_texts(spark, path).select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("convert_raw", f"SELECT page_id::VARCHAR AS stem, {TRIM.format(STRIP_HTML_SQL)} AS text FROM pages UNION ALL SELECT 'text-' || item_id, text FROM benchmark")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and texts as raw files of their kinds, beside kinds that are left out."""
+    raw = i.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("stem"), F.lit("htm").alias("extension"), F.encode("html", "UTF-8").alias("content"))
+    texts = i.read(spark, sf, "benchmark").select(F.concat(F.lit("text-"), F.col("item_id").cast("string")).alias("stem"), F.lit("md").alias("extension"), F.encode("text", "UTF-8").alias("content"))
+    every = raw.unionByName(texts).unionByName(texts.withColumn("extension", F.lit("bin")))
+    every = every.withColumn("file_path", F.concat_ws(".", "stem", "extension")).withColumn("modified", F.timestamp_seconds(F.lit(1)))
+    return files.convert_raw(every).where("error IS NULL").select("stem", "text")

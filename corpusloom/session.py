@@ -74,6 +74,13 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scopes: list[list[DataFrame]] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which is removed when the application ends."""
+    path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{name}"
+    atexit.register(_remove_at_exit, spark, path)
+    return path
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the reread table.
 
@@ -82,7 +89,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     files of the write are removed with its end, so a job of many steps needs the disk of its largest step only.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -94,7 +101,6 @@ def stash(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(SHUFFLE_CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
     written.stash_path = path
-    atexit.register(_discard_at_exit, written)
     if _scopes:
         _scopes[-1].append(written)
     return written
@@ -117,18 +123,19 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Remove a table that ``stash`` wrote; nothing that reads it may run any more. Others are left alone."""
-    path = getattr(table, "stash_path", None)
-    spark = table.sparkSession
-    if path is None or spark.sparkContext._jsc is None:  # the context is gone: the cluster's own clean-up applies
-        return
+    if getattr(table, "stash_path", None) is not None:
+        _remove(table.sparkSession, table.stash_path)
+        table.stash_path = None
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     target = jvm.org.apache.hadoop.fs.Path(path).getParent()
     target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-    table.stash_path = None
 
 
-def _discard_at_exit(table: DataFrame) -> None:
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
-        discard(table)
-    except Exception:  # the JVM is gone already: the cluster's own clean-up of the folder applies
+        _remove(spark, path)
+    except Exception:  # the context is gone already: the cluster's own clean-up of the folder applies
         pass
