@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.operators.cleaning import clean, clean_documents
-from corpusloom.operators.lines import join_short_lines, joined_sentences, joined_short_lines, normalize_line_breaks
+from corpusloom.operators.lines import join_short_lines, normalize_line_breaks
 from corpusloom.sources.settings import Cleaning
 
 
@@ -73,10 +76,47 @@ def test_hierarchy_and_preview(spark):
     assert one(spark, "a" * 150 + "Needle" + "b" * 150, preview) == "..." + "a" * 100 + "Needle" + "b" * 94 + "..."
 
 
-def test_line_joins_against_plain_loops():
+def folded_sentences(text):
+    out = []
+    for line in map(str.rstrip, text.split("\n")):
+        closed = not out or (out[-1] and (out[-1][-1] in ".!?;—–…" or out[-1][0] == "#" or re.search(r"\d+\.\d+\s*$", out[-1])))
+        if closed or not line:
+            out.append(line)
+        else:
+            out[-1] = f"{out[-1]} {line}".strip()
+    return "\n".join(out)
+
+
+def paired_lines(text):
+    left, out = text.split("\n")[::-1], []
+    while left:
+        line, then = left.pop().rstrip(), left[-1].lstrip() if left else ""
+        if line and len(line) < 80 and then and not re.match(r"[#\d]|PDF PAGE", then):
+            line = f"{line} {left.pop().lstrip()}".strip()
+        out.append(line)
+    return "\n".join(out)
+
+
+def test_line_joins(spark):
     text = "# Head\nfoo bar\nbaz 1.2\nnext\n\n  indented\nmore; \nend—\nx\n\n\ny" + "\nword" * 5
-    assert joined_sentences(text) == "# Head\nfoo bar baz 1.2\nnext\nindented more;\nend—\nx\n\ny" + " word" * 5
-    assert joined_short_lines("a\n\nb\n1c\n# d\nPDF PAGE 1\ne") == "a\n\nb\n1c\n# d\nPDF PAGE 1 e"
+    assert one(spark, text, normalize_line_breaks) == "# Head\nfoo bar baz 1.2\nnext\nindented more;\nend—\nx\n\ny" + " word" * 5
+    assert one(spark, "a\n\nb\n1c\n# d\nPDF PAGE 1\ne", join_short_lines) == "a\n\nb\n1c\n# d\nPDF PAGE 1 e"
+
+
+def test_line_joins_against_plain_loops(spark):
+    pick = random.Random(7)
+    parts = ["foo", "bar", " ", "\t", "#", "# h", "1.2", "3.", "end.", "end—", "\n", "\n", "\n", "\n\n", "\r", "\xa0", "\x1c", "😀", "PDF PAGE", "w" * 40, "9", "٣.٤"]
+    texts = ["".join(pick.choices(parts, k=pick.randrange(25))) for _ in range(4000)]
+    texts += ["word 😀\n" * 300, " " * 20_000, "1.1." * 5000 + "\nx", "😀a" * 5000 + "\nb", None]
+    df = spark.createDataFrame([(x,) for x in texts], "v string")
+    for row in df.select("v", normalize_line_breaks("v").alias("a"), join_short_lines("v").alias("b")).collect():
+        assert row.a == (None if row.v is None else folded_sentences(row.v)), row.v[:200]
+        assert row.b == (None if row.v is None else paired_lines(row.v)), row.v[:200]
+
+
+def test_line_joins_of_a_long_text(spark):
+    assert one(spark, "\n".join(["word 😀"] * 100_000), normalize_line_breaks) == " ".join(["word 😀"] * 100_000)
+    assert one(spark, "\n".join(["word 😀"] * 100_000), join_short_lines) == "\n".join(["word 😀 word 😀"] * 50_000)
 
 
 def test_cleaning_by_document(spark):
