@@ -4,7 +4,8 @@ Two sets of similarity t or more have sizes within a factor t, and differ in at
 Sets are put into bands of sizes; in a band, every set is cut into more parts (by element hash) than its partners can
 differ in, so partners agree on a part: a tile is what shares band, part and the part's content. Parts that occur once
 in the corpus are dropped by the packed counting of ``blocks``. Inside tiles, links are looked for between different
-components only, so a dense group costs about as many checks as it has members.
+components only, so a dense group costs about as many checks as it has members. A part that more than TILE such sets
+share, as a passage in very many documents makes, says too little: its sets are keyed anew by their rarest elements.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ FEW_PAIRS, MOST_ROUNDS = 20_000, 2
 SKETCH = 16
 #: Elements that a part needs at most before it is a key.
 MOST_LEAST = 8
-#: Members of one side of a tile; a part that more sets share is cut into tiles of pairs of such sides.
+#: Members of one side of a tile; sets that share a larger part are looked up again by their rarest elements.
 TILE = 1024
+#: Bits of an element's hash that name its slot in the order of rarity.
+SLOT_BITS = 20
 
 
 def _edges() -> np.ndarray:
@@ -293,6 +297,77 @@ def _pairs_of(table: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.Re
             yield pa.record_batch(columns, names=["a", "b", "differing", "root_a", "root_b"])
 
 
+def in_components(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """``member`` (digest, key) with each set's component."""
+    placed = member.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    return placed.withColumn("root", F.coalesce("root", "digest"))
+
+
+def mixed(placed: DataFrame) -> DataFrame:
+    """(key, size, chunks) of keys with members of different components; of keys with the same members the smallest."""
+    members = [F.expr("bit_xor(xxhash64(digest))").alias("x"), F.expr("sum(cast(crc32(digest) as long))").alias("y")]
+    keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), *members)
+    keys = keys.where("r0 <> r1").groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    return keys.select("key", "size", F.ceil(F.col("size") / TILE).cast("int").alias("chunks"))
+
+
+def tile_pairs(keys: DataFrame, placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, differing, root_a, root_b): pairs of different components that share one of ``keys`` and may link."""
+    sides = (
+        placed.join(keys.select("key", "chunks"), "key")
+        .join(nodes.select("digest", "n", "bits", F.slice("keys", 1, SKETCH).alias("sketch")), "digest")
+        .withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumn("i", F.least("chunk", "other"))
+        .withColumn("j", F.greatest("chunk", "other"))
+        .select("key", "i", "j", "chunk", "digest", "root", "n", "bits", "sketch")
+    )
+    tiled = sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
+    return tiled.mapInArrow(partial(_tile_pairs, percent=percent), "a binary, b binary, differing int, root_a binary, root_b binary")
+
+
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_slots(shingle_sets(batch["text"], k)[0]), minlength=len(counts))
+    full = np.flatnonzero(counts)
+    yield pa.record_batch([pa.array(full), pa.array(counts[full])], names=["slot", "n"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], k: int, percent: int, counts: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, at = shingle_sets(batch["text"], k)
+        lists = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            own = tokens[a:b]
+            order = np.lexsort((own, counts.value[_slots(own)]))
+            lists.append(np.sort(own[order[: (b - a) * (100 - percent) // 100 + 1]].view(np.int64)))
+        yield pa.record_batch([batch["digest"], pa.array(lists, pa.list_(pa.int64()))], names=["digest", "keys"])
+
+
+def rare_elements(crowd: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
+    """(digest, keys): the first elements of each set of ``crowd``, in an order that puts rare ones first.
+
+    A set of size n has at least t * n elements in common with a partner, so the first of the common ones is among its
+    first n - t * n + 1, and likewise among the partner's: partners share a key, whatever the order. So it need not be
+    exact: elements go by how many of the crowd's elements are in their slot of 2**SLOT_BITS, then by their hash. That
+    table of 8 MB, whatever the input, is all that is broadcast. What a common passage fills comes last.
+    """
+    if crowd.count() <= BROADCAST_IDS:
+        crowd = F.broadcast(crowd)
+    texts = candidates.join(crowd, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    texts = stash(texts, "crowd")
+    found = texts.select("text").mapInArrow(partial(_count_slots, k=k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    order = texts.sparkSession.sparkContext.broadcast(counts)
+    return stash(texts.mapInArrow(partial(_rarest, k=k, percent=percent, counts=order), "digest binary, keys array<long>"), "rare")
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -350,28 +425,16 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "differing")
     edges, roots, open_ = together(apart(untested(tested, done), roots), edges, roots, candidates, k, percent, MOST_ROUNDS)
 
-    # then what is still in different components; of parts with the same members one is enough
-    place = roots.withColumnRenamed("node", "digest")
-    placed = member.join(place, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(digest))").alias("x"), F.expr("sum(cast(crc32(digest) as long))").alias("y"))
-        .where("size > 3 AND r0 <> r1")
-        .groupBy("size", "x", "y")
-        .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("size") / TILE).cast("int").alias("chunks"))
-    )
-    sides = (
-        placed.join(mixed, "key")
-        .join(nodes.select("digest", "n", "bits", F.slice("keys", 1, SKETCH).alias("sketch")), "digest")
-        .withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("i", F.least("chunk", "other"))
-        .withColumn("j", F.greatest("chunk", "other"))
-        .select("key", "i", "j", "chunk", "digest", "root", "n", "bits", "sketch")
-    )
-    tiled = sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
-    tiles = tiled.mapInArrow(partial(_tile_pairs, percent=percent), "a binary, b binary, differing int, root_a binary, root_b binary")
+    # then what is still in different components
+    placed = in_components(member, roots)
+    parts = stash(mixed(placed).where("size > 3"), "parts")
+    tiles = tile_pairs(parts.where("chunks = 1"), placed, nodes, percent)
+    crowded = parts.where("chunks > 1")
+    if crowded.limit(1).count():
+        crowd = stash(placed.join(crowded.select("key"), "key", "left_semi").select("digest").distinct(), "crowd")
+        rare = nodes.drop("keys").join(rare_elements(crowd, candidates, k, percent), "digest")
+        placed = in_components(rare.select("digest", F.explode("keys").alias("key")), roots)
+        tiles = tiles.unionByName(tile_pairs(stash(mixed(placed), "parts"), placed, rare, percent))
     rest = apart(open_, roots).unionByName(untested(tiles, tested))
     edges, roots, open_ = together(rest, edges, roots, candidates, k, percent, 1)
     more = stash(verify(open_, candidates, k, percent), "edges")

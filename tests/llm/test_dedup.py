@@ -6,7 +6,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +128,47 @@ def slow_kept(rows, k, percent):
     return sorted([(None if x[0] else x[1], x[3]) for x in best.values()] + [r for r, s in zip(rows, sets) if not s], key=repr)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_partners_share_a_rare_element(percent):
+    rng = random.Random(percent)
+    shared = [f"s{j}" for j in range(60)]
+    texts = []
+    for d in range(120):
+        own = [f"d{d}w{j}" for j in range(rng.randint(0, 60))]
+        base = shared[: rng.randint(10, 60)] + own
+        texts += [" ".join(base), " ".join(base[rng.randint(0, 8) :]), " ".join([*base, *(f"x{j}" for j in range(rng.randint(0, 12)))])]
+    tokens, at = ngram_join.shingle_sets(pa.chunked_array([pa.array(texts)]), 3)
+    counts = np.bincount(ngram_join._slots(tokens), minlength=1 << ngram_join.SLOT_BITS)
+    batch = pa.record_batch([pa.array([str(i).encode() for i in range(len(texts))]), pa.array(texts)], names=["digest", "text"])
+    (out,) = ngram_join._rarest(iter([batch]), 3, percent, SimpleNamespace(value=counts))
+    keys, sets = [set(x) for x in out["keys"].to_pylist()], [set(tokens[a:b].tolist()) for a, b in zip(at, at[1:])]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert len(links) > 100
+    assert all(keys[a] & keys[b] for a, b in links)
+    pairs = sum(bool(keys[a] & keys[b]) for a in range(len(sets)) for b in range(a))
+    assert pairs < len(sets) ** 2 / 8  # all share the passage, few a rare element
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_parts(spark, monkeypatch, seed):
+    """A passage that all documents share fills parts of otherwise different ones; some have near copies."""
+    rng = random.Random(seed)
+    passage = " ".join(f"p{j}" for j in range(25))
+    rows = []
+    for d in range(50):
+        words = [passage, *(f"d{d // 2}w{j}" for j in range(14))]
+        if d % 2:
+            words[rng.randint(10, 14)] = "other"
+        rows.append((d, " ".join(words)))
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    crowds, plain = [], ngram_join.rare_elements
+    monkeypatch.setattr(ngram_join, "rare_elements", lambda crowd, *rest: crowds.append(crowd.count()) or plain(crowd, *rest))
+    got = [tuple(r) for r in ngram_join.ngram_join(frame(spark, rows), 3, 80).collect()]
+    assert sorted(got, key=repr) == slow_join(rows, 3, 80)
+    assert crowds and crowds[0] > 10
+
+
 def test_near_duplicates_remove_rows(spark):
     base = [f"a{k} b c d e f g{k} h" for k in range(4)]
     rows = [(3, base[0]), (1, base[0]), (5, base[0]), (5, base[1]), (2, base[2]), (2, base[2]), (None, base[0]), (None, base[3]), (None, base[3]), (9, None), (9, ""), (9, ""), (1, base[2]), (0, base[3].upper())]
