@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import html_extract, knn_join, language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts, whitening
+from corpusloom.llm import html_extract, importance_resampling, knn_join, language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_token_counts": token_counts.query,
     "op10_source_mixing": source_mixing.query,
+    "op11_importance_resampling": importance_resampling.query,
     "op13_embedding_whitening": whitening.query,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op4_ngram_join": ngram_join.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_source_mixing": source_mixing.SQL,
+    "op11_importance_resampling": importance_resampling.SQL,
 }
