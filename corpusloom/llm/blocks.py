@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,46 @@ FAN = 1024
 TASK_BYTES = 64 << 20
 
 
-def text_bytes(docs: DataFrame, column: str = "text") -> int:
-    """UTF-8 bytes of a text column: one scan, one number to the driver."""
-    return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
-
-
-def deal(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """Add ``block``: rows are dealt by a hash of id and text, so neither a hot source nor copies meet in one block."""
-    n = max(1, math.ceil(total_bytes / BLOCK_BYTES))
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+#: Copies of a row that one task makes.
+SPAN = 1024
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Different rows (doc_id, text, copies) of a table, their UTF-8 bytes, and how often a row occurs at most."""
+
+    docs: DataFrame
+    bytes: int
+    most: int
+
+    def dealt(self) -> DataFrame:
+        """Add ``block``: rows are dealt by a hash of id and text, so neither a hot source nor copies of a text under
+        different ids meet in one block; rows that repeat both are one row here."""
+        n = max(1, math.ceil(self.bytes / BLOCK_BYTES))
+        return self.docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+
+    def expanded(self, result: DataFrame) -> DataFrame:
+        """``result`` (copies, ...) with each row as often as it says. Rows of many copies go through an exchange in
+        spans, so that no task makes all copies of a row."""
+        if self.most > SPAN:
+            spans = result.withColumn("span", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {SPAN}"))))
+            result = spans.repartition(*spans.columns).withColumn("copies", F.least(F.col("copies") - F.col("span") * SPAN, F.lit(SPAN))).drop("span")
+        if self.most > 1:
+            result = result.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        return result.drop("copies")
+
+
+def different(docs: DataFrame) -> Rows:
+    """The different rows of ``docs`` (doc_id, text). One scan tells whether any row is repeated; where one is, rows are
+    grouped, with partial counts before the exchange. One number each comes to the driver."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = docs.groupBy(F.xxhash64("doc_id", "text").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    total, most = keyed.agg(F.sum("size"), F.max("n")).first()
+    if (most or 0) > 1:
+        docs = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    else:
+        docs = docs.withColumn("copies", F.lit(1).cast("long"))
+    return Rows(docs, int(total or 0), int(most or 0))
 
 
 def in_order(table: pa.Table) -> pa.Table:

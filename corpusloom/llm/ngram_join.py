@@ -142,6 +142,7 @@ def _describe(table: pa.Table, shared: np.ndarray, k: int, percent: int) -> pa.T
     return pa.table(
         {
             "doc_id": table["doc_id"],
+            "copies": table["copies"],
             "text_md5": pa.array([hashlib.md5((t.as_py() or "").encode()).digest() for t in table["text"]], pa.binary()),
             "n_shingles": pa.array(np.diff(at)),
             "digest": pa.array(digests, pa.binary()),
@@ -391,17 +392,16 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, text_md5, n_shingles, root) of each row; root names its component, null where its set is empty."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = blocks.text_bytes(docs)
-    schema = "doc_id long, text_md5 binary, n_shingles long, digest binary, keys array<long>, text string, bits array<long>"
+    rows = blocks.different(docs)
+    schema = "doc_id long, copies long, text_md5 binary, n_shingles long, digest binary, keys array<long>, text string, bits array<long>"
     share = 1.6 * 2 * (100 - percent) / (100 + percent) * 1.15
     found = blocks.with_repeats(
-        blocks.deal(docs, total),
+        rows.dealt(),
         partial(_keys_of, k=k, percent=percent),
         partial(_describe, k=k, percent=percent),
         schema,
-        total,
-        int(total / 6 * share) + 1,
+        rows.bytes,
+        int(rows.bytes / 6 * share) + 1,
         width=4,
     )
     found = stash(found, "sets")
@@ -441,7 +441,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if more.limit(1).count():
         roots = components(edges.unionByName(more))
 
-    light = found.select("doc_id", "text_md5", "n_shingles", "digest")
+    light = rows.expanded(found.select("doc_id", "copies", "text_md5", "n_shingles", "digest"))
     light = light.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     return light.select("doc_id", "text_md5", "n_shingles", F.coalesce("root", "digest").alias("root"))
 

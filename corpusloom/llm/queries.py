@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import html_extract, importance_resampling, knn_join, language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, token_counts, whitening
+from corpusloom.llm import html_extract, importance_resampling, knn_join, language_id, media, ngram_join, pieces, secret_scan, source_mixing, substring_dedup, suffix_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_source_mixing": source_mixing.query,
     "op11_importance_resampling": importance_resampling.query,
+    "op12_suffix_dedup": suffix_dedup.query,
     "op13_embedding_whitening": whitening.query,
 }
 
@@ -25,4 +26,5 @@ SQL = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_source_mixing": source_mixing.SQL,
     "op11_importance_resampling": importance_resampling.SQL,
+    "op12_suffix_dedup": suffix_dedup.SQL,
 }

@@ -8,7 +8,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks, words
 from corpusloom.session import prepare
@@ -44,12 +43,14 @@ def covered(first: np.ndarray, flags: np.ndarray, window: int) -> np.ndarray:
 
 def _finish(table: pa.Table, flags: np.ndarray, window: int, texts: bool) -> pa.Table:
     data, offsets = words.buffer(table["text"])
+    copied = table["copies"].to_numpy() > 1  # a row that occurs twice repeats all its windows
     n_words, n_removed, digests, kept_texts, intervals, done = [], [], [], [], [], 0
     for i, j in words.spans_of_documents(offsets):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = words.split(part, at)
         size = int(np.maximum(np.diff(first) - window + 1, 0).sum())
-        gone = covered(first, flags[done : done + size], window)
+        own = np.repeat(copied[i:j], np.maximum(np.diff(first) - window + 1, 0))
+        gone = covered(first, flags[done : done + size] | own, window)
         done += size
         n_words.append(np.diff(first))
         totals = np.concatenate([[0], np.cumsum(gone)])
@@ -79,6 +80,7 @@ def _finish(table: pa.Table, flags: np.ndarray, window: int, texts: bool) -> pa.
                 intervals.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
     columns = {
         "doc_id": table["doc_id"],
+        "copies": table["copies"],
         "n_words": pa.array(np.concatenate(n_words).astype(np.int64)),
         "n_removed": pa.array(np.concatenate(n_removed).astype(np.int64)),
         "kept_sha256": pa.array(digests, pa.string()),
@@ -103,22 +105,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -
     window are kept whole; columns besides doc_id and text are ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    total = blocks.text_bytes(docs)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    rows = blocks.different(docs)
+    schema = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string"
     if texts:
         schema += ", kept_text string, removed array<struct<start:int,end:int>>"
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return blocks.with_repeats(
-        blocks.deal(docs, total),
+    found = blocks.with_repeats(
+        rows.dealt(),
         partial(_hashes, window=window),
         partial(_finish, window=window, texts=texts),
         schema,
-        total,
-        total // 6,
+        rows.bytes,
+        rows.bytes // 6,
         width=5,
         confirm=True,
     )
+    return rows.expanded(found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
