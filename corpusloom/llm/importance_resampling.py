@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import words
 from corpusloom.operators.ranking import ranked
-from corpusloom.session import prepare, unused
+from corpusloom.session import prepare, stash, unused
 
 #: Bytes of a text that are split into words at a time.
 PIECE = 1 << 18
@@ -152,6 +152,7 @@ def scored(docs: DataFrame, target: DataFrame, features: Features = Features(),
 def _placed(docs: DataFrame, target: DataFrame, percent: int, min_words: int, features: Features, seed: int) -> DataFrame:
     """``scored`` with the rank of drawn rows. All rows are numbered, those with enough words first."""
     rows = scored(docs, target, features, seed).withColumn("enough", F.col("n_words") >= min_words)
+    rows = stash(rows, "scores")  # dealing by range reads its input twice
     placed = ranked(rows, [F.desc("enough"), F.desc("score"), F.asc_nulls_last("doc_id"), "text_hash"], "rank", start=1)
     drawn = placed.where("enough").count() * percent // 100
     return placed.withColumn("rank", F.when(F.col("enough") & (F.col("rank") <= drawn), F.col("rank"))).drop("enough")
