@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import partial, reduce
+from functools import reduce
+from typing import Any
 
-import ahocorasick
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as t
-from corpusloom.session import prepare
+from corpusloom.operators.postings import CONTENT, KEYWORDS, TITLE, grams, matched, postings
+from corpusloom.session import discard, stash
 
 # BM25's constants, and the weights of the bonuses.
 K1, B = 1.5, 0.75
@@ -86,7 +83,7 @@ def search(sections: DataFrame, query: str, document_id: str | None = None, limi
     found = found.withColumn("previous_section_id", F.col("prev_section_id")).select(*_projected())
     top = found.orderBy(F.desc("relevance_score"), "doc_ord", "ord").collect()
     if not document_id:
-        top = across_borders(top, sections)
+        top = across_borders(top, ends_of(sections))
     return spark.createDataFrame(top, found.schema).select(RESULT)
 
 
@@ -105,7 +102,14 @@ def _kinds() -> dict[str, str]:
     return {c: "int" if c in whole else "string" for c in RESULT}
 
 
-def across_borders(top: list[Row], sections: DataFrame) -> list[Row]:
+def ends_of(sections: DataFrame) -> DataFrame:
+    """(doc_ord, first_section_id, last_section_id): the sections without a neighbour before or after them."""
+    first = F.when(F.col("prev_section_id").isNull(), F.col("section_id")).alias("first_section_id")
+    last = F.when(F.col("next_section_id").isNull(), F.col("section_id")).alias("last_section_id")
+    return sections.where("prev_section_id IS NULL OR next_section_id IS NULL").select("doc_ord", first, last)
+
+
+def across_borders(top: list[Row], ends: DataFrame) -> list[Row]:
     """Found rows with neighbours also where they are first or last in their documents: the nearest documents' ends.
 
     One aggregate over the ends of documents, with a number for each such row; there are MAX_LIMIT at most.
@@ -114,13 +118,13 @@ def across_borders(top: list[Row], sections: DataFrame) -> list[Row]:
     after = sorted({r["doc_ord"] for r in top if r["next_section_id"] is None})
     if not before and not after:
         return top
-    place = F.struct("doc_ord", "section_id")
-    ends = sections.where("prev_section_id IS NULL OR next_section_id IS NULL").agg(
+    place = lambda name: F.when(F.col(name).isNotNull(), F.struct("doc_ord", F.col(name).alias("section_id")))
+    near = ends.agg(
         F.count(F.lit(1)),
-        *[F.max(F.when(F.col("next_section_id").isNull() & (F.col("doc_ord") < d), place)) for d in before],
-        *[F.min(F.when(F.col("prev_section_id").isNull() & (F.col("doc_ord") > d), place)) for d in after],
+        *[F.max(F.when(F.col("doc_ord") < d, place("last_section_id"))) for d in before],
+        *[F.min(F.when(F.col("doc_ord") > d, place("first_section_id"))) for d in after],
     ).first()
-    near = [x and x["section_id"] for x in ends[1:]]
+    near = [x and x["section_id"] for x in near[1:]]
     previous, following = dict(zip(before, near)), dict(zip(after, near[len(before) :]))
     out = []
     for r in top:
@@ -131,134 +135,116 @@ def across_borders(top: list[Row], sections: DataFrame) -> list[Row]:
     return out
 
 
-#: Queries that go through the sections together, and sections that are scored at once.
-QUERY_BLOCK, ROWS = 1000, 500
-
-
 def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(query_id, rank, document_id, section_id, relevance_score) for each row of ``queries`` (query_id, query).
 
-    Queries are stated, and go through in blocks. A block reads the sections twice: for the statistics of its terms,
-    one number a term, and for the scores. One automaton of all terms and phrases of the block counts them in a single
-    pass over each text; scores of a batch of sections are a product of their term weights with the queries' terms. A
-    batch keeps only its best rows of each query, so few rows reach the final ranking. Null queries and queries without
-    terms find nothing; rows that repeat a query_id share one ranking.
+    Queries are a table, in one plan for any number of them: their terms meet the tokens that hold them by an n-gram,
+    the tokens meet their postings, and what each term adds to a section's score is summed for each query and section.
+    A task keeps the best ``limit`` sections of each query only before the final ranking. Texts are read again only for
+    sections that hold all terms of a query, to look for its phrase. Null queries and queries without terms find
+    nothing; rows that repeat a query_id share one ranking.
     """
-    prepare(sections.sparkSession)
-    found, block = [], []
-    for row in queries.select("query_id", "query").toLocalIterator():
-        if terms := t.terms_of(row["query"] or ""):
-            block.append((row["query_id"], terms))
-        if len(block) == QUERY_BLOCK:
-            found.append(_search_block(sections, block, limit))
-            block = []
-    if block or not found:
-        found.append(_search_block(sections, block, limit))
-    rows = reduce(DataFrame.unionByName, found)
+    found = stash(postings(sections), "postings")
+    asked = queries.select("query_id", t.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
+    asked = stash(asked.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct(), "queries")
+    each = asked.select("query_id", "phrase", F.size("terms").alias("of"), F.explode("terms").alias("term"))
+    hits = stash(hits_of(matched(each.select("term").distinct(), grams(found)), found), "hits")
+    n, chars = sections.agg(F.count(F.lit(1)), F.sum("char_count")).first()
+    counts = hits.where("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    mean = F.lit(chars / n if n and chars else 1.0)
+    flag = lambda name, bonus: F.when(F.col(name), bonus).otherwise(0.0)
+    body = F.when(F.col("tf") > 0, _saturated(F.col("tf"), F.col("size"), mean)).otherwise(0.0)
+    added = idf * (body + flag("in_title", TITLE_BONUS) + flag("in_keywords", KEYWORD_BONUS))
+    weights = hits.join(counts, "term").select("term", "doc_ord", "ord", (F.col("tf") > 0).cast("int").alias("hit"), added.alias("added"))
+    key = ["query_id", "phrase", "of", "doc_ord", "ord"]
+    scored = each.join(weights, "term").groupBy(*key).agg(F.sum("added").alias("score"), F.sum("hit").alias("hit"))
+    scored = stash(scored.where("score > 0"), "scores")
+    whole = scored.where("of > 1 AND hit = of").select("query_id", "phrase", "doc_ord", "ord")
+    texts = sections.select("doc_ord", "ord", "content_lc")
+    spoken = whole.join(texts, ["doc_ord", "ord"]).where(F.contains("content_lc", "phrase")).select("query_id", "phrase", "doc_ord", "ord", F.lit(PHRASE_BONUS).alias("bonus"))
+    scored = scored.join(spoken, ["query_id", "phrase", "doc_ord", "ord"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "doc_ord", "ord")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= clamped(limit))
-    return ranked.select("query_id", "rank", "document_id", "section_id", "relevance_score")
-
-
-@dataclass
-class Block:
-    """Queries with their terms, all terms in order, and the phrases of queries of several terms."""
-
-    queries: list[tuple[int, list[str]]]
-
-    def __post_init__(self) -> None:
-        self.terms = sorted({w for _, terms in self.queries for w in terms})
-        self.phrases = sorted({" ".join(terms) for _, terms in self.queries if len(terms) > 1})
-
-    def automaton(self, phrases: bool = True) -> ahocorasick.Automaton:
-        """Terms by number, then phrases by number."""
-        made = ahocorasick.Automaton()
-        for i, w in enumerate([*self.terms, *(self.phrases if phrases else ())]):
-            made.add_word(w, (i, len(w)))
-        made.make_automaton()
-        return made
-
-
-def counted(automaton: ahocorasick.Automaton, text: str) -> dict[int, int]:
-    """For each term or phrase in the text, how often it occurs without overlapping itself."""
-    counts: dict[int, int] = {}
-    free: dict[int, int] = {}
-    for last, (i, size) in automaton.iter(text):
-        if last - size >= free.get(i, -1):
-            free[i] = last
-            counts[i] = counts.get(i, 0) + 1
-    return counts
-
-
-def _search_block(sections: DataFrame, queries: list[tuple[int, list[str]]], limit: int) -> DataFrame:
-    block = Block(queries)
-    hits = sections.select("content_lc", "char_count").mapInArrow(partial(_statistics, block=block), "term int, n long, chars long")
-    have = {r["term"]: r for r in hits.groupBy("term").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).collect()}  # one row a term
-    n = have[-1]["n"] if -1 in have else 0
-    average = have[-1]["chars"] / n if n and have[-1]["chars"] else 1.0
-    idf = [math.log((n - have[i]["n"] + 0.5) / (have[i]["n"] + 0.5) + 1.0) if i in have else 0.0 for i in range(len(block.terms))]
-    rank = partial(_best_rows, block=block, idf=np.array(idf), average=average, limit=clamped(limit))
-    rows = sections.select("document_id", "section_id", "doc_ord", "ord", "content_lc", "title_lc", "keywords", "char_count")
-    return rows.mapInArrow(rank, "query_id long, document_id string, section_id string, relevance_score int, doc_ord long, ord int")
-
-
-def _statistics(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
-    """Sections that hold each term; as term -1 all sections and their characters."""
-    counts, chars, rows = np.zeros(len(block.terms), np.int64), 0, 0
-    automaton = block.automaton(phrases=False) if block.terms else None
-    for batch in batches:
-        rows += batch.num_rows
-        chars += sum(batch["char_count"].to_pylist())
-        for text in batch["content_lc"].to_pylist() if automaton else ():
-            counts[list({i for _, (i, _) in automaton.iter(text)})] += 1
-    held = np.flatnonzero(counts)
-    columns = (np.append(held, -1).astype(np.int32), np.append(counts[held], rows), np.append(held * 0, chars))
-    yield pa.record_batch([pa.array(c) for c in columns], names=["term", "n", "chars"])
-
-
-def _best_rows(batches: Iterator[pa.RecordBatch], block: Block, idf: np.ndarray, average: float, limit: int) -> Iterator[pa.RecordBatch]:
-    if not block.terms:
-        return
-    automaton, width = block.automaton(), len(block.terms)
-    number = {w: i for i, w in enumerate(block.terms)}
-    spoken = {w: width + i for i, w in enumerate(block.phrases)}
-    of_query = np.zeros((width + len(block.phrases), len(block.queries)))
-    for q, (_, terms) in enumerate(block.queries):
-        of_query[[number[w] for w in terms], q] = 1.0
-        if len(terms) > 1:
-            of_query[spoken[" ".join(terms)], q] = 1.0
-    ids = [q for q, _ in block.queries]
-    for whole in batches:
-        order = np.lexsort((whole["ord"].to_numpy(), whole["doc_ord"].to_numpy()))
-        whole = whole.take(pa.array(order))
-        for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
-            n, sizes = batch.num_rows, batch["char_count"].to_numpy()
-            weight = np.zeros((n, of_query.shape[0]))
-            for r, (text, title, keys) in enumerate(zip(*(batch[c].to_pylist() for c in ("content_lc", "title_lc", "keywords")))):
-                found = counted(automaton, text)
-                at = np.array([i for i in found if i < width], np.int64)
-                tf = np.array([found[i] for i in at], float)
-                weight[r, at] = idf[at] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[r] / average)))
-                weight[r, [i for i in found if i >= width]] = PHRASE_BONUS
-                for bonus, places in ((TITLE_BONUS, (title,)), (KEYWORD_BONUS, [k.lower() for k in keys or ()])):
-                    hit = [i for i in {i for x in places for i in counted(automaton, x)} if i < width]
-                    weight[r, hit] += idf[hit] * bonus
-            scores = weight @ of_query
-            relevance = np.where(scores > 0, np.floor(scores * 100 + ROUNDING), -1).astype(np.int64)
-            joined = relevance * n + np.arange(n - 1, -1, -1)[:, None]  # ties go to the earlier place
-            best = np.argpartition(-joined, min(limit, n) - 1, axis=0)[:limit]
-            q = np.broadcast_to(np.arange(len(ids)), best.shape).ravel()
-            row = best.ravel()
-            keep = relevance[row, q] >= 0
-            row, q = row[keep], q[keep]
-            taken = batch.select(["document_id", "section_id", "doc_ord", "ord"]).take(pa.array(row))
-            yield pa.record_batch(
-                {
-                    "query_id": pa.array([ids[x] for x in q.tolist()], pa.int64()),
-                    "document_id": taken["document_id"],
-                    "section_id": taken["section_id"],
-                    "relevance_score": pa.array(relevance[row, q].astype(np.int32)),
-                    "doc_ord": taken["doc_ord"],
-                    "ord": taken["ord"],
-                }
-            )
+    ranked = scored.withColumn("relevance_score", (F.col("score") * 100 + ROUNDING).cast("int")).withColumn("rank", F.row_number().over(order))
+    best = ranked.where(F.col("rank") <= clamped(limit)).select("query_id", "rank", "doc_ord", "ord", "relevance_score")
+    return best.join(sections.select("doc_ord", "ord", "document_id", "section_id"), ["doc_ord", "ord"]).select(
+        "query_id", "rank", "document_id", "section_id", "relevance_score"
+    )
+
+
+def hits_of(words: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, doc_ord, ord, size, tf, in_title, in_keywords) of the sections that hold a term, from tokens that do and
+    their postings."""
+    n = F.col("n") * F.col("times")
+    return found.join(words, "token").groupBy("term", "doc_ord", "ord").agg(
+        F.max("size").alias("size"),
+        F.sum(F.when(F.col("place") == CONTENT, n).otherwise(0)).alias("tf"),
+        F.max(F.col("place") == TITLE).alias("in_title"),
+        F.max(F.col("place") == KEYWORDS).alias("in_keywords"),
+    )
+
+
+#: Tokens, or documents, up to which a search asks for them by name, so that files skip the pages that lack them.
+FEW = 1000
+
+
+def search_index(index: Any, query: str, document_id: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """What ``search`` finds, row for row, from a stored index: its postings are read for the tokens that hold a term,
+    its sections only where the result, or the phrase, asks for their text.
+
+    The index's own totals replace a scan. One aggregate over the hits gives document frequencies; scores without the
+    phrase then give the last score that counts, and only sections that hold all terms and can reach it with the phrase
+    are read.
+    """
+    spark, terms = index.sections.sparkSession, t.terms_of(query)
+    if not terms:
+        return spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in _kinds().items())).select(RESULT)
+    scope = index.files.where(F.col("document_id") == document_id) if document_id else None
+    n, chars = index.totals if scope is None else scope.agg(F.sum("section_count"), F.sum("total_characters")).first()
+    found = matched(spark.createDataFrame([(w,) for w in terms], "term string"), index.grams)
+    words = found.limit(FEW + 1).collect()
+    read = index.postings
+    if len(words) <= FEW:
+        read = read.where(F.col("token").isin(sorted({r["token"] for r in words})))
+        found = F.broadcast(spark.createDataFrame(words, found.schema))
+    hits = hits_of(found, read).groupBy("doc_ord", "ord").agg(
+        F.max("size").alias("size"),
+        *[F.max(F.when(F.col("term") == w, F.struct("tf", "in_title", "in_keywords"))).alias(f"t{i}") for i, w in enumerate(terms)],
+    )
+    hits = stash(hits, "hits")
+    tf = [F.coalesce(F.col(f"t{i}.tf"), F.lit(0)) for i in range(len(terms))]
+    counts = hits.agg(*[F.sum((x > 0).cast("long")) for x in tf]).first()  # a number a term
+    idf = [F.lit(math.log((index.totals[0] - h + 0.5) / (h + 0.5) + 1.0) if h else 0.0) for h in counts]
+    mean, size = F.lit(float(chars) / n if n and chars else 1.0), F.col("size")
+    flag = lambda i, name: F.coalesce(F.col(f"t{i}.{name}"), F.lit(False))
+    body = [F.when(x > 0, w * _saturated(x, size, mean)).otherwise(0.0) for x, w in zip(tf, idf)]
+    bonus = [F.when(flag(i, name), w * b).otherwise(0.0) for name, b in (("in_title", TITLE_BONUS), ("in_keywords", KEYWORD_BONUS)) for i, w in enumerate(idf)]
+    if scope is not None:
+        hits = hits.join(scope.select("doc_ord"), "doc_ord", "left_semi")
+    place = ["doc_ord", "ord"]
+    rows = hits.select(*place, _total([*body, *bonus]).alias("score"), sum((x > 0).cast("int") for x in tf).alias("match_count"))
+    rated = lambda score: (score * 100 + ROUNDING).cast("int")
+    order = [F.desc("relevance_score"), "doc_ord", "ord"]
+    best = lambda df: df.withColumn("relevance_score", rated(F.col("score"))).where("score > 0").orderBy(*order).limit(clamped(limit)).collect()
+    top = best(rows)
+    if len(terms) > 1:
+        least = top[-1]["relevance_score"] if len(top) == clamped(limit) else 0
+        may = rows.where((F.col("match_count") == len(terms)) & (rated(F.col("score") + PHRASE_BONUS) >= least))
+        near = may.select("doc_ord").distinct().limit(FEW + 1).collect()
+        texts = index.sections
+        if len(near) <= FEW:
+            texts = texts.where(F.col("doc_ord").isin([r["doc_ord"] for r in near]))
+        spoken = texts.select(*place, "content_lc").join(may.select(*place), place).where(F.col("content_lc").contains(" ".join(terms))).select(*place, F.lit(PHRASE_BONUS).alias("bonus"))
+        top = best(rows.join(spoken, place, "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))))
+    discard(hits)
+    kind = "doc_ord long, ord int, match_count int, relevance_score int"
+    found = spark.createDataFrame([(r["doc_ord"], r["ord"], r["match_count"], r["relevance_score"]) for r in top], kind)
+    texts = index.sections.where(F.col("doc_ord").isin([r["doc_ord"] for r in top])).join(F.broadcast(found), place)
+    lc = F.col("content_lc")
+    texts = texts.withColumn("preview", t.context_preview(F.col("content"), lc, [F.lit(w) for w in terms])).withColumn("previous_section_id", F.col("prev_section_id"))
+    shown = texts.select(*_projected())
+    rows = sorted(shown.collect(), key=lambda r: (-r["relevance_score"], r["doc_ord"], r["ord"]))
+    if not document_id:
+        files = index.files.where("section_count > 0")
+        rows = across_borders(rows, files.select("doc_ord", F.col("first_section_id"), F.col("last_section_id")))
+    return spark.createDataFrame(rows, shown.schema).select(RESULT)

@@ -17,7 +17,7 @@ from corpusloom.operators.segment import preview, segment, with_titles
 from corpusloom.plans import inputs as i
 from corpusloom.session import scratch_path
 from corpusloom.sources import files, index_store
-from corpusloom.sources.settings import Cleaning, DocumentSettings, PageRange
+from corpusloom.sources.settings import Cleaning, DocumentSettings, PageRange, checked, cleaning_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,6 +203,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(i.bold_sections(spark, sf), "the assistant turn", limit=20)
 
 
+@query("search_indexed", _search_sql(WITH_DOCUMENTS, "doc-", t.terms_of(TEXT), None, 20))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the postings of a stored index, without reading its sections but for the result and the phrase."""
+    return stored_index(spark, sf).search(TEXT, limit=20)
+
+
+@query("search_indexed_phrase", _search_sql(WITH_DOCUMENTS, "doc-", ["that", "from"], None, 20))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_index(spark, sf).search("That, FROM", limit=20)
+
+
+@query("search_indexed_scoped", _search_sql(WITH_DOCUMENTS, "doc-", t.terms_of(TEXT), "doc-9", 5))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_index(spark, sf).search(TEXT, "doc-9")
+
+
 def _batch_sql(text: str) -> str:
     return rf"""{WITH_DOCUMENTS},
 qs AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+')), lambda w: length(w) > 1 AND NOT list_contains([{", ".join(repr(w) for w in t.MINOR_WORDS)}], w)) AS terms FROM benchmark),
@@ -570,9 +586,83 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return files.newer_than(docs.select(path, time.alias("modified")), done).select("file_path")
 
 
+def stored_index(spark: SparkSession, sf: str) -> index_store.Index:
+    return index_store.open_index(i.documents(spark, sf), scratch_path(spark, "index"))
+
+
+@query("index_update", f"{WITH_DOCUMENTS} {SECTION_SQL}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that lacked a fifth of the documents, held others under other texts and some that are gone, brought up
+    to date: the sections of the documents as they are."""
+    path, docs = scratch_path(spark, "index"), i.documents(spark, sf)
+    other = F.when(F.col("doc_ord") % 7 == 0, F.concat(F.lit("Another beginning.\n\n"), "text")).otherwise(F.col("text"))
+    first = docs.where("doc_ord % 5 <> 0").withColumn("text", other)
+    gone = docs.where("doc_ord % 50 = 0").select(
+        (-F.col("doc_ord") - 1).alias("doc_ord"), "document_id", "stem", F.concat(F.lit("old/"), "file_path").alias("file_path"), "text"
+    )
+    index_store.open_index(first.unionByName(gone), path)
+    return index_store.open_index(docs, path).sections.select(SECTION_COLUMNS)
+
+
+@query(
+    "index_facts",
+    f"""{WITH_DOCUMENTS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS sections, sum(char_count)::BIGINT AS characters,
+(SELECT count(*) FROM documents WHERE doc_id % 6 <> 0) AS first_documents FROM sections""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals that were observed while two versions were written; no table is read for them."""
+    path, docs = scratch_path(spark, "index"), i.documents(spark, sf)
+    first = index_store.open_index(docs.where("doc_ord % 6 <> 0"), path).facts
+    last = index_store.open_index(docs, path).facts
+    row = (last["documents"], last["sections"], last["characters"], first["documents"])
+    return spark.createDataFrame([row], "documents long, sections long, characters long, first_documents long")
+
+
+@query(
+    "document_order",
+    "SELECT doc_id, row_number() OVER (ORDER BY 'doc_id=' || doc_id || '/') - 1 AS doc_ord, length(text) + 1 AS n_chars FROM documents",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a file each, in a folder by id, scanned again: numbered by path without gaps."""
+    path = scratch_path(spark, "texts")
+    i.read(spark, sf, "documents").select("text", "doc_id").repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
+    found = files.scan_texts(spark, path)
+    return found.select(F.regexp_extract("file_path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "doc_ord", F.length("text").alias("n_chars"))
+
+
+@query(
+    "file_order",
+    f"""{WITH_DOCUMENTS}, f AS (SELECT doc_ord, count(*) AS n FROM sections GROUP BY doc_ord)
+SELECT doc_id, row_number() OVER (ORDER BY 'doc-' || doc_id || '.txt') - 1 AS doc_ord, coalesce(n, 0)::INT AS section_count FROM documents LEFT JOIN f ON doc_ord = doc_id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents numbered by path, cut and counted under those numbers."""
+    docs = i.documents(spark, sf).withColumnRenamed("doc_ord", "doc_id")
+    order = files.ordered(docs.select("file_path", "stem")).select("file_path", "doc_ord")
+    docs = docs.join(order, "file_path")
+    counts = index_store.build_index(docs).files.select("doc_ord", "section_count")
+    return docs.select("doc_id", "doc_ord").join(counts, "doc_ord").select("doc_id", "doc_ord", "section_count")
+
+
+@query(
+    "settings_table",
+    """SELECT 'conv-' || conv_id || '-' || turn AS stem, CASE WHEN turn % 3 = 0 THEN 'no valid settings' END AS error,
+CASE turn % 3 WHEN 1 THEN length(text) > 100 WHEN 2 THEN false END AS strip_bold FROM conversations""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings of a document for each turn: JSON text as a table, broken where it is no settings' object."""
+    long_ = F.when(F.length("text") > 100, "true").otherwise("false")
+    own = F.when(F.col("turn") % 3 == 1, F.concat(F.lit('{"meta": {"title": "x"}, "preprocessing": {"stripBold": '), long_, F.lit('}, "other": 1}')))
+    own = own.when(F.col("turn") % 3 == 2, '{"maxSectionSize": 2000}').otherwise(F.concat(F.lit('{"maxSectionSize": "'), F.substring("text", 1, 9), F.lit('"')))
+    rows = i.read(spark, sf, "conversations").select(F.concat_ws("-", F.lit("conv"), "conv_id", "turn").alias("stem"), own.alias("settings"))
+    found = checked(rows)
+    steps = cleaning_table(found).select("stem", F.col("cleaning.strip_bold").alias("strip_bold"))
+    return found.select("stem", "error").join(steps, "stem").select("stem", "error", F.when(F.col("error").isNull(), F.col("strip_bold")).alias("strip_bold"))
+
+
 @query("stored_index", f"{FILES_SQL} SELECT 'doc-' || doc_id AS document_id, coalesce(n, 0)::INT AS section_count, coalesce(chars, 0)::BIGINT AS total_characters, (SELECT count(*) FROM sections) AS all_sections FROM documents LEFT JOIN f ON doc_ord = doc_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    index = index_store.open_index(i.documents(spark, sf), scratch_path(spark, "index"))
+    index = stored_index(spark, sf)
     stored = index.metadata.select(F.col("total_sections").alias("all_sections"))  # one row
     return index.files.select("document_id", "section_count", "total_characters").crossJoin(F.broadcast(stored))
 

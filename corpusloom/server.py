@@ -53,7 +53,7 @@ class Server:
         limit = search.clamped(_whole(a.get("limit"), search.DEFAULT_LIMIT))
         key = (a["query"].lower(), a.get("file_id") or None, limit)
         if key not in self.kept:
-            self.kept[key] = rows(search.search(self.index.sections, a["query"], key[1], limit))
+            self.kept[key] = rows(self.index.search(a["query"], key[1], limit))
             if len(self.kept) > KEPT_RESULTS:
                 self.kept.popitem(last=False)
         return self.kept[key]
@@ -140,8 +140,7 @@ def main(argv: list[str] | None = None) -> None:
     space = Workspace(spark, given.root or given.index, given.config_path, given.documents, given.index)
     space.scaffold()
     index = space.refresh(given.force_rebuild)
-    counts = space.counters().first()
-    print(", ".join(f"{k}: {v}" for k, v in counts.asDict().items()), file=sys.stderr)
+    print(", ".join(f"{k}: {v}" for k, v in space.counters().items()), file=sys.stderr)
     Server(index, space.documents()).run(sys.stdin, sys.stdout)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.operators import pdf_layout
+from corpusloom.operators.ranking import ranked
 from corpusloom.session import prepare, stash
 
 TEXT_KINDS, HTML_KINDS = ("txt", "md"), ("html", "htm")
@@ -28,31 +30,41 @@ def _path(column: Column) -> Column:
     return F.try_url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))
 
 
-def with_order(docs: DataFrame) -> DataFrame:
-    """Add doc_ord, the document's place by path.
-
-    Places are numbers that sort like the paths: partitions are ranged by path and numbered in order, so no task sees
-    all documents. They are dense inside a partition only.
-    """
-    return docs.repartitionByRange("file_path").sortWithinPartitions("file_path").withColumn("doc_ord", F.monotonically_increasing_id())
+def list_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_path, stem, modified, size) of the ``*.txt`` files in a folder; nothing is read of them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    path = _path(F.col("_metadata.file_path"))
+    return found.select(path.alias("file_path"), stem_of(path).alias("stem"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def scan_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_ord, document_id, stem, file_path, modified, size, text) of the ``*.txt`` files in a folder, by path."""
-    read = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    docs = read.select(
+def read_texts(spark: SparkSession, folder: str, paths: list[str] | None = None) -> DataFrame:
+    """(file_path, modified, size, text) of the ``*.txt`` files in a folder, or of some of these; others aren't opened."""
+    where = folder if not paths else [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]  # a path is no pattern
+    read = spark.read.option("pathGlobFilter", "*.txt").text(where, wholetext=True)
+    if paths is not None and not paths:
+        read = read.where("false")
+    return read.select(
         _path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("text"),
     )
-    return as_documents(docs)
 
 
-def as_documents(docs: DataFrame) -> DataFrame:
-    """Add stem, document_id and doc_ord to rows with a file_path."""
-    stem = stem_of(F.col("file_path"))
-    return with_order(docs.withColumn("stem", stem).withColumn("document_id", t.document_slug(stem)))
+def ordered(listing: DataFrame) -> DataFrame:
+    """A listing (file_path, stem, ...) with document_id and doc_ord: 0, 1, ... by path, the same in every plan."""
+    return ranked(listing.withColumn("document_id", t.document_slug(F.col("stem"))), ["file_path"], "doc_ord")
+
+
+def scan_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_ord, document_id, stem, file_path, modified, size, text) of the ``*.txt`` files in a folder, by path.
+
+    doc_ord is dense: files are listed and numbered when this is called, texts are read when the result is. Files that
+    come or go in between are left out, and so are empty ones, which Spark does not list.
+    """
+    order = ordered(list_texts(spark, folder))
+    texts = read_texts(spark, folder).select("file_path", "text")
+    return order.join(texts, "file_path").select("doc_ord", "document_id", "stem", "file_path", "modified", "size", "text")
 
 
 def scan_raw(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,9 @@ from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Cleaning:
@@ -174,3 +177,45 @@ class SettingsFolder:
         """(stem, JSON) of all documents with settings of their own, for a config table."""
         found = ((stem, self.document(stem)) for stem in self.documents())
         return [(stem, to_json(s)) for stem, s in found if s is not None]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(stem, settings, error) of all documents with settings of their own, read by Spark: the JSON text where it
+        fits the settings, else an error. The folder must be one that the executors see."""
+        kind = "stem string, settings string, error string"
+        folder = self.root / "individual"
+        if not folder.is_dir() or next(folder.glob("*.json"), None) is None:
+            return spark.createDataFrame([], kind)
+        files = spark.read.option("pathGlobFilter", "*.json").text(str(folder), wholetext=True)
+        path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        stem = F.regexp_extract(path, r"([^/]*)\.json\z", 1)
+        text = F.regexp_replace("value", "^\ufeff", "")
+        return checked(files.select(stem.alias("stem"), text.alias("settings")))
+
+
+def json_schema() -> str:
+    """The settings of a document as a Spark schema, with a column for what doesn't fit."""
+    switches = ", ".join(f"{_camel(f.name)}: boolean" for f in fields(Cleaning))
+    pages = "start: int, end: int, only: array<int>, exclude: array<int>"
+    return (
+        f"pageRange struct<{pages}>, meta map<string, string>, preprocessing struct<{switches}>, extractByBold boolean, extractByPatterns boolean, "
+        "customHeadingPatterns array<string>, maxSectionSize int, deduplicateSections boolean, broken string"
+    )
+
+
+def parsed(settings: Column) -> Column:
+    return F.from_json(settings, json_schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """(stem, settings, error) of rows (stem, settings): JSON that doesn't fit the settings becomes an error."""
+    found = parsed(F.col("settings"))
+    bad = found.isNull() | found["broken"].isNotNull() | ~F.ltrim("settings").startswith("{")
+    good = F.coalesce(~bad, F.lit(False))
+    return rows.select("stem", F.when(good, F.col("settings")).alias("settings"), F.when(~good, "no valid settings").alias("error"))
+
+
+def cleaning_table(own: DataFrame) -> DataFrame:
+    """(stem, cleaning) of rows (stem, settings): a document's own switches, with defaults where it says nothing."""
+    mine = parsed(F.col("settings"))["preprocessing"]
+    switches = [F.coalesce(mine[_camel(f.name)], F.lit(f.default)).alias(f.name) for f in fields(Cleaning)]
+    return own.select("stem", F.struct(*switches).alias("cleaning"))

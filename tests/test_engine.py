@@ -230,12 +230,12 @@ def test_workspace_from_raw_files_to_a_fresh_index(spark, tmp_path, monkeypatch)
     rule = "=" * 80
     assert texts["p"] == f"\n{rule}\nPDF PAGE 1\n{rule}\n# Heading\n**Bold line**\nbody of a page\nx\ny\nz{long_}\n\n{rule}\nPDF PAGE 2\n{rule}\nplain page{long_}"
     assert [r["file_path"].rsplit("/", 1)[1] for r in space.errors().collect()] == ["bad.pdf"]
-    assert space.counters().first().asDict() == {"documents": 4, "cleaned": 4, "with_traces": 0, "converted": 2, "failed": 1}
+    assert space.counters() == {"documents": 4, "cleaned": 4, "with_traces": 0, "converted": 2, "failed": 1}
     assert sorted(r["document_id"] for r in index.files.collect()) == ["a", "b", "p", "w"]
-    stamp = lambda: index.sections.sparkSession.read.parquet(f"{space.index_path}/metadata").first()["parsed_at"]
-    first, n = stamp(), spark.read.parquet(f"{space.index_path}/converted").count()
-    space.refresh()
-    assert stamp() == first and spark.read.parquet(f"{space.index_path}/converted").count() == n
+    stamp = lambda: space.store.current().name
+    first, made = stamp(), space.conversions.current().name
+    assert space.refresh().metadata.first()["total_sections"] == index.sections.count()
+    assert stamp() == first and space.conversions.current().name == made
     space.settings.save_cleaning(Cleaning(preserve_markdown=False, strip_bold=True))
     space.refresh()
     second = stamp()
@@ -246,7 +246,7 @@ def test_workspace_from_raw_files_to_a_fresh_index(spark, tmp_path, monkeypatch)
     space.refresh()
     texts = {r["stem"]: r["text"] for r in space.documents().collect()}
     assert stamp() != second and texts["b"].startswith("B **bold**") and texts["w"] == f"Another page{long_}"
-    assert spark.read.parquet(f"{space.index_path}/converted").count() == n + 1
+    assert space.conversions.current().name != made and space.converted().count() == 3 and space.counters()["converted"] == 2
     out = preprocess_folder(spark, str(root / "documents"), str(tmp_path / "out"), Cleaning(preserve_markdown=False, strip_bold=True))
     assert sorted(r["text"][:6] for r in out.collect()) == ["A bold", "B bold"]
 
