@@ -22,10 +22,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
     "script style noscript template head title nav header footer aside button select option textarea iframe "
-    "object svg canvas audio video dialog menu noembed noframes input label".split()
+    "object svg canvas audio video dialog menu noembed noframes input".split()
 )
+ARTICLES, FORMS = ("article", "main"), ("form", "fieldset")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are cut unless they wrap most of the page's text, as forms of some page frameworks do.
-WRAPPERS = frozenset(("form", "fieldset"))
+WRAPPERS = frozenset(FORMS)
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address hr details summary header footer nav aside form fieldset center".split()
@@ -57,6 +59,10 @@ SPACES = re.compile(r"\s+")
 ENDINGS = frozenset(".!?…:;\"'”’»)")
 #: Characters below which a paragraph gives no points; a comma gives one, 100 characters give one, three at most.
 LEAST_CHARS, CHARS_A_POINT, MOST_LENGTH_POINTS = 25, 100, 3
+#: Characters of a part with a doubtful name from which it may be a sentence of the article.
+LEAST_SENTENCE = 20
+#: Share of linked text from which a part between two parts of the article is a list of links; a paragraph's.
+MOSTLY_LINKS, ONLY_LINKS = 0.5, 0.9
 #: Share of the best container's score that a sibling needs, and its floor.
 SIBLING_SHARE, SIBLING_FLOOR = 0.2, 10.0
 
@@ -66,21 +72,26 @@ class Node:
     measures of its text: characters and commas of its inline text, characters of all and of linked text below, the
     last character, whether a block is below."""
 
-    __slots__ = ("tag", "parent", "children", "score", "dropped", "doubtful", "weight", "own", "commas", "chars", "linked", "last", "blocky")
+    __slots__ = ("tag", "parent", "children", "score", "dropped", "doubtful", "weight", "own", "commas", "chars", "linked", "last", "blocky", "around", "weak", "leading")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
         named = {k.lower(): b or c or d for k, b, c, d in reversed(ATTRIBUTE.findall(attributes))} if attributes else {}
         names = " ".join(filter(None, (named.get(k) for k in ("class", "id", "role"))))
         likely = bool(names and LIKELY.search(names))
-        unlikely = bool(names and UNLIKELY.search(names)) and tag not in ("html", "body", "article", "main")
+        self.around = parent.around if parent else 0  # 1 inside an article, 2 inside a form
+        if parent is not None and parent.tag in ARTICLES + FORMS:
+            self.around |= 1 if parent.tag in ARTICLES else 2
+        unlikely, strongly = bool(names and UNLIKELY.search(names)) and tag not in ("html", "body", "article", "main"), False
         if unlikely:  # told by each name's last word of either sort; one likely name spares the element
             sorts = {sort(x, tag in CONTAINERS) for x in names.split()}
             likely, unlikely = likely and 1 not in sorts, 1 in sorts and 2 not in sorts
-        self.dropped = tag in DROPPED or bool(named) and (
-            "hidden" in named or named.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", named.get("style") or ""))
-        )
+            strongly = unlikely and 1 in {sort(x, False) for x in names.split()}
+        hidden = bool(named) and ("hidden" in named or named.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", named.get("style") or "")))
+        self.dropped = tag in DROPPED or hidden or tag == "label" and bool(self.around & 2)
         self.doubtful = (unlikely or tag in WRAPPERS) and not self.dropped  # cut by its name alone
+        self.weak = self.doubtful and not strongly and bool(self.around & 1) and tag not in WRAPPERS  # a name that parts of articles have, too
+        self.leading = tag == "header" and bool(self.around & 1) and not hidden and not strongly
         self.dropped |= self.doubtful
         self.weight = (25.0 if likely else 0.0) + {"article": 30.0, "main": 20.0}.get(tag, 0.0)
 
@@ -274,7 +285,8 @@ def measure(root: Node) -> list[Node]:
 
 def spare(root: Node) -> None:
     """Keep elements cut by name alone that hold most of the page's text of some length, unless other text is in an
-    element that is named or tagged as the article (say, a short article with many reader comments)."""
+    element that is named or tagged as the article (say, a short article with many reader comments). Parts of an article
+    with names like related or dialog stay if they read like text: sentences, with few links."""
     order: list[tuple[Node, bool]] = []
     stack, doubt = [(root, False)], False
     while stack:
@@ -286,10 +298,19 @@ def spare(root: Node) -> None:
     if not doubt:
         return
     chars: dict[int, int] = {}
+    every: dict[int, tuple[int, int, str]] = {}  # characters, those in links, the last one
     some: set[int] = set()  # elements with any text
     for node, _ in reversed(order):
         if any(c.strip() if isinstance(c, str) else id(c) in some for c in node.children):
             some.add(id(node))
+        total, linked, last = 0, 0, ""
+        for c in node.children:
+            if isinstance(c, str):
+                n, in_links, end = len(c.strip()), 0, c.strip()[-1:]
+            else:
+                n, in_links, end = every.get(id(c), (0, 0, ""))
+            total, linked, last = total + n, linked + in_links, end or last
+        every[id(node)] = total, total if node.tag == "a" else linked, last
         own = sum(len(c) for c in node.children if isinstance(c, str) and len(c.strip()) >= LEAST_CHARS)
         chars[id(node)] = 0 if node.tag == "a" else own + sum(chars.get(id(c), 0) for c in node.children if isinstance(c, Node))
     marked = {id(n) for n, below in order if n.weight and not below and id(n) in some and n.tag not in ("html", "body")}
@@ -298,6 +319,34 @@ def spare(root: Node) -> None:
         around[id(node)] = around[id(node.parent)] + (id(node.parent) in marked)
         if node.doubtful and 2 * chars[id(node)] > chars[id(root)] and around[id(node)] == len(marked):
             node.dropped = False
+        total, linked, last = every[id(node)]
+        if node.weak and total >= LEAST_SENTENCE and 4 * linked < total and last in ENDINGS:
+            node.dropped = False
+
+
+def lead(root: Node) -> None:
+    """Keep the header that an article begins with: it holds the title."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
+        if node.tag not in ARTICLES:
+            continue
+        walk = [iter(node.children)]
+        while walk:  # the first text in page order
+            child = next(walk[-1], None)
+            if child is None:
+                walk.pop()
+            elif isinstance(child, str):
+                if child.strip():
+                    break
+            elif child.leading:
+                child.dropped = False
+                break
+            elif child.tag in ARTICLES:
+                break  # has a beginning of its own
+            elif not child.dropped:
+                walk.append(iter(child.children))
 
 
 def leaf(node: Node) -> bool:
@@ -306,7 +355,7 @@ def leaf(node: Node) -> bool:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The best container and those of its siblings that belong to the article."""
+    """The best container with those of its siblings that belong to the article, in one frame."""
     order = measure(root)
     scored: dict[int, Node] = {}
     for node in order:
@@ -343,25 +392,44 @@ def main_nodes(root: Node) -> list[Node]:
             best = up
         up = up.parent
     threshold = max(SIBLING_FLOOR, final(best) * SIBLING_SHARE)
-    out = []
+    while best.parent is not None and best.parent.parent is not None and best.parent.tag not in ("body", "html") and best.parent.chars == best.chars:
+        best = best.parent  # a frame around it without text of its own
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
-    for node in best.parent.children:
-        if node is best:
-            out.append(node)
-        elif isinstance(node, Node) and not node.dropped:
-            good = id(node) in scored and final(node) >= threshold
-            if node.tag in ("p", "blockquote", "pre") or node.tag in ("div", "section") and not node.doubtful and (id(node) in scored or leaf(node)):
-                good |= node.chars > 80 and density(node) < 0.25 or density(node) == 0 and node.last in ENDINGS
-            if good:
-                out.append(node)
-    return out
+
+    def belongs(node: Node | str) -> bool:
+        if isinstance(node, str) or node.dropped:
+            return False
+        good = node is best or id(node) in scored and final(node) >= threshold
+        plain = node.tag in ("div", "section") and not node.doubtful and (id(node) in scored or leaf(node))
+        if plain or node.tag in ("p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"):
+            good |= node.chars > 80 and density(node) < 0.25 or node.chars > 0 and density(node) == 0 and node.last in ENDINGS
+        return good
+
+    children = best.parent.children
+    kept = [belongs(c) for c in children]
+    first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    for i in range(first, last):  # nothing between two parts of the article is lost but what is cut, and links
+        c = children[i]
+        kept[i] = kept[i] or isinstance(c, str) or not c.dropped and (1.0 if c.tag == "a" else density(c)) < (ONLY_LINKS if c.tag == "p" else MOSTLY_LINKS)
+    for i in range(first - 1, -1, -1):  # headings go with what follows them
+        c = children[i]
+        if not isinstance(c, str) and not c.dropped and c.chars:
+            if c.tag not in HEADINGS or density(c) >= MOSTLY_LINKS:
+                break
+            kept[i] = True
+        elif isinstance(c, str) and c.strip():
+            break
+    frame = Node("div", None)
+    frame.children = [c for c, k in zip(children, kept) if k]
+    return [frame]
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page; '' where nothing is a paragraph of some length and nothing is left of the body."""
     root = parse(page or "")
     spare(root)
+    lead(root)
     nodes = main_nodes(root)
     if not nodes:  # a page of short lines only: what remains of it when boilerplate is gone
         nodes = [root]
@@ -372,10 +440,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages``: the article's blocks in page order.
 
     Paragraphs give points for length and commas to their ancestors, less with each level; a container's points are
-    discounted by its share of linked text; the best one and siblings that score enough or read like text are kept.
+    discounted by its share of linked text; the best one and siblings that score enough or read like text are kept, with
+    headings before them and all between them that isn't cut or mostly links.
     Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader comments are cut out of the
     tree first, by element and by class, id or role; a likely name beside an unlikely one spares an element, and so does
-    most of the page's text (also that of a form around the page). Character references are decoded, white space inside a block
+    most of the page's text (also that of a form around the page). Inside an article its leading header stays, and so do
+    parts that are named like related things but read like text. Character references are decoded, white space inside a block
     becomes one space, and blocks are joined by a newline.
 
     Defined cases: null or empty html gives an empty text; unclosed and crossing tags are paired leniently; a page
