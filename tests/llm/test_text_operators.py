@@ -230,17 +230,42 @@ def test_identify(spark):
     assert [r["lang_pred"] for r in language_id.identify(docs.limit(1), language_id.build([])).collect()] == ["und"]
 
 
-def test_model_grows_with_what_is_seen():
-    """Eight languages of little common text need a few MB, and what needs too much is refused."""
+def test_model_grows_with_what_is_seen(monkeypatch):
+    """Many languages of little common text need what their trees need, in one table or in many."""
     rng = np.random.default_rng(3)
-    rows = [(f"l{k}", int(g), 1) for k in range(8) for g in np.unique(rng.integers(0, 2**32, 5000))]
-    assert language_id.build(rows).nbytes() < 20 << 20
-    most, language_id.MODEL_BYTES = language_id.MODEL_BYTES, 1 << 20
-    try:
-        with pytest.raises(ValueError):
-            language_id.build(rows)
-    finally:
-        language_id.MODEL_BYTES = most
+    rows = [(f"l{k:03}", int(g), 1) for k in range(40) for g in np.unique(rng.integers(0, 2**32, 2000))]
+    model = language_id.build(rows)
+    assert model.nbytes() < 40 * 2000 * 60
+    data = rng.integers(0, 256, 500).astype(np.uint8)
+    offsets = np.array([0, 100, 100, 500])
+    together = language_id.code_lengths(model, data, offsets)
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 0)
+    apart = language_id.code_lengths(language_id.Model(model.trees), data, offsets)
+    assert len(language_id.Model(model.trees).tables()) == 40 and np.allclose(together, apart, rtol=1e-6)
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 3 * model.trees[0].nbytes())
+    parts = model.parts()
+    assert len(parts) > 10 and [x for p in parts for x in p.languages] == model.languages
+
+
+def test_passes_over_parts_of_a_model(spark, monkeypatch):
+    """Trees that don't fit together are asked one after the other, with the same result."""
+    rng = random.Random(4)
+    vocab = {f"l{k}": ["".join(rng.choice("abcdefghijklmno") for _ in range(4)) for _ in range(6)] for k in range(7)}
+    rows = [(k, " ".join(rng.choice(vocab[x]) for _ in range(9)), x, "y") for k in range(140) for x in [f"l{k % 7}"]]
+    rows += [(900, None, "l1", "y"), (901, "12", None, "y"), (902, rows[0][1], None, "y"), (902, rows[0][1], None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, bits string")
+    model = language_id.learn(docs)
+    read = lambda: sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs, model).collect()))
+    whole = read()
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 1)
+    assert len(model.parts()) == 7 and read() == whole
+    assert sum(p == f"l{k % 7}" for k, p, _ in whole if k < 140) > 130 and len(whole) == len(rows)
+
+
+def test_a_row_that_is_repeated_is_learned_once(spark):
+    rows = spark.range(3000).selectExpr("1L AS doc_id", "'the same text' AS text", "'aa' AS lang").unionByName(spark.range(50).selectExpr("id AS doc_id", "concat('other ', id) AS text", "'bb' AS lang"))
+    taken = {r["lang"]: r["count"] for r in language_id.learned_rows(rows, 400).groupBy("lang").count().collect()}
+    assert taken.get("aa", 0) <= 1 and taken["bb"] > 20
 
 
 # --- secrets
