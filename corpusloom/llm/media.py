@@ -100,20 +100,33 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if good and 14 + header <= start and start + pixels <= size <= len(b) - at else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
-    p = at
+def _ogg(b: bytes, at: int, seen: dict | None = None) -> int | None:
+    """Pages follow each other to the last one of the stream; pages that an earlier walk passed end where that one did."""
+    seen = {} if seen is None else seen
+    p, passed, end = at, [], None
     while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0" and (n := p + 27 + b[p + 26]) <= len(b):
+        if ("ogg", p) in seen:
+            end = seen["ogg", p]
+            break
+        passed.append(p)
         last, p = b[p + 5] & 4, n + sum(b[p + 27 : n])
         if p > len(b):
-            return None
+            break
         if last:
-            return p
-    return None
+            end = p
+            break
+    seen.update((("ogg", x), end) for x in passed)
+    return end
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 if end > 0 and b[at + 5 : at + 6].isdigit() and b.rfind(b"startxref", at, end) > 0 else None
+def _pdf(b: bytes, at: int, seen: dict | None = None) -> int | None:
+    """From the header to the last end mark, with a reference table between them; both are looked for once."""
+    seen = {} if seen is None else seen
+    if "pdf" not in seen:
+        end = b.rfind(b"%%EOF")
+        seen["pdf"] = end, b.rfind(b"startxref", 0, max(end, 0))
+    end, table = seen["pdf"]
+    return end + 5 if at <= table < end and b[at + 5 : at + 6].isdigit() else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -146,6 +159,10 @@ FORMATS = [
 ]
 
 
+#: Validators that keep what they learn of a value.
+MEMOISED = (_ogg, _pdf)
+
+
 def automaton() -> ahocorasick.Automaton:
     """The signatures of all formats in one automaton; bytes are read as the first 256 code points."""
     found: dict[str, list[int]] = {}
@@ -159,14 +176,27 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def sniff(value: bytes, signatures: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
-    """All media in ``value`` whose structure holds: (type, start, end), by start; nested media are listed too."""
-    found = []
+    """Media in ``value`` whose structure holds: (type, start, end), by start.
+
+    That is what fills the whole value, and beside it the outermost media elsewhere: signatures inside a medium that has
+    been confirmed, or overlapping its end, are passed over. What one validator has found out about the value the next
+    call knows, so many signatures of one kind don't cost a pass each.
+    """
+    found: list[tuple[str, int, int]] = []
+    seen: dict = {}
+    free = 0
     for last, (size, which) in signatures.iter(value.decode("latin-1")):
         at = last + 1 - size
+        if at < free:
+            continue
         for i in which:
-            if (end := FORMATS[i][2](value, at)) is not None:
-                found.append((FORMATS[i][1], at, end))
-    return sorted(found, key=lambda x: (x[1], -x[2]))
+            _, kind, check = FORMATS[i]
+            if (end := check(value, at, seen) if check in MEMOISED else check(value, at)) is not None:
+                found.append((kind, at, end))
+                if (at, end) != (0, len(value)):
+                    free = end
+                    break
+    return found
 
 
 def true_type(value: bytes, found: list[tuple[str, int, int]]) -> str:
@@ -175,12 +205,8 @@ def true_type(value: bytes, found: list[tuple[str, int, int]]) -> str:
 
 
 def outermost(found: list[tuple[str, int, int]], whole: int) -> list[tuple[str, int, int]]:
-    """Of the media other than the whole value, by start, those that begin after the one before them has ended."""
-    out: list[tuple[str, int, int]] = []
-    for kind, a, b in found:
-        if (a, b) != (0, whole) and (not out or a >= out[-1][2]):
-            out.append((kind, a, b))
-    return out
+    """The media other than the whole value."""
+    return [x for x in found if x[1:] != (0, whole)]
 
 
 def sniff_media(df: DataFrame, content: str = "content", declared: str = "declared") -> DataFrame:

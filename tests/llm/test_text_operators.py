@@ -7,6 +7,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import re
 import struct
 import wave
@@ -446,6 +447,18 @@ def test_sniffing_and_carving(spark):
     assert media.sniff_media(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [b"%PDF-1", b"%PDF-1 startxref ", OGG[:28], b"OggS" + b"\0" * 23 + b"\1\5hello"])
+def test_many_signatures_take_linear_time(part):
+    """Values of 5 MB that hold little but the signature of one format."""
+    signatures, value = media.automaton(), part * (5_000_000 // len(part))
+    start = time.perf_counter()
+    assert media.true_type(value, media.sniff(value, signatures)) == media.UNKNOWN
+    found = media.sniff(value + b"startxref 1 %%EOF", signatures)
+    assert time.perf_counter() - start < 30
+    if part.startswith(b"%PDF"):
+        assert ("application/pdf", 0, len(value) + 17) in found
+
+
 def test_text_media(spark):
     texts = [*ODD, "x" * 192, "BM GIF89a text", "x" * 192]
     found = media.text_media(frame(spark, texts)).orderBy("doc_id").collect()
