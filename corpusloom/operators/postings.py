@@ -17,33 +17,27 @@ GRAM = 3
 SCHEMA = "token string, place int, doc_ord long, ord int, n int, size int"
 
 
-def tokens(text: Column) -> Column:
-    """Tokens that a term can hit; terms have two characters at least."""
-    return F.filter(F.split(text, NOT_TOKEN), lambda w: F.length(w) > 1)
-
-
 def postings(sections: DataFrame, *keys: str) -> DataFrame:
-    """(token, place, doc_ord, ord, n, size, *keys): how often each place of each section holds a token. Counts are
-    summed before the exchange."""
-    own = lambda place, found: F.transform(found, lambda w: F.struct(F.lit(place).alias("place"), w.alias("token")))
-    spoken = F.flatten(F.transform(F.coalesce("keywords", F.array()), lambda k: tokens(F.lower(k))))
-    every = F.concat(own(CONTENT, tokens(F.col("content_lc"))), own(TITLE, tokens(F.col("title_lc"))), own(KEYWORDS, spoken))
-    rows = sections.select("doc_ord", "ord", F.col("char_count").alias("size"), *keys, F.explode(every).alias("at"))
-    counted = rows.groupBy("at.token", "at.place", "doc_ord", "ord", "size", *keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """(token, place, doc_ord, ord, n, size, *keys): how often each place of each section holds a token. Terms have two
+    characters at least, and so have the tokens here. Counts are summed before the exchange."""
+    spoken = F.lower(F.array_join(F.coalesce("keywords", F.array()), "\n"))
+    places = [F.struct(F.lit(k).alias("place"), x.alias("text")) for k, x in ((CONTENT, F.col("content_lc")), (TITLE, F.col("title_lc")), (KEYWORDS, spoken))]
+    rows = sections.select("doc_ord", "ord", F.col("char_count").alias("size"), *keys, F.explode(F.array(*places)).alias("at"))
+    rows = rows.select("doc_ord", "ord", "size", *keys, "at.place", F.explode(F.split("at.text", NOT_TOKEN)).alias("token"))
+    counted = rows.where(F.length("token") > 1).groupBy("token", "place", "doc_ord", "ord", "size", *keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
     return counted.select("token", "place", "doc_ord", "ord", "n", "size", *keys)
 
 
-def grams_of(term: Column) -> Column:
-    """Character n-grams of a token or term: all of three characters, or the whole where it is shorter."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(term) - (GRAM - 1), F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(term, i, F.lit(GRAM))))
-
-
 def grams(found: DataFrame, *keys: str) -> DataFrame:
-    """(gram, token, *keys) of the tokens of ``postings``: n-grams, and pairs of characters for terms of two."""
+    """(gram, token, *keys) of the tokens of ``postings``: each character n-gram of a token, the whole of a shorter one."""
     words = found.select("token", *keys).distinct()
-    pairs = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))
-    return words.select(F.explode(F.array_distinct(F.concat(grams_of(F.col("token")), pairs))).alias("gram"), "token", *keys)
+    every = words.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - (GRAM - 1), F.lit(1)))))
+    return every.select(F.substring("token", F.col("at"), F.lit(GRAM)).alias("gram"), "token", *keys)
+
+
+def grams_of(term: str) -> list[str]:
+    """The n-grams of a term."""
+    return [term[i : i + GRAM] for i in range(max(len(term) - GRAM + 1, 1))]
 
 
 def hits_in(term: Column, token: Column) -> Column:
@@ -51,14 +45,31 @@ def hits_in(term: Column, token: Column) -> Column:
     return F.floor((F.length(token) - F.length(F.replace(token, term, F.lit("")))) / F.length(term)).cast("int")
 
 
+def matched_few(terms: list[str], found: DataFrame) -> DataFrame:
+    """``matched`` for some terms by name: files skip the pages that lack their n-grams. Of a term one n-gram is asked
+    for: in the middle, as words begin and end alike."""
+    long_ = [grams_of(w)[(len(w) - GRAM + 1) // 2] for w in terms if len(w) >= GRAM]
+    short = [w for w in terms if len(w) < GRAM]
+    asked = F.col("gram").isin(long_)
+    for w in short:  # a token that holds a pair has it at either end of an n-gram
+        asked |= F.col("gram").startswith(w) | F.col("gram").endswith(w)
+    every = F.array(*map(F.lit, terms))
+    rows = found.where(asked).select("token").distinct().select("token", F.explode(every).alias("term"))
+    return rows.where(F.contains("token", "term")).select("term", "token", hits_in(F.col("term"), F.col("token")).alias("times"))
+
+
 def matched(terms: DataFrame, found: DataFrame) -> DataFrame:
     """(term, token, times) for each token of ``found`` (gram, token) that holds a term of ``terms`` (term).
 
-    A token has all n-grams of a term that it holds, so the lists of the term's n-grams are intersected: here by reading
-    the shortest of them, which a count of the lists names, and looking at its tokens.
+    A token has all n-grams of a term that it holds; the lists of the term's n-grams are intersected by reading the
+    shortest of them, which a count of the lists names, and looking at its tokens.
     """
-    asked = terms.select("term", F.explode(grams_of(F.col("term"))).alias("gram"))
-    sizes = found.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    shortest = asked.join(sizes, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    met = shortest.join(found.select("gram", "token").distinct(), "gram").where(F.contains("token", "term"))
-    return met.select("term", "token", hits_in(F.col("term"), F.col("token")).alias("times"))
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("term") - (GRAM - 1), F.lit(1))))
+    asked = terms.where(F.length("term") >= GRAM).select("term", at.alias("at")).select("term", F.substring("term", F.col("at"), F.lit(GRAM)).alias("gram"))
+    sizes = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    shortest = asked.join(sizes, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    # a token that holds a pair of characters has it at either end of an n-gram
+    ends = sizes.select("gram", F.explode(F.array(F.left("gram", F.lit(GRAM - 1)), F.right("gram", F.lit(GRAM - 1)))).alias("term"))
+    pairs = terms.where(F.length("term") < GRAM).join(ends, "term").select("term", "gram")
+    met = shortest.select("term", "gram").unionByName(pairs).join(found.select("gram", "token"), "gram").where(F.contains("token", "term"))
+    return met.select("term", "token").distinct().select("term", "token", hits_in(F.col("term"), F.col("token")).alias("times"))

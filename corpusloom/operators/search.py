@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as t
-from corpusloom.operators.postings import CONTENT, KEYWORDS, TITLE, grams, matched, postings
+from corpusloom.operators.postings import CONTENT, KEYWORDS, TITLE, grams, matched, matched_few, postings
 from corpusloom.session import discard, stash
 
 # BM25's constants, and the weights of the bonuses.
@@ -146,9 +146,11 @@ def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_L
     """
     found = stash(postings(sections), "postings")
     asked = queries.select("query_id", t.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    asked = stash(asked.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct(), "queries")
-    each = asked.select("query_id", "phrase", F.size("terms").alias("of"), F.explode("terms").alias("term"))
-    hits = stash(hits_of(matched(each.select("term").distinct(), grams(found)), found), "hits")
+    asked = asked.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
+    asked = stash(asked.withColumn("q", F.monotonically_increasing_id()).withColumn("of", F.size("terms")), "queries")
+    each = asked.select("q", F.explode("terms").alias("term"))
+    words = stash(matched(each.select("term").distinct(), stash(grams(found), "grams")), "words")
+    hits = stash(hits_of(words, found), "hits")
     n, chars = sections.agg(F.count(F.lit(1)), F.sum("char_count")).first()
     counts = hits.where("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -157,13 +159,12 @@ def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_L
     body = F.when(F.col("tf") > 0, _saturated(F.col("tf"), F.col("size"), mean)).otherwise(0.0)
     added = idf * (body + flag("in_title", TITLE_BONUS) + flag("in_keywords", KEYWORD_BONUS))
     weights = hits.join(counts, "term").select("term", "doc_ord", "ord", (F.col("tf") > 0).cast("int").alias("hit"), added.alias("added"))
-    key = ["query_id", "phrase", "of", "doc_ord", "ord"]
-    scored = each.join(weights, "term").groupBy(*key).agg(F.sum("added").alias("score"), F.sum("hit").alias("hit"))
-    scored = stash(scored.where("score > 0"), "scores")
-    whole = scored.where("of > 1 AND hit = of").select("query_id", "phrase", "doc_ord", "ord")
+    scored = each.join(weights, "term").groupBy("q", "doc_ord", "ord").agg(F.sum("added").alias("score"), F.sum("hit").alias("hit"))
+    scored = stash(scored.where("score > 0").join(asked.select("q", "query_id", "of"), "q"), "scores")
+    whole = scored.where("of > 1 AND hit = of").select("q", "doc_ord", "ord").join(asked.select("q", "phrase"), "q")
     texts = sections.select("doc_ord", "ord", "content_lc")
-    spoken = whole.join(texts, ["doc_ord", "ord"]).where(F.contains("content_lc", "phrase")).select("query_id", "phrase", "doc_ord", "ord", F.lit(PHRASE_BONUS).alias("bonus"))
-    scored = scored.join(spoken, ["query_id", "phrase", "doc_ord", "ord"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
+    spoken = whole.join(texts, ["doc_ord", "ord"]).where(F.contains("content_lc", "phrase")).select("q", "doc_ord", "ord", F.lit(PHRASE_BONUS).alias("bonus"))
+    scored = scored.join(spoken, ["q", "doc_ord", "ord"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "doc_ord", "ord")
     ranked = scored.withColumn("relevance_score", (F.col("score") * 100 + ROUNDING).cast("int")).withColumn("rank", F.row_number().over(order))
     best = ranked.where(F.col("rank") <= clamped(limit)).select("query_id", "rank", "doc_ord", "ord", "relevance_score")
@@ -201,7 +202,7 @@ def search_index(index: Any, query: str, document_id: str | None = None, limit:
         return spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in _kinds().items())).select(RESULT)
     scope = index.files.where(F.col("document_id") == document_id) if document_id else None
     n, chars = index.totals if scope is None else scope.agg(F.sum("section_count"), F.sum("total_characters")).first()
-    found = matched(spark.createDataFrame([(w,) for w in terms], "term string"), index.grams)
+    found = matched_few(terms, index.grams)
     words = found.limit(FEW + 1).collect()
     read = index.postings
     if len(words) <= FEW:
