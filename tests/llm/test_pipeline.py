@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusloom.llm import pieces, queries
 from corpusloom.session import stash
@@ -56,3 +58,29 @@ def test_predictions_set_the_language(spark):
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+CLASHING = ["lang_pred", "score", "so_far", "bits", "share", "spans", "n_copies", "copy", "shuffle_key", "ids", "n_tokens", "block", "copies", "span", "root", "digest", "keys"]
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, "")
+        assert found.collect() == [], name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert found.columns == corpus_pipeline.COLUMNS
+
+
+def test_stages_take_clashing_columns_and_odd_rows(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("the and thing with from that this".split()) for _ in range(n))
+    rows = [(k, text(30), "aa", f"s{k % 2}", 1) for k in range(30)] + [(None, None, None, None, None), (31, "", "aa", None, 0), (3, None, "aa", "s0", 0)]
+    rows += [rows[4], rows[4], (None, "text under no id at all", None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        plain = stage(spark, docs.select(corpus_pipeline.COLUMNS), "")
+        found = stage(spark, docs, "")
+        assert found.columns == plain.columns and sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())), name
