@@ -6,9 +6,15 @@ Tokens are looked up by their character n-grams; their postings tell how often e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import prepare
+
 #: What ends a token: no character that a term of a query may have.
 NOT_TOKEN = r"[^\p{L}\p{M}\p{N}\p{Pc}]+"
 #: Places of a section that search looks at.
@@ -58,18 +64,61 @@ def matched_few(terms: list[str], found: DataFrame) -> DataFrame:
     return rows.where(F.contains("token", "term")).select("term", "token", hits_in(F.col("term"), F.col("token")).alias("times"))
 
 
+#: Terms of a batch up to which one automaton of them all is sent to the tasks: some tens of bytes a character of them.
+AUTOMATON_TERMS = 100_000
+
+
 def matched(terms: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, token, times) for each token of ``found`` (gram, token) that holds a term of ``terms`` (term).
+    """(t, token, times) for each token of ``found`` (postings) that holds a term of ``terms`` (t, term).
+
+    An automaton of the terms reads each different token once. Beyond AUTOMATON_TERMS terms meet tokens by n-grams.
+    """
+    tokens = found.select("token").distinct()
+    asked = terms.select("t", "term").limit(AUTOMATON_TERMS + 1).collect()
+    if len(asked) > AUTOMATON_TERMS:
+        return matched_by_grams(terms, grams(tokens))
+    prepare(terms.sparkSession)
+    numbers = {r["term"]: r["t"] for r in asked}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for term, t in numbers.items():
+            automaton.add_word(term, (t, len(term)))
+        automaton.make_automaton()
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for token in batch["token"].to_pylist():
+                for t, n in counted(automaton, token).items() if numbers else ():
+                    for column, value in zip(out, (t, token, n)):
+                        column.append(value)
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.string(), pa.int32()))], names=["t", "token", "times"])
+
+    return tokens.mapInArrow(read, "t long, token string, times int")
+
+
+def counted(automaton: ahocorasick.Automaton, text: str) -> dict[int, int]:
+    """For each term in the text, how often it occurs without overlapping itself."""
+    counts: dict[int, int] = {}
+    free: dict[int, int] = {}
+    for last, (i, size) in automaton.iter(text):
+        if last - size >= free.get(i, -1):
+            free[i] = last
+            counts[i] = counts.get(i, 0) + 1
+    return counts
+
+
+def matched_by_grams(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """``matched`` for any number of terms, from ``grams``.
 
     A token has all n-grams of a term that it holds; the lists of the term's n-grams are intersected by reading the
     shortest of them, which a count of the lists names, and looking at its tokens.
     """
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("term") - (GRAM - 1), F.lit(1))))
-    asked = terms.where(F.length("term") >= GRAM).select("term", at.alias("at")).select("term", F.substring("term", F.col("at"), F.lit(GRAM)).alias("gram"))
+    asked = terms.where(F.length("term") >= GRAM).select("t", "term", at.alias("at")).select("t", "term", F.substring("term", F.col("at"), F.lit(GRAM)).alias("gram"))
     sizes = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    shortest = asked.join(sizes, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    shortest = asked.join(sizes, "gram").groupBy("t", "term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     # a token that holds a pair of characters has it at either end of an n-gram
     ends = sizes.select("gram", F.explode(F.array(F.left("gram", F.lit(GRAM - 1)), F.right("gram", F.lit(GRAM - 1)))).alias("term"))
-    pairs = terms.where(F.length("term") < GRAM).join(ends, "term").select("term", "gram")
-    met = shortest.select("term", "gram").unionByName(pairs).join(found.select("gram", "token"), "gram").where(F.contains("token", "term"))
-    return met.select("term", "token").distinct().select("term", "token", hits_in(F.col("term"), F.col("token")).alias("times"))
+    pairs = terms.where(F.length("term") < GRAM).join(ends, "term").select("t", "term", "gram")
+    met = shortest.unionByName(pairs).join(found.select("gram", "token"), "gram").where(F.contains("token", "term"))
+    return met.select("t", "term", "token").distinct().select("t", "token", hits_in(F.col("term"), F.col("token")).alias("times"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as t
-from corpusloom.operators.postings import CONTENT, KEYWORDS, TITLE, grams, matched, matched_few, postings
+from corpusloom.operators.postings import CONTENT, KEYWORDS, TITLE, matched, matched_few, postings
 from corpusloom.session import discard, stash
 
 # BM25's constants, and the weights of the bonuses.
@@ -138,8 +138,8 @@ def across_borders(top: list[Row], ends: DataFrame) -> list[Row]:
 def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(query_id, rank, document_id, section_id, relevance_score) for each row of ``queries`` (query_id, query).
 
-    Queries are a table, in one plan for any number of them: their terms meet the tokens that hold them by an n-gram,
-    the tokens meet their postings, and what each term adds to a section's score is summed for each query and section.
+    Queries are a table, in one plan for any number of them: their terms meet the tokens that hold them, the tokens
+    meet their postings, and what each term adds to a section's score is summed for each query and section.
     A task keeps the best ``limit`` sections of each query only before the final ranking. Texts are read again only for
     sections that hold all terms of a query, to look for its phrase. Null queries and queries without terms find
     nothing; rows that repeat a query_id share one ranking.
@@ -149,17 +149,18 @@ def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_L
     asked = asked.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
     asked = stash(asked.withColumn("q", F.monotonically_increasing_id()).withColumn("of", F.size("terms")), "queries")
     each = asked.select("q", F.explode("terms").alias("term"))
-    words = stash(matched(each.select("term").distinct(), stash(grams(found), "grams")), "words")
-    hits = stash(hits_of(words, found), "hits")
+    terms = stash(each.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
+    each = each.join(terms, "term").select("q", "t")
+    hits = stash(hits_of(matched(terms, found), found, "t"), "hits")
     n, chars = sections.agg(F.count(F.lit(1)), F.sum("char_count")).first()
-    counts = hits.where("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = hits.where("tf > 0").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     mean = F.lit(chars / n if n and chars else 1.0)
     flag = lambda name, bonus: F.when(F.col(name), bonus).otherwise(0.0)
     body = F.when(F.col("tf") > 0, _saturated(F.col("tf"), F.col("size"), mean)).otherwise(0.0)
     added = idf * (body + flag("in_title", TITLE_BONUS) + flag("in_keywords", KEYWORD_BONUS))
-    weights = hits.join(counts, "term").select("term", "doc_ord", "ord", (F.col("tf") > 0).cast("int").alias("hit"), added.alias("added"))
-    scored = each.join(weights, "term").groupBy("q", "doc_ord", "ord").agg(F.sum("added").alias("score"), F.sum("hit").alias("hit"))
+    weights = hits.join(counts, "t").select("t", "doc_ord", "ord", (F.col("tf") > 0).cast("int").alias("hit"), added.alias("added"))
+    scored = each.join(weights, "t").groupBy("q", "doc_ord", "ord").agg(F.sum("added").alias("score"), F.sum("hit").alias("hit"))
     scored = stash(scored.where("score > 0").join(asked.select("q", "query_id", "of"), "q"), "scores")
     whole = scored.where("of > 1 AND hit = of").select("q", "doc_ord", "ord").join(asked.select("q", "phrase"), "q")
     texts = sections.select("doc_ord", "ord", "content_lc")
@@ -173,11 +174,11 @@ def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_L
     )
 
 
-def hits_of(words: DataFrame, found: DataFrame) -> DataFrame:
+def hits_of(words: DataFrame, found: DataFrame, term: str = "term") -> DataFrame:
     """(term, doc_ord, ord, size, tf, in_title, in_keywords) of the sections that hold a term, from tokens that do and
     their postings."""
     n = F.col("n") * F.col("times")
-    return found.join(words, "token").groupBy("term", "doc_ord", "ord").agg(
+    return found.join(words, "token").groupBy(term, "doc_ord", "ord").agg(
         F.max("size").alias("size"),
         F.sum(F.when(F.col("place") == CONTENT, n).otherwise(0)).alias("tf"),
         F.max(F.col("place") == TITLE).alias("in_title"),

@@ -401,15 +401,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "page_status",
-    """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[pages: 1, 2, 3, 4, 5, +' || (1 + turn) || ']' WHEN 1 THEN '[pages ' || (turn + 1) || '-end]' ELSE '[pages 1-' || turn || ']' END AS status,
-CASE WHEN turn = 0 THEN '500 B' WHEN turn = 1 THEN '1.5 KB' ELSE turn || ' MB' END AS size FROM conversations""",
+    r"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[pages: 1, 2, 3, 4, 5, +' || (1 + turn) || ']' WHEN 1 THEN '[pages ' || (turn + 1) || '-end]' ELSE '[pages 1-' || turn || ']' END AS status,
+CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN regexp_replace(regexp_replace(printf('%.2f', round(n / 1024.0, 2)), '0+$', ''), '\.$', '') || ' KB'
+ELSE regexp_replace(regexp_replace(printf('%.2f', round(n / 1048576.0, 2)), '0+$', ''), '\.$', '') || ' MB' END AS size
+FROM (SELECT conv_id, turn, strlen(text) * (1 + turn * turn * 40) AS n FROM conversations)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.col("turn")
     only = F.when(turn % 3 == 0, F.reverse(F.sequence(F.lit(1), (turn + 6).cast("int"))))
     start = F.when(turn % 3 == 1, turn + 1).otherwise(1)
     status = t.page_status(only, start, F.when(turn % 3 == 2, turn))
-    size = F.when(turn == 0, 500).when(turn == 1, 1536).otherwise(turn * 1024 * 1024)
+    size = F.octet_length("text") * (1 + turn * turn * 40)
     return i.read(spark, sf, "conversations").select("conv_id", "turn", status.alias("status"), t.format_bytes(size).alias("size"))
 
 
@@ -527,9 +529,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return clean_documents(docs, Cleaning(), own).select("conv_id", "turn", "text", "has_traces")
 
 
-@query("strip_stars", "SELECT conv_id, turn, role || ' and **' || role || '** ' || role || ' a*b' AS text FROM conversations")
+@query("strip_stars", "SELECT conv_id, turn, text || ' and **' || role || '** ' || text || ' a*b' AS text FROM conversations")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("*"), F.col("role"), F.lit("* and **"), F.col("role"), F.lit("** _"), F.col("role"), F.lit("_ a*b"))
+    text = F.concat(F.lit("*"), F.col("text"), F.lit("* and **"), F.col("role"), F.lit("** _"), F.col("text"), F.lit("_ a*b"))
     return i.read(spark, sf, "conversations").select("conv_id", "turn", t.strip_italic(text).alias("text"))
 
 
@@ -564,26 +566,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "document_status",
-    """WITH c AS (SELECT DISTINCT conv_id FROM conversations)
-SELECT 'conv-' || conv_id AS stem, 'txt' AS kind, CASE conv_id % 3 WHEN 0 THEN '512 B' WHEN 1 THEN '1 KB' ELSE '1.5 KB' END AS size, CASE WHEN conv_id % 2 = 0 THEN '' ELSE '[pages 2-end]' END AS status FROM c
-UNION ALL SELECT 'conv-' || conv_id, 'pdf', '2 KB', 'converted' FROM c WHERE conv_id % 4 = 0
-UNION ALL SELECT 'new-' || conv_id, 'pdf', '2 KB', 'pending' FROM c WHERE conv_id % 4 = 1""",
+    r"""WITH c AS (SELECT conv_id, sum(strlen(text))::BIGINT AS n FROM conversations GROUP BY conv_id),
+z AS (SELECT conv_id, CASE WHEN n < 1024 THEN n || ' B' ELSE regexp_replace(regexp_replace(printf('%.2f', round(n / 1024.0, 2)), '0+$', ''), '\.$', '') || ' KB' END AS size FROM c)
+SELECT 'conv-' || conv_id AS stem, 'txt' AS kind, size, CASE WHEN conv_id % 2 = 0 THEN '' ELSE '[pages 2-end]' END AS status FROM z
+UNION ALL SELECT 'conv-' || conv_id, 'pdf', size, 'converted' FROM z WHERE conv_id % 4 = 0
+UNION ALL SELECT 'new-' || conv_id, 'pdf', size, 'pending' FROM z WHERE conv_id % 4 = 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    ids = i.read(spark, sf, "conversations").select("conv_id").distinct()
+    """Conversations as documents of their texts' sizes, some with a PDF beside them, some with one that is new."""
+    ids = i.read(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("size"))
     named = lambda head: F.concat(F.lit(head), F.col("conv_id").cast("string")).alias("stem")
-    texts = ids.select(named("conv-"), (512 * (F.col("conv_id") % 3 + 1)).alias("size"), F.lit(None).cast("array<int>").alias("only"), (F.col("conv_id") % 2 + 1).alias("start"), F.lit(None).cast("int").alias("end"))
+    texts = ids.select(named("conv-"), "size", F.lit(None).cast("array<int>").alias("only"), (F.col("conv_id") % 2 + 1).alias("start"), F.lit(None).cast("int").alias("end"))
     kind = F.when(F.col("conv_id") % 4 < 2, "PDF").otherwise("md").alias("extension")
-    raw = ids.select(F.when(F.col("conv_id") % 4 == 1, named("new-")).otherwise(named("conv-")).alias("stem"), kind, F.lit(2048).alias("size"))
+    raw = ids.select(F.when(F.col("conv_id") % 4 == 1, named("new-")).otherwise(named("conv-")).alias("stem"), kind, "size")
     return navigate.document_status(texts, raw)
 
 
-@query("stale_files", "SELECT 'raw/' || doc_id AS file_path FROM documents WHERE doc_id % 3 <> 0")
+@query("stale_files", "SELECT 'raw/' || doc_id AS file_path FROM documents WHERE doc_id % 3 = 0 OR length(text) > 500")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path, time = F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("file_path"), F.timestamp_seconds(F.col("doc_id") + 10)
+    """Files whose time is their text's length: stale where they were never converted, or before that."""
+    path = F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("file_path")
     docs = i.read(spark, sf, "documents")
-    done = docs.where(F.col("doc_id") % 3 < 2).select(path, F.timestamp_seconds(F.col("doc_id") + 10 - F.col("doc_id") % 3).alias("converted"))
-    return files.newer_than(docs.select(path, time.alias("modified")), done).select("file_path")
+    done = docs.where(F.col("doc_id") % 3 != 0).select(path, F.timestamp_seconds(F.lit(500)).alias("converted"))
+    return files.newer_than(docs.select(path, F.timestamp_seconds(F.length("text")).alias("modified")), done).select("file_path")
 
 
 def stored_index(spark: SparkSession, sf: str) -> index_store.Index:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import asdict, dataclass, field, fields, replace
 from functools import lru_cache
 from pathlib import Path
@@ -64,6 +65,19 @@ class DocumentSettings:
     def without_pattern(self, pattern: str) -> DocumentSettings:
         return replace(self, custom_heading_patterns=tuple(p for p in self.custom_heading_patterns or () if p != pattern))
 
+    def with_pages(self, text: str) -> DocumentSettings:
+        """Only the pages of an input like ``12, 15-19``; blank for all pages."""
+        if not text.strip():
+            return replace(self, page_range=None)
+        found: set[int] = set()
+        for part in filter(None, (p.strip() for p in text.split(","))):
+            if not (m := re.fullmatch(r"(\d{1,9})\s*(?:-\s*(\d{1,9}))?", part)) or not 1 <= int(m[1]) <= int(m[2] or m[1]):
+                raise ValueError(f"no page or range of pages: {part}")
+            found |= set(range(int(m[1]), int(m[2] or m[1]) + 1))
+        if not found:
+            raise ValueError("no pages")
+        return replace(self, page_range=PageRange(only=tuple(sorted(found))))
+
     def with_section_size(self, size: int) -> DocumentSettings:
         if size < 1000:
             raise ValueError("a section holds 1000 characters at least")

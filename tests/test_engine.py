@@ -10,12 +10,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as t
 from corpusloom.operators import navigate, pdf_layout, search
 from corpusloom.operators.segment import segment
 from corpusloom.server import Server
 from corpusloom.sources import files
 from corpusloom.sources.index_store import build_index, export_json, import_json, open_index
-from corpusloom.sources.settings import Cleaning, DocumentSettings, EngineSettings, SettingsFolder
+from corpusloom.sources.settings import Cleaning, DocumentSettings, EngineSettings, PageRange, SettingsFolder
 from corpusloom.sources.workspace import Workspace, preprocess_folder
 from corpusloom.streaming.ingest import ingest
 
@@ -169,6 +170,18 @@ def test_settings_folder(tmp_path):
     assert Cleaning().toggled().join_short_lines
 
 
+def test_pages_of_a_document(spark):
+    settings = DocumentSettings(max_section_size=2000).with_pages("12, 15-17,, 3 - 4 ")
+    assert settings.page_range == PageRange(only=(3, 4, 12, 15, 16, 17)) and settings.max_section_size == 2000
+    assert settings.with_pages("  ").page_range is None
+    for wrong in ("0", "5-3", "a", "1-", ",", "1 2"):
+        with pytest.raises(ValueError):
+            settings.with_pages(wrong)
+    asked = ["12, 15-17,, 3 - 4 ", "7", "1-3,2"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(asked)], "k int, x string").select("k", t.page_selection(F.col("x")).alias("pages")).collect()
+    assert all(tuple(r["pages"]) == settings.with_pages(asked[r["k"]]).page_range.only for r in rows)
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import search
+from corpusloom.operators import postings, search
 from corpusloom.sources import files, versions
 from corpusloom.sources.index_store import build_index, load_index, open_index
 from corpusloom.sources.settings import DocumentSettings, SettingsFolder
@@ -97,6 +97,7 @@ def test_an_empty_folder_and_its_first_document(spark, tmp_path):
 @pytest.mark.parametrize("few", [1000, 0])
 def test_indexed_search_is_the_scan(spark, tmp_path, monkeypatch, few):
     monkeypatch.setattr(search, "FEW", few)  # with 0, everything goes by joins
+    monkeypatch.setattr(postings, "AUTOMATON_TERMS", few)
     index = open_index(frame(spark, corpus(3, 60)), str(tmp_path / "index"))
     asked = ["beta delta", "ta", "straße ÉTAT", "state of the art", "zzz", ""] if few else ["art of state", "x2 lambda_x"]
     found = {}
@@ -113,10 +114,8 @@ def test_indexed_search_is_the_scan(spark, tmp_path, monkeypatch, few):
 def test_indexed_search_with_keywords_and_overlaps(spark, tmp_path):
     index = open_index(frame(spark, corpus(4, 20)), str(tmp_path / "index"))
     odd = index.sections.withColumn("content_lc", F.concat(F.col("content_lc"), F.lit(" aaaa deltadelta a-b"))).withColumn("keywords", F.array(F.lit("Beta-word two"), F.lit("x")))
-    from corpusloom.operators.postings import grams, postings
-
-    found = postings(odd).cache()
-    index.sections, index.postings, index.grams = odd, found, grams(found)
+    found = postings.postings(odd).cache()
+    index.sections, index.postings, index.grams = odd, found, postings.grams(found)
     for query in ("aa delta", "aaa", "two beta"):
         assert index.search(query, limit=20).collect() == search.search(odd, query, limit=20).collect()
 
