@@ -18,9 +18,9 @@ from corpusloom.session import prepare
 #: Pivots: the square root of the rows, at most so many and so many bytes; sampled rows for each, and rounds of k-means.
 PIVOTS, PIVOT_BYTES, SAMPLE_EACH, ROUNDS = 1024, 16 << 20, 4, 6
 #: Queries of a team at most, and the smaller sizes that are weighed against it.
-TEAM_SIZES = (2048, 512, 128, 32)
+TEAM_SIZES = (16_384, 4096, 1024, 256, 64)
 #: Rows of one data chunk that meets a team in a task (chunks of small tables are smaller), and bytes of either's vectors.
-CHUNK_LEAST, CHUNK_MOST, CHUNKS, SIDE_BYTES = 4096, 65_536, 16, 48 << 20
+CHUNK_LEAST, CHUNK_MOST, CHUNKS, SIDE_BYTES = 4096, 16_384, 16, 48 << 20
 #: What moving a row to a team costs, in products of that row with a query.
 MOVE_COST = 128
 #: Cells of one score matrix that a task holds.
