@@ -81,19 +81,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the reread table.
 
     Unlike ``checkpoint()`` the rows are computed a single time, and columns are pruned on reading. The files survive
     lost executors and are removed by ``discard``, by the ``settled`` around, or when the application ends. The shuffle
-    files of the write are removed with its end, so a job of many steps needs the disk of its largest step only.
+    files of the write are removed with its end, so a job of many steps needs the disk of its largest step only. Options
+    go to the writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(SHUFFLE_CLEANUP)
