@@ -358,9 +358,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
     dealt = rows.dealt()
     kind = "bucket int, block int, first binary, counts binary, docs binary, keys binary, data binary"
     strings = blocks.with_repeats(dealt, anchors, send, kind, rows.bytes, rows.bytes * 2 // (window - anchor + 2) + 1, width=4)
-    strings = stash(strings, "strings")
+    strings = stash(strings, "strings", compression="zstd")
     met = blocks.dealt(strings, int(rows.bytes * strings_each), "bucket").groupBy("bucket")
-    solved = stash(met.applyInArrow(solve, "block int, first binary, bits binary"), "windows")
+    solved = stash(met.applyInArrow(solve, "block int, first binary, bits binary"), "windows", compression="zstd")
     discard(strings)
     kind = "doc_id long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if texts:
