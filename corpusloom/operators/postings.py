@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,25 @@ def postings(sections: DataFrame, *keys: str) -> DataFrame:
     return counted.select("token", "place", "doc_ord", "ord", "n", "size", *keys)
 
 
+def token_lists(sections: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, content, title, keywords): the tokens of each place of each section, as arrays."""
+    spoken = F.lower(F.array_join(F.coalesce("keywords", F.array()), "\n"))
+    return sections.select(*columns, *[F.split(x, NOT_TOKEN).alias(k) for k, x in (("content", F.col("content_lc")), ("title", F.col("title_lc")), ("keywords", spoken))])
+
+
+def counted_tokens(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The different tokens of a column of ``token_lists``, and (row, token's number, count) of what each row holds, by row."""
+    flat, row = lists.flatten(), pc.list_parent_indices(lists)
+    keep = pc.fill_null(pc.greater(pc.utf8_length(flat), 1), False)
+    coded = flat.filter(keep).dictionary_encode()
+    if not len(coded):
+        none = np.zeros(0, np.int64)
+        return [], none, none, none
+    code, row = coded.indices.to_numpy().astype(np.int64), row.filter(keep).to_numpy().astype(np.int64)
+    key, n = np.unique(row * len(coded.dictionary) + code, return_counts=True)
+    return coded.dictionary.to_pylist(), key // len(coded.dictionary), key % len(coded.dictionary), n
+
+
 def grams(found: DataFrame, *keys: str) -> DataFrame:
     """(gram, token, *keys) of the tokens of ``postings``: each character n-gram of a token, the whole of a shorter one."""
     words = found.select("token", *keys).distinct()

@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as t
-from corpusloom.operators.postings import CONTENT, KEYWORDS, TITLE, matched, matched_few, postings
+from corpusloom.operators import batch, postings
+from corpusloom.operators.batch import B, K1, KEYWORD_BONUS, PHRASE_BONUS, ROUNDING, TITLE_BONUS
+from corpusloom.operators.postings import CONTENT, KEYWORDS, TITLE, matched_few
 from corpusloom.session import discard, stash
 
-# BM25's constants, and the weights of the bonuses.
-K1, B = 1.5, 0.75
-TITLE_BONUS, PHRASE_BONUS, KEYWORD_BONUS = 3.0, 2.0, 0.5
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
-#: Added to a hundredfold score before its decimals are cut, so that sums in another order give the same number.
-ROUNDING = 1e-9
+#: Terms of all queries of a batch, repeats counted, up to which they are sent to the tasks.
+FEW_TERMS = 500_000
 
 RESULT = [
     "id", "title", "type", "document_id", "relevance_score", "preview", "match_count", "summary", "heading_level",
@@ -138,26 +137,45 @@ def across_borders(top: list[Row], ends: DataFrame) -> list[Row]:
 def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(query_id, rank, document_id, section_id, relevance_score) for each row of ``queries`` (query_id, query).
 
-    Queries are a table, in one plan for any number of them: their terms meet the tokens that hold them, the tokens
-    meet their postings, and what each term adds to a section's score is summed for each query and section.
-    A task keeps the best ``limit`` sections of each query only before the final ranking. Texts are read again only for
-    sections that hold all terms of a query, to look for its phrase. Null queries and queries without terms find
-    nothing; rows that repeat a query_id share one ranking.
+    Queries are a table, in one plan for any number of them. Up to FEW_TERMS terms of all queries go to the tasks, which
+    read the sections twice, once for document frequencies and once for scores, and keep the best ``limit`` sections of
+    each query (``batch``); pairs of queries and sections are never written. Beyond, terms meet tokens and tokens their
+    postings by joins. Null queries and queries without terms find nothing; rows that repeat a query_id share one ranking.
     """
-    found = stash(postings(sections), "postings")
     asked = queries.select("query_id", t.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
     asked = asked.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
     asked = stash(asked.withColumn("q", F.monotonically_increasing_id()).withColumn("of", F.size("terms")), "queries")
+    n, chars = sections.agg(F.count(F.lit(1)), F.sum("char_count")).first()
+    average = chars / n if n and chars else 1.0
+    few = None
+    if (asked.agg(F.sum("of")).first()[0] or 0) <= FEW_TERMS:
+        few = batch.Batch.of(asked.select("q", "phrase", "terms").collect(), clamped(limit))
+    if few is not None and len(few.numbers) <= postings.AUTOMATON_TERMS:
+        ranked = batch.best(sections, few, n, average).join(asked.select("q", "query_id"), "q")
+    else:
+        scored = _scored_by_joins(sections, asked, n, average)
+        ranked = scored.withColumn("relevance_score", (F.col("score") * 100 + ROUNDING).cast("int"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "doc_ord", "ord")
+    ranked = ranked.withColumn("rank", F.row_number().over(order))
+    best = ranked.where(F.col("rank") <= clamped(limit)).select("query_id", "rank", "doc_ord", "ord", "relevance_score")
+    return best.join(sections.select("doc_ord", "ord", "document_id", "section_id"), ["doc_ord", "ord"]).select(
+        "query_id", "rank", "document_id", "section_id", "relevance_score"
+    )
+
+
+def _scored_by_joins(sections: DataFrame, asked: DataFrame, n: int, average: float) -> DataFrame:
+    """(query_id, q, doc_ord, ord, score) of all pairs that score, for any number of queries: what each term adds to a
+    section's score is summed for each query and section. Texts are read again only for sections that hold all terms of
+    a query, to look for its phrase."""
+    found = stash(postings.postings(sections), "postings")
     each = asked.select("q", F.explode("terms").alias("term"))
     terms = stash(each.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
     each = each.join(terms, "term").select("q", "t")
-    hits = stash(hits_of(matched(terms, found), found, "t"), "hits")
-    n, chars = sections.agg(F.count(F.lit(1)), F.sum("char_count")).first()
+    hits = stash(hits_of(postings.matched(terms, found), found, "t"), "hits")
     counts = hits.where("tf > 0").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    mean = F.lit(chars / n if n and chars else 1.0)
     flag = lambda name, bonus: F.when(F.col(name), bonus).otherwise(0.0)
-    body = F.when(F.col("tf") > 0, _saturated(F.col("tf"), F.col("size"), mean)).otherwise(0.0)
+    body = F.when(F.col("tf") > 0, _saturated(F.col("tf"), F.col("size"), F.lit(average))).otherwise(0.0)
     added = idf * (body + flag("in_title", TITLE_BONUS) + flag("in_keywords", KEYWORD_BONUS))
     weights = hits.join(counts, "t").select("t", "doc_ord", "ord", (F.col("tf") > 0).cast("int").alias("hit"), added.alias("added"))
     scored = each.join(weights, "t").groupBy("q", "doc_ord", "ord").agg(F.sum("added").alias("score"), F.sum("hit").alias("hit"))
@@ -165,13 +183,7 @@ def search_batch(sections: DataFrame, queries: DataFrame, limit: int = DEFAULT_L
     whole = scored.where("of > 1 AND hit = of").select("q", "doc_ord", "ord").join(asked.select("q", "phrase"), "q")
     texts = sections.select("doc_ord", "ord", "content_lc")
     spoken = whole.join(texts, ["doc_ord", "ord"]).where(F.contains("content_lc", "phrase")).select("q", "doc_ord", "ord", F.lit(PHRASE_BONUS).alias("bonus"))
-    scored = scored.join(spoken, ["q", "doc_ord", "ord"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "doc_ord", "ord")
-    ranked = scored.withColumn("relevance_score", (F.col("score") * 100 + ROUNDING).cast("int")).withColumn("rank", F.row_number().over(order))
-    best = ranked.where(F.col("rank") <= clamped(limit)).select("query_id", "rank", "doc_ord", "ord", "relevance_score")
-    return best.join(sections.select("doc_ord", "ord", "document_id", "section_id"), ["doc_ord", "ord"]).select(
-        "query_id", "rank", "document_id", "section_id", "relevance_score"
-    )
+    return scored.join(spoken, ["q", "doc_ord", "ord"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
 
 
 def hits_of(words: DataFrame, found: DataFrame, term: str = "term") -> DataFrame:
