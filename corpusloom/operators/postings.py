@@ -23,6 +23,10 @@ NOT_TOKEN = r"[^\p{L}\p{M}\p{N}\p{Pc}]+"
 CONTENT, TITLE, KEYWORDS = 0, 1, 2
 GRAM = 3
 SCHEMA = "token string, place int, doc_ord long, ord int, n int, size int"
+#: Postings of a place and token together, as they are stored.
+PACKED = "token string, place int, hits array<struct<doc_ord: long, ord: int, n: int, size: int>>"
+#: Postings that a task packs at a time.
+SEGMENT = 1 << 20
 
 
 def postings(sections: DataFrame, *keys: str) -> DataFrame:
@@ -55,9 +59,61 @@ def counted_tokens(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray,
     return coded.dictionary.to_pylist(), key // len(coded.dictionary), key % len(coded.dictionary), n
 
 
+def packed(sections: DataFrame, bucket: Column) -> DataFrame:
+    """``postings`` as rows (bucket, token, place, hits), packed where the sections are read: no row is exchanged. A token
+    may have several rows in a bucket, one for each segment of it."""
+    prepare(sections.sparkSession)
+    rows = token_lists(sections.withColumn("bucket", bucket), "doc_ord", "ord", F.col("char_count").alias("size"), "bucket")
+    return rows.mapInArrow(_pack, f"bucket int, {PACKED}")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    numbers: dict[str, int] = {}
+    for batch in batches:
+        own = [batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "doc_ord", "ord", "size")]
+        for place, name in ((CONTENT, "content"), (TITLE, "title"), (KEYWORDS, "keywords")):
+            tokens, row, token, n = counted_tokens(batch[name])
+            token = np.array([numbers.setdefault(x, len(numbers)) for x in tokens], np.int64)[token]
+            bucket, doc, ord_, size = (x[row] for x in own)
+            held.append((bucket, token, np.full(len(row), place, np.int64), doc, ord_, n, size))
+        if sum(len(x[0]) for x in held) >= SEGMENT:
+            yield _segment(held, list(numbers))
+            held, numbers = [], {}
+    if held:
+        yield _segment(held, list(numbers))
+
+
+def _segment(held: list[tuple], tokens: list[str]) -> pa.RecordBatch:
+    """Rows of a segment by bucket, token and place, their hits by document and place."""
+    bucket, token, place, doc, ord_, n, size = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((ord_, doc, place, token, bucket))
+    bucket, token, place, doc, ord_, n, size = (x[order] for x in (bucket, token, place, doc, ord_, n, size))
+    new = np.ones(len(order), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (token[1:] != token[:-1]) | (place[1:] != place[:-1])
+    at = np.flatnonzero(new)
+    kinds = {"doc_ord": pa.int64(), "ord": pa.int32(), "n": pa.int32(), "size": pa.int32()}
+    hits = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((doc, ord_, n, size), kinds.values())], list(kinds))
+    lists = pa.ListArray.from_arrays(pa.array([*at, len(order)], pa.int32()), hits)
+    words = pa.array(tokens, pa.string()).take(pa.array(token[at]))
+    return pa.record_batch([pa.array(bucket[at], pa.int32()), words, pa.array(place[at], pa.int32()), lists], names=["bucket", "token", "place", "hits"])
+
+
+def unpacked(found: DataFrame) -> DataFrame:
+    """``postings`` from ``packed`` rows. A filter on tokens reaches the files below. Plain rows stay as they are."""
+    if "hits" not in found.columns:
+        return found
+    return found.select("token", "place", F.explode("hits").alias("hit")).select("token", "place", "hit.doc_ord", "hit.ord", "hit.n", "hit.size")
+
+
 def grams(found: DataFrame, *keys: str) -> DataFrame:
     """(gram, token, *keys) of the tokens of ``postings``: each character n-gram of a token, the whole of a shorter one."""
     words = found.select("token", *keys).distinct()
+    return grams_of_tokens(words, *keys)
+
+
+def grams_of_tokens(words: DataFrame, *keys: str) -> DataFrame:
+    """The same of different tokens (token, *keys)."""
     every = words.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - (GRAM - 1), F.lit(1)))))
     return every.select(F.substring("token", F.col("at"), F.lit(GRAM)).alias("gram"), "token", *keys)
 

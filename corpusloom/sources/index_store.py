@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as t
 from corpusloom.operators import navigate, postings, search
@@ -26,6 +27,30 @@ FILES = (
 CUT = ["section_count", "total_characters", "has_traces", "first_section_id", "last_section_id"]
 #: Rows of a page of the tables that search reads by document or token, so that it skips the others.
 PAGES = {"parquet.page.row.count.limit": "200", "parquet.block.size": str(16 << 20)}
+#: Postings and n-grams are runs of near numbers and of tokens, which zstd makes small.
+SMALL = {"compression": "zstd"}
+#: Documents up to which their keys are broadcast to the stored tables' rows; beyond, rows are shuffled.
+KEYS = 4_000_000
+
+
+def _sent(keys: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(keys) if n <= KEYS else keys
+
+
+def _lean(sections: DataFrame) -> DataFrame:
+    """Sections as they are stored: a lower-case text only where Spark's lower() gives another one."""
+    for name, source in (("content_lc", "content"), ("title_lc", "title")):
+        sections = sections.withColumn(name, F.when(~F.col(name).eqNullSafe(F.lower(source)), F.struct(F.col(name).alias("text"))))
+    return sections
+
+
+def _full(stored: DataFrame) -> DataFrame:
+    """Sections from ``_lean`` ones; from an index of the older layout as they are."""
+    for name, source in (("content_lc", "content"), ("title_lc", "title")):
+        if stored.schema[name].dataType == T.StringType():
+            continue
+        stored = stored.withColumn(name, F.when(F.col(name).isNull(), F.lower(source)).otherwise(F.col(f"{name}.text")))
+    return stored
 
 
 @dataclass
@@ -90,15 +115,16 @@ def load_index(spark: SparkSession, path: str) -> Index:
 def of_version(store: Store, version: Version) -> Index:
     files = store.read(version, "files")
 
-    def placed(table: str) -> DataFrame:
+    def placed(table: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Tables keep a file's key; its place by path differs from that once files have come or gone."""
-        rows = store.read(version, table)
+        rows = made(store.read(version, table))
         if not version.facts["moved"]:
             return rows
         names = rows.columns
-        return rows.withColumnRenamed("doc_ord", "doc_key").join(files.select("doc_key", "doc_ord"), "doc_key").select(names)
+        places = _sent(files.select("doc_key", "doc_ord"), version.facts["documents"])
+        return rows.withColumnRenamed("doc_ord", "doc_key").join(places, "doc_key").select(names)
 
-    return Index(placed("sections"), files, placed("postings"), store.read(version, "grams"), version.facts)
+    return Index(placed("sections", _full), files, placed("postings", postings.unpacked), store.read(version, "grams"), version.facts)
 
 
 def open_index(
@@ -115,7 +141,7 @@ def open_index(
     def load(files: DataFrame) -> DataFrame:
         return docs.drop("doc_ord", "document_id", "stem").join(files, "file_path")
 
-    return refreshed(spark, path, marked(docs, own), load, settings, own, to_json(settings), rebuild)
+    return refreshed(spark, path, marked(docs, own), load, settings, own, to_json(settings), rebuild, whole=docs)
 
 
 def refreshed(
@@ -129,6 +155,7 @@ def refreshed(
     rebuild: bool = False,
     texts: bool = False,
     more: Callable[[], dict[str, Any]] = dict,
+    whole: DataFrame | None = None,
 ) -> Index:
     """The stored index after an update by what has changed.
 
@@ -137,11 +164,12 @@ def refreshed(
     anew, with the sections of their other documents as they were; all other buckets are shared with the version before.
     The table of files is narrow and written whole; totals are observed while it is. Another ``context`` (settings that
     hold for all documents) or ``rebuild`` cuts everything. With ``texts`` the documents are kept beside the sections.
-    ``more`` gives further numbers for the version.
+    ``more`` gives further numbers for the version; ``whole`` has all documents with the listing's doc_ord, which are cut
+    as they are where all are new.
     """
     store = Store(spark, path)
     before = store.current()
-    old = before if before and not rebuild and before.facts["context"] == context else None
+    old = before if before and not rebuild and before.facts["context"] == context and _same_layout(before) else None
     was = store.read(old, "files") if old else spark.createDataFrame([], FILES)
     state = stash(_compared(listing, was), "state")
     counts = {r["kind"]: r["n"] for r in state.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -161,7 +189,8 @@ def refreshed(
     dirty = sorted(r["bucket"] for r in touched.select("bucket").distinct().collect())  # MOST numbers at most
     draft = store.draft(buckets)
     if dirty:
-        _cut(draft, old, dirty, keyed, load, settings, own, texts)
+        docs = whole if whole is not None and not old else load(keyed.where("kind IN ('new', 'changed')").select(F.col("doc_key").alias("doc_ord"), "document_id", "stem", "file_path"))
+        _cut(draft, old, dirty, keyed, docs, sum(counts.get(k, 0) for k in ("changed", "gone")), settings, own, texts)
     facts = _files(draft, old, dirty, keyed, texts)
     facts |= {"context": context, "parsed_at": datetime.now(timezone.utc).isoformat(), "changed": sum(n for k, n in counts.items() if k != "same"), "written": len(dirty)} | more()
     everything = list(range(before.buckets)) if before and not old else dirty
@@ -171,6 +200,11 @@ def refreshed(
     return of_version(store, version)
 
 
+def _same_layout(version: Version) -> bool:
+    """Are postings packed? An index with a row for each posting can be read, but is made anew by its next update."""
+    return any(f["name"] == "hits" for f in version.schemas["postings"]["fields"])
+
+
 def _compared(listing: DataFrame, was: DataFrame) -> DataFrame:
     """Each file of now or then, and whether it is new, changed, gone or the same."""
     then = was.select("file_path", "doc_key", F.col("doc_ord").alias("old_ord"), F.col("mark").alias("old_mark"), *CUT)
@@ -180,12 +214,12 @@ def _compared(listing: DataFrame, was: DataFrame) -> DataFrame:
 
 
 def _cut(
-    draft: Draft, old: Version | None, dirty: list[int], keyed: DataFrame, load: Callable, settings: DocumentSettings, own: DataFrame | None, texts: bool
+    draft: Draft, old: Version | None, dirty: list[int], keyed: DataFrame, docs: DataFrame, leaving: int, settings: DocumentSettings, own: DataFrame | None, texts: bool
 ) -> None:
-    """Write the buckets that change: what stays of them, and what the documents that are new or changed give."""
+    """Write the buckets that change: what stays of them (all but ``leaving`` documents), and what the documents that are
+    new or changed give. Postings and n-grams are made where the stored sections are read, without an exchange of them."""
     store, fresh = draft.store, keyed.where("kind IN ('new', 'changed')")
-    docs = load(fresh.select(F.col("doc_key").alias("doc_ord"), "document_id", "stem", "file_path"))
-    left = keyed.where("kind <> 'same'").select(F.col("doc_key").alias("doc_ord"))
+    left = _sent(keyed.where("kind IN ('changed', 'gone')").select(F.col("doc_key").alias("doc_ord")), leaving)
     bucket = bucket_of(F.col("doc_ord"), draft.version.buckets)
 
     def write(table: str, rows: DataFrame, order: list[str], **options: Any) -> None:
@@ -197,11 +231,13 @@ def _cut(
     if texts:
         write("documents", docs, ["doc_ord"])
         docs = store.read(draft.version, "documents", dirty).join(fresh.select(F.col("doc_key").alias("doc_ord")), "doc_ord", "left_semi")
-    write("sections", segment(docs, settings, own), ["doc_ord", "ord"], **PAGES)
-    found = store.read(draft.version, "sections", dirty).withColumn("bucket", bucket)
-    draft.write("postings", postings.postings(found, "bucket"), ["token", "doc_ord", "ord"], **PAGES)
-    words = store.read(draft.version, "postings", dirty).withColumn("bucket", bucket)
-    draft.write("grams", postings.grams(words, "bucket"), ["gram", "token"], **PAGES)
+    write("sections", _lean(segment(docs, settings, own)), ["doc_ord", "ord"], **PAGES)
+    found = _full(store.read(draft.version, "sections", dirty))
+    draft.write("postings", postings.packed(found, bucket), ["token", "place"], dealt=True, **PAGES, **SMALL)
+    read = store.read(draft.version, "postings", dirty)
+    home = F.regexp_extract(F.col("_metadata.file_path"), r"/bucket=(\d+)/[^/]*\z", 1) if draft.version.parts["postings"] else F.lit(0)
+    words = read.select("token", home.cast("int").alias("bucket")).repartition("bucket").distinct()
+    draft.write("grams", postings.grams_of_tokens(words, "bucket"), ["gram", "token"], dealt=True, **PAGES, **SMALL)
 
 
 def _files(draft: Draft, old: Version | None, dirty: list[int], keyed: DataFrame, texts: bool) -> dict[str, Any]:
@@ -234,9 +270,10 @@ def _files(draft: Draft, old: Version | None, dirty: list[int], keyed: DataFrame
         F.count("has_traces").alias("cleaned"), F.count_if("has_traces").alias("with_traces"), F.count_if(F.col("doc_key") != F.col("doc_ord")).alias("moved"),
     )
     draft.whole("files", files)
-    for table, kind in (("sections", SCHEMA), ("postings", postings.SCHEMA), ("grams", "gram string, token string")):
+    for table, kind in (("sections", SCHEMA), ("postings", postings.PACKED), ("grams", "gram string, token string")):
         if table not in draft.version.schemas and not old:  # nothing to cut: empty tables
-            draft.write(table, draft.store.spark.createDataFrame([], f"{kind}, bucket int"), [])
+            none = draft.store.spark.createDataFrame([], f"{kind}, bucket int")
+            draft.write(table, _lean(none) if table == "sections" else none, [])
     return {k: v or 0 for k, v in seen.get.items()}
 
 

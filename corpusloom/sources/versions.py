@@ -97,13 +97,13 @@ class Draft:
         self.store = store
         self.version = Version(uuid.uuid4().hex, buckets)
 
-    def write(self, table: str, rows: DataFrame, order: list[str], **options: Any) -> None:
+    def write(self, table: str, rows: DataFrame, order: list[str], dealt: bool = False, **options: Any) -> None:
         """Rows (bucket, ...) of the buckets that change, each sorted by ``order``. Adaptive execution cuts large buckets
-        into several files and writes small ones together."""
+        into several files and writes small ones together. Rows that are ``dealt`` by bucket already stay where they are."""
         path = f"{self.store.path}/{table}/{self.version.name}"
         kind = T.StructType([f for f in rows.schema.fields if f.name != "bucket"])
-        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order)
-        dealt.write.options(**options).partitionBy("bucket").parquet(path)
+        placed = rows if dealt else rows.hint("rebalance", "bucket")
+        placed.sortWithinPartitions("bucket", *order).write.options(**options).partitionBy("bucket").parquet(path)
         files, target = self.store._at(path)
         names = [s.getPath().getName() for s in files.listStatus(target)]
         self.version.parts[table] = {n.removeprefix("bucket="): self.version.name for n in names if n.startswith("bucket=")}
