@@ -200,6 +200,8 @@ def hits_of(words: DataFrame, found: DataFrame, term: str = "term") -> DataFrame
 
 #: Tokens, or documents, up to which a search asks for them by name, so that files skip the pages that lack them.
 FEW = 1000
+#: Tokens up to which they are sent to the postings; beyond, all postings are shuffled.
+MANY = 500_000
 
 
 def search_index(index: Any, query: str, document_id: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -215,12 +217,14 @@ def search_index(index: Any, query: str, document_id: str | None = None, limit:
         return spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in _kinds().items())).select(RESULT)
     scope = index.files.where(F.col("document_id") == document_id) if document_id else None
     n, chars = index.totals if scope is None else scope.agg(F.sum("section_count"), F.sum("total_characters")).first()
-    found = matched_few(terms, index.grams)
+    found = looked_up = stash(matched_few(terms, index.grams), "words")
     words = found.limit(FEW + 1).collect()
     read = index.postings
     if len(words) <= FEW:
         read = read.where(F.col("token").isin(sorted({r["token"] for r in words})))
         found = F.broadcast(spark.createDataFrame(words, found.schema))
+    elif found.count() <= MANY:
+        found = F.broadcast(found)
     hits = hits_of(found, read).groupBy("doc_ord", "ord").agg(
         F.max("size").alias("size"),
         *[F.max(F.when(F.col("term") == w, F.struct("tf", "in_title", "in_keywords"))).alias(f"t{i}") for i, w in enumerate(terms)],
@@ -251,6 +255,7 @@ def search_index(index: Any, query: str, document_id: str | None = None, limit:
         spoken = texts.select(*place, "content_lc").join(may.select(*place), place).where(F.col("content_lc").contains(" ".join(terms))).select(*place, F.lit(PHRASE_BONUS).alias("bonus"))
         top = best(rows.join(spoken, place, "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))))
     discard(hits)
+    discard(looked_up)
     kind = "doc_ord long, ord int, match_count int, relevance_score int"
     found = spark.createDataFrame([(r["doc_ord"], r["ord"], r["match_count"], r["relevance_score"]) for r in top], kind)
     texts = index.sections.where(F.col("doc_ord").isin([r["doc_ord"] for r in top])).join(F.broadcast(found), place)

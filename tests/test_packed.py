@@ -31,3 +31,13 @@ def test_packed_postings_and_lean_sections(spark, tmp_path, monkeypatch):
     lean = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/sections")
     assert lean.where("title_lc IS NOT NULL").count() == 0  # lower(title) gives it
     assert index.search("x2 beta", limit=20).collect() == search.search(sections, "x2 beta", limit=20).collect()
+
+
+def test_many_tokens_are_sent_to_the_postings(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"d{k}", f"d{k}", f"d{k}.txt", f"a text with thing{k} and others, long enough") for k in range(30)], "doc_ord long, document_id string, stem string, file_path string, text string")
+    index, sent, broadcast = open_index(docs, str(tmp_path / "index")), [], F.broadcast
+    monkeypatch.setattr(search, "FEW", 3)
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(set(df.columns)) or broadcast(df))
+    found = index.search("thing", limit=20).collect()
+    assert {"term", "token", "times"} in sent
+    assert found == search.search(index.sections, "thing", limit=20).collect()
