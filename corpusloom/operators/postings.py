@@ -6,13 +6,16 @@ Tokens are looked up by their character n-grams; their postings tell how often e
 
 from __future__ import annotations
 
+import sys
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import prepare
@@ -48,55 +51,95 @@ def token_lists(sections: DataFrame, *columns: str) -> DataFrame:
 
 def counted_tokens(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The different tokens of a column of ``token_lists``, and (row, token's number, count) of what each row holds, by row."""
+    tokens, *counts = _counted(lists)
+    return tokens.to_pylist(), *counts
+
+
+def _counted(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     flat, row = lists.flatten(), pc.list_parent_indices(lists)
     keep = pc.fill_null(pc.greater(pc.utf8_length(flat), 1), False)
     coded = flat.filter(keep).dictionary_encode()
     if not len(coded):
         none = np.zeros(0, np.int64)
-        return [], none, none, none
+        return coded.dictionary, none, none, none
     code, row = coded.indices.to_numpy().astype(np.int64), row.filter(keep).to_numpy().astype(np.int64)
     key, n = np.unique(row * len(coded.dictionary) + code, return_counts=True)
-    return coded.dictionary.to_pylist(), key // len(coded.dictionary), key % len(coded.dictionary), n
+    return coded.dictionary, key // len(coded.dictionary), key % len(coded.dictionary), n
 
 
 def packed(sections: DataFrame, bucket: Column) -> DataFrame:
     """``postings`` as rows (bucket, token, place, hits), packed where the sections are read: no row is exchanged. A token
-    may have several rows in a bucket, one for each segment of it."""
+    may have several rows in a bucket, one for each segment of it. Texts go to the tasks whole, and are cut there by the
+    classes of characters that NOT_TOKEN has."""
     prepare(sections.sparkSession)
-    rows = token_lists(sections.withColumn("bucket", bucket), "doc_ord", "ord", F.col("char_count").alias("size"), "bucket")
-    return rows.mapInArrow(_pack, f"bucket int, {PACKED}")
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spoken = F.lower(F.array_join(F.coalesce("keywords", F.array()), "\n"))
+    rows = sections.select(bucket.alias("bucket"), "doc_ord", "ord", F.col("char_count").alias("size"), F.col("content_lc").alias("content"), F.col("title_lc").alias("title"), spoken.alias("keywords"))
+    chars = token_chars(sections.sparkSession)
+    return rows.mapInArrow(lambda batches: _pack(batches, chars), f"bucket int, {PACKED}")
+
+
+@lru_cache(maxsize=1)
+def token_chars(spark: SparkSession) -> bytes:
+    """A bit for each code point, packed: is it part of a token? Spark's own regular expressions say so, once a session,
+    as other libraries know other versions of Unicode."""
+    codes = [k for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000]
+    texts = [(k, "".join(map(chr, codes[k : k + 4096]))) for k in range(0, len(codes), 4096)]
+    spaced = F.regexp_replace("text", NOT_TOKEN.removesuffix("+"), "\n").alias("text")
+    is_token = np.zeros(sys.maxunicode + 1, bool)
+    for r in spark.createDataFrame(texts, "k int, text string").select("k", spaced).collect():
+        is_token[codes[r["k"] : r["k"] + 4096]] = [c != "\n" for c in r["text"]]
+    return zlib.compress(np.packbits(is_token).tobytes())
+
+
+def _pack(batches: Iterator[pa.RecordBatch], chars: bytes) -> Iterator[pa.RecordBatch]:
+    ends = np.unpackbits(np.frombuffer(zlib.decompress(chars), np.uint8))[: sys.maxunicode + 1] == 0
     held: list[tuple] = []
-    numbers: dict[str, int] = {}
+    tokens: list[pa.Array] = []
     for batch in batches:
         own = [batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "doc_ord", "ord", "size")]
         for place, name in ((CONTENT, "content"), (TITLE, "title"), (KEYWORDS, "keywords")):
-            tokens, row, token, n = counted_tokens(batch[name])
-            token = np.array([numbers.setdefault(x, len(numbers)) for x in tokens], np.int64)[token]
+            different, row, token, n = _counted(cut_by(ends, batch[name].to_pylist()))
             bucket, doc, ord_, size = (x[row] for x in own)
-            held.append((bucket, token, np.full(len(row), place, np.int64), doc, ord_, n, size))
+            held.append((bucket, token + sum(map(len, tokens)), np.full(len(row), place, np.int64), doc, ord_, n, size))
+            tokens.append(different)
         if sum(len(x[0]) for x in held) >= SEGMENT:
-            yield _segment(held, list(numbers))
-            held, numbers = [], {}
+            yield _segment(held, tokens)
+            held, tokens = [], []
     if held:
-        yield _segment(held, list(numbers))
+        yield _segment(held, tokens)
 
 
-def _segment(held: list[tuple], tokens: list[str]) -> pa.RecordBatch:
-    """Rows of a segment by bucket, token and place, their hits by document and place."""
+def cut_by(ends: np.ndarray, texts: list[str | None]) -> pa.Array:
+    """The tokens of each text. Texts are cut together: characters that end a token become blanks, and texts lines."""
+    codes = np.frombuffer("\n".join(x or "" for x in texts).encode("utf-32-le"), np.uint32)
+    codes = np.where(ends[codes], np.uint32(32), codes)
+    codes[np.cumsum([len(x or "") + 1 for x in texts])[:-1] - 1] = 10
+    return pc.split_pattern(pa.array(codes.tobytes().decode("utf-32-le").split("\n"), pa.string()), " ")
+
+
+def _segment(held: list[tuple], tokens: list[pa.Array]) -> pa.RecordBatch:
+    """Rows of a segment by bucket, token and place, so that the sort before writing finds runs; hits as they were read.
+    Tokens' numbers count on through ``tokens``, which repeat from one to the next."""
+    coded = pa.concat_arrays(tokens).dictionary_encode()
     bucket, token, place, doc, ord_, n, size = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((ord_, doc, place, token, bucket))
-    bucket, token, place, doc, ord_, n, size = (x[order] for x in (bucket, token, place, doc, ord_, n, size))
-    new = np.ones(len(order), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (token[1:] != token[:-1]) | (place[1:] != place[:-1])
-    at = np.flatnonzero(new)
+    words, token = coded.dictionary, coded.indices.to_numpy()[token]
+    rank = np.empty(len(words), np.int64)
+    rank[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
+    order, new = _grouped((bucket * max(len(words), 1) + rank[token]) * 3 + place)
+    at = order[new]
+    ends = pa.array(np.append(np.flatnonzero(new), len(order)), pa.int32())
     kinds = {"doc_ord": pa.int64(), "ord": pa.int32(), "n": pa.int32(), "size": pa.int32()}
-    hits = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((doc, ord_, n, size), kinds.values())], list(kinds))
-    lists = pa.ListArray.from_arrays(pa.array([*at, len(order)], pa.int32()), hits)
-    words = pa.array(tokens, pa.string()).take(pa.array(token[at]))
-    return pa.record_batch([pa.array(bucket[at], pa.int32()), words, pa.array(place[at], pa.int32()), lists], names=["bucket", "token", "place", "hits"])
+    hits = pa.StructArray.from_arrays([pa.array(x[order], k) for x, k in zip((doc, ord_, n, size), kinds.values())], list(kinds))
+    return pa.record_batch([pa.array(bucket[at], pa.int32()), words.take(pa.array(token[at])), pa.array(place[at], pa.int32()), pa.ListArray.from_arrays(ends, hits)], names=["bucket", "token", "place", "hits"])
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by key and place, and which of the rows in that order open a group."""
+    n = max(len(key), 1)
+    mixed = np.sort(key * n + np.arange(len(key)))  # some 2**55 at most
+    key, new = mixed // n, np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return mixed - key * n, new
 
 
 def unpacked(found: DataFrame) -> DataFrame:
@@ -118,6 +161,60 @@ def grams_of_tokens(words: DataFrame, *keys: str) -> DataFrame:
     return every.select(F.substring("token", F.col("at"), F.lit(GRAM)).alias("gram"), "token", *keys)
 
 
+#: N-grams of tokens, as they are stored: the tokens that hold one, joined by blanks, which no token has.
+PACKED_GRAMS = "gram string, tokens string"
+#: Tokens whose n-grams a task packs at a time, and the length up to which tokens are cut together.
+TOKENS, LONG = 1 << 17, 64
+
+
+def packed_grams(words: DataFrame) -> DataFrame:
+    """``grams`` of tokens (bucket, token) as rows (bucket, gram, tokens), packed where the tokens are read: no row is
+    exchanged. Repeats of a token are left out where they stand together."""
+    prepare(words.sparkSession)
+    return words.select("bucket", "token").mapInArrow(_pack_grams, f"bucket int, {PACKED_GRAMS}")
+
+
+def _pack_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, pa.Array]] = []
+    for batch in batches:
+        bucket, token = batch["bucket"].to_numpy(), batch["token"]
+        new = np.ones(len(bucket), bool)
+        new[1:] = pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False) | (bucket[1:] != bucket[:-1])
+        held.append((bucket[new].astype(np.int64), token.filter(pa.array(new))))
+        if sum(len(x) for x, _ in held) >= TOKENS:
+            yield _gram_rows(held)
+            held = []
+    if held:
+        yield _gram_rows(held)
+
+
+def _gram_rows(held: list[tuple[np.ndarray, pa.Array]]) -> pa.RecordBatch:
+    bucket, tokens = np.concatenate([x for x, _ in held]), pa.concat_arrays([x for _, x in held])
+    size = pc.utf8_length(tokens).to_numpy()
+    at = [np.flatnonzero((size <= LONG) & (size >= (k + GRAM if k else 0))) for k in range(LONG - GRAM + 1)]
+    parts = [pc.utf8_slice_codeunits(tokens.take(pa.array(x)), k, k + GRAM) for k, x in enumerate(at)]
+    for k in np.flatnonzero(size > LONG):
+        own = grams_of(tokens[int(k)].as_py())
+        parts.append(pa.array(own, pa.string()))
+        at.append(np.full(len(own), k))
+    token, coded = np.concatenate(at), pa.concat_arrays(parts).dictionary_encode()
+    by_name = pc.array_sort_indices(coded.dictionary)
+    rank, n = np.empty(len(by_name), np.int64), max(len(by_name), 1)
+    rank[by_name.to_numpy()] = np.arange(len(by_name))
+    key = np.sort((bucket[token] * n + rank[coded.indices.to_numpy()]) * len(tokens) + token)
+    key = key[np.diff(key, prepend=-1) > 0]  # a token has an n-gram once
+    group, token = key // len(tokens), key % len(tokens)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), tokens.take(pa.array(token)))
+    names = coded.dictionary.take(by_name).take(pa.array(group[first] % n))
+    return pa.record_batch([pa.array(group[first] // n, pa.int32()), names, pc.binary_join(lists, " ")], names=["bucket", "gram", "tokens"])
+
+
+def unpacked_grams(found: DataFrame) -> DataFrame:
+    """``grams`` from ``packed_grams`` rows. A filter on n-grams reaches the files below. Plain rows stay as they are."""
+    return found.select("gram", F.explode(F.split("tokens", " ")).alias("token")) if "tokens" in found.columns else found
+
+
 def grams_of(term: str) -> list[str]:
     """The n-grams of a term."""
     return [term[i : i + GRAM] for i in range(max(len(term) - GRAM + 1, 1))]

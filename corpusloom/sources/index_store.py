@@ -27,8 +27,10 @@ FILES = (
 CUT = ["section_count", "total_characters", "has_traces", "first_section_id", "last_section_id"]
 #: Rows of a page of the tables that search reads by document or token, so that it skips the others.
 PAGES = {"parquet.page.row.count.limit": "200", "parquet.block.size": str(16 << 20)}
-#: Postings and n-grams are runs of near numbers and of tokens, which zstd makes small.
-SMALL = {"compression": "zstd"}
+#: Postings and n-grams are runs of near numbers and of tokens, which zstd makes small. A token seldom repeats in a file;
+#: pages of 1000 rows take fewer calls of the compressor, and still are a small part of a bucket.
+SMALL = {"compression": "zstd", "parquet.enable.dictionary#token": "false", "parquet.enable.dictionary#tokens": "false"}
+TOKEN_PAGES = PAGES | {"parquet.page.row.count.limit": "1000"}
 #: Documents up to which their keys are broadcast to the stored tables' rows; beyond, rows are shuffled.
 KEYS = 4_000_000
 
@@ -124,7 +126,7 @@ def of_version(store: Store, version: Version) -> Index:
         places = _sent(files.select("doc_key", "doc_ord"), version.facts["documents"])
         return rows.withColumnRenamed("doc_ord", "doc_key").join(places, "doc_key").select(names)
 
-    return Index(placed("sections", _full), files, placed("postings", postings.unpacked), store.read(version, "grams"), version.facts)
+    return Index(placed("sections", _full), files, placed("postings", postings.unpacked), postings.unpacked_grams(store.read(version, "grams")), version.facts)
 
 
 def open_index(
@@ -201,8 +203,8 @@ def refreshed(
 
 
 def _same_layout(version: Version) -> bool:
-    """Are postings packed? An index with a row for each posting can be read, but is made anew by its next update."""
-    return any(f["name"] == "hits" for f in version.schemas["postings"]["fields"])
+    """Are postings and n-grams packed? An index with a row for each can be read, but is made anew by its next update."""
+    return {"hits", "tokens"} <= {f["name"] for table in ("postings", "grams") for f in version.schemas[table]["fields"]}
 
 
 def _compared(listing: DataFrame, was: DataFrame) -> DataFrame:
@@ -233,11 +235,8 @@ def _cut(
         docs = store.read(draft.version, "documents", dirty).join(fresh.select(F.col("doc_key").alias("doc_ord")), "doc_ord", "left_semi")
     write("sections", _lean(segment(docs, settings, own)), ["doc_ord", "ord"], **PAGES)
     found = _full(store.read(draft.version, "sections", dirty))
-    draft.write("postings", postings.packed(found, bucket), ["token", "place"], dealt=True, **PAGES, **SMALL)
-    read = store.read(draft.version, "postings", dirty)
-    home = F.regexp_extract(F.col("_metadata.file_path"), r"/bucket=(\d+)/[^/]*\z", 1) if draft.version.parts["postings"] else F.lit(0)
-    words = read.select("token", home.cast("int").alias("bucket")).repartition("bucket").distinct()
-    draft.write("grams", postings.grams_of_tokens(words, "bucket"), ["gram", "token"], dealt=True, **PAGES, **SMALL)
+    draft.write("postings", postings.packed(found, bucket), ["token", "place"], dealt=True, **TOKEN_PAGES, **SMALL)
+    draft.write("grams", postings.packed_grams(draft.written("postings")), ["gram"], dealt=True, **PAGES, **SMALL)
 
 
 def _files(draft: Draft, old: Version | None, dirty: list[int], keyed: DataFrame, texts: bool) -> dict[str, Any]:
@@ -270,7 +269,7 @@ def _files(draft: Draft, old: Version | None, dirty: list[int], keyed: DataFrame
         F.count("has_traces").alias("cleaned"), F.count_if("has_traces").alias("with_traces"), F.count_if(F.col("doc_key") != F.col("doc_ord")).alias("moved"),
     )
     draft.whole("files", files)
-    for table, kind in (("sections", SCHEMA), ("postings", postings.PACKED), ("grams", "gram string, token string")):
+    for table, kind in (("sections", SCHEMA), ("postings", postings.PACKED), ("grams", postings.PACKED_GRAMS)):
         if table not in draft.version.schemas and not old:  # nothing to cut: empty tables
             none = draft.store.spark.createDataFrame([], f"{kind}, bucket int")
             draft.write(table, _lean(none) if table == "sections" else none, [])

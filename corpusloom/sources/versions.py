@@ -109,6 +109,12 @@ class Draft:
         self.version.parts[table] = {n.removeprefix("bucket="): self.version.name for n in names if n.startswith("bucket=")}
         self.version.schemas[table] = json.loads(kind.json())
 
+    def written(self, table: str) -> DataFrame:
+        """Rows (bucket, ...) of a table that this version wrote."""
+        kind = T.StructType([*T.StructType.fromJson(self.version.schemas[table]).fields, T.StructField("bucket", T.IntegerType())])
+        spark = self.store.spark
+        return spark.read.schema(kind).parquet(f"{self.store.path}/{table}/{self.version.name}") if self.version.parts[table] else spark.createDataFrame([], kind)
+
     def whole(self, table: str, rows: DataFrame) -> None:
         """A narrow table, which every version writes as a whole."""
         rows.write.parquet(f"{self.store.path}/{table}/{self.version.name}")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import zlib
+
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from corpusloom.operators import postings
 from corpusloom.operators import segment as s
 from corpusloom.sources.settings import DocumentSettings, to_json
 
@@ -19,3 +25,25 @@ def test_sections_leave_in_small_batches():
     each = [(k, s.sections_of_text(text or "", DocumentSettings())) for k, text in enumerate(texts)]
     assert rows == [(k, name, x.title, x.content, before) for k, found in each for (name, _, x), before in zip(found, ids(found))] * 2
     assert list(s.cut(iter([]), to_json(DocumentSettings()))) == []
+
+
+def test_texts_are_cut_as_spark_cuts_them(spark):
+    rng = random.Random(8)
+    chars = "ab_é9Σς́١‿-. \n\r\t\x85  ½²ß\U00010330\U0001f600\U000e0100͸￿"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", None, "".join(map(chr, range(0x3000)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    known = [[w for w in r[0] or [] if len(w) > 1] for r in rows.orderBy("k").select(F.split("text", postings.NOT_TOKEN)).collect()]
+    packed = np.frombuffer(zlib.decompress(postings.token_chars(spark)), np.uint8)
+    cut = postings.cut_by(np.unpackbits(packed) == 0, texts).to_pylist()
+    assert [[w for w in words if len(w) > 1] for words in cut] == known
+
+
+def test_grams_are_packed_without_an_exchange(spark):
+    words = ["ab", "abc", "aaaa", "straße", "é\U00010330x_", "x" * 300 + "yz" * 40]
+    rows = spark.createDataFrame([(b, w) for b in (3, 1) for w in sorted(words) for _ in range(2)], "bucket int, token string").coalesce(1)
+    packed = postings.packed_grams(rows)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    found = packed.select("bucket", F.explode(F.split("tokens", " ")).alias("token"), "gram").collect()
+    assert len(found) == len(set(found))
+    assert set(found) == {(b, w, g) for b in (1, 3) for w in words for g in postings.grams_of(w)}
+    assert [(r["bucket"], r["gram"]) for r in packed.collect()] == sorted({(r["bucket"], r["gram"]) for r in found})
